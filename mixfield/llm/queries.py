@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mixfield.llm import audio, language, mixing, packing, simhash, toxicity
+from mixfield.llm import audio, language, lines, mixing, packing, simhash, toxicity
 from mixfield.llm.common import table
 
 
@@ -34,6 +34,37 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.deduplicate(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+#: The same result from strings of three lines, with the first occurrence of each.
+OP6_SQL = """
+WITH l AS (
+  SELECT doc_id, generate_subscripts(parts, 1) AS place, unnest(parts) AS line, len(parts) AS n
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL)
+), w AS (
+  SELECT doc_id, place, line, n,
+    CASE WHEN place + 2 <= n THEN line || chr(10) || lead(line, 1) OVER o || chr(10) || lead(line, 2) OVER o END AS run
+  FROM l WINDOW o AS (PARTITION BY doc_id ORDER BY place)
+), f AS (
+  SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, place) > 1 AND run IS NOT NULL AS later FROM w
+), k AS (
+  SELECT doc_id, place, line,
+    later OR coalesce(lag(later, 1) OVER o, false) OR coalesce(lag(later, 2) OVER o, false) AS gone
+  FROM f WINDOW o AS (PARTITION BY doc_id ORDER BY place)
+)
+SELECT d.doc_id,
+  count(k.place) AS n_lines,
+  count(*) FILTER (WHERE k.gone) AS n_removed,
+  CASE WHEN any_value(d.text) IS NOT NULL
+    THEN sha256(coalesce(string_agg(k.line, chr(10) ORDER BY k.place) FILTER (WHERE NOT k.gone), '')) END AS kept_sha256
+FROM documents d LEFT JOIN k ON d.doc_id = k.doc_id
+GROUP BY d.doc_id
+"""
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = language.identify(docs, language.fit(language.training_rows(docs)))
@@ -54,5 +85,5 @@ def op10_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_cost_packing, op3_toxicity, op4_source_mixing, op9_language_id, op10_telephony_audio)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_cost_packing, op3_toxicity, op4_source_mixing, op6_line_dedup, op9_language_id, op10_telephony_audio)}
+ORACLE = {"op6_line_dedup": OP6_SQL}
