@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mixfield.llm import audio, language, lines, mixing, packing, simhash, substrings, toxicity
+from mixfield.llm import audio, language, lines, mixing, packing, simhash, substrings, toxicity, urls, vectors
 from mixfield.llm.common import table
 
 
@@ -70,6 +70,14 @@ GROUP BY d.doc_id
 """
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages")).drop("score")
+
+
+def op8_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.search(table(spark, sf_dir, "embeddings"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = language.identify(docs, language.fit(language.training_rows(docs)))
@@ -90,5 +98,5 @@ def op10_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_cost_packing, op3_toxicity, op4_source_mixing, op5_substring_dedup, op6_line_dedup, op9_language_id, op10_telephony_audio)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_cost_packing, op3_toxicity, op4_source_mixing, op5_substring_dedup, op6_line_dedup, op7_url_filter, op8_vector_search, op9_language_id, op10_telephony_audio)}
 ORACLE = {"op6_line_dedup": OP6_SQL}
