@@ -1,6 +1,68 @@
-STAGES = []
-ORACLE_SQL = None
+"""A corpus pipeline of five stages, each of which reads what the one before has written."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from mixfield.llm import language, lines, mixing, packing, queries, simhash
+from mixfield.llm.common import WORD, table, written
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _with_text(docs: DataFrame, text) -> DataFrame:
+    """The columns of documents with a new text and its length."""
+    return docs.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents whose language can be told: those without text or without letters go.
+
+    ``lang`` becomes the language found where the document had none.
+    """
+    profiles = language.fit(language.training_rows(docs))
+    known = docs.where(F.col("text").isNotNull()).select(*COLUMNS)
+    found = language.identify(known, profiles, keep=("lang", "source", "n_chars"))
+    return found.where("lang_pred != 'und'").withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Removes later copies of runs of lines; a document that has no line left goes."""
+    found = lines.deduplicate(docs)
+    return _with_text(found.where("n_removed < n_lines or n_removed = 0"), F.col("kept"))
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps of each group of near-duplicates the document with the smallest doc_id, and of its rows the first by text."""
+    first = simhash.near_duplicates(docs).where("doc_id = component_id or doc_id is null").select(F.col("doc_id").alias("_id")).distinct()
+    kept = docs.join(first, docs.doc_id.cast("long").eqNullSafe(F.col("_id")), "left_semi")
+    # at most the rows of one doc_id, which a table of documents has one of
+    return kept.groupBy("doc_id").agg(F.min_by(F.struct(*COLUMNS[1:]), F.coalesce("text", F.lit(""))).alias("row")).select("doc_id", "row.*").select(*COLUMNS)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: a row for each reading of a document, with the words that the reading takes."""
+    took = mixing.mix(docs).where("taken > 0").select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.explode("passes").alias("_pass"))
+    rows = docs.join(took, docs.doc_id.cast("long").eqNullSafe(F.col("_id")))
+    words = F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), 1), (F.col("_pass.first") + 1).cast("int"), F.col("_pass.words").cast("int"))
+    return _with_text(rows, F.when(F.col("_pass.words") == F.col("_size"), F.col("text")).otherwise(F.array_join(words, " ")))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the documents in sequences of 1024 tokens."""
+    return packing.pack(docs, queries.ranks_path())
+
+
+STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("simhash_near_dedup", simhash_near_dedup), ("mix_sources", mix_sources), ("pack", pack)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
+
+
+#: The language profiles, the schedule and the packing have no counterpart in SQL; tests hold each stage against brute force.
+ORACLE_SQL = None

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A profile has so many n-grams, and so many of a document's are compared with it.
 PROFILE = 300
@@ -116,23 +117,26 @@ def fit(labelled: DataFrame, documents: int = FIT_DOCUMENTS, size: int = PROFILE
     return Profiles(ranked, size)
 
 
-def identify(docs: DataFrame, profiles: Profiles) -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score`` from the whole text of each document.
+def identify(docs: DataFrame, profiles: Profiles, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, text, lang_pred, score`` and the columns ``keep`` of each row of ``docs``, from its whole text.
 
     The language is the one whose profile is nearest by out-of-place distance to the document's most frequent
     n-grams, ties by name; the score is 1 less the distance as a share of the largest possible one. A null text
-    and a text without letters get ``und`` and 0. Only doc_id and text are used; a doc_id may be null or repeated.
-    Returns ``doc_id, text, lang_pred, score``, one row for each of ``docs``.
+    and a text without letters get ``und`` and 0, as does every text if there are no profiles. Only the text is looked at; a
+    doc_id may be null or repeated.
     """
     shared = docs.sparkSession.sparkContext.broadcast(profiles)  # at most MAX_LANGUAGES * PROFILE ranks
+    names = ["doc_id", "text", *keep, "lang_pred", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
             found = [own.predict(text) for text in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], ["doc_id", "text", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, text string, lang_pred string, score double")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *keep)
+    schema = T.StructType([*rows.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return rows.mapInArrow(run, schema)
 
 
 def fold(doc_id: str = "doc_id"):
