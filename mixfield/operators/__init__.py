@@ -1 +1 @@
-
+"""Relational operators on points, components and responsibilities."""

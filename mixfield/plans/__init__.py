@@ -1 +1 @@
-
+"""Model steps, iterative drivers and registered queries."""

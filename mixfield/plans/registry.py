@@ -1,4 +1,479 @@
 """All registered queries of the clustering engine with their SQL counterparts."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+from mixfield.operators import elbo, estep, metrics, mstep, spatial, temporal
+from mixfield.operators.storage import written
+from mixfield.plans import fit, oracle as o
+from mixfield.sources import generators, views
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def rounded(df: DataFrame, digits: int, *names: str) -> DataFrame:
+    return df.select(*(F.round(c, digits).alias(c) if c in names else F.col(c) for c in df.columns))
+
+
+def _points(spark: SparkSession, folder: str) -> DataFrame:
+    return views.event_points(spark, folder)
+
+
+def _setup(spark: SparkSession, folder: str) -> fit.Model:
+    """Points of events with the cells' centres as components."""
+    points = _points(spark, folder)
+    return fit.start(points, views.cell_centres(points), fit.Config(prune=False))
+
+
+def _one_step(spark: SparkSession, folder: str) -> fit.Model:
+    return fit.step(_setup(spark, folder))
+
+
+# Priors, local and global step
+
+@query(o.with_(o.PTS, o.PRIOR) + f"SELECT n, {o.rounded(3, 'area', 'mu0x', 'mu0y', 'mean_sigma', 'logp0')}, round(sigma02 / 1e6, 3) AS sigma02 FROM prior")
+def prior_scalars(spark, folder):
+    rows = views.prior_scalars(_points(spark, folder)).withColumn("sigma02", F.col("sigma02") / 1e6)
+    return rounded(rows, 3, "area", "mu0x", "mu0y", "mean_sigma", "logp0", "sigma02")
+
+
+@query(o.with_(*o.BASE) + f"SELECT id, c, round({o.LOGN}, 3) AS logp FROM pts, cen")
+def gauss_loglik(spark, folder):
+    points = _points(spark, folder)
+    return rounded(estep.log_likelihood(points, views.cell_centres(points)), 3, "logp")
+
+
+@query(o.with_(*o.BASE, o.estep(0)) + "SELECT id, c, round(logp, 3) AS logp, round(r, 4) AS r FROM r0")
+def estep_exact(spark, folder):
+    return rounded(_setup(spark, folder).responsibilities().select("id", "c", "logp", "r"), 4, "r").withColumn("logp", F.round("logp", 3))
+
+
+SPARSE = o.with_(*o.BASE, o.estep(0, "WHERE pow(x - mux, 2) + pow(y - muy, 2) < 16 * (s2x + s2y) / 2", True))
+
+
+@query(SPARSE + "SELECT id, c, round(logp, 3) AS logp, round(r, 4) AS r FROM r0")
+def estep_sparse(spark, folder):
+    model = _setup(spark, folder)
+    found = estep.sparse(model.points, model.components, model.logit())
+    return rounded(found.select("id", "c", "logp", "r"), 4, "r").withColumn("logp", F.round("logp", 3))
+
+
+@query(SPARSE.rstrip() + ",\n" + o.mstep(0) + "\nSELECT c, n, " + o.rounded(3, "rk", "xxx", "xxy", "sxx", "sxy") + " FROM st0")
+def suff_stats(spark, folder):
+    model = _setup(spark, folder)
+    return rounded(mstep.sufficient_stats(estep.sparse(model.points, model.components, model.logit())), 3, "rk", "xxx", "xxy", "sxx", "sxy")
+
+
+STEP = o.with_(*o.BASE, o.estep(0), o.mstep(0))
+CS = f"SELECT c, {o.rounded(4, 'mux', 'muy', 'vx', 'vy')}, {o.rounded(3, 'rk', 'eta1', 'eta0')}, round(eu, 4) AS elog_u, round(e1, 4) AS elog_1mu, round(lw, 3) AS log_weight FROM "
+
+
+def _shown(components: DataFrame) -> DataFrame:
+    return rounded(rounded(components, 4, "mux", "muy", "vx", "vy", "elog_u", "elog_1mu"), 3, "rk", "eta1", "eta0", "log_weight")
+
+
+@query(STEP + CS + "cs1")
+def mstep_update(spark, folder):
+    return _shown(_one_step(spark, folder).components)
+
+
+@query(o.with_(*o.BASE) + "SELECT c, round(eta1, 3) AS eta1, round(eta0, 3) AS eta0, round(eu, 4) AS elog_u, round(e1, 4) AS elog_1mu, round(lw, 3) AS log_weight FROM cs0")
+def stick_weights(spark, folder):
+    return _shown(mstep.stick_weights(views.cell_centres(_points(spark, folder)))).select("c", "eta1", "eta0", "elog_u", "elog_1mu", "log_weight")
+
+
+@query(STEP + f"SELECT {o.rounded(2, 'e_noise', 'e_obs', 'e_sb', 'e_ent')} FROM el1")
+def elbo_terms(spark, folder):
+    before = _setup(spark, folder)
+    sums = written(elbo.resp_sums(before.responsibilities()), "sums")
+    after = fit.step(before)
+    return rounded(elbo.bound(sums, after.components, after.scalars, after.prior), 2, "e_noise", "e_obs", "e_sb", "e_ent").drop("elbo")
+
+
+@query(o.with_(*o.BASE, *(x for i in range(3) for x in (o.estep(i), o.mstep(i)))) + CS + "cs3")
+def vb_3_iterations(spark, folder):
+    model = _setup(spark, folder)
+    for _ in range(3):
+        model = fit.step(model)
+    return _shown(model.components)
+
+
+# Moves. Component 5 is deleted or split, 3 and 5 are merged, and the noise left of 100 becomes a component.
+
+TWO = o.with_(*o.BASE, o.estep(0), o.mstep(0), o.estep(1), o.BASED)
+GAMMAS = "(SELECT g1 FROM sc1)", "(SELECT g2 FROM sc1)"
+DA = "({0}) / ({1}) - (SELECT g1 / g2 FROM sc1)"
+
+
+def _gap_sql(parts: list[str], select: str) -> str:
+    return TWO.rstrip() + ",\n" + ",\n".join(parts) + f",\ngap AS ({select})\nSELECT {o.GAP} FROM gap"
+
+
+def _shown_gap(gap: DataFrame) -> DataFrame:
+    return rounded(gap.drop("gap"), 2, "noise", "stick", "entropy", "obs")
+
+
+DEL = "(SELECT g1 - 1 FROM sc1)", "(SELECT g2 + (SELECT e1 FROM cs1 WHERE c = 5) FROM sc1)"
+
+
+@query(
+    _gap_sql(
+        [
+            "k AS (SELECT o.*, z.r AS r0 FROM r1 o JOIN (SELECT id, r FROM r1 WHERE c = -1) z ON o.id = z.id WHERE c = 5 AND o.r > 0)",
+            f"s AS (SELECT sum(r) AS m, sum(r * ({o.c_obs('x', 's2x')} + {o.c_obs('y', 's2y')})) AS co, sum(-{o.plogp('(r + r0)')} + {o.plogp('r0')} + {o.plogp('r')}) AS h FROM k)",
+            o.moved("rest", "(SELECT * FROM based WHERE c <> 5)", DA.format(*DEL)),
+        ],
+        f"""SELECT m * logp0 - {o.c_beta('(a + m)', '(b - m)')} + {o.c_beta('a', 'b')} AS noise, {o.stick('rest', *DEL)} - {o.stick('cs1', *GAMMAS)} AS stick, h AS entropy,
+  -co - ({o.c_obs('mu0x', 'sigma02')} + {o.c_obs('mu0y', 'sigma02')}) + (SELECT {o.c_obs('mux', 'vx')} + {o.c_obs('muy', 'vy')} FROM cs1 WHERE c = 5) AS obs FROM s, sc1, prior""",
+    )
+)
+def gap_delete(spark, folder):
+    m = _one_step(spark, folder)
+    return _shown_gap(elbo.gap_delete(m.responsibilities(), m.components, m.scalars, m.prior, 5))
+
+
+MRG = "(SELECT g1 - 1 FROM sc1)", "(SELECT g2 + (SELECT e1 FROM cs1 WHERE c = 5) FROM sc1)"
+
+
+@query(
+    _gap_sql(
+        [
+            f"k AS (SELECT id, x, y, s2x, s2y, sum(r) AS r, sum({o.plogp('r')}) AS apart FROM r1 WHERE c IN (3, 5) GROUP BY ALL)",
+            o.new_centre("m", "k", "r"),
+            f"s AS (SELECT sum(apart - {o.plogp('r')}) AS h FROM k)",
+            o.moved("rest", "(SELECT c, base, rk + CASE WHEN c = 3 THEN (SELECT rk FROM cs1 WHERE c = 5) ELSE 0 END AS rk FROM based WHERE c <> 5)", DA.format(*MRG)),
+        ],
+        f"""SELECT 0e0 AS noise, {o.stick('rest', *MRG)} - {o.stick('cs1', *GAMMAS)} AS stick, h AS entropy,
+  -({o.c_obs('mu0x', 'sigma02')} + {o.c_obs('mu0y', 'sigma02')}) - ({o.c_obs('mux', 'vx')} + {o.c_obs('muy', 'vy')})
+  + (SELECT sum({o.c_obs('mux', 'vx')} + {o.c_obs('muy', 'vy')}) FROM cs1 WHERE c IN (3, 5)) AS obs FROM s, m, prior""",
+    )
+)
+def gap_merge(spark, folder):
+    m = _one_step(spark, folder)
+    return _shown_gap(elbo.gap_merge(m.responsibilities(), m.components, m.scalars, m.prior, 3, 5))
+
+
+BRT = "(SELECT 2e0 + count(*) FROM cs1)", "(SELECT 1e-2 - sum(e1) FROM cs1)"
+
+
+@query(
+    _gap_sql(
+        [
+            "k AS (SELECT * FROM r1 WHERE c = -1 AND x < 100)",
+            o.new_centre("m", "k", "r"),
+            o.moved("old", "based", DA.format(*BRT)),
+            f"rest AS (SELECT eta1, eta0 FROM old UNION ALL SELECT 1 + (SELECT rk FROM m), ({BRT[0]}) / ({BRT[1]}) + (SELECT sum(rk) FROM cs1))",
+        ],
+        f"""SELECT -rk * logp0 - {o.c_beta('(a - rk)', '(b + rk)')} + {o.c_beta('a', 'b')} AS noise, {o.stick('rest', *BRT)} - {o.stick('cs1', *GAMMAS)} AS stick, 0e0 AS entropy,
+  co + {o.c_obs('mu0x', 'sigma02')} + {o.c_obs('mu0y', 'sigma02')} - ({o.c_obs('mux', 'vx')} + {o.c_obs('muy', 'vy')}) AS obs FROM m, sc1, prior""",
+    )
+)
+def gap_birth(spark, folder):
+    m = _one_step(spark, folder)
+    candidates = written(estep.noise_points(m.responsibilities(), -1.0).where("x < 100"), "noise")
+    return _shown_gap(elbo.gap_birth(candidates, m.components, m.scalars, m.prior))
+
+
+SPL = "(SELECT g1 + 1 FROM sc1)", "(SELECT 1e-2 - sum(e1) + (SELECT e1 FROM cs1 WHERE c = 5) FROM cs1)"
+
+
+@query(
+    _gap_sql(
+        [
+            "k AS (SELECT *, r * CASE WHEN x < (SELECT mux FROM cs1 WHERE c = 5) THEN 0.9e0 ELSE 0.1e0 END AS ra FROM r1 WHERE c = 5 AND r > 0)",
+            o.new_centre("ma", "k", "ra"),
+            o.new_centre("mb", "k", "(r - ra)"),
+            f"s AS (SELECT sum({o.plogp('r')} - {o.plogp('ra')} - {o.plogp('(r - ra)')}) AS h FROM k)",
+            o.moved("rest", "(SELECT CASE WHEN c > 5 THEN c + 1 ELSE c END AS c, base, CASE WHEN c = 5 THEN (SELECT rk FROM ma) ELSE rk END AS rk FROM based UNION ALL SELECT 6, base, (SELECT rk FROM mb) FROM based WHERE c = 5)", DA.format(*SPL)),
+        ],
+        f"""SELECT 0e0 AS noise, {o.stick('rest', *SPL)} - {o.stick('cs1', *GAMMAS)} AS stick, h AS entropy,
+  {o.c_obs('mu0x', 'sigma02')} + {o.c_obs('mu0y', 'sigma02')} - (SELECT {o.c_obs('mux', 'vx')} + {o.c_obs('muy', 'vy')} FROM ma) - (SELECT {o.c_obs('mux', 'vx')} + {o.c_obs('muy', 'vy')} FROM mb)
+  + (SELECT {o.c_obs('mux', 'vx')} + {o.c_obs('muy', 'vy')} FROM cs1 WHERE c = 5) AS obs FROM s, prior""",
+    )
+)
+def gap_split(spark, folder):
+    m = _one_step(spark, folder)
+    at = float(m.components.where("c = 5").first()["mux"])
+    rows = m.responsibilities().where("c = 5 and r > 0").withColumn("r1", F.col("r") * F.when(F.col("x") < at, 0.9).otherwise(0.1))
+    proposed = written(rows.withColumn("r2", F.col("r") - F.col("r1")), "proposed")
+    return _shown_gap(elbo.gap_split(proposed, m.components, m.scalars, m.prior, 5))
+
+
+# Spatial joins and initial centres
+
+RHO = "rho AS (SELECT a.id, a.x, a.y, count(*) AS n FROM pts a JOIN pts b ON pow(a.x - b.x, 2) + pow(a.y - b.y, 2) <= {0} GROUP BY ALL)"
+PEAKS = o.with_(
+    o.PTS,
+    RHO.format(1225),
+    "rk AS (SELECT *, row_number() OVER (ORDER BY n DESC, id) AS rank FROM rho)",
+    "dl AS (SELECT a.id, a.x, a.y, a.n, a.rank, min(CASE WHEN pow(a.x - b.x, 2) + pow(a.y - b.y, 2) <= 11025 THEN sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) END) AS d FROM rk a LEFT JOIN rk b ON b.rank < a.rank GROUP BY ALL)",
+    "de AS (SELECT id, x, y, n, rank, CASE WHEN rank > 1 THEN coalesce(d, 175e0) END AS d FROM dl)",
+)
+
+
+@query(o.with_(o.PTS, RHO.format(1225)) + "SELECT id, n FROM rho")
+def density_rho(spark, folder):
+    return spatial.neighbour_counts(_points(spark, folder), 35.0)
+
+
+@query(PEAKS + "SELECT id, x, y, n AS rho, round(coalesce(d, (SELECT coalesce(max(d), 175e0) FROM de)), 5) AS delta FROM de WHERE coalesce(d, (SELECT coalesce(max(d), 175e0) FROM de)) > 5")
+def density_peaks(spark, folder):
+    return rounded(spatial.peaks(_points(spark, folder)), 5, "delta")
+
+
+def _reach(edges: str, start: str) -> str:
+    """Smallest id that each node reaches, by repeated joins."""
+    return f"""WITH RECURSIVE reach(id, label) AS ({start} UNION SELECT e.b, r.label FROM reach r JOIN ({edges}) e ON r.id = e.a)
+SELECT id, min(label) AS label FROM reach GROUP BY id"""
+
+
+@query(
+    o.with_(o.PTS, "nb AS (SELECT a.id AS a, b.id AS b, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS d FROM pts a JOIN pts b ON pow(a.x - b.x, 2) + pow(a.y - b.y, 2) <= 400 AND pow(a.x - b.x, 2) + pow(a.y - b.y, 2) > 0")
+    + ") SELECT a AS id, arg_min(b, (d, b)) AS other, round(min(d), 5) AS d FROM nb GROUP BY a"
+)
+def nearest_neighbour(spark, folder):
+    return rounded(spatial.nearest_neighbour(_points(spark, folder)), 5, "d")
+
+
+@query(o.with_(o.PTS, RHO.format(225), "top AS (SELECT x, y FROM rho ORDER BY n DESC, id LIMIT 1)") + "SELECT p.id FROM pts p, top t WHERE pow(p.x - t.x, 2) + pow(p.y - t.y, 2) <= 225")
+def densest_neighbourhood(spark, folder):
+    return spatial.densest_neighbourhood(_points(spark, folder))
+
+
+@query(o.with_(*o.BASE) + "SELECT id, count(c) AS n FROM pts LEFT JOIN cen ON pow(x - mux, 2) + pow(y - muy, 2) < 900 GROUP BY id")
+def degree_of_points(spark, folder):
+    points = _points(spark, folder)
+    return spatial.degree_counters(points, views.cell_centres(points), 30.0)[0]
+
+
+@query(o.with_(*o.BASE) + "SELECT c, count(id) AS n FROM cen LEFT JOIN pts ON pow(x - mux, 2) + pow(y - muy, 2) < 900 GROUP BY c")
+def degree_of_centres(spark, folder):
+    points = _points(spark, folder)
+    return spatial.degree_counters(points, views.cell_centres(points), 30.0)[1]
+
+
+@query(o.with_(*o.BASE) + "SELECT a.c, b.c AS other, round(sqrt(pow(a.mux - b.mux, 2) + pow(a.muy - b.muy, 2)), 5) AS d FROM cen a JOIN cen b ON a.c <> b.c AND pow(a.mux - b.mux, 2) + pow(a.muy - b.muy, 2) <= 3600")
+def merge_candidates(spark, folder):
+    return rounded(spatial.close_centres(views.cell_centres(_points(spark, folder)), 60.0), 5, "d")
+
+
+@query(
+    o.with_(*o.BASE, "near AS (SELECT a.c, b.c AS other FROM cen a JOIN cen b ON a.c <> b.c AND pow(a.mux - b.mux, 2) + pow(a.muy - b.muy, 2) <= 2500)")
+    + "SELECT DISTINCT other AS c FROM near WHERE c IN (SELECT c FROM near GROUP BY c HAVING count(*) >= 2)"
+)
+def nearby_centers(spark, folder):
+    return spatial.crowded_centres(views.cell_centres(_points(spark, folder)), 50.0)
+
+
+@query(STEP + "SELECT c, round(rk, 3) AS rk FROM cs1 WHERE rk < 1.5")
+def empty_components(spark, folder):
+    return rounded(mstep.empty_components(_one_step(spark, folder).components).select("c", "rk"), 3, "rk")
+
+
+@query(o.with_(o.PTS) + "SELECT bucket, count(*) AS cells, CAST(sum(n) AS BIGINT) AS points FROM (SELECT length(bin(count(*))) AS bucket, count(*) AS n FROM pts GROUP BY floor(x / 10), floor(y / 10)) GROUP BY bucket")
+def log2_histogram(spark, folder):
+    return spatial.leaf_histogram(_points(spark, folder), 10.0)
+
+
+EMB = """emb AS (SELECT vec_id AS id, 1000e0 * embedding[1] AS x, 1000e0 * embedding[2] AS y, 1000e0 * embedding[3] AS z, 100e0 + label AS s2, label AS truth FROM embeddings)"""
+SEEDS = "k0 AS (SELECT truth AS c, avg(x) AS mux, avg(y) AS muy, avg(z) AS muz, 0 AS n FROM emb GROUP BY truth)"
+
+
+def _lloyd(i: int) -> str:
+    return f"""a{i} AS (SELECT e.id, e.x, e.y, e.z, arg_min(k.c, (pow(x - mux, 2) + pow(y - muy, 2) + pow(z - muz, 2), k.c)) AS c FROM emb e, k{i} k GROUP BY ALL),
+k{i + 1} AS (SELECT k.c, coalesce(avg(x), any_value(mux)) AS mux, coalesce(avg(y), any_value(muy)) AS muy, coalesce(avg(z), any_value(muz)) AS muz, count(a.id) AS n FROM k{i} k LEFT JOIN a{i} a ON k.c = a.c GROUP BY k.c)"""
+
+
+@query(o.with_(EMB, SEEDS, *map(_lloyd, range(5))) + f"SELECT c, n, {o.rounded(4, 'mux', 'muy', 'muz')} FROM k5")
+def kmeans_lloyd_5(spark, folder):
+    points = views.embedding_points(spark, folder)
+    seeds = points.groupBy(F.col("truth").alias("c")).agg(*(F.avg(a).alias(f"mu{a}") for a in "xyz"))
+    return rounded(spatial.kmeans(points, seeds, 5, tuple("xyz")), 4, "mux", "muy", "muz")
+
+
+WM = "wm AS (SELECT truth, sum(x / s2) / sum(1 / s2) AS mux, sum(y / s2) / sum(1 / s2) AS muy, sum(z / s2) / sum(1 / s2) AS muz FROM emb GROUP BY truth)"
+
+
+@query(o.with_(EMB, WM) + f"SELECT truth, {o.rounded(4, 'mux', 'muy', 'muz')} FROM wm")
+def weighted_means(spark, folder):
+    return rounded(metrics.weighted_means(views.embedding_points(spark, folder), "truth", tuple("xyz")), 4, "mux", "muy", "muz")
+
+
+@query(o.with_(EMB, WM) + "SELECT id AS c, arg_min(w.truth, (sqrt(pow(x - mux, 2) + pow(y - muy, 2) + pow(z - muz, 2)), w.truth)) AS truth, round(min(sqrt(pow(x - mux, 2) + pow(y - muy, 2) + pow(z - muz, 2))), 4) AS d FROM emb, wm w GROUP BY id")
+def nearest_truth(spark, folder):
+    points = views.embedding_points(spark, folder)
+    found = points.select(F.col("id").alias("c"), *(F.col(a).alias(f"mu{a}") for a in "xyz"))
+    return rounded(metrics.nearest_truth(found, metrics.weighted_means(points, "truth", tuple("xyz")), tuple("xyz")), 4, "d")
+
+
+@query(o.with_(EMB) + "SELECT truth, round(avg(x), 4) AS mean, round(median(x), 4) AS median, round(quantile_cont(x, 0.025), 4) AS low, round(quantile_cont(x, 0.975), 4) AS high FROM emb GROUP BY truth")
+def trace_summary(spark, folder):
+    return rounded(metrics.trace_summary(views.embedding_points(spark, folder), "truth", "x"), 4, "mean", "median", "low", "high")
+
+
+ERF = "(1 - (t * (0.254829592e0 + t * (-0.284496736e0 + t * (1.421413741e0 + t * (-1.453152027e0 + t * 1.061405429e0))))) * exp(-z * z / 2))"
+
+
+@query(
+    o.with_(EMB, "m AS (SELECT avg(x) AS m, stddev_pop(x) AS s, count(*) AS n FROM emb)")
+    + f"""SELECT n, round(max(greatest(hi / n - f, f - lo / n)), 5) AS d FROM (
+  SELECT n, hi, lo, 0.5e0 * (1 + sign(z) * {ERF}) AS f FROM (
+    SELECT n, hi, lo, z, 1 / (1 + 0.3275911e0 * abs(z) / sqrt(2e0)) AS t FROM (
+      SELECT n, (x - m) / s AS z, count(*) OVER (ORDER BY x) AS hi, rank() OVER (ORDER BY x) - 1 AS lo FROM emb, m))) GROUP BY n"""
+)
+def ks_stat(spark, folder):
+    return rounded(metrics.ks_statistic(views.embedding_points(spark, folder), "x"), 5, "d")
+
+
+@query(o.with_(EMB) + "SELECT round(avg(exp(-0.5e0 * pow((x - y) / 20, 2)) / (20 * sqrt(2 * pi()))) / (1 / (100 * sqrt(2 * pi()))), 5) AS factor FROM emb")
+def bayes_factor(spark, folder):
+    points = views.embedding_points(spark, folder).withColumnRenamed("id", "draw")
+    return rounded(metrics.bayes_factor(points.select("draw", F.col("x").alias("v")), points.select("draw", F.col("y").alias("v")), "v", 20.0, 100.0), 5, "factor")
+
+
+# Frames
+
+ACT = "act AS (SELECT DISTINCT frame, c FROM pts JOIN cen ON pow(x - mux, 2) + pow(y - muy, 2) <= 900)"
+FRAME = o.with_(
+    *o.BASE,
+    ACT,
+    f"fw AS (SELECT frame, act.c, {o.psi('eta1')} - {o.psi('sum(eta1) OVER (PARTITION BY frame)')} AS lw FROM act JOIN cen ON act.c = cen.c)",
+    f"""fl AS (SELECT id, pts.frame, fw.c, lw + {o.LOGN} AS logp FROM pts JOIN fw ON pts.frame = fw.frame JOIN cen ON fw.c = cen.c
+  UNION ALL SELECT id, frame, -1, {o.psi('1e0')} - {o.psi('10e0')} + logp0 FROM pts, prior)""",
+    "fr AS (SELECT *, exp(logp - top) / sum(exp(logp - top)) OVER (PARTITION BY id) AS r FROM (SELECT *, max(logp) OVER (PARTITION BY id) AS top FROM fl))",
+    "facc AS (SELECT f.*, coalesce(nt, 0) AS nt, coalesce(xi, 0) AS xi_t FROM (SELECT frame, sum(CASE WHEN c = -1 THEN r ELSE 0 END) AS acc_0, sum(CASE WHEN c = -1 THEN 0 ELSE r END) AS acc_n0 FROM fr GROUP BY frame) f LEFT JOIN (SELECT frame, count(*) AS nt, sum(eta1) AS xi FROM act JOIN cen ON act.c = cen.c GROUP BY frame) g ON f.frame = g.frame)",
+)
+
+
+def _frames(spark, folder) -> tuple[DataFrame, DataFrame]:
+    """Responsibilities by frame, and the weights of components."""
+    model = _setup(spark, folder)
+    weights = model.components.select("c", F.col("eta1").alias("alpha"))
+    return written(temporal.frame_estep(model.points, model.components, weights, model.logit()), "frames"), weights
+
+
+@query(o.with_(*o.BASE, ACT) + "SELECT frame, c FROM act")
+def frame_active(spark, folder):
+    points = _points(spark, folder)
+    return temporal.active_centres(points, views.cell_centres(points))
+
+
+@query(FRAME + "SELECT id, frame, c, round(logp, 3) AS logp, round(r, 4) AS r FROM fr")
+def frame_estep(spark, folder):
+    return rounded(rounded(_frames(spark, folder)[0].select("id", "frame", "c", "logp", "r"), 4, "r"), 3, "logp")
+
+
+@query(FRAME + f"SELECT frame, nt, {o.rounded(4, 'acc_0', 'acc_n0')}, round(xi_t, 3) AS xi_t FROM facc")
+def frame_accumulators(spark, folder):
+    return rounded(rounded(temporal.frame_accumulators(*_frames(spark, folder)), 4, "acc_0", "acc_n0"), 3, "xi_t")
+
+
+@query(FRAME + "SELECT c, round(sum(1 / xi_t), 5) AS rk2 FROM act JOIN facc ON act.frame = facc.frame WHERE xi_t > 0 GROUP BY c")
+def centre_frame_weight(spark, folder):
+    resp, weights = _frames(spark, folder)
+    return rounded(temporal.centre_frame_weight(resp, temporal.frame_accumulators(resp, weights)), 5, "rk2")
+
+
+@query(FRAME + "SELECT frame, round(sum(r * ln(r)), 4) AS entropy FROM fr WHERE c <> -1 AND r > 1e-10 GROUP BY frame")
+def frame_entropy(spark, folder):
+    return rounded(temporal.frame_entropy(_frames(spark, folder)[0]), 4, "entropy")
+
+
+TRANS = """
+SELECT i, j, CAST(CASE WHEN i = 0 AND j = 0 THEN s0 WHEN i = 0 AND j = 1 THEN n WHEN i = 1 AND j = 1 THEN s1 WHEN i = 1 AND j = 2 THEN s2 WHEN i = 2 AND j = 1 THEN s2
+  WHEN i = 2 AND j = 2 THEN s3 ELSE 0 END AS BIGINT) AS n
+FROM (SELECT sum(f) AS s0, count(*) AS n, sum(o) AS s1, sum(d) AS s2, sum(s) AS s3 FROM (
+  SELECT u, min(frame) AS f, count(*) FILTER (WHERE gap = 1) AS o, count(*) FILTER (WHERE gap > 1) AS d, coalesce(sum(gap - 2) FILTER (WHERE gap > 1), 0) AS s FROM (
+    SELECT u, frame, frame - lag(frame) OVER (PARTITION BY u ORDER BY frame) AS gap FROM (SELECT DISTINCT y AS u, frame FROM pts)) GROUP BY u)),
+  range(4) a(i), range(4) b(j)"""
+
+
+@query(o.with_(o.PTS) + TRANS)
+def transition_counts(spark, folder):
+    return temporal.transition_counts(_points(spark, folder).select(F.col("y").alias("c"), "frame"))
+
+
+@query()
+def forward_backward(spark, folder):
+    """Smoothed on and off states of each user from the number of events in each frame; a chain for each user."""
+    counts = _points(spark, folder).groupBy(F.col("y").alias("seq"), "frame").agg(F.count("*").alias("n"))
+    users = counts.select("seq").distinct()
+    full = users.withColumn("frame", F.explode(F.sequence(F.lit(0), F.lit(719)))).join(counts, ["seq", "frame"], "left").na.fill(0, ["n"])
+    logp = F.array(-F.lit(0.05) + F.col("n") * F.ln(F.lit(0.05)), -F.lit(1.0) + F.col("n") * F.ln(F.lit(1.0)))
+    found = temporal.smooth(full.select("seq", F.col("frame").alias("t"), logp.alias("logp")), [0.5, 0.5], [[0.95, 0.05], [0.2, 0.8]])
+    return found.select("seq", "t", F.round(F.col("p")[0], 6).alias("p_off"), F.round(F.col("p")[1], 6).alias("p_on"), F.round("log_evidence", 4).alias("log_evidence"))
+
+
+# Generators
+
+@query()
+def noise_injection(spark, folder):
+    return generators.with_noise(_points(spark, folder), 0.2, 11)
+
+
+@query()
+def grid_generator(spark, folder):
+    points = views.embedding_points(spark, folder).withColumn("source", F.col("truth"))
+    return generators.grid_of_sources(points, 3, 500.0, 5)[0].select("id", "truth", "source", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+@query(o.with_(EMB) + "SELECT id, " + ", ".join(f"CAST(truth = {k} AS INTEGER) AS z{k + 1}" for k in range(-1, 10)) + " FROM emb")
+def truth_one_hot(spark, folder):
+    return generators.one_hot(views.embedding_points(spark, folder), 10)
+
+
+# Initializers and whole fits
+
+@query()
+def init_density(spark, folder):
+    return rounded(fit.initial_centres(_points(spark, folder), "density"), 4, "mux", "muy", "vx", "vy")
+
+
+@query()
+def init_points_refine(spark, folder):
+    return rounded(fit.initial_centres(_points(spark, folder), "nearest"), 4, "mux", "muy", "vx", "vy")
+
+
+@query()
+def birth_move(spark, folder):
+    return _shown(fit.birth(_one_step(spark, folder)).components)
+
+
+@query()
+def merge_move(spark, folder):
+    return _shown(fit.merge(_one_step(spark, folder), 5).components)
+
+
+@query()
+def split_move(spark, folder):
+    model = _one_step(spark, folder)
+    model.config = fit.Config(prune=False, propagate_rounds=3)
+    return _shown(fit.split(model, 5, seeds=2).components)
+
+
+@query()
+def fit_full(spark, folder):
+    points = _points(spark, folder)
+    return _shown(fit.fit(fit.start(points, views.cell_centres(points), fit.Config(iterations=5, search_radius=4.0))).components)
+
+
+@query()
+def fit_history(spark, folder):
+    points = _points(spark, folder)
+    return rounded(fit.fit(fit.start(points, views.cell_centres(points), fit.Config(iterations=4))).history_table(), 2, "elbo")

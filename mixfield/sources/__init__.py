@@ -1 +1 @@
-
+"""Readers, views, generators and snapshots."""

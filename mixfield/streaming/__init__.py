@@ -1 +1 @@
-
+"""Assignment of streamed points to a frozen model."""
