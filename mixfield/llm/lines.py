@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mixfield.llm.common import written
+from mixfield.llm.common import fresh, written
 
 #: Runs of at least so many lines are removed where they are repeated.
 MIN_LINES = 3
@@ -81,13 +81,14 @@ def deduplicate(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     has 0 lines, an empty text has one empty line. Equal rows, by doc_id and text, are one document here and get equal results. A
     text all of whose lines go becomes empty. Null doc_ids come first in the order of documents.
     """
-    removed = later_copies(docs, min_lines).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("removed").alias("_removed"))
-    hashed = docs.drop("kept", "n_lines", "n_removed").withColumn("_own", F.xxhash64("text", F.length("text")))
-    rows = hashed.join(removed, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash")), "left")
+    rows = docs.drop("kept", "n_lines", "n_removed")
+    at, text_hash, own, gone, parts = fresh(rows, "id", "text_hash", "own_hash", "removed", "parts")
+    removed = later_copies(docs, min_lines).select(F.col("doc_id").alias(at), F.col("text_hash").alias(text_hash), F.col("removed").alias(gone))
+    rows = rows.withColumn(own, F.xxhash64("text", F.length("text")))
+    rows = rows.join(removed, F.col("doc_id").cast("long").eqNullSafe(F.col(at)) & (F.col(own) == F.col(text_hash)), "left")
     n = F.when(F.col("text").isNull(), 0).otherwise(F.size(split_lines(F.col("text"))))
-    left = F.sort_array(F.array_except(F.sequence(F.lit(0), n - 1), "_removed"))
-    own = split_lines(F.col("text"))
-    kept = F.when(F.col("_removed").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(F.col("_lines"), i)), "\n"))
-    rows = rows.withColumn("n_lines", n.cast("long")).withColumn("n_removed", F.coalesce(F.size("_removed"), F.lit(0)).cast("long"))
-    rows = rows.withColumn("_lines", F.when(F.col("_removed").isNotNull(), own)).withColumn("kept", kept)
-    return rows.drop("_id", "_hash", "_own", "_removed", "_lines")
+    left = F.sort_array(F.array_except(F.sequence(F.lit(0), n - 1), gone))
+    kept = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(F.col(parts), i)), "\n"))
+    rows = rows.withColumn("n_lines", n.cast("long")).withColumn("n_removed", F.coalesce(F.size(gone), F.lit(0)).cast("long"))
+    rows = rows.withColumn(parts, F.when(F.col(gone).isNotNull(), split_lines(F.col("text")))).withColumn("kept", kept)
+    return rows.drop(at, text_hash, own, gone, parts)

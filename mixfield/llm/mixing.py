@@ -13,12 +13,12 @@ WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, CAP = 1.5, 2
 #: A source is cut into at least BLOCKS blocks, and into more so that a block has at most BLOCK_WORDS words.
 BLOCKS, BLOCK_WORDS = 4096, 1024
-#: Golden-ratio points are multiples of ODD modulo 2 to the BITS: the nearest odd number to the golden section of 2 ** 31.
-BITS, ODD = 31, 1327217885
-#: Points are matched with sources on a grid of so many cells.
-GRID_BITS = 12
+#: The golden-ratio points are the multiples of STEP modulo POINTS, two successive Fibonacci numbers.
+POINTS, STEP = 1836311903, 1134903170
+#: Points are matched with sources on a grid of cells of this width.
+CELL = POINTS // 4096 + 1
 #: Documents of one bucket, and slots of one run, are ordered in one task.
-BUCKET, RUN_BITS = 20_000, 16
+BUCKET, RUN_BITS = 4096, 16
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -64,10 +64,22 @@ def placed(sizes: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def blocked(sources: DataFrame) -> DataFrame:
-    """Sources with their number of ``blocks`` of equal size: ``longer`` blocks of ``words + 1`` words, then blocks of ``words``."""
-    blocks = F.least("source_size", F.greatest(F.lit(BLOCKS), F.ceil(F.col("source_size") / BLOCK_WORDS)))
-    rows = sources.where("source_size > 0").withColumn("blocks", blocks)
-    return rows.withColumn("words", F.expr("source_size div blocks")).withColumn("longer", F.col("source_size") % F.col("blocks"))
+    """Sources with their number of ``blocks``, which differ by one word at most: ``words`` each and ``over`` words more, evenly spread."""
+    wanted = F.greatest(F.lit(BLOCKS), F.ceil(F.col("source_size") / BLOCK_WORDS))
+    # so many that their number's square is still a long
+    rows = sources.where("source_size > 0").withColumn("blocks", F.least("source_size", wanted, F.lit(1 << 31)))
+    return rows.withColumn("words", F.expr("source_size div blocks")).withColumn("over", F.col("source_size") % F.col("blocks"))
+
+
+def block_start(block: str) -> str:
+    """SQL for the number of a source's words before a block."""
+    return f"(({block}) * words + (({block}) * over) div blocks)"
+
+
+def block_of(word: str) -> str:
+    """SQL for the block of a source's word: a guess in floating point, which is never off by more than one."""
+    guess = f"cast(floor(({word}) * (blocks / source_size)) as bigint)"
+    return f"({guess} + case when {block_start(guess)} > {word} then -1 when {block_start(guess + ' + 1')} <= {word} then 1 else 0 end)"
 
 
 def schedule(sources: DataFrame) -> DataFrame:
@@ -80,13 +92,12 @@ def schedule(sources: DataFrame) -> DataFrame:
     wanted = blocked(sources).withColumn("wanted", F.col("target") * F.col("blocks") / F.col("source_size"))
     slots = int(round(wanted.agg(F.coalesce(F.sum("wanted"), F.lit(0.0))).first()[0]))
     total = F.sum("wanted").over(Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    upto = F.round(F.sum("wanted").over(Window.orderBy("sid")) / total * float(1 << BITS)).cast("long")
+    upto = F.round(F.sum("wanted").over(Window.orderBy("sid")) / total * float(POINTS)).cast("long")
     parts = wanted.select("sid", upto.alias("upto")).withColumn("since", F.coalesce(F.lag("upto").over(Window.orderBy("sid")), F.lit(0).cast("long"))).where("upto > since")
-    shift = BITS - GRID_BITS
-    parts = parts.withColumn("cell", F.explode(F.sequence(F.shiftright("since", shift), F.shiftright(F.col("upto") - 1, shift))))
+    parts = parts.withColumn("cell", F.explode(F.sequence(F.expr(f"since div {CELL}"), F.expr(f"(upto - 1) div {CELL}"))))
     spark = sources.sparkSession
-    points = spark.range(1, slots + 1).select(F.col("id").alias("slot"), ((F.col("id") % (1 << BITS)) * ODD % (1 << BITS)).alias("point"))
-    points = points.withColumn("cell", F.shiftright("point", shift))
+    points = spark.range(1, slots + 1).select(F.col("id").alias("slot"), (F.col("id") % POINTS * STEP % POINTS).alias("point"))
+    points = points.withColumn("cell", F.expr(f"point div {CELL}"))
     found = points.join(parts, "cell").where("point >= since and point < upto").select("slot", "sid", F.shiftright("slot", RUN_BITS).alias("run"))
     found = written(found, "slots")
     before = found.groupBy("sid", "run").agg(F.count("*").alias("n"))
@@ -107,18 +118,13 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     sizes = written(sized(docs), "sizes")
     sources = written(targets(sizes.select("source", "size"), weights, share, cap), "sources")
     rows = placed(sizes, sources)
-    cut = blocked(sources).select(F.col("sid").alias("s"), "blocks", "words", "longer")
+    cut = blocked(sources).select(F.col("sid").alias("s"), "blocks", "words", "over")
     uses = schedule(sources).join(cut, F.col("sid") == F.col("s")).select("sid", (F.col("rank") % F.col("blocks")).alias("block"), F.expr("rank div blocks").alias("pass"))
     uses = uses.where(F.col("pass") < cap).groupBy("sid", "block").agg(F.collect_set("pass").alias("used"))
 
-    def block_of(word: str):
-        long_part = "longer * (words + 1)"
-        return F.expr(f"case when {word} < {long_part} then ({word}) div (words + 1) else longer + ({word} - {long_part}) div words end")
-
     filled = rows.where("size > 0").join(cut, F.col("sid") == F.col("s"))
-    pieces = filled.withColumn("block", F.explode(F.sequence(block_of("start"), block_of("start + size - 1"))))
-    since = F.expr("block * words + least(block, longer)")
-    until = F.expr("(block + 1) * words + least(block + 1, longer)")
+    pieces = filled.withColumn("block", F.explode(F.sequence(F.expr(block_of("start")), F.expr(block_of("start + size - 1")))))
+    since, until = F.expr(block_start("block")), F.expr(block_start("block + 1"))
     pieces = pieces.withColumn("first", F.greatest(since, "start") - F.col("start")).withColumn("n", F.least(until, F.col("start") + F.col("size")) - F.col("start") - F.col("first"))
     key = ["doc_id", "source", "size", "source_size", "target", "sid", "start"]
     read = pieces.join(uses, ["sid", "block"], "left").select(*key, "first", "n", F.explode_outer("used").alias("pass"))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mixfield.llm.common import written
-from mixfield.llm.graph import components
+from mixfield.operators.graph import components
 
 SHINGLE, SEED = 3, 42
 #: Fingerprints with at most so many differing bits are linked.

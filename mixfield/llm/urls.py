@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 #: At most so many labelled URLs, those with the smallest hash, train the trees.
 FIT_URLS = 4000
-FEATURES = ("length", "host_length", "labels", "depth", "digits", "entropy", "parameters", "longest_label", "hyphens", "ending_length", "secure", "suffix_rate")
+FEATURES = ("length", "host_length", "labels", "depth", "digits", "entropy", "parameters", "longest_label", "hyphens", "ending_length", "secure", "suffix_rate", "start_rate")
 
 
 def host_of(url: Column) -> Column:
@@ -48,7 +48,7 @@ def entropy(text: Column) -> Column:
 
 
 def lexical(pages: DataFrame) -> DataFrame:
-    """``pages`` with ``host``, ``path``, ``suffix`` (the host's last two labels) and the lexical features of ``url``."""
+    """``pages`` with ``host``, ``path``, ``suffix`` (the host's last two labels), ``beginning`` and the lexical features of ``url``."""
     url = F.coalesce(F.col("url"), F.lit(""))
     rows = pages.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
     labels = F.split("host", r"\.")
@@ -57,6 +57,7 @@ def lexical(pages: DataFrame) -> DataFrame:
     return rows.select(
         "*",
         F.substring_index("host", ".", -2).alias("suffix"),
+        F.concat(F.substring_index("host", ".", -1), F.regexp_extract("path", "^/?[^/]*/?", 0)).alias("beginning"),
         F.length(url).cast("double").alias("length"),
         F.length("host").cast("double").alias("host_length"),
         F.size(labels).cast("double").alias("labels"),
@@ -71,24 +72,31 @@ def lexical(pages: DataFrame) -> DataFrame:
     )
 
 
-def with_suffix_rate(rows: DataFrame, rates: DataFrame) -> DataFrame:
-    """Adds the share of blocked URLs among the labelled ones of a host's suffix; one half where none is labelled."""
-    return rows.join(rates, "suffix", "left").withColumn("suffix_rate", F.coalesce("suffix_rate", F.lit(0.5)))
+#: Statistics of labelled URLs by group: the host's suffix, and its last label with the first part of the path.
+RATES = {"suffix_rate": "suffix", "start_rate": "beginning"}
 
 
-def suffix_rates(labelled: DataFrame) -> DataFrame:
-    """``suffix, suffix_rate`` over all of ``labelled(suffix, blocked)``, drawn towards one half by one URL of each label."""
-    return labelled.groupBy("suffix").agg(((F.sum("blocked") + 1.0) / (F.count("*") + 2.0)).alias("suffix_rate"))
+def rates(labelled: DataFrame) -> dict[str, DataFrame]:
+    """The share of blocked URLs in each group over all of ``labelled``, drawn towards one half by one URL of each label."""
+    return {name: labelled.groupBy(by).agg(((F.sum("blocked") + 1.0) / (F.count("*") + 2.0)).alias(name)) for name, by in RATES.items()}
 
 
-_TO_VECTOR = VectorAssembler(inputCols=list(FEATURES), outputCol="features", handleInvalid="keep")
+def with_rates(rows: DataFrame, known: dict[str, DataFrame]) -> DataFrame:
+    """Adds the shares of a URL's groups, one half where none is labelled."""
+    for name, by in RATES.items():
+        rows = rows.join(known[name], by, "left").withColumn(name, F.coalesce(name, F.lit(0.5)))
+    return rows
+
+
+def with_vector(rows: DataFrame) -> DataFrame:
+    return VectorAssembler(inputCols=list(FEATURES), outputCol="features", handleInvalid="keep").transform(rows)
 
 
 def train(labelled: DataFrame, urls: int = FIT_URLS) -> GBTClassificationModel | None:
     """Trees for ``labelled(url, blocked, ...)`` with lexical features, on at most ``urls`` of its rows; none if only one label occurs."""
     columns = ["blocked", *FEATURES]
     sample = labelled.where("blocked is not null").orderBy(F.xxhash64("url"), "url").limit(urls).select(*columns)
-    rows = _TO_VECTOR.transform(sample.coalesce(1)).select("features", F.col("blocked").cast("double").alias("label")).cache()
+    rows = with_vector(sample.coalesce(1)).select("features", F.col("blocked").cast("double").alias("label")).cache()
     try:
         if rows.select("label").distinct().count() < 2:
             return None
@@ -109,15 +117,15 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     rows = lexical(pages.select("page_id", F.col("url").cast("string")))
     rows = rows.withColumn("_rule", rule_of(F.col("host"), F.col("path"), rules))
     rows = rows.withColumn("blocked", F.when(F.col("_rule").isNotNull(), (F.col("_rule.verdict") == "block").cast("int")))
-    labelled = rows.where("blocked is not null").select("url", "suffix", "blocked", *FEATURES[:-1])
-    rates = suffix_rates(labelled)
-    model = train(with_suffix_rate(labelled, rates))
-    rows = with_suffix_rate(rows, rates)
+    labelled = rows.where("blocked is not null").select("url", *RATES.values(), "blocked", *(f for f in FEATURES if f not in RATES))
+    known = rates(labelled)
+    model = train(with_rates(labelled, known))
+    rows = with_rates(rows, known)
     if model is None:
         scored = rows.withColumn("score", F.lit(0.0))
     else:
         from pyspark.ml.functions import vector_to_array
 
-        scored = model.transform(_TO_VECTOR.transform(rows)).withColumn("score", vector_to_array("probability")[1])
+        scored = model.transform(with_vector(rows)).withColumn("score", vector_to_array("probability")[1])
     verdict = F.coalesce(F.col("_rule.verdict"), F.when(F.col("score") > 0.5, "block").otherwise("allow"))
     return scored.select("page_id", "host", "path", F.col("_rule.rule").alias("rule"), verdict.alias("verdict"), "score")
