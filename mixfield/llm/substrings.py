@@ -183,7 +183,8 @@ class Index:
         found = written(_scan(batch, blocks, "anchor long, block long, d long, key long, lo int, n int"), "blocks")
         self.batches.append(batch.select("doc_id", "text"))
         self.runs.append(self._write_run(found.groupBy("anchor", "block").agg(F.min("d").alias("first"))))
-        firsts = self._merged()
+        # a table of its own, so that Spark can split the join with it where many documents share a block
+        firsts = self.runs[0] if len(self.runs) == 1 else written(self._merged(), "firsts")
         # an anchor with one block only has nothing to be compared window by window
         split = firsts.groupBy("anchor").agg(F.min("first").alias("least"), F.count("*").alias("blocks")).where("blocks > 1")
         joined = written(found.join(firsts, ["anchor", "block"]).where("first < d").select("d", "key", F.col("lo").alias("start"), (F.col("n") + (window - 1)).alias("n")), "covered")
