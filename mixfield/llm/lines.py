@@ -35,6 +35,8 @@ def positions(docs: DataFrame) -> DataFrame:
 def _ranked(blocks: DataFrame, *key: str) -> DataFrame:
     """``pos, last, rank`` of the blocks that occur more than once: the rank is the first position of an equal block."""
     groups = blocks.groupBy(*key).agg(F.min("pos").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # a table of its own, so that Spark can split the join with it where a block is very frequent
+    groups = written(groups, "groups")
     return blocks.join(groups, list(key)).select("pos", "last", F.col("first").alias("rank"))
 
 
@@ -57,7 +59,8 @@ def repeated_blocks(lines: DataFrame, length: int) -> DataFrame:
     size = 1
     while size < length:
         step = min(size, length - size)
-        ranks = written(_ranked(_joined(ranks, ranks, step), "rank", "rank_after"), "ranks")
+        blocks = written(_joined(ranks, ranks, step), "blocks")
+        ranks = written(_ranked(blocks, "rank", "rank_after"), "ranks")
         size += step
     return ranks
 
