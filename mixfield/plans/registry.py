@@ -237,16 +237,13 @@ def density_peaks(spark, folder):
     return rounded(spatial.peaks(_points(spark, folder)), 5, "delta")
 
 
-def _reach(edges: str, start: str) -> str:
-    """Smallest id that each node reaches, by repeated joins."""
-    return f"""WITH RECURSIVE reach(id, label) AS ({start} UNION SELECT e.b, r.label FROM reach r JOIN ({edges}) e ON r.id = e.a)
-SELECT id, min(label) AS label FROM reach GROUP BY id"""
+NEAR = """nb AS (
+  SELECT a.id AS a, b.id AS b, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS d
+  FROM pts a JOIN pts b ON pow(a.x - b.x, 2) + pow(a.y - b.y, 2) <= 400 AND pow(a.x - b.x, 2) + pow(a.y - b.y, 2) > 0),
+nn AS (SELECT a AS id, arg_min(b, (d, b)) AS other, min(d) AS d FROM nb GROUP BY a)"""
 
 
-@query(
-    o.with_(o.PTS, "nb AS (SELECT a.id AS a, b.id AS b, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS d FROM pts a JOIN pts b ON pow(a.x - b.x, 2) + pow(a.y - b.y, 2) <= 400 AND pow(a.x - b.x, 2) + pow(a.y - b.y, 2) > 0")
-    + ") SELECT a AS id, arg_min(b, (d, b)) AS other, round(min(d), 5) AS d FROM nb GROUP BY a"
-)
+@query(o.with_(o.PTS, NEAR) + "SELECT id, other, round(d, 5) AS d FROM nn")
 def nearest_neighbour(spark, folder):
     return rounded(spatial.nearest_neighbour(_points(spark, folder)), 5, "d")
 
@@ -445,7 +442,19 @@ def init_density(spark, folder):
     return rounded(fit.initial_centres(_points(spark, folder), "density"), 4, "mux", "muy", "vx", "vy")
 
 
-@query()
+@query(
+    o.with_(
+        o.PTS,
+        NEAR,
+        "e AS (SELECT id AS a, other AS b FROM nn UNION SELECT other, id FROM nn)",
+        "reach(id, label) AS (SELECT a, a FROM e UNION SELECT e.b, r.label FROM reach r JOIN e ON r.id = e.a)",
+        "lab AS (SELECT id, min(label) AS label FROM reach GROUP BY id)",
+        "gr AS (SELECT row_number() OVER (ORDER BY label) - 1 AS c, avg(x) AS mux, avg(y) AS muy, count(*) AS n FROM lab JOIN pts ON lab.id = pts.id GROUP BY label)",
+    ).replace("WITH", "WITH RECURSIVE", 1)
+    + f"""SELECT c, n, {o.rounded(4, 'mux', 'muy')}, round(v, 4) AS vx, round(v, 4) AS vy, 1e0 + n AS eta1,
+  10e0 + coalesce(sum(n) OVER (ORDER BY c ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) AS eta0
+FROM gr, (SELECT (avg(s2x) + avg(s2y)) / 2 AS v FROM pts)"""
+)
 def init_points_refine(spark, folder):
     return rounded(fit.initial_centres(_points(spark, folder), "nearest"), 4, "mux", "muy", "vx", "vy")
 

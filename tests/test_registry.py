@@ -43,7 +43,7 @@ def test_query_equals_sql(spark, con, name):
     assert rows == sorted(repr([norm(r[i]) for i in order]) for r in want.fetchall())
 
 
-@pytest.mark.parametrize("name", ["noise_injection", "init_points_refine", "forward_backward"])
+@pytest.mark.parametrize("name", ["noise_injection", "init_density", "forward_backward"])
 def test_other_queries_give_rows(spark, name):
     assert registry.QUERIES[name](spark, DATA).count() > 0
 
