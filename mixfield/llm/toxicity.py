@@ -39,7 +39,7 @@ class Model:
         return float(sum(1 / (1 + np.exp(min(t - score, 500.0))) for t in self.thresholds))
 
 
-def train(rows: list[np.ndarray], toxic: np.ndarray, steps: int = 400, rate: float = 0.5, penalty: float = 1e-4) -> Model:
+def train(rows: list[np.ndarray], toxic: np.ndarray, steps: int = 4000, rate: float = 0.5, penalty: float = 1e-5) -> Model:
     """Fits the model to documents given as arrays of distinct buckets.
 
     The labels know only toxic or not; severity comes from the text: of the toxic documents, those with more distinct kept
