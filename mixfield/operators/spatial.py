@@ -50,10 +50,32 @@ def range_join(left: DataFrame, right: DataFrame, radius: float, axes=XY, within
     return pairs.where(close if within is None else close & within)
 
 
-def neighbour_counts(points: DataFrame, radius: float, axes=XY) -> DataFrame:
-    """``id, n``: points at most ``radius`` away, the point itself included."""
-    thin = points.select("id", *axes)
-    return range_join(thin, thin, radius, axes).groupBy(F.col("l_id").alias("id")).agg(F.count("*").alias("n"))
+def neighbour_counts(points: DataFrame, radius: float, axes=XY, parts: int = 4) -> DataFrame:
+    """``id, n``: points at most ``radius`` away, the point itself included.
+
+    Each point looks at the cells, ``parts`` to a radius, that its circle reaches. Of a cell that lies in the circle as a whole only the number of points
+    is needed; the points of the other cells, on the rim, are compared one by one.
+    """
+    size = radius / parts
+    cells = [f"cell_{a}" for a in axes]
+    thin = with_cells(points.select("id", *axes), size, axes)
+    reach = [s for s in product(range(-parts - 1, parts + 2), repeat=len(axes)) if sum(max(abs(k) - 1, 0) ** 2 for k in s) <= parts**2]
+    shifts = F.array(*(F.struct(*(F.lit(k).alias(f"k_{a}") for a, k in zip(axes, s, strict=True))) for s in reach))
+    rows = thin.withColumn("k", F.explode(shifts)).select("id", *axes, *((F.col(f"cell_{a}") + F.col(f"k.k_{a}")).alias(f"cell_{a}") for a in axes))
+    limit, near, far = radius * radius, F.lit(0.0), F.lit(0.0)
+    # cells are taken a little larger than they are, so that rounding puts none on the wrong side
+    slack = size * 1e-9
+    for a in axes:
+        low, high = F.col(f"cell_{a}") * size - slack, (F.col(f"cell_{a}") + 1) * size + slack
+        near = near + F.greatest(low - F.col(a), F.col(a) - high, F.lit(0.0)) ** 2
+        far = far + F.greatest(F.col(a) - low, high - F.col(a)) ** 2
+    rows = rows.withColumn("whole", far <= limit).where(near <= limit)
+    sizes = thin.groupBy(*cells).agg(F.count("*").alias("n"))
+    inside = rows.where("whole").join(sizes, cells).groupBy("id").agg(F.sum("n").alias("n"))
+    rim = rows.where("not whole").select(F.col("id").alias("l_id"), *(F.col(a).alias(f"l_{a}") for a in axes), *cells)
+    there = thin.select(*(F.col(a).alias(f"r_{a}") for a in axes), *cells)
+    counted = rim.join(there, cells).where(distance2("l", "r", axes) <= limit).groupBy(F.col("l_id").alias("id")).agg(F.count("*").alias("n"))
+    return inside.union(counted).groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def density_rank(rho: DataFrame) -> DataFrame:
