@@ -7,6 +7,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mixfield.llm.common import written
+
 #: ``(verdict, host, beginning of the path)``.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 #: At most so many labelled URLs, those with the smallest hash, train the trees.
@@ -118,7 +120,8 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     rows = rows.withColumn("_rule", rule_of(F.col("host"), F.col("path"), rules))
     rows = rows.withColumn("blocked", F.when(F.col("_rule").isNotNull(), (F.col("_rule.verdict") == "block").cast("int")))
     labelled = rows.where("blocked is not null").select("url", *RATES.values(), "blocked", *(f for f in FEATURES if f not in RATES))
-    known = rates(labelled)
+    # tables of their own: Spark sees how small they are, and sends them to the URLs instead of shuffling those by suffix
+    known = {name: written(df, name) for name, df in rates(labelled).items()}
     model = train(with_rates(labelled, known))
     rows = with_rates(rows, known)
     if model is None:
