@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mixfield.llm import language, lines, mixing, packing, queries, simhash
+from mixfield.llm import copies, language, lines, mixing, packing, queries
 from mixfield.llm.common import WORD, table, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -34,8 +34,13 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near-duplicates the document with the smallest doc_id, and of its rows the first by text."""
-    first = simhash.near_duplicates(docs).where("doc_id = component_id or doc_id is null").select(F.col("doc_id").alias("_id")).distinct()
+    """Keeps of each group of near copies the document with the smallest doc_id, and of its rows the first by text.
+
+    Near copies share at least 0.8 of their 5-word shingles; op1's own rule, SimHash within two bits, finds few of them.
+    """
+    found = written(copies.groups(docs), "groups")
+    least = found.groupBy("root").agg(F.min("doc_id").alias("_id"))
+    first = least.select("_id").union(found.where("doc_id is null").select("doc_id")).distinct()
     kept = docs.join(first, docs.doc_id.cast("long").eqNullSafe(F.col("_id")), "left_semi")
     # at most the rows of one doc_id, which a table of documents has one of
     return kept.groupBy("doc_id").agg(F.min_by(F.struct(*COLUMNS[1:]), F.coalesce("text", F.lit(""))).alias("row")).select("doc_id", "row.*").select(*COLUMNS)

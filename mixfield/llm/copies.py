@@ -1,0 +1,137 @@
+"""Near copies by the similarity of their word shingles: candidates by min-hash bands, each verified on the texts."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from functools import lru_cache, partial
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from mixfield.llm.common import written
+from mixfield.operators.graph import components
+
+#: Texts are linked whose sets of so many words in a row have at least this Jaccard similarity.
+SHINGLE, SIMILARITY = 5, 0.8
+#: Min-hashes are cut into so many bands of so many rows; at similarity 0.8 two texts share no band with probability 0.0002.
+BANDS, ROWS = 16, 4
+#: The texts of a band are compared with each other up to this number; else with one of them, and those not linked to it with so many more.
+PAIRED, CENTRES = 8, 16
+SEED = 42
+
+
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(text, F.length(text))
+
+
+def shingles(text: bytes | None, size: int = SHINGLE) -> set[bytes]:
+    """The word shingles of a text; one of all its words if it has fewer."""
+    words = text.lower().split() if text else []  # of bytes: A-Z only, and ASCII white space only
+    return set(map(b" ".join, zip(*(words[i:] for i in range(size)), strict=False))) if len(words) >= size else {b" ".join(words)}
+
+
+@lru_cache(maxsize=1)
+def _factors() -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(SEED)
+    draw = lambda n: rng.integers(0, 1 << 63, n, np.uint64) * np.uint64(2) + np.uint64(1)
+    return draw(BANDS * ROWS)[:, None], draw(BANDS * ROWS)
+
+
+def bands(found: set[bytes]) -> np.ndarray:
+    """A number for each band, equal for texts whose min-hashes are equal in all rows of the band."""
+    from xxhash import xxh64_intdigest
+
+    factors, mixed = _factors()
+    hashes = np.fromiter(map(partial(xxh64_intdigest, seed=SEED), found), "<u8", len(found))
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for a in range(0, len(hashes), 1 << 12):
+        np.minimum(least, (factors * hashes[a : a + (1 << 12)]).min(axis=1), out=least)
+    return (least * mixed).reshape(BANDS, ROWS).sum(axis=1, dtype=np.uint64).view(np.int64)
+
+
+def sketches(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """``doc_id, node, n, bands`` for each row of ``docs(doc_id, text)``: a hash of its text, its number of shingles and its bands."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 1000):
+                part = batch.slice(a, 1000)
+                n, keys = [], []
+                for text in part.column(2).to_pylist():
+                    found = shingles(text, size)
+                    n.append(len(found))
+                    keys.append(bands(found))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "node", "n", "bands"])
+
+    rows = docs.select(F.col("doc_id").cast("long"), text_hash(F.col("text")).alias("node"), F.col("text").cast("binary").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, node long, n long, bands array<long>")
+
+
+def _members(nodes: DataFrame) -> DataFrame:
+    """``own, band, key, in_band, centre`` for each node in a band with others; ``own`` and ``centre`` are node and number of shingles."""
+    own = nodes.select(F.struct("node", "n").alias("own"), F.posexplode("bands").alias("band", "key"))
+    full = own.groupBy("band", "key").agg(F.count("*").alias("in_band"), F.min(F.struct(F.xxhash64("key", "own.node"), "own")).alias("least")).where("in_band > 1")
+    full = written(full.select("band", "key", "in_band", F.col("least.own").alias("centre")), "bands")
+    return written(own.join(full, ["band", "key"]), "members")
+
+
+def _pairs(rows: DataFrame, similarity: float) -> DataFrame:
+    """Distinct pairs ``a, b`` of ``rows(own, other)`` whose numbers of shingles allow the similarity."""
+    alike = F.least("own.n", "other.n") >= similarity * F.greatest("own.n", "other.n")
+    ends = rows.where((F.col("own.node") != F.col("other.node")) & alike)
+    return written(ends.select(F.least("own.node", "other.node").alias("a"), F.greatest("own.node", "other.node").alias("b")).distinct(), "pairs")
+
+
+def candidates(members: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """All pairs of a band with PAIRED nodes at most, and each node with the centre of a fuller one."""
+    few = members.where(F.col("in_band") <= PAIRED).groupBy("band", "key").agg(F.collect_list("own").alias("others"))
+    pairs = few.select("others", F.explode("others").alias("own")).select("own", F.explode("others").alias("other"))
+    return _pairs(pairs.union(members.where(F.col("in_band") > PAIRED).select("own", F.col("centre").alias("other"))), similarity)
+
+
+def leftovers(members: DataFrame, found: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Pairs for the nodes of fuller bands that ``found(node, root)`` does not link with the centre: with CENTRES nodes of other roots."""
+    root = lambda name, column: found.select(F.col("node").alias(name), F.col("root").alias(column))
+    many = members.where(F.col("in_band") > PAIRED).withColumns({"_own": F.col("own.node"), "_centre": F.col("centre.node")})
+    many = many.join(root("_own", "r1"), "_own", "left").join(root("_centre", "r2"), "_centre", "left").withColumns({"r1": F.coalesce("r1", "_own"), "r2": F.coalesce("r2", "_centre")})
+    many = written(many.select("own", "band", "key", "r1", "r2"), "rooted")
+    lot = F.xxhash64("key", "own.node")
+    centres = many.groupBy("band", "key", F.pmod(lot, F.lit(CENTRES)).alias("lot")).agg(F.min(F.struct(lot, "own", "r1")).alias("c"))
+    centres = centres.select("band", "key", F.col("c.own").alias("other"), F.col("c.r1").alias("r3"))
+    return _pairs(many.where("r1 != r2").join(centres, ["band", "key"]).where("r1 != r3").select("own", "other"), similarity)
+
+
+def verified(pairs: DataFrame, docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """Those of ``pairs(a, b)`` whose texts have the similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for i in range(batch.num_rows):
+                a, b = (shingles(batch.column(k)[i].as_py(), size) for k in (2, 3))
+                both = len(a & b)
+                keep.append(both >= similarity * (len(a) + len(b) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    texts = docs.select(text_hash(F.col("text")).alias("node"), F.col("text").cast("binary").alias("text")).join(needed, "node", "left_semi")
+    texts = written(texts.groupBy("node").agg(F.first("text").alias("text")), "texts")
+    sides = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    return sides.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+
+
+def groups(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """``doc_id, node, root`` for each row of ``docs(doc_id, text)``: rows of equal ``root`` are linked, directly or over others.
+
+    ``node`` is ``text_hash`` of the row's text, so equal texts are one node. Texts without words, null among them, are linked.
+    """
+    hashed = written(sketches(docs, size), "sketches")
+    members = _members(hashed.dropDuplicates(["node"]).select("node", "n", "bands"))
+    links = written(verified(candidates(members, similarity), docs, size, similarity), "links")
+    found = components(links)
+    more = leftovers(members, found, similarity)
+    if not more.isEmpty():
+        found = components(links.union(written(verified(more, docs, size, similarity), "links")))
+    return hashed.join(found, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))

@@ -1,0 +1,68 @@
+"""Near copies by shingle similarity, and which rows the pipeline's stage keeps of them."""
+
+import random
+
+import pytest
+
+import corpus_pipeline
+from mixfield.llm import copies
+
+DATA = "/root/testdata/sf0.01"
+
+
+def similarity(a, b):
+    a, b = (copies.shingles(x.encode()) for x in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def brute_roots(texts):
+    label = list(range(len(texts)))
+    sets = [copies.shingles(t.encode()) for t in texts]
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if min(len(a), len(b)) >= 0.8 * max(len(a), len(b)) and len(a & b) >= 0.8 * len(a | b):
+                old, new = label[i], label[j]
+                label = [new if x == old else x for x in label]
+    return label
+
+
+def test_groups_of_documents_against_all_pairs(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").where("text is not null")
+    rows = docs.collect()
+    want = brute_roots([r.text for r in rows])
+    found = {r.doc_id: r.root for r in copies.groups(docs).collect()}
+    got = [found[r.doc_id] for r in rows]
+    assert len(set(want)) < len({r.text for r in rows})
+    assert len(set(zip(want, got, strict=True))) == len(set(want)) == len(set(got))
+
+
+@pytest.fixture(scope="module")
+def kept(spark):
+    rng = random.Random(1)
+    words = [f"w{i}" for i in range(5000)]
+    text = [" ".join(rng.choice(words) for _ in range(200)) for _ in range(6)]
+    near = text[0].replace(text[0].split()[100], "changed", 1)
+    assert similarity(text[0], near) > 0.9
+    rows = [(1, text[0], "a"), (2, near, "a"), (None, near + " end", "a"), (None, text[1], "a"), (None, text[2], "a"), (None, text[2], "a"), (5, text[3], "a"), (5, text[4], "a"), (6, text[5], "b"), (6, text[5], "a")]
+    docs = spark.createDataFrame([(d, t, "en", s, len(t)) for d, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    return text, corpus_pipeline.simhash_near_dedup(spark, docs, DATA).collect()
+
+
+def test_stage_removes_near_copies(kept):
+    text, rows = kept
+    assert [r.text for r in rows if r.doc_id in (1, 2)] == [text[0]]
+
+
+def test_large_groups_of_near_copies(spark):
+    rng = random.Random(2)
+    base = [f"w{rng.randrange(5000)}" for _ in range(300)]
+    texts = []
+    for i in range(120):
+        own = list(base)
+        for at in rng.sample(range(300), 1 + i % 3):
+            own[at] = f"x{i}"
+        texts.append(" ".join(own))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = {r.doc_id: r.root for r in copies.groups(docs).collect()}
+    want = brute_roots(texts)
+    assert len(set(want)) == len(set(found.values())) == len(set(zip(want, (found[i] for i in range(120)), strict=True)))
