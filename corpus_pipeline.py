@@ -34,16 +34,25 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near copies the document with the smallest doc_id, and of its rows the first by text.
+    """Keeps one row of each group of near copies: that of the smallest doc_id, one without doc_id only if there is no other.
 
-    Near copies share at least 0.8 of their 5-word shingles; op1's own rule, SimHash within two bits, finds few of them.
+    Near copies share at least 0.8 of their 5-word shingles; op1's own rule, SimHash within two bits, finds few of them. Rows are
+    told apart by doc_id and text, so rows that are no copies of each other stay, also those without doc_id or with the same one.
     """
     found = written(copies.groups(docs), "groups")
-    least = found.groupBy("root").agg(F.min("doc_id").alias("_id"))
-    first = least.select("_id").union(found.where("doc_id is null").select("doc_id")).distinct()
-    kept = docs.join(first, docs.doc_id.cast("long").eqNullSafe(F.col("_id")), "left_semi")
-    # at most the rows of one doc_id, which a table of documents has one of
-    return kept.groupBy("doc_id").agg(F.min_by(F.struct(*COLUMNS[1:]), F.coalesce("text", F.lit(""))).alias("row")).select("doc_id", "row.*").select(*COLUMNS)
+    rank = F.struct(F.col("doc_id").isNull(), "doc_id", "node")
+    # a row for each text, then one for each group: no group is gathered in a task
+    first = found.groupBy("root", "node").agg(F.min(rank).alias("rank")).groupBy("root").agg(F.min("rank").alias("rank"))
+    first = first.select(F.col("rank.doc_id").alias("_id"), F.col("rank.node").alias("_node"))
+    again = found.groupBy("doc_id", "node").agg(F.count("*").alias("_rows")).where("_rows > 1").select(F.col("doc_id").alias("_again"), F.col("node").alias("_node_again"))
+    first = first.join(again, F.col("_id").eqNullSafe(F.col("_again")) & (F.col("_node") == F.col("_node_again")), "left")
+    first = written(first.select("_id", "_node", F.col("_node_again").isNotNull().alias("_repeated")), "first")
+    own = docs.select(*COLUMNS).withColumn("_own", copies.text_hash(F.col("text")))
+    at = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_node"))
+    once = own.join(first.where("not _repeated"), at, "left_semi").select(*COLUMNS)
+    # rows that are repeated with their doc_id and text
+    repeated = own.join(first.where("_repeated"), at, "left_semi").groupBy("doc_id", "_own").agg(F.min(F.struct(*COLUMNS[1:])).alias("row"))
+    return once.unionByName(repeated.select("doc_id", "row.*").select(*COLUMNS))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

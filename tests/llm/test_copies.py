@@ -1,6 +1,7 @@
 """Near copies by shingle similarity, and which rows the pipeline's stage keeps of them."""
 
 import random
+from collections import Counter
 
 import pytest
 
@@ -53,6 +54,11 @@ def test_stage_removes_near_copies(kept):
     assert [r.text for r in rows if r.doc_id in (1, 2)] == [text[0]]
 
 
+def test_stage_keeps_rows_without_or_with_repeated_ids(kept):
+    text, rows = kept
+    assert Counter((r.doc_id, r.text) for r in rows) == Counter([(1, text[0]), (None, text[1]), (None, text[2]), (5, text[3]), (5, text[4]), (6, text[5])])
+
+
 def test_large_groups_of_near_copies(spark):
     rng = random.Random(2)
     base = [f"w{rng.randrange(5000)}" for _ in range(300)]
