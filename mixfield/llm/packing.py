@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import base64
 import heapq
+import json
+import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
@@ -31,6 +33,17 @@ def _encoding(ranks_path: str):
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+@lru_cache(maxsize=1)
+def _added(ranks_path: str) -> tuple[re.Pattern | None, dict[str, int]]:
+    """A pattern for the tokens that the tokenizer of the same name adds to the vocabulary, which it finds inside texts, and their ids."""
+    with open(ranks_path.removesuffix(".tiktoken") + ".json", encoding="utf-8") as file:
+        tokens = json.load(file)["added_tokens"]
+    if odd := [t["content"] for t in tokens if t["single_word"] or t["lstrip"] or t["rstrip"]]:
+        raise ValueError(f"added tokens that depend on what is around them: {odd}")
+    ids = {t["content"]: t["id"] for t in tokens}
+    return (re.compile(f"({'|'.join(map(re.escape, sorted(ids, key=len, reverse=True)))})") if ids else None), ids
+
+
 @lru_cache(maxsize=1)
 def _known(ranks_path: str) -> dict[str, bytes]:
     """Ids of words that follow a space, for this worker."""
@@ -48,6 +61,30 @@ def _ragged(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.n
 def tokenize(texts: list[str], ranks_path: str) -> tuple[np.ndarray, np.ndarray]:
     """Token ids of all texts, one after the other, and the number of ids of each text.
 
+    Texts are cut at the tokens that the tokenizer adds to its vocabulary, and what is between them is encoded by itself.
+    """
+    pattern, added = _added(ranks_path)
+    cut = {i: pattern.split(text) for i, text in enumerate(texts) if any(x in text for x in added)}
+    if not cut:
+        return _ordinary(texts, ranks_path)
+    parts = [cut.get(i, [text]) for i, text in enumerate(texts)]
+    ids, counts = _ordinary([x for own in parts for x in own[::2]], ranks_path)
+    flat, at, total, k = [], 0, np.zeros(len(texts), np.int64), 0
+    for i, own in enumerate(parts):
+        for j, x in enumerate(own):
+            if j % 2:
+                flat.append(np.array([added[x]], np.uint32))
+            else:
+                flat.append(ids[at : at + counts[k]])
+                at += counts[k]
+                k += 1
+            total[i] += len(flat[-1])
+    return np.concatenate(flat), total
+
+
+def _ordinary(texts: list[str], ranks_path: str) -> tuple[np.ndarray, np.ndarray]:
+    """``tokenize`` for texts without added tokens.
+
     A space followed by anything but white space always begins a token of the byte-level pattern, so texts
     are cut there and each distinct word is encoded once. Texts in which white space follows a space are
     encoded whole.

@@ -80,6 +80,17 @@ def test_tokens_are_those_of_the_tokenizer():
     assert ids.tolist() == [i for x in other for i in x.ids]
 
 
+def test_added_tokens_are_those_of_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    end = "<|endoftext|>"
+    texts = ["plain text here", f"end {end} next", end, f"{end}{end}", f"a{end}b", f" {end} ", "", f"x  {end}\n\n  y z", "<|endoftext|", f"<|{end}", f"déjà vu{end}"]
+    ids, counts = packing.tokenize(texts, queries.ranks_path())
+    other = Tokenizer.from_file(queries.ranks_path().replace(".tiktoken", ".json")).encode_batch(texts, add_special_tokens=False)
+    assert counts.tolist() == [len(x.ids) for x in other]
+    assert ids.tolist() == [i for x in other for i in x.ids] and 50256 in ids
+
+
 @pytest.mark.parametrize("lengths", [[1], [1023], [1024, 1024], [700, 700, 700], list(range(1, 900, 7)), [5] * 1000, []])
 def test_assignment_is_whole_and_full(lengths):
     pieces = packing.assign(lengths, 1024, 1.0, 1 / 256)
