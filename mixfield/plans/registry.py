@@ -409,9 +409,12 @@ def transition_counts(spark, folder):
 @query()
 def forward_backward(spark, folder):
     """Smoothed on and off states of each user from the number of events in each frame; a chain for each user."""
-    counts = _points(spark, folder).groupBy(F.col("y").alias("seq"), "frame").agg(F.count("*").alias("n"))
-    users = counts.select("seq").distinct()
-    full = users.withColumn("frame", F.explode(F.sequence(F.lit(0), F.lit(719)))).join(counts, ["seq", "frame"], "left").na.fill(0, ["n"])
+    # frames are hours from the first event on, so months don't fold onto each other
+    points = views.table(spark, folder, "events").select((F.col("user_id") * 3.0).alias("seq"), F.floor(F.unix_timestamp("ts") / 3600).alias("hour"))
+    ends = points.agg(F.min("hour").alias("first"), F.max("hour").alias("last"))
+    counts = points.crossJoin(F.broadcast(ends)).groupBy("seq", (F.col("hour") - F.col("first")).cast("int").alias("frame")).agg(F.count("*").alias("n"))
+    frames = F.sequence(F.lit(0), (F.col("last") - F.col("first")).cast("int"))
+    full = counts.select("seq").distinct().crossJoin(F.broadcast(ends)).select("seq", F.explode(frames).alias("frame")).join(counts, ["seq", "frame"], "left").na.fill(0, ["n"])
     logp = F.array(-F.lit(0.05) + F.col("n") * F.ln(F.lit(0.05)), -F.lit(1.0) + F.col("n") * F.ln(F.lit(1.0)))
     found = temporal.smooth(full.select("seq", F.col("frame").alias("t"), logp.alias("logp")), [0.5, 0.5], [[0.95, 0.05], [0.2, 0.8]])
     return found.select("seq", "t", F.round(F.col("p")[0], 6).alias("p_off"), F.round(F.col("p")[1], 6).alias("p_on"), F.round("log_evidence", 4).alias("log_evidence"))

@@ -83,3 +83,29 @@ def test_stream_is_assigned_like_a_table(spark, tmp_path):
     query.stop()
     assert {(r.id, r.c, round(r.r, 9)) for r in spark.table("assigned").collect()} == table
     assert sum(r.n for r in frame_counts(assign(rows, centres, F.lit(-12.0)), "ts").collect()) == 30
+
+
+def test_chains_of_events_over_the_end_of_a_month(spark, tmp_path):
+    from mixfield.plans import registry
+
+    stamps = ["2024-01-30 22:10:00", "2024-01-31 05:00:00", "2024-01-31 05:20:00", "2024-02-01 22:59:59"]
+    rows = spark.createDataFrame([(i, 1, t) for i, t in enumerate(stamps)], "event_id long, user_id long, t string")
+    rows.selectExpr("event_id", "user_id", "cast(t as timestamp) AS ts", "1.0D AS value", """'{"k": 1}' AS props""").write.parquet(str(tmp_path / "events.parquet"))
+    found = sorted(registry.QUERIES["forward_backward"](spark, str(tmp_path)).collect(), key=lambda r: r.t)
+    assert [r.t for r in found] == list(range(49))
+    n = np.zeros(49)
+    n[[0, 7, 48]] = 1, 2, 1
+    logp = np.stack([n * np.log(0.05) - 0.05, n * np.log(1.0) - 1.0], axis=1)
+    want = smooth_by_hand(logp, np.array([0.5, 0.5]), np.array([[0.95, 0.05], [0.2, 0.8]]))
+    assert np.allclose([r.p_on for r in found], want[:, 1], atol=1e-5)
+
+
+def smooth_by_hand(logp, start, moves):
+    p = np.exp(logp)
+    ahead, back = [start * p[0]], [np.ones(2)]
+    for row in p[1:]:
+        ahead.append(ahead[-1] @ moves * row)
+    for row in p[:0:-1]:
+        back.append(moves @ (row * back[-1]))
+    both = np.array(ahead) * np.array(back[::-1])
+    return both / both.sum(axis=1, keepdims=True)
