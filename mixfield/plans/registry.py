@@ -474,15 +474,13 @@ def merge_move(spark, folder):
 
 @query()
 def split_move(spark, folder):
-    model = _one_step(spark, folder)
-    model.config = fit.Config(prune=False, propagate_rounds=3)
-    return _shown(fit.split(model, 5, seeds=2).components)
+    return _shown(fit.split(_one_step(spark, folder), 5).components)
 
 
 @query()
 def fit_full(spark, folder):
     points = _points(spark, folder)
-    return _shown(fit.fit(fit.start(points, views.cell_centres(points), fit.Config(iterations=5, search_radius=4.0))).components)
+    return _shown(fit.fit(fit.start(points, views.cell_centres(points), fit.Config(search_radius=4.0))).components)
 
 
 @query()

@@ -218,3 +218,16 @@ def test_softmax_options(spark):
     clipped = {r.c: r.r for r in estep.softmax(rows, clip=7.0).collect()}
     assert plain[1] > 0 and cut[1] == 0 and clipped[1] > plain[1]
     assert abs(sum(plain.values()) - 1) < 1e-12 and abs(sum(cut.values()) - 1) < 1e-12
+
+
+def test_registered_fit_and_split_are_whole(spark, monkeypatch):
+    from mixfield.plans import registry
+
+    asked = {}
+    monkeypatch.setattr(registry.fit, "fit", lambda model: asked.update(fit=model.config) or model)
+    monkeypatch.setattr(registry.fit, "split", lambda model, k, seeds=9: asked.update(split=model.config, seeds=seeds) or model)
+    for name in ("fit_full", "split_move"):
+        registry.QUERIES[name](spark, "/root/testdata/sf0.001")
+    whole = fit.Config()
+    assert (asked["fit"].iterations, asked["fit"].tolerance) == (whole.iterations, whole.tolerance)
+    assert (asked["split"].propagate_rounds, asked["seeds"]) == (whole.propagate_rounds, 9)
