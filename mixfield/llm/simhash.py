@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mixfield.llm.batches import slices
 from mixfield.llm.common import written
 from mixfield.operators.graph import components
 
@@ -18,20 +19,31 @@ SHINGLE, SEED = 3, 42
 DISTANCE = 2
 #: Fingerprints are cut into segments of so many bits; a cell of the grid holds one bit count for each of the 16 segments.
 SEGMENT = 4
-#: Cells with more fingerprints than this are not paired up but verified through common midpoints.
+#: Cells with more fingerprints than this are not paired up but verified through common midpoints, or on texts through a centre.
 PAIRED = 8
+#: Texts are linked whose sets of so many words in a row have at least this Jaccard similarity.
+NEAR_SHINGLE, SIMILARITY = 5, 0.8
+#: Each text has fingerprints of so many parts of its shingles at most.
+PARTS = 24
+#: Pairs of one very full cell are made in so many tasks.
+SALTS = 16
 
 
-def fingerprint(text: bytes | None, size: int = SHINGLE, seed: int = SEED) -> int:
-    """SimHash of a text's word shingles, as a signed 64-bit number."""
+def shingle_hashes(text: bytes | None, size: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """Hashes of a text's word shingles, repeats included; of the whole sequence if it has fewer words."""
     from xxhash import xxh64_intdigest
 
     words = text.lower().split() if text else []  # of bytes: A-Z only, and ASCII white space only
-    if not words:
-        return 0
     shingles = map(b" ".join, zip(*(words[i:] for i in range(size)), strict=False)) if len(words) >= size else [b" ".join(words)]
-    n = max(1, len(words) - size + 1)
-    hashes = np.fromiter(map(partial(xxh64_intdigest, seed=seed), shingles), "<u8", n)
+    return np.fromiter(map(partial(xxh64_intdigest, seed=seed), shingles), "<u8", max(1, len(words) - size + 1))
+
+
+def fingerprint(text: bytes | None, size: int = SHINGLE, seed: int = SEED) -> int:
+    """SimHash of a text's word shingles, as a signed 64-bit number; 0 without words."""
+    if not text or not text.strip():
+        return 0
+    hashes = shingle_hashes(text, size, seed)
+    n = len(hashes)
     ones = np.zeros(64, np.int64)
     for a in range(0, n, 1 << 15):
         bits = np.unpackbits(hashes[a : a + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -43,7 +55,7 @@ def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """``doc_id, fp`` for each row of ``docs(doc_id, text)``, from the whole text; 0 if it has no words or is null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             found = [fingerprint(x, size) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], ["doc_id", "fp"])
 
@@ -54,20 +66,29 @@ def _counts(fp: Column) -> list[Column]:
     return [F.bit_count(F.shiftrightunsigned(fp, s).bitwiseAND(F.lit((1 << SEGMENT) - 1))) for s in range(0, 64, SEGMENT)]
 
 
+def own_cell(fp: Column) -> Column:
+    """The grid cell of a fingerprint: its bit counts as one number, four bits for a segment's count."""
+    own = F.lit(0).cast("long")
+    for k, n in enumerate(_counts(fp)):
+        own = own.bitwiseOR(F.shiftleft(n.cast("long"), SEGMENT * k))
+    return own
+
+
 def cells(fp: Column) -> Column:
     """The grid cells within Manhattan distance 1 of a fingerprint's bit counts.
 
-    A cell is coded as one number, four bits for a segment's count. Fingerprints with two differing bits have counts at
-    Manhattan distance 2 at most, and so a common cell.
+    Fingerprints with two differing bits have counts at Manhattan distance 2 at most, and so a common cell.
     """
-    counts = _counts(fp)
-    own = F.lit(0).cast("long")
-    for k, n in enumerate(counts):
-        own = own.bitwiseOR(F.shiftleft(n.cast("long"), SEGMENT * k))
-    own_once = F.array(own)
-    steps = F.flatten(F.array(*(F.array(F.when(n > 0, F.lit(-(1 << SEGMENT * k))), F.when(n < SEGMENT, F.lit(1 << SEGMENT * k))) for k, n in enumerate(counts))))
+    own = own_cell(fp)
+    steps = F.flatten(F.array(*(F.array(F.when(n > 0, F.lit(-(1 << SEGMENT * k))), F.when(n < SEGMENT, F.lit(1 << SEGMENT * k))) for k, n in enumerate(_counts(fp)))))
     moved = F.transform(F.filter(steps, lambda d: d.isNotNull()), lambda d: own + d)
-    return F.concat(own_once, moved)
+    return F.concat(F.array(own), moved)
+
+
+def _spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt out anew before each row becomes many, so that a small table doesn't leave the work to a few tasks."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
 def links(nodes: DataFrame) -> DataFrame:
@@ -77,16 +98,17 @@ def links(nodes: DataFrame) -> DataFrame:
     fingerprints of fuller cells are verified without pairing: two of them differ in at most two bits if and only if they share
     a midpoint, which is one of them or either with one bit flipped; all of a midpoint are linked with the smallest one.
     """
-    placed = nodes.select("fp", F.explode(cells(F.col("fp"))).alias("cell"))
-    full = placed.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
-    members = written(placed.join(full, "cell"), "members")
+    placed = _spread(nodes).select("fp", F.explode(cells(F.col("fp"))).alias("cell"))
+    full = written(placed.groupBy("cell").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"), "cells")
+    two = full.where("n = 2").select("a", "b")
+    members = written(placed.join(full.where("n > 2").select("cell", "n"), "cell"), "members")
     lists = members.where(F.col("n") <= PAIRED).groupBy("cell").agg(F.collect_list("fp").alias("fps"))
-    pairs = lists.select("fps", F.explode("fps").alias("a")).select("a", F.explode(F.filter("fps", lambda b: (b > F.col("a")) & (F.bit_count(b.bitwiseXOR(F.col("a"))) <= DISTANCE))).alias("b"))
+    pairs = lists.select("fps", F.explode("fps").alias("a")).select("a", F.explode(F.filter("fps", lambda b: b > F.col("a"))).alias("b"))
     flips = F.concat(F.array("fp"), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k))))
-    middle = members.where(F.col("n") > PAIRED).select("fp").distinct().select("fp", F.explode(flips).alias("middle"))
+    middle = _spread(members.where(F.col("n") > PAIRED).select("fp").distinct()).select("fp", F.explode(flips).alias("middle"))
     least = middle.groupBy("middle").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
     stars = middle.join(least, "middle").where("fp != a").select("a", F.col("fp").alias("b"))
-    return pairs.union(stars.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE)).distinct()
+    return two.union(pairs).union(stars).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE).distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
@@ -108,3 +130,175 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
 
 def hexadecimal(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
+
+
+# Near copies by the similarity of their shingles
+
+
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(text, F.length(text))
+
+
+def part_fingerprints(texts: list[bytes | None], size: int = NEAR_SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``owner, place, fp``: SimHash fingerprints of parts of each text's set of shingles.
+
+    Shingles are dealt by a hash into so many parts that a part has two to four of them, 24 at least. Where there are more than
+    PARTS parts, the first PARTS are used; a part without shingles has no fingerprint. An unchanged part has an equal fingerprint. The number of
+    parts depends on the text's number of shingles by powers of two; a text that could have a near copy of the next power has fingerprints for
+    that one as well. ``place`` names power and part.
+
+    Of two texts at similarity 0.8, a part is unchanged and not empty with probability 0.37 at least, so they have no
+    fingerprint in common with probability 0.63 ** 24 = 0.000015 at most, and fewer than two with 0.0002.
+    """
+    sets = [np.unique(shingle_hashes(t, size)) for t in texts]
+    counts = np.fromiter(map(len, sets), np.int64, len(sets))
+    hashes = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+    owner = np.repeat(np.arange(len(sets)), counts)
+    # a hash apart from the bits that make the fingerprint
+    lot = hashes * np.uint64(0x9E3779B97F4A7C15)
+    lot = (lot ^ (lot >> np.uint64(32))) >> np.uint64(1)
+    power = np.log2(np.maximum(counts, 1)).astype(np.int64)
+    reach = np.log2(np.maximum(counts, 1) / SIMILARITY).astype(np.int64)
+    found = []
+    for level, use in ((power, np.ones(len(sets), bool)), (reach, reach > power)):
+        parts = np.maximum(PARTS, (1 << np.maximum(level - 1, 0)) + 1)
+        part = (lot % parts[owner].astype(np.uint64)).astype(np.int64)
+        keep = np.flatnonzero((part < PARTS) & use[owner])
+        key = owner[keep] * PARTS + part[keep]
+        keep = keep[np.argsort(key, kind="stable")]
+        key = owner[keep] * PARTS + part[keep]
+        if not len(key):
+            continue
+        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        bits = np.unpackbits(hashes[keep].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
+        n = np.diff(np.append(starts, len(key)))
+        fp = np.packbits(2 * ones > n[:, None], axis=1, bitorder="little").view("<i8")[:, 0]
+        found.append((key[starts] // PARTS, level[key[starts] // PARTS] * PARTS + key[starts] % PARTS, fp))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    out = [np.concatenate(c) for c in zip(*found, strict=True)]
+    order = np.argsort(out[0], kind="stable")
+    return tuple(c[order] for c in out)
+
+
+def sketches(docs: DataFrame, size: int = NEAR_SHINGLE) -> DataFrame:
+    """``doc_id, node, place, fp`` for each row of ``docs(doc_id, text)``: a hash of its text, and arrays of ``part_fingerprints``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 2):
+            owner, place, fp = part_fingerprints(batch.column(2).to_pylist(), size)
+            ends = pa.array(np.searchsorted(owner, np.arange(len(batch) + 1)), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (place.astype(np.int32), fp)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], ["doc_id", "node", "place", "fp"])
+
+    rows = docs.select(F.col("doc_id").cast("long"), text_hash(F.col("text")).alias("node"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, node long, place array<int>, fp array<long>")
+
+
+def _placed(nodes: DataFrame) -> DataFrame:
+    """``node, fp, cell`` for each fingerprint of ``nodes``: a cell is one of the grid of its place, found by bit counts."""
+    rows = nodes.select("node", F.explode(F.arrays_zip("place", "fp")).alias("x")).select("node", "x.place", "x.fp")
+    return rows.select("node", "fp", F.xxhash64("place", own_cell(F.col("fp"))).alias("cell"))
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _within(members: DataFrame, key: str) -> DataFrame:
+    """All pairs of the members of a cell, for cells of PAIRED at most."""
+    lists = members.groupBy(key).agg(F.collect_list("node").alias("nodes"))
+    return lists.select("nodes", F.explode("nodes").alias("a")).select("a", F.explode("nodes").alias("b"))
+
+
+def verified(pairs: DataFrame, docs: DataFrame, size: int = NEAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """Those of ``pairs(a, b)`` of nodes whose texts share at least ``similarity`` of their shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 2):
+            keep, last, a = [], None, None
+            for i in range(batch.num_rows):
+                if (text := batch.column(2)[i].as_py()) != last:
+                    last, a = text, np.unique(shingle_hashes(text, size))
+                b = np.unique(shingle_hashes(batch.column(3)[i].as_py(), size))
+                alike = min(len(a), len(b)) >= similarity * max(len(a), len(b))
+                both = len(np.intersect1d(a, b, assume_unique=True)) if alike else 0
+                keep.append(both >= similarity * (len(a) + len(b) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    texts = docs.select(text_hash(F.col("text")).alias("node"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text")).join(needed, "node", "left_semi")
+    texts = written(texts.groupBy("node").agg(F.first("text").alias("text")), "texts")
+    sides = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    return sides.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+
+
+def _rooted(members: DataFrame, found: DataFrame) -> DataFrame:
+    """``cell, node, root`` of those cells whose members are in more than one component."""
+    rows = members.join(found, "node", "left").select("cell", "node", F.coalesce("root", "node").alias("root"))
+    rows = written(rows, "rooted")
+    open_cells = rows.groupBy("cell").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 != r2").select("cell")
+    return written(rows.join(open_cells, "cell", "left_semi"), "open")
+
+
+def second_centres(rows: DataFrame) -> DataFrame:
+    """Pairs of each member of an open cell and one member of another component than that of the cell's smallest root."""
+    low = rows.groupBy("cell").agg(F.min("root").alias("low"))
+    others = rows.join(low, "cell").where("root != low").groupBy("cell").agg(F.min("node").alias("a"))
+    return _ordered(rows.join(others, "cell").select("a", F.col("node").alias("b")))
+
+
+def leftovers(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs of different components of an open cell that have one more fingerprint in common.
+
+    In each group of members that share two fingerprints, the component with most members is not paired with itself: only
+    members outside it meet all others of the group.
+    """
+    more = _placed(nodes.join(rows.select("node").distinct(), "node", "left_semi")).select("node", F.col("cell").alias("second"))
+    both = rows.join(more, "node").where("cell != second")
+    both = written(both.select(F.xxhash64(F.least("cell", "second"), F.greatest("cell", "second")).alias("both"), "node", "root").distinct(), "both")
+    sizes = both.groupBy("both", "root").agg(F.count("*").alias("n"))
+    # the most frequent root, as the largest of count and root in one number each
+    groups = sizes.groupBy("both").agg(F.max("n").alias("most"), F.count("*").alias("roots")).where("roots > 1")
+    main = sizes.join(groups, "both").where("n = most").groupBy("both").agg(F.min("root").alias("main"))
+    rows = written(both.join(main, "both"), "groups")
+    salt = F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")
+    outside = rows.where("root != main").select("both", F.col("node").alias("a"), F.col("root").alias("root_a"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    inside = rows.select("both", F.col("node").alias("b"), F.col("root").alias("root_b"), salt.alias("salt"))
+    return _ordered(outside.join(inside, ["both", "salt"]).where("root_a != root_b").select("a", "b"))
+
+
+def near_texts(docs: DataFrame, size: int = NEAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """``doc_id, node, root`` for each row of ``docs(doc_id, text)``: rows of equal ``root`` are linked, directly or over others.
+
+    Texts are linked if they share at least ``similarity`` of their ``size``-word shingles. One 64-bit fingerprint of a whole text can't tell: at
+    0.8 it differs in about ten bits, too many for a grid. So parts of a text's shingles have fingerprints of their own (see
+    ``part_fingerprints``), an unchanged part has the same bit counts, and texts that meet in a cell of the grid are verified
+    on their whole texts. ``node`` is ``text_hash`` of the row's text: equal texts are one node, so copies are never paired.
+
+    Up to PAIRED texts of a cell are compared with each other. In fuller cells each text meets the smallest node, then, in cells of more than one
+    component, one of another component, and whoever is still apart from the largest component meets all of the cell that share a second fingerprint.
+    Texts without words, null among them, have one empty shingle and are linked. Repeated rows each give a row; doc_id may be null.
+    """
+    hashed = written(sketches(docs, size), "sketches")
+    nodes = written(hashed.dropDuplicates(["node"]).select("node", "place", "fp"), "nodes")
+    placed = _placed(nodes)
+    full = placed.groupBy("cell").agg(F.count("*").alias("n"), F.min("node").alias("a"), F.max("node").alias("b"), F.bit_xor("fp").alias("bits")).where("n > 1")
+    full = written(full, "cells")
+    two = full.where((F.col("n") == 2) & (F.bit_count("bits") <= DISTANCE)).select("a", "b")
+    members = written(placed.join(full.where("n > 2").select("cell", "n", "a"), "cell").select("cell", "n", "node", "a"), "members")
+    few, many = members.where(F.col("n") <= PAIRED), members.where(F.col("n") > PAIRED).select("cell", "node")
+    stars = members.where(F.col("n") > PAIRED).select("a", F.col("node").alias("b"))
+    pairs = written(_ordered(two.union(_within(few, "cell")).union(stars)), "pairs")
+    links = written(verified(pairs, docs, size, similarity), "links")
+    found = components(links)
+    for step in (second_centres, lambda rows: leftovers(rows, nodes)):
+        rows = _rooted(many, found)
+        more = written(step(rows), "pairs")
+        more = written(verified(more.join(pairs, ["a", "b"], "left_anti"), docs, size, similarity), "links")
+        if more.isEmpty():
+            continue
+        links = links.union(more)
+        found = components(links)
+    return hashed.join(found, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))

@@ -4,7 +4,8 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from test_operators import brute_fingerprint, brute_lines, reachable
+from test_near_texts import brute_roots
+from test_operators import brute_lines
 
 import __spark_entry__
 import corpus_pipeline
@@ -53,8 +54,10 @@ def test_line_stage(stages):
 
 def test_near_duplicate_stage(stages):
     before, after = stages[2], stages[3]
-    root = reachable({r.doc_id: brute_fingerprint(r.text) for r in before})
-    assert sorted(r.doc_id for r in after) == sorted({k for k, v in root.items() if k == v})
+    first = {}
+    for r, root in zip(before, brute_roots([r.text for r in before]), strict=True):
+        first[root] = min(first.get(root, r.doc_id), r.doc_id)
+    assert sorted(r.doc_id for r in after) == sorted(first.values())
 
 
 def test_mixing_stage(stages):
