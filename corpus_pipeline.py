@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mixfield.llm import copies, language, lines, mixing, packing, queries
+from mixfield.llm import language, lines, mixing, packing, queries, simhash
 from mixfield.llm.common import WORD, table, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -36,10 +36,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each group of near copies: that of the smallest doc_id, one without doc_id only if there is no other.
 
-    Near copies share at least 0.8 of their 5-word shingles; op1's own rule, SimHash within two bits, finds few of them. Rows are
-    told apart by doc_id and text, so rows that are no copies of each other stay, also those without doc_id or with the same one.
+    Near copies share at least 0.8 of their 5-word shingles; they are found by SimHash fingerprints of parts of the shingles and verified. Rows
+    are told apart by doc_id and text, so rows that are no copies of each other stay, also those without doc_id or with the same one.
     """
-    found = written(copies.groups(docs), "groups")
+    found = written(simhash.near_texts(docs), "groups")
     rank = F.struct(F.col("doc_id").isNull(), "doc_id", "node")
     # a row for each text, then one for each group: no group is gathered in a task
     first = found.groupBy("root", "node").agg(F.min(rank).alias("rank")).groupBy("root").agg(F.min("rank").alias("rank"))
@@ -47,7 +47,7 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     again = found.groupBy("doc_id", "node").agg(F.count("*").alias("_rows")).where("_rows > 1").select(F.col("doc_id").alias("_again"), F.col("node").alias("_node_again"))
     first = first.join(again, F.col("_id").eqNullSafe(F.col("_again")) & (F.col("_node") == F.col("_node_again")), "left")
     first = written(first.select("_id", "_node", F.col("_node_again").isNotNull().alias("_repeated")), "first")
-    own = docs.select(*COLUMNS).withColumn("_own", copies.text_hash(F.col("text")))
+    own = docs.select(*COLUMNS).withColumn("_own", simhash.text_hash(F.col("text")))
     at = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_node"))
     once = own.join(first.where("not _repeated"), at, "left_semi").select(*COLUMNS)
     # rows that are repeated with their doc_id and text
