@@ -7,16 +7,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mixfield.llm.batches import slices
+
 PCM, A_LAW, MU_LAW, IMA_ADPCM = 1, 6, 7, 17
 RATE = 8000
 #: Payloads are filled up with FILL to a multiple of so many bytes, which is also the size of an ADPCM block.
 BLOCK = 576
 FILL = 255
-SLICE_BYTES = 2 << 20
 
 
 def mu_law_table() -> np.ndarray:
@@ -154,65 +154,52 @@ def store(docs: DataFrame, kind: int = MU_LAW) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for ids, texts in slices(batch):
-                media, sizes = [], []
-                for text in texts.to_pylist():
-                    sizes.append(len(text))
-                    media.append(wav(text + bytes([FILL]) * (-len(text) % BLOCK if text else BLOCK), kind, block=BLOCK if kind == IMA_ADPCM else 1))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
+        for batch in slices(batches, 1):
+            media, sizes = [], []
+            for text in batch.column(1).to_pylist():
+                sizes.append(len(text))
+                media.append(wav(text + bytes([FILL]) * (-len(text) % BLOCK if text else BLOCK), kind, block=BLOCK if kind == IMA_ADPCM else 1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
     text = F.coalesce(F.col("text").cast("binary"), F.lit(b"").cast("binary")).alias("text")
     return docs.select(F.col("doc_id").cast("long"), text).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
-def slices(batch: pa.RecordBatch, column: int = 1) -> Iterator[list[pa.Array]]:
-    """The columns of a batch, about SLICE_BYTES of ``column`` at a time."""
-    ends = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
-    a = 0
-    while a < len(batch):
-        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + SLICE_BYTES, "right")))
-        yield batch.slice(a, b - a).columns
-        a = b
-
-
-def load(files: DataFrame, with_pcm: bool = True) -> DataFrame:
+def load(files: DataFrame) -> DataFrame:
     """Reads ``files(doc_id, n_bytes, media)`` of 8-bit WAV files back.
 
-    ``payload`` is the file's data, ``pcm`` the decoded samples at twice the rate (16 bits, little-endian; null
-    without ``with_pcm``), and ``feature`` the loudness (root of the mean square) of the data read as mu-law, as A-law and as ADPCM
-    blocks, the number of sign changes and the CRC-32 of ``pcm``. All depend on the file alone. A null file has null results.
+    ``payload`` is the file's data, ``pcm`` the decoded samples at twice the rate (16 bits, little-endian), and ``feature`` the loudness
+    (root of the mean square) of the data read as mu-law, as A-law and as ADPCM blocks, the number of sign changes and the
+    CRC-32 of ``pcm``. All depend on the file alone. A null file has null results.
     """
     mu, a = mu_law_table(), a_law_table()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from zlib import crc32
 
-        for batch in batches:
-            for ids, sizes, media in slices(batch, 2):
-                read = [None if x is None else read_wav(x) for x in media.to_pylist()]
-                data = [b"" if x is None else x[3] for x in read]
-                blocks = [len(x) // BLOCK for x in data]
-                codes = np.frombuffer(b"".join(x[: n * BLOCK] for x, n in zip(data, blocks, strict=True)), np.uint8).reshape(-1, BLOCK)
-                power = (decode_adpcm(codes).astype(np.float64) ** 2).mean(axis=1) if len(codes) else np.zeros(0)
-                pcm, features, at = [], [], 0
-                for x, own, n in zip(read, data, blocks, strict=True):
-                    if x is None:
-                        pcm.append(None), features.append(None)
-                        continue
-                    own = np.frombuffer(own, np.uint8)
-                    as_mu, as_a = mu[own], a[own]
-                    samples = {MU_LAW: as_mu, A_LAW: as_a}[x[0]]
-                    doubled = resample(samples).astype("<i2").tobytes()
-                    pcm.append(doubled if with_pcm else None)
-                    loud = [np.sqrt(np.square(s, dtype=np.float64).mean()) if len(s) else 0.0 for s in (as_mu, as_a)]
-                    loud.append(np.sqrt(power[at : at + n].mean()) if n else 0.0)
-                    at += n
-                    negative = samples < 0
-                    turns = int(np.count_nonzero(negative[1:] != negative[:-1]))
-                    features.append(";".join([*(f"{v:.2f}" for v in loud), str(turns), f"{crc32(doubled):08x}"]))
-                payloads = [None if x is None else x[3] for x in read]
-                columns = [ids, sizes, media, pa.array(payloads, pa.binary()), pa.array(pcm, pa.binary()), pa.array(features, pa.string())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "media", "payload", "pcm", "feature"])
+        for batch in slices(batches, 2):
+            read = [None if x is None else read_wav(x) for x in batch.column(2).to_pylist()]
+            data = [b"" if x is None else x[3] for x in read]
+            blocks = [len(x) // BLOCK for x in data]
+            codes = np.frombuffer(b"".join(x[: n * BLOCK] for x, n in zip(data, blocks, strict=True)), np.uint8).reshape(-1, BLOCK)
+            power = (decode_adpcm(codes).astype(np.float64) ** 2).mean(axis=1) if len(codes) else np.zeros(0)
+            pcm, features, at = [], [], 0
+            for x, own, n in zip(read, data, blocks, strict=True):
+                if x is None:
+                    pcm.append(None), features.append(None)
+                    continue
+                own = np.frombuffer(own, np.uint8)
+                as_mu, as_a = mu[own], a[own]
+                samples = {MU_LAW: as_mu, A_LAW: as_a}[x[0]]
+                pcm.append(resample(samples).astype("<i2").tobytes())
+                loud = [np.sqrt(np.square(s, dtype=np.float64).mean()) if len(s) else 0.0 for s in (as_mu, as_a)]
+                loud.append(np.sqrt(power[at : at + n].mean()) if n else 0.0)
+                at += n
+                negative = samples < 0
+                turns = int(np.count_nonzero(negative[1:] != negative[:-1]))
+                features.append(";".join([*(f"{v:.2f}" for v in loud), str(turns), f"{crc32(pcm[-1]):08x}"]))
+            payloads = [None if x is None else x[3] for x in read]
+            columns = [*batch.columns, pa.array(payloads, pa.binary()), pa.array(pcm, pa.binary()), pa.array(features, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "media", "payload", "pcm", "feature"])
 
     return files.select("doc_id", "n_bytes", "media").mapInArrow(run, "doc_id long, n_bytes long, media binary, payload binary, pcm binary, feature string")

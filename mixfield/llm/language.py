@@ -10,11 +10,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from mixfield.llm.batches import slices
+
 #: A profile has so many n-grams, and so many of a document's are compared with it.
 PROFILE = 300
 #: About so many labelled documents, chosen by a hash of their doc_id, make the profiles.
 FIT_DOCUMENTS = 20_000
-#: More languages than this are taken for a mistake in the labels.
+#: So many languages have profiles at most, those with most rows.
 MAX_LANGUAGES = 4096
 
 
@@ -80,11 +82,14 @@ def fit(labelled: DataFrame, documents: int = FIT_DOCUMENTS, size: int = PROFILE
     """Profiles from ``labelled(doc_id, text, lang)``; rows without text or lang are left out.
 
     If there are more than ``documents`` rows, those with a small hash of doc_id are taken, ``documents`` of
-    them in expectation. Each task sums the n-grams of its rows by language, the sums of the tasks are added,
-    and only the ``size`` most frequent of each language reach the driver.
+    them in expectation. Of more than MAX_LANGUAGES languages, those with most rows have profiles, ties by name. Each task sums the n-grams of its
+    rows by language, the sums of the tasks are added, and only the ``size`` most frequent of each language reach the driver.
     """
     rows = labelled.where("text is not null and lang is not null").select("doc_id", "text", "lang")
-    n = rows.count()
+    languages = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    n, kinds = languages.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    if kinds > MAX_LANGUAGES:
+        rows = rows.join(F.broadcast(languages.orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).select("lang")), "lang").select("doc_id", "text", "lang")
     if n > documents:
         rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * documents / n))
 
@@ -97,7 +102,7 @@ def fit(labelled: DataFrame, documents: int = FIT_DOCUMENTS, size: int = PROFILE
             grams, at = np.unique(np.concatenate([g for g, _ in parts]), return_inverse=True)
             sums[lang] = grams, np.bincount(at, np.concatenate([c for _, c in parts])).astype(np.int64)
 
-        for batch in batches:
+        for batch in slices(batches, 1):
             for text, lang in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 waiting.setdefault(lang, []).append(ngram_counts(text))
                 if len(waiting[lang]) >= 500:
@@ -110,10 +115,8 @@ def fit(labelled: DataFrame, documents: int = FIT_DOCUMENTS, size: int = PROFILE
     sums = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     first = sums.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("rank") <= size)
     ranked: dict[str, list[int]] = {}
-    for row in first.orderBy("lang", "rank").limit(size * MAX_LANGUAGES + 1).collect():
+    for row in first.orderBy("lang", "rank").collect():  # MAX_LANGUAGES * size rows at most
         ranked.setdefault(row.lang, []).append(row.gram)
-    if len(ranked) > MAX_LANGUAGES or sum(map(len, ranked.values())) > size * MAX_LANGUAGES:
-        raise ValueError(f"lang has more than {MAX_LANGUAGES} values")
     return Profiles(ranked, size)
 
 
@@ -130,7 +133,7 @@ def identify(docs: DataFrame, profiles: Profiles, keep: tuple[str, ...] = ()) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for batch in batches:
+        for batch in slices(batches, 1):
             found = [own.predict(text) for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names)
 

@@ -16,11 +16,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mixfield.llm.batches import slices
+
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
-#: Texts of about so many bytes are tokenized at a time, which bounds a task's memory.
-SLICE_BYTES = 4 << 20
-#: So many words with their ids are kept in a worker, about 100 MB.
-KNOWN_WORDS = 600_000
+#: So many words with their ids, of so many characters at most, are kept while a task runs: about 200 bytes each.
+KNOWN_WORDS, KNOWN_LENGTH = 100_000, 32
 
 
 @lru_cache(maxsize=1)
@@ -46,7 +46,7 @@ def _added(ranks_path: str) -> tuple[re.Pattern | None, dict[str, int]]:
 
 @lru_cache(maxsize=1)
 def _known(ranks_path: str) -> dict[str, bytes]:
-    """Ids of words that follow a space, for this worker."""
+    """Ids of words that follow a space, while a task runs."""
     return {}
 
 
@@ -107,11 +107,15 @@ def _ordinary(texts: list[str], ranks_path: str) -> tuple[np.ndarray, np.ndarray
             break
         word = words[at]
         if word.isalpha():
-            encoded[at] = known[word] = array("I", piece((" " + word).encode())).tobytes()
+            encoded[at] = array("I", piece((" " + word).encode())).tobytes()
+            if len(word) <= KNOWN_LENGTH:
+                known[word] = encoded[at]
         elif (stem := word[:-1]).isalpha() and word[-1] in ".,":
             first = known.get(stem)
             if first is None:
-                first = known[stem] = array("I", piece((" " + stem).encode())).tobytes()
+                first = array("I", piece((" " + stem).encode())).tobytes()
+                if len(stem) <= KNOWN_LENGTH:
+                    known[stem] = first
             encoded[at] = first + array("I", piece(word[-1:].encode())).tobytes()
         elif not word or word[0].isspace():
             encoded[at], odd[at] = b"", True
@@ -208,10 +212,10 @@ def pack(docs: DataFrame, ranks_path: str, max_tokens: int = 1024, end_id: int =
             rows.clear()
             return batch
 
-        for doc_ids, texts in sliced(batches, SLICE_BYTES):
-            ids, counts = tokenize(texts, ranks_path)
+        for batch in slices(batches, 1):
+            ids, counts = tokenize(batch.column(1).to_pylist(), ranks_path)
             at = 0
-            for doc_id, n in zip(doc_ids, counts.tolist(), strict=True):
+            for doc_id, n in zip(batch.column(0).to_pylist(), counts.tolist(), strict=True):
                 own = np.append(ids[at : at + n], np.uint32(end_id)).astype("<u4")
                 at += n
                 n += 1
@@ -225,19 +229,8 @@ def pack(docs: DataFrame, ranks_path: str, max_tokens: int = 1024, end_id: int =
                     close()
             yield out()
         close()
+        _known(ranks_path).clear()  # workers are used again by other queries
         yield out()
 
     return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, PIECES)
 
-
-def sliced(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[list, list[str]]]:
-    """Rows of ``(doc_id, text)`` in lists of about ``size`` bytes of text."""
-    for batch in batches:
-        ids, texts = batch.column(0), batch.column(1)
-        ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
-        a = 0
-        while a < len(ids):
-            before = ends[a - 1] if a else 0
-            b = max(a + 1, int(np.searchsorted(ends, before + size, "right")))
-            yield ids.slice(a, b - a).to_pylist(), texts.slice(a, b - a).to_pylist()
-            a = b

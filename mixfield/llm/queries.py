@@ -81,11 +81,11 @@ def op8_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = language.identify(docs, language.fit(language.training_rows(docs)))
-    return found.select("doc_id", (language.fold() == 2).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", F.coalesce(language.fold() == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def op10_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = audio.load(audio.store(table(spark, sf_dir, "documents")), with_pcm=False)
+    files = audio.load(audio.store(table(spark, sf_dir, "documents")))
     return files.select(
         "doc_id",
         "n_bytes",
@@ -95,6 +95,8 @@ def op10_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.octet_length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"),
         "feature",
+        F.octet_length("pcm").cast("long").alias("pcm_bytes"),
+        F.sha2("pcm", 256).alias("pcm_sha256"),
     )
 
 
