@@ -7,7 +7,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mixfield.llm.batches import slices
@@ -25,8 +25,6 @@ PAIRED = 8
 NEAR_SHINGLE, SIMILARITY = 5, 0.8
 #: Each text has fingerprints of so many parts of its shingles at most.
 PARTS = 24
-#: Pairs of one very full cell are made in so many tasks.
-SALTS = 16
 
 
 def shingle_hashes(text: bytes | None, size: int = SHINGLE, seed: int = SEED) -> np.ndarray:
@@ -212,6 +210,10 @@ def _within(members: DataFrame, key: str) -> DataFrame:
     return lists.select("nodes", F.explode("nodes").alias("a")).select("a", F.explode("nodes").alias("b"))
 
 
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(text_hash(F.col("text")).alias("node"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
+
+
 def verified(pairs: DataFrame, docs: DataFrame, size: int = NEAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """Those of ``pairs(a, b)`` of nodes whose texts share at least ``similarity`` of their shingles."""
 
@@ -228,45 +230,60 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int = NEAR_SHINGLE, simila
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = docs.select(text_hash(F.col("text")).alias("node"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text")).join(needed, "node", "left_semi")
+    texts = _texts(docs).join(needed, "node", "left_semi")
     texts = written(texts.groupBy("node").agg(F.first("text").alias("text")), "texts")
     sides = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
     return sides.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def _rooted(members: DataFrame, found: DataFrame) -> DataFrame:
-    """``cell, node, root`` of those cells whose members are in more than one component."""
+def _centred(members: DataFrame) -> DataFrame:
+    """Pairs of each member of a cell and the one that is in most cells with others, ties by hash: the likeliest origin of copies."""
+    often = members.groupBy("node").agg(F.count("*").alias("often"))
+    rows = members.join(often, "node")
+    rank = F.shiftleft("often", 44) + F.xxhash64("node").bitwiseAND(F.lit((1 << 44) - 1))
+    centre = written(rows.groupBy("cell").agg(F.max_by("node", rank).alias("a")), "centres")
+    return members.join(centre, "cell").select("a", F.col("node").alias("b"))
+
+
+def apart(members: DataFrame, found: DataFrame) -> DataFrame:
+    """``node, root`` of the members of those cells that are in more than one component."""
     rows = members.join(found, "node", "left").select("cell", "node", F.coalesce("root", "node").alias("root"))
     rows = written(rows, "rooted")
     open_cells = rows.groupBy("cell").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 != r2").select("cell")
-    return written(rows.join(open_cells, "cell", "left_semi"), "open")
-
+    return written(rows.join(open_cells, "cell", "left_semi").select("node", "root").distinct(), "apart")
 
-def second_centres(rows: DataFrame) -> DataFrame:
-    """Pairs of each member of an open cell and one member of another component than that of the cell's smallest root."""
-    low = rows.groupBy("cell").agg(F.min("root").alias("low"))
-    others = rows.join(low, "cell").where("root != low").groupBy("cell").agg(F.min("node").alias("a"))
-    return _ordered(rows.join(others, "cell").select("a", F.col("node").alias("b")))
 
+def prefix_pairs(rows: DataFrame, docs: DataFrame, size: int = NEAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """Pairs of ``rows(node, root)`` of different roots, among them all with the similarity: a prefix filter on the texts' shingles.
 
-def leftovers(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs of different components of an open cell that have one more fingerprint in common.
-
-    In each group of members that share two fingerprints, the component with most members is not paired with itself: only
-    members outside it meet all others of the group.
+    Shingles are ordered by the number of texts among ``rows`` that have them, the rarest first. Two sets of sizes n1 >= n2 with the similarity s have
+    at least ``s / (1 + s) * (n1 + n2)`` shingles in common, so the first one that they have in common comes early in both: it has a place of
+    at most ``n1 - s * n1`` in the larger and ``n2 - 2 * s / (1 + s) * n2`` in the smaller set. Only these beginnings are joined, and only pairs come out
+    that can still reach the number. A copy with enough changes of its own begins with shingles that no other text has, and meets nobody.
     """
-    more = _placed(nodes.join(rows.select("node").distinct(), "node", "left_semi")).select("node", F.col("cell").alias("second"))
-    both = rows.join(more, "node").where("cell != second")
-    both = written(both.select(F.xxhash64(F.least("cell", "second"), F.greatest("cell", "second")).alias("both"), "node", "root").distinct(), "both")
-    sizes = both.groupBy("both", "root").agg(F.count("*").alias("n"))
-    # the most frequent root, as the largest of count and root in one number each
-    groups = sizes.groupBy("both").agg(F.max("n").alias("most"), F.count("*").alias("roots")).where("roots > 1")
-    main = sizes.join(groups, "both").where("n = most").groupBy("both").agg(F.min("root").alias("main"))
-    rows = written(both.join(main, "both"), "groups")
-    salt = F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")
-    outside = rows.where("root != main").select("both", F.col("node").alias("a"), F.col("root").alias("root_a"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    inside = rows.select("both", F.col("node").alias("b"), F.col("root").alias("root_b"), salt.alias("salt"))
-    return _ordered(outside.join(inside, ["both", "salt"]).where("root_a != root_b").select("a", "b"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 2):
+            sets = [np.unique(shingle_hashes(t, size)).view(np.int64) for t in batch.column(2).to_pylist()]
+            ends = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in sets])]), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets)))], ["node", "root", "shingles"])
+
+    texts = _texts(docs).join(rows, "node").groupBy("node", "root").agg(F.first("text").alias("text"))
+    sets = written(texts.select("node", "root", "text").mapInArrow(run, "node long, root long, shingles array<long>"), "shingles")
+    flat = sets.select("node", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    shared = written(flat.groupBy("shingle").agg(F.count("*").alias("texts")).where("texts > 1"), "shared")
+    own = Window.partitionBy("node")
+    # shingles of one text come first, and are not needed but for their number
+    first = F.col("n") - F.count("*").over(own)
+    place = (first + F.row_number().over(own.orderBy("texts", "shingle")) - 1).alias("place")
+    placed = flat.join(shared, "shingle").select("node", "root", "n", "shingle", place)
+    least = lambda x: F.ceil(x - 1e-9)
+    placed = written(placed.where(F.col("place") <= F.col("n") - least(similarity * F.col("n"))), "prefixes")
+    smaller = placed.where(F.col("place") <= F.col("n") - least(2 * similarity / (1 + similarity) * F.col("n"))).select("shingle", *(F.col(c).alias(f"{c}2") for c in ("node", "root", "n", "place")))
+    needed = similarity / (1 + similarity) * (F.col("n") + F.col("n2")) - 1e-9
+    left = F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2"))
+    fits = (F.col("root") != F.col("root2")) & (F.col("n2") <= F.col("n")) & (F.col("n2") >= similarity * F.col("n") - 1e-9) & (left >= needed)
+    return _ordered(placed.join(smaller, "shingle").where(fits).select(F.col("node").alias("a"), F.col("node2").alias("b")))
 
 
 def near_texts(docs: DataFrame, size: int = NEAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
@@ -277,8 +294,8 @@ def near_texts(docs: DataFrame, size: int = NEAR_SHINGLE, similarity: float = SI
     ``part_fingerprints``), an unchanged part has the same bit counts, and texts that meet in a cell of the grid are verified
     on their whole texts. ``node`` is ``text_hash`` of the row's text: equal texts are one node, so copies are never paired.
 
-    Up to PAIRED texts of a cell are compared with each other. In fuller cells each text meets the smallest node, then, in cells of more than one
-    component, one of another component, and whoever is still apart from the largest component meets all of the cell that share a second fingerprint.
+    Up to PAIRED texts of a cell are compared with each other. In fuller cells each text meets one, and those of cells that are not all linked by
+    then are compared by a prefix filter, which finds all that are similar without pairing the others (see ``prefix_pairs``).
     Texts without words, null among them, have one empty shingle and are linked. Repeated rows each give a row; doc_id may be null.
     """
     hashed = written(sketches(docs, size), "sketches")
@@ -287,18 +304,13 @@ def near_texts(docs: DataFrame, size: int = NEAR_SHINGLE, similarity: float = SI
     full = placed.groupBy("cell").agg(F.count("*").alias("n"), F.min("node").alias("a"), F.max("node").alias("b"), F.bit_xor("fp").alias("bits")).where("n > 1")
     full = written(full, "cells")
     two = full.where((F.col("n") == 2) & (F.bit_count("bits") <= DISTANCE)).select("a", "b")
-    members = written(placed.join(full.where("n > 2").select("cell", "n", "a"), "cell").select("cell", "n", "node", "a"), "members")
+    members = written(placed.join(full.where("n > 2").select("cell", "n"), "cell").select("cell", "n", "node"), "members")
     few, many = members.where(F.col("n") <= PAIRED), members.where(F.col("n") > PAIRED).select("cell", "node")
-    stars = members.where(F.col("n") > PAIRED).select("a", F.col("node").alias("b"))
-    pairs = written(_ordered(two.union(_within(few, "cell")).union(stars)), "pairs")
+    pairs = written(_ordered(two.union(_within(few, "cell")).union(_centred(many))), "pairs")
     links = written(verified(pairs, docs, size, similarity), "links")
     found = components(links)
-    for step in (second_centres, lambda rows: leftovers(rows, nodes)):
-        rows = _rooted(many, found)
-        more = written(step(rows), "pairs")
-        more = written(verified(more.join(pairs, ["a", "b"], "left_anti"), docs, size, similarity), "links")
-        if more.isEmpty():
-            continue
-        links = links.union(more)
-        found = components(links)
+    more = written(prefix_pairs(apart(many, found), docs, size, similarity).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    more = written(verified(more, docs, size, similarity), "links")
+    if not more.isEmpty():
+        found = components(links.union(more))
     return hashed.join(found, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))

@@ -152,3 +152,23 @@ def test_unrelated_and_near_texts_in_full_cells(spark, monkeypatch, paired):
 def test_no_texts(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, node string, cell int")
     assert simhash.near_texts(docs).collect() == []
+
+
+def test_prefix_filter_against_all_pairs(spark):
+    rng = random.Random(7)
+    texts = []
+    for origin in range(3):
+        base = [f"o{origin}_{i}" for i in range(70)]
+        for _ in range(25):
+            own = list(base)
+            for _ in range(rng.randrange(4)):
+                at = rng.randrange(len(own))
+                own[at : at + 1] = rng.choice([[], [f"x{rng.randrange(10**6)}"], [own[at], f"common{rng.randrange(3)}"]])
+            texts.append(" ".join(own[rng.randrange(3) :]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    node = {r.doc_id: r.node for r in docs.select("doc_id", simhash.text_hash(docs.text).alias("node")).collect()}
+    rows = spark.createDataFrame([(n, i % 2) for i, n in enumerate(sorted(set(node.values())))], "node long, root long")
+    root = {r.node: r.root for r in rows.collect()}
+    want = {tuple(sorted((node[i], node[j]))) for i in range(len(texts)) for j in range(i) if root[node[i]] != root[node[j]] and similarity(texts[i], texts[j]) >= 0.8}
+    got = {(r.a, r.b) for r in simhash.prefix_pairs(rows, docs).collect()}
+    assert want and want <= got and len(got) < 1.5 * len(want) + 200
