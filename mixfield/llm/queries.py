@@ -39,12 +39,36 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+#: The same result from strings of 50 words, with the smallest doc_id of each.
+OP5_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), w AS (
+  SELECT doc_id, generate_subscripts(words, 1) AS place, unnest(words) AS word FROM d
+), r AS (
+  SELECT doc_id, place, CASE WHEN count(*) OVER o = 50 THEN md5(string_agg(word, ' ') OVER o) END AS run
+  FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY place ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)
+), f AS (
+  SELECT run, min(doc_id) AS least FROM r WHERE run IS NOT NULL GROUP BY run HAVING min(doc_id) < max(doc_id)
+), l AS (
+  SELECT r.doc_id, r.place, coalesce(f.least < r.doc_id, false) AS later FROM r LEFT JOIN f ON r.run = f.run
+), k AS (
+  SELECT w.doc_id, w.place, w.word, bool_or(l.later) OVER (PARTITION BY w.doc_id ORDER BY w.place ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone
+  FROM w JOIN l ON w.doc_id = l.doc_id AND w.place = l.place
+)
+SELECT d.doc_id, count(k.place) AS n_words, count(*) FILTER (WHERE k.gone) AS n_removed,
+  sha256(coalesce(string_agg(k.word, ' ' ORDER BY k.place) FILTER (WHERE NOT k.gone), '')) AS kept_sha256
+FROM d LEFT JOIN k ON d.doc_id = k.doc_id
+GROUP BY d.doc_id
+"""
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = lines.deduplicate(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+    found = lines.deduplicate(table(spark, sf_dir, "documents"), runs=True)
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"), "longest_run")
 
 
-#: The same result from strings of three lines, with the first occurrence of each.
+#: The same result from strings of three lines: with the first occurrence of each, and with stretches of equal ones of two places.
 OP6_SQL = """
 WITH l AS (
   SELECT doc_id, generate_subscripts(parts, 1) AS place, unnest(parts) AS line, len(parts) AS n
@@ -59,13 +83,21 @@ WITH l AS (
   SELECT doc_id, place, line,
     later OR coalesce(lag(later, 1) OVER o, false) OR coalesce(lag(later, 2) OVER o, false) AS gone
   FROM f WINDOW o AS (PARTITION BY doc_id ORDER BY place)
+), p AS (
+  SELECT a.doc_id, b.doc_id AS other, a.place - b.place AS shift, a.place
+  FROM w a JOIN w b ON a.run = b.run AND (a.doc_id <> b.doc_id OR a.place <> b.place)
+), s AS (
+  SELECT doc_id, other, shift, place - row_number() OVER (PARTITION BY doc_id, other, shift ORDER BY place) AS stretch FROM p
+), r AS (
+  SELECT doc_id, max(n) AS n FROM (SELECT doc_id, count(*) + 2 AS n FROM s GROUP BY doc_id, other, shift, stretch) GROUP BY doc_id
 )
 SELECT d.doc_id,
   count(k.place) AS n_lines,
   count(*) FILTER (WHERE k.gone) AS n_removed,
   CASE WHEN any_value(d.text) IS NOT NULL
-    THEN sha256(coalesce(string_agg(k.line, chr(10) ORDER BY k.place) FILTER (WHERE NOT k.gone), '')) END AS kept_sha256
-FROM documents d LEFT JOIN k ON d.doc_id = k.doc_id
+    THEN sha256(coalesce(string_agg(k.line, chr(10) ORDER BY k.place) FILTER (WHERE NOT k.gone), '')) END AS kept_sha256,
+  coalesce(any_value(r.n), 0) AS longest_run
+FROM documents d LEFT JOIN k ON d.doc_id = k.doc_id LEFT JOIN r ON d.doc_id = r.doc_id
 GROUP BY d.doc_id
 """
 
@@ -101,4 +133,4 @@ def op10_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_cost_packing, op3_toxicity, op4_source_mixing, op5_substring_dedup, op6_line_dedup, op7_url_filter, op8_vector_search, op9_language_id, op10_telephony_audio)}
-ORACLE = {"op6_line_dedup": OP6_SQL}
+ORACLE = {"op5_substring_dedup": OP5_SQL, "op6_line_dedup": OP6_SQL}
