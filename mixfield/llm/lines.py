@@ -1,4 +1,4 @@
-"""Removal of repeated runs of lines by prefix doubling over line ids; DataFrame functions only."""
+"""Removal of repeated runs of lines by a suffix order over line ids, made by prefix doubling; DataFrame functions only."""
 
 from __future__ import annotations
 
@@ -33,65 +33,120 @@ def positions(docs: DataFrame) -> DataFrame:
 
 
 def _ranked(blocks: DataFrame, *key: str) -> DataFrame:
-    """``pos, last, rank`` of the blocks that occur more than once: the rank is the first position of an equal block."""
-    groups = blocks.groupBy(*key).agg(F.min("pos").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    """``pos, last, rank, first`` of the blocks that occur more than once.
+
+    Ranks number the groups of equal blocks in the order of their keys, so suffixes are ordered by the ranks of what they begin with; ``first`` is
+    a group's first position. Only the groups are sorted, by ranges, and not their members.
+    """
+    groups = written(blocks.groupBy(*key).agg(F.min("pos").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "groups")
+    # partitions are ranges of keys in order, so these ids follow the order of keys
+    ordered = groups.repartitionByRange(*key).sortWithinPartitions(*key).withColumn("new", F.monotonically_increasing_id())
     # a table of its own, so that Spark can split the join with it where a block is very frequent
-    groups = written(groups, "groups")
-    return blocks.join(groups, list(key)).select("pos", "last", F.col("first").alias("rank"))
+    ordered = written(ordered, "ranks")
+    return written(blocks.select("pos", "last", *key).join(ordered, list(key)).select("pos", "last", F.col("new").alias("rank"), "first"), "suffixes")
 
 
 def _joined(left: DataFrame, right: DataFrame, step: int) -> DataFrame:
     """Blocks made of a block of ``left`` and one of ``right`` that begins ``step`` lines later in the same document."""
     after = right.select((F.col("pos") - step).alias("pos"), F.col("last").alias("last_after"), F.col("rank").alias("rank_after"))
-    return left.join(after, "pos").where(F.col("last") == F.col("last_after")).select("pos", "last", "rank", "rank_after")
+    return written(left.join(after, "pos").where(F.col("last") == F.col("last_after")).select("pos", "last", "rank", "rank_after"), "blocks")
 
 
-def repeated_blocks(lines: DataFrame, length: int) -> DataFrame:
-    """``pos, rank`` of the blocks of ``length`` lines that occur more than once, ``rank`` the first position of an equal one.
+class Suffixes:
+    """The suffixes of all documents' lines, ranked by prefix doubling.
 
-    The suffixes of the line sequence are ranked by their first 1, 2, 4, ... lines: two suffixes have equal ranks if and only if their longest
-    common prefix has at least so many lines, so the groups of equal rank are the intervals of the suffix array whose longest
-    common prefix reaches that length. A rank is the smallest position of its group rather than a place in sorted
-    order, which needs no global sort and says at once which copy is first. Only groups of more than one stay for the next round, and the last
-    round joins two overlapping blocks where ``length`` is no power of two.
+    ``levels[j]`` holds the suffixes whose first ``2 ** j`` lines occur more than once, ranked by these lines: suffixes of equal rank are an
+    interval of the suffix order whose longest common prefix has at least so many lines. Lines are ordered by their hashes. A level is ranked
+    by the pairs of ranks of its two halves at the level before, and only suffixes that are still in an interval with others go on.
     """
-    ranks = written(_ranked(lines.select("pos", "last", "h1", "h2"), "h1", "h2"), "ranks")
-    size = 1
-    while size < length:
-        step = min(size, length - size)
-        blocks = written(_joined(ranks, ranks, step), "blocks")
-        ranks = written(_ranked(blocks, "rank", "rank_after"), "ranks")
-        size += step
-    return ranks
-
 
-def later_copies(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+    def __init__(self, lines: DataFrame):
+        self.levels = [_ranked(lines.select("pos", "last", "h1", "h2"), "h1", "h2")]
+
+    def level(self, j: int) -> DataFrame:
+        while len(self.levels) <= j:
+            self.levels.append(_ranked(_joined(self.levels[-1], self.levels[-1], 1 << (len(self.levels) - 1)), "rank", "rank_after"))
+        return self.levels[j]
+
+    def intervals(self, length: int) -> DataFrame:
+        """``pos, first`` of the suffixes in an interval whose longest common prefix has at least ``length`` lines, and its first position."""
+        whole = length.bit_length() - 1
+        found, over = self.level(whole), length - (1 << whole)
+        # two blocks that overlap
+        return _ranked(_joined(found, found, over), "rank", "rank_after") if over else found
+
+    def complete(self) -> None:
+        """Doubles until no suffix is in an interval with another."""
+        while not self.levels[-1].isEmpty():
+            self.level(len(self.levels))
+
+    def common_prefixes(self) -> DataFrame:
+        """``pos, length`` of each suffix that begins with a repeated line: the longest prefix that it has in common with any other suffix.
+
+        This is the depth of the deepest interval that the suffix is in, found from the highest level down: a suffix goes on by ``2 ** j`` lines if
+        another one with the same prefix so far goes on in the same way. Of suffixes that have gone on together one stays behind as well, for
+        those that will follow them over fewer lines.
+        """
+        self.complete()
+        found = self.levels[-1].select("pos", "last", "first", F.lit(0).cast("long").alias("length"))  # no rows
+        group = ["first", "length"]
+        for j in range(len(self.levels) - 2, -1, -1):
+            step = self.levels[j]
+            above = self.levels[j + 1].select("pos", F.col("first").alias("first_above"))
+            entering = step.join(above, "pos", "left").where("first_above is null or first_above = pos").select("pos", "last", "first", F.lit(1 << j).cast("long").alias("length"))
+            after = step.select(F.col("pos").alias("at"), F.col("last").alias("last_after"), "rank")
+            ahead = found.withColumn("at", F.col("pos") + F.col("length")).join(after, "at").where(F.col("last") == F.col("last_after")).select("pos", "last", *group, "rank")
+            ahead = written(ahead, "ahead")
+            together = ahead.groupBy(*group, "rank").agg(F.min("pos").alias("next"), F.min_by("last", "pos").alias("next_last"), F.count("*").alias("n")).where("n > 1").drop("n")
+            together = written(together, "together")
+            going = written(ahead.join(together, [*group, "rank"]).select("pos", "last", *group, "next"), "going")
+            gone_on = going.select("pos", "last", F.col("next").alias("first"), (F.col("length") + (1 << j)).alias("length"))
+            behind = together.select(F.col("next").alias("pos"), F.col("next_last").alias("last"), *group)
+            found = written(found.join(going.select("pos", *group), ["pos", *group], "left_anti").select("pos", "last", *group).union(gone_on).union(behind).union(entering), "prefixes")
+        return found.groupBy("pos").agg(F.max("length").alias("length"))
+
+
+def later_copies(suffixes: Suffixes, lines: DataFrame, min_lines: int) -> DataFrame:
     """``doc_id, text_hash, removed``: the places of the lines that belong to a later copy of a run of lines.
 
-    A run is any ``min_lines`` or more lines in a row, also over blank lines; its first occurrence in order of doc_id and place stays.
-    Occurrences may overlap, so of a line repeated many times in a row the first one stays. Runs do not go over the end of a document.
+    A run is any ``min_lines`` or more lines in a row, also over blank lines; its first occurrence in order of doc_id and place stays. All
+    suffixes but the first of an interval with a common prefix of ``min_lines`` begin a later copy. Where a run is longer, the suffixes that begin
+    inside it are in such intervals too, so maximal runs go as a whole. Occurrences may overlap, so of a line repeated many times
+    in a row the first one stays. Runs do not go over the end of a document.
     """
-    lines = positions(docs)
-    later = repeated_blocks(lines, min_lines).where("rank < pos")
+    later = suffixes.intervals(min_lines).where("first < pos")
     gone = later.select(F.explode(F.sequence(F.col("pos"), F.col("pos") + (min_lines - 1))).alias("pos")).distinct()
     return lines.select("doc_id", "text_hash", "place", "pos").join(gone, "pos").groupBy("doc_id", "text_hash").agg(F.collect_set("place").alias("removed"))
 
 
-def deduplicate(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+def deduplicate(docs: DataFrame, min_lines: int = MIN_LINES, runs: bool = False) -> DataFrame:
     """``docs`` with ``kept`` (its text without the lines of ``later_copies``), ``n_lines`` and ``n_removed``.
 
-    All columns and rows of ``docs(doc_id, text, ...)`` stay; columns of the three new names are replaced. A null text stays null and
+    With ``runs`` there is also ``longest_run``: the number of lines of the longest maximal run in the document that occurs again, in it or anywhere, 0
+    below ``min_lines``. All columns and rows of ``docs(doc_id, text, ...)`` stay; columns of the new names are replaced. A null text stays null and
     has 0 lines, an empty text has one empty line. Equal rows, by doc_id and text, are one document here and get equal results. A
     text all of whose lines go becomes empty. Null doc_ids come first in the order of documents.
     """
-    rows = docs.drop("kept", "n_lines", "n_removed")
-    at, text_hash, own, gone, parts = fresh(rows, "id", "text_hash", "own_hash", "removed", "parts")
-    removed = later_copies(docs, min_lines).select(F.col("doc_id").alias(at), F.col("text_hash").alias(text_hash), F.col("removed").alias(gone))
+    rows = docs.drop("kept", "n_lines", "n_removed", *["longest_run"] * runs)
+    at, text_hash, own, gone, parts, longest = fresh(rows, "id", "text_hash", "own_hash", "removed", "parts", "longest")
+    places = positions(docs)
+    suffixes = Suffixes(places)
+    found = later_copies(suffixes, places, min_lines)
+    if runs:
+        depth = suffixes.common_prefixes().where(F.col("length") >= min_lines)
+        depth = places.select("doc_id", "text_hash", "pos").join(depth, "pos").groupBy("doc_id", "text_hash").agg(F.max("length").alias("longest"))
+        one = lambda df, *more: df.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t"), *more)
+        none = F.lit(None)
+        both = one(found, "removed", none.cast("long").alias("longest")).unionByName(one(depth, none.cast("array<int>").alias("removed"), "longest"))
+        found = both.groupBy(F.col("d").alias("doc_id"), F.col("t").alias("text_hash")).agg(F.first("removed", True).alias("removed"), F.first("longest", True).alias("longest"))
+    removed = found.select(F.col("doc_id").alias(at), F.col("text_hash").alias(text_hash), F.col("removed").alias(gone), *[F.col("longest").alias(longest)] * runs)
     rows = rows.withColumn(own, F.xxhash64("text", F.length("text")))
     rows = rows.join(removed, F.col("doc_id").cast("long").eqNullSafe(F.col(at)) & (F.col(own) == F.col(text_hash)), "left")
     n = F.when(F.col("text").isNull(), 0).otherwise(F.size(split_lines(F.col("text"))))
     left = F.sort_array(F.array_except(F.sequence(F.lit(0), n - 1), gone))
     kept = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(F.col(parts), i)), "\n"))
     rows = rows.withColumn("n_lines", n.cast("long")).withColumn("n_removed", F.coalesce(F.size(gone), F.lit(0)).cast("long"))
+    if runs:
+        rows = rows.withColumn("longest_run", F.coalesce(longest, F.lit(0)).cast("long")).drop(longest)
     rows = rows.withColumn(parts, F.when(F.col(gone).isNotNull(), split_lines(F.col("text")))).withColumn("kept", kept)
     return rows.drop(at, text_hash, own, gone, parts)
