@@ -2,29 +2,36 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mixfield.llm.common import written
 
-#: At most so many vectors, those with the smallest hash of vec_id, train the codebooks.
+#: At most so many vectors, those with the smallest hash, train the codebooks and cells.
 FIT_VECTORS = 16_384
 BOOKS, WORDS, BEAM = 16, 256, 4
-#: Vectors are scored in blocks of about so many, for so many queries at a time.
+#: There are about as many cells as the square root of the number of vectors, and so many at most.
+CELLS = 4096
+#: A query visits so many of the nearest cells at least, and more until so many vectors are in them.
+PROBES, SEEN = 24, 4096
+#: A task scores about so many vectors of a cell for about so many queries at a time.
 BLOCK, QUERIES = 8192, 1024
-#: So many of a block's vectors by quantised distance are reranked for each query.
+#: So many vectors by quantised distance are reranked for each query.
 SHORTLIST = 256
+RESULT = "query_id long, rank int, vec_id long, score double"
 
 
 @dataclass(frozen=True)
 class Codebooks:
-    """``books[m, k]`` is a whole vector; a vector is approximated by the sum of one word of each book."""
+    """``books[m, k]`` is a whole vector; a vector is approximated by the sum of one word of each book. ``cells`` are centres."""
 
     books: np.ndarray
+    cells: np.ndarray
 
     def encode(self, x: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
         """Codes and squared lengths of the approximations: of ``beam`` choices so far, the best ``beam`` with one more word are kept."""
@@ -55,96 +62,161 @@ class Codebooks:
             out -= 2 * table[codes[:, m]]
         return out.T
 
+    def near_cells(self, x: np.ndarray) -> np.ndarray:
+        """Squared distances from the cells' centres, but for the length of ``x``."""
+        return (self.cells**2).sum(axis=1) - 2 * x.astype(np.float32) @ self.cells.T
 
-def train(x: np.ndarray, books: int = BOOKS, words: int = WORDS, rounds: int = 8, seed: int = 7) -> Codebooks:
-    """Codebooks for the rows of ``x``: k-means on what the books before leave over."""
+
+def kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
+    """``k`` centres, or as many as there are rows."""
+    k = min(k, len(x))
+    centres = x[rng.choice(len(x), k, replace=False)].copy()
+    for _ in range(rounds):
+        near = ((centres**2).sum(axis=1) - 2 * x @ centres.T).argmin(axis=1)
+        order = np.argsort(near, kind="stable")
+        found, starts = np.unique(near[order], return_index=True)
+        centres[found] = np.add.reduceat(x[order], starts, axis=0) / np.diff(np.append(starts, len(x)))[:, None]
+    return centres
+
+
+def train(x: np.ndarray, books: int = BOOKS, words: int = WORDS, rounds: int = 8, seed: int = 7, cells: int = 1) -> Codebooks:
+    """Codebooks for the rows of ``x``: k-means on what the books before leave over; and the centres of cells."""
     rng = np.random.default_rng(seed)
     left, out = x.astype(np.float32).copy(), []
     for _ in range(books):
-        k = min(words, len(left))
-        book = left[rng.choice(len(left), k, replace=False)].copy()
-        for _ in range(rounds):
-            near = ((book**2).sum(axis=1) - 2 * left @ book.T).argmin(axis=1)
-            n = np.bincount(near, minlength=k)
-            sums = np.zeros_like(book)
-            np.add.at(sums, near, left)
-            book[n > 0] = sums[n > 0] / n[n > 0, None]
+        book = kmeans(left, words, rounds, rng)
         near = ((book**2).sum(axis=1) - 2 * left @ book.T).argmin(axis=1)
         left -= book[near]
-        out.append(np.concatenate([book, np.zeros((words - k, x.shape[1]), np.float32)]))
-    return Codebooks(np.array(out))
+        out.append(np.concatenate([book, np.zeros((words - len(book), x.shape[1]), np.float32)]))
+    return Codebooks(np.array(out), kmeans(x.astype(np.float32), cells, rounds, rng))
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """``vec_id, embedding`` (doubles) of the vectors that take part: not null, not all zero, without null or non-finite components,
-    of the most frequent dimension, and with a vec_id. Of rows with equal vec_id the smallest vector is taken."""
+    """``row, vec_id, dim, embedding, h1, h2`` of the vectors that take part: not null, not all zero, and without null or non-finite components.
+
+    ``row`` numbers the rows, ``h1, h2`` are 128 bits of hash that equal vectors share. A vec_id may be null or repeated.
+    """
     finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    rows = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"))
+    rows = vectors.where(F.col("embedding").isNotNull()).select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"))
     rows = rows.where(F.coalesce(finite, F.lit(False)) & F.exists("embedding", lambda v: v != 0))
-    sizes = rows.groupBy(F.size("embedding").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
-    return rows.where(F.size("embedding") == (sizes.dim if sizes else 0)).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    return rows.select(F.monotonically_increasing_id().alias("row"), "vec_id", F.size("embedding").alias("dim"), "embedding", F.xxhash64("embedding").alias("h1"), F.xxhash64(F.lit(1), "embedding").alias("h2"))
 
 
-def build(vectors: DataFrame, books: int = BOOKS, words: int = WORDS, sample: int = FIT_VECTORS) -> tuple[Codebooks | None, DataFrame]:
-    """Codebooks and the index ``vec_id, embedding, codes, norm`` of every usable vector; no codebooks if there is none."""
-    rows = usable(vectors)
+def build(nodes: DataFrame, books: int = BOOKS, words: int = WORDS, sample: int = FIT_VECTORS) -> tuple[Codebooks, DataFrame]:
+    """Codebooks, and the index ``h1, h2, cell, codes, norm`` of all ``nodes(h1, h2, embedding)``, of which there is one at least."""
+    n = nodes.count()
     # at most ``sample`` vectors reach the driver
-    fitted = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toPandas()
-    schema = "vec_id long, embedding array<double>, codes binary, norm float"
-    if not len(fitted):
-        return None, vectors.sparkSession.createDataFrame([], schema)
-    coder = train(np.stack(fitted.sort_values("vec_id")["embedding"].to_numpy()), books, words)
-    shared = vectors.sparkSession.sparkContext.broadcast(coder)  # books * words vectors
-
-    def run(parts):
+    fitted = nodes.orderBy("h1", "h2").limit(sample).toPandas()
+    cells = max(1, min(CELLS, len(fitted) // 4, 1 << round(np.log2(n) / 2)))
+    coder = train(np.stack(fitted["embedding"].to_numpy()), books, words, cells=cells)
+    shared = nodes.sparkSession.sparkContext.broadcast(coder)  # books * words and CELLS vectors at most
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for a in range(0, len(part), 1024):
                 rows = part.iloc[a : a + 1024]
-                codes, norms = shared.value.encode(np.stack(rows["embedding"].to_numpy()))
-                yield pd.DataFrame({"vec_id": rows["vec_id"], "embedding": rows["embedding"], "codes": [c.tobytes() for c in codes], "norm": norms.astype(np.float32)})
+                x = np.stack(rows["embedding"].to_numpy())
+                codes, norms = shared.value.encode(x)
+                yield pd.DataFrame({"h1": rows["h1"], "h2": rows["h2"], "cell": shared.value.near_cells(x).argmin(axis=1), "codes": [c.tobytes() for c in codes], "norm": norms.astype(np.float32)})
 
-    return coder, written(rows.mapInPandas(run, schema), "codes")
+    return coder, written(nodes.select("h1", "h2", "embedding").mapInPandas(run, "h1 long, h2 long, cell int, codes binary, norm float"), "codes")
 
 
-def search(vectors: DataFrame, every: int = 100, k: int = 10, shortlist: int = SHORTLIST) -> DataFrame:
-    """``query_id, rank, vec_id, score``: the ``k`` nearest found of each usable vector whose vec_id is divisible by ``every``.
+def probes(asked: DataFrame, coder: Codebooks, sizes: np.ndarray) -> DataFrame:
+    """``q1, q2, vector, cell`` for each cell that a query of ``asked(h1, h2, embedding)`` visits, the nearest ones."""
+    shared = asked.sparkSession.sparkContext.broadcast((coder, sizes))
 
-    Every other usable vector is a candidate (see ``usable``), so rows of the query's own vec_id are not. Candidates and queries
-    meet in blocks of bounded size. In each block all candidates are scored by lookup tables, and the best ``shortlist`` are reranked by the exact Euclidean
-    distance of the original vectors in double precision; ties go to the smaller vec_id. With fewer than ``k`` candidates all are
-    returned, and without candidates or queries there are no rows.
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, n = shared.value
+        for part in parts:
+            for a in range(0, len(part), 256):
+                rows = part.iloc[a : a + 256]
+                x = np.stack(rows["embedding"].to_numpy())
+                order = np.argsort(own.near_cells(x), axis=1, kind="stable")
+                seen = np.cumsum(n[order], axis=1) - n[order]
+                use = (np.arange(order.shape[1]) < PROBES) | (seen < SEEN)
+                at, place = np.nonzero(use & (n[order] > 0))
+                vectors = np.array([v.tobytes() for v in x.astype(np.float32)], object)
+                yield pd.DataFrame({"q1": rows["h1"].to_numpy()[at], "q2": rows["h2"].to_numpy()[at], "vector": vectors[at], "cell": order[at, place]})
+
+    return asked.select("h1", "h2", "embedding").mapInPandas(run, "q1 long, q2 long, vector binary, cell int")
+
+
+def shortlists(visits: DataFrame, index: DataFrame, coder: Codebooks, sizes: np.ndarray, shortlist: int) -> DataFrame:
+    """``q1, q2, h1, h2``: for each query the ``shortlist`` vectors of its cells that are nearest by the lookup tables.
+
+    A cell's vectors and queries meet in blocks of bounded size, so a full cell is shared out among tasks.
     """
-    coder, index = build(vectors)
-    spark = vectors.sparkSession
-    if coder is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    spark = visits.sparkSession
+    asked = {r["cell"]: r["n"] for r in visits.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # CELLS rows at most
+    plan = spark.createDataFrame([(c, -(-int(sizes[c]) // BLOCK), -(-n // QUERIES)) for c, n in asked.items()], "cell int, blocks int, groups int")
+    plan = F.broadcast(plan)
+    place = lambda n, *key: F.pmod(F.xxhash64(*key), F.col(n)).cast("int")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = visits.join(plan, "cell").select("cell", all_of("blocks").alias("block"), place("groups", "q1", "q2").alias("group"), "q1", "q2", "vector")
+    right = index.join(plan, "cell").select("cell", place("blocks", "h1", "h2").alias("block"), all_of("groups").alias("group"), "h1", "h2", "codes", "norm")
     shared = spark.sparkContext.broadcast(coder)
-    queries = index.where(F.col("vec_id") % every == 0).select("vec_id", "embedding")
-    blocks, groups = max(1, -(-index.count() // BLOCK)), max(1, -(-queries.count() // QUERIES))
-    place = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
-    asked = queries.select(place(groups).alias("group"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "vec_id", "embedding")
-    there = index.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"), place(blocks).alias("block"), "vec_id", "embedding", "codes", "norm")
 
     def run(asked: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(asked) and len(there):
-            there = there.sort_values("vec_id")
-            ids, x = there["vec_id"].to_numpy(), np.stack(there["embedding"].to_numpy())
             codes = np.frombuffer(b"".join(there["codes"]), np.uint8).reshape(len(there), -1)
-            norms = there["norm"].to_numpy()
-            for a in range(0, len(asked), 128):
-                part = asked.iloc[a : a + 128]
-                q = np.stack(part["embedding"].to_numpy())
-                scores = shared.value.scores(q, codes, norms)
-                for own, vector, row in zip(part["vec_id"], q, scores, strict=True):
-                    row[ids == own] = np.inf
-                    best = np.sort(np.argpartition(row, min(shortlist, len(row)) - 1)[:shortlist])
-                    best = best[ids[best] != own]
-                    exact = np.sqrt(((x[best] - vector) ** 2).sum(axis=1))
-                    first = np.lexsort((ids[best], exact))[:k]
-                    out.append(pd.DataFrame({"query_id": own, "vec_id": ids[best][first], "score": exact[first]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
-
-    found = asked.groupBy("group", "block").cogroup(there.groupBy("group", "block")).applyInPandas(run, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return found.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
+            norms, h1, h2 = there["norm"].to_numpy(), there["h1"].to_numpy(), there["h2"].to_numpy()
+            q = np.frombuffer(b"".join(asked["vector"]), np.float32).reshape(len(asked), -1)
+            keep = min(shortlist, len(there))
+            for a in range(0, len(asked), 64):
+                scores = shared.value.scores(q[a : a + 64], codes, norms)
+                best = np.argpartition(scores, keep - 1, axis=1)[:, :keep]
+                own = asked.iloc[a : a + 64]
+                out.append(pd.DataFrame({"q1": np.repeat(own["q1"].to_numpy(), keep), "q2": np.repeat(own["q2"].to_numpy(), keep), "h1": h1[best].ravel(), "h2": h2[best].ravel(), "near": np.take_along_axis(scores, best, axis=1).ravel()}))
+        return pd.concat(out) if out else pd.DataFrame({"q1": [], "q2": [], "h1": [], "h2": [], "near": []}).astype({"q1": "int64", "q2": "int64", "h1": "int64", "h2": "int64"})
+
+    keys = ["cell", "block", "group"]
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, "q1 long, q2 long, h1 long, h2 long, near double")
+    return _first(found, ["q1", "q2"], [F.col("near"), F.col("h1"), F.col("h2")], shortlist).drop("near")
+
+
+def _first(rows: DataFrame, by: list[str], order: list[Column], n: int) -> DataFrame:
+    """The first ``n`` rows of each group."""
+    return rows.withColumn("_place", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_place") <= n).drop("_place")
+
+
+def search(vectors: DataFrame, every: int = 100, k: int = 10, shortlist: int = SHORTLIST) -> DataFrame:
+    """``query_id, rank, vec_id, score``: the ``k`` nearest found of each usable vector whose vec_id is divisible by ``every``.
+
+    Every other usable row of the same dimension is a candidate (see ``usable``), also one with the query's vec_id, or without any; each dimension has an
+    index of its own. Equal vectors are one node, so copies of a vector are searched and found once. Each node belongs to the cell of the nearest
+    centre, of which there are about as many as the square root of the number of nodes; a query visits the nearest PROBES cells, or more until they
+    have SEEN nodes. All nodes of these are scored by lookup tables, the best ``shortlist`` are reranked by the exact Euclidean
+    distance of the original vectors in double precision; ties go to the smaller vec_id, null last. With fewer than ``k`` candidates all are
+    returned, and without candidates or queries there are no rows.
+    """
+    rows = written(usable(vectors), "vectors")
+    out = vectors.sparkSession.createDataFrame([], RESULT)
+    for r in rows.groupBy("dim").agg(F.count_if(F.col("vec_id") % every == 0).alias("queries")).orderBy("dim").collect():
+        if r["queries"]:
+            out = out.union(_search(rows.where(F.col("dim") == r["dim"]), every, k, shortlist))
+    return out
+
+
+def _search(rows: DataFrame, every: int, k: int, shortlist: int) -> DataFrame:
+    nodes = written(rows.groupBy("h1", "h2").agg(F.first("embedding").alias("embedding")), "nodes")
+    coder, index = build(nodes)
+    sizes = np.zeros(len(coder.cells), np.int64)
+    for r in index.groupBy("cell").agg(F.count("*").alias("n")).collect():  # CELLS rows at most
+        sizes[r["cell"]] = r["n"]
+    queries = rows.where(F.col("vec_id") % every == 0).select("row", F.col("vec_id").alias("query_id"), "h1", "h2")
+    asked = nodes.join(queries.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi")
+    visits = written(probes(asked, coder, sizes), "visits")
+    found = written(shortlists(visits, index, coder, sizes, shortlist), "shortlists")
+    vector = lambda a, b, name: nodes.select(F.col("h1").alias(a), F.col("h2").alias(b), F.col("embedding").alias(name))
+    exact = found.join(vector("h1", "h2", "x"), ["h1", "h2"]).join(vector("q1", "q2", "y"), ["q1", "q2"])
+    squares = F.zip_with("x", "y", lambda a, b: (a - b) * (a - b))
+    exact = exact.select("q1", "q2", "h1", "h2", F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, v: s + v)).alias("score"))
+    order = [F.asc_nulls_last("vec_id"), F.col("row")]
+    # of equal vectors the first k + 1 rows are enough, since one may be the query's own
+    members = _first(rows.select("h1", "h2", "vec_id", "row"), ["h1", "h2"], order, k + 1)
+    near = _first(exact.join(members, ["h1", "h2"]), ["q1", "q2"], [F.col("score"), *order], k + 1).select("q1", "q2", "vec_id", F.col("row").alias("other"), "score")
+    pairs = queries.select(F.col("h1").alias("q1"), F.col("h2").alias("q2"), "row", "query_id").join(near, ["q1", "q2"]).where("row != other")
+    rank = F.row_number().over(Window.partitionBy("row").orderBy(F.col("score"), F.asc_nulls_last("vec_id"), F.col("other")))
+    return pairs.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
