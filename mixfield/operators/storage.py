@@ -23,15 +23,39 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def _kept(spark: SparkSession, path: str, df: DataFrame, table: str | None = None) -> DataFrame:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    df.stored_at = path, table
+    return df
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as a Parquet table in the shared folder and read again.
 
     It cuts the lineage: whoever reads the result is not affected by executors lost later. The table goes when
-    the application ends.
+    the application ends, or with ``discard``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return spark.read.schema(df.schema).parquet(path)
+    return _kept(spark, path, spark.read.schema(df.schema).parquet(path))
+
+
+def sorted_table(df: DataFrame, name: str, buckets: int, *key: str) -> DataFrame:
+    """``written`` as a table dealt into buckets by ``key`` and sorted in them, so that joins by the key need no shuffle of it."""
+    spark = df.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{table}"
+    df.write.format("parquet").bucketBy(buckets, *key).sortBy(*key).option("path", path).saveAsTable(table)
+    return _kept(spark, path, spark.table(table), table)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of ``written`` and ``sorted_table`` that nothing will read any more."""
+    for df in tables:
+        spark, (path, table) = df.sparkSession, df.stored_at
+        if table:
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
