@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Row
@@ -16,22 +17,27 @@ from mixfield.operators.storage import written
 
 @dataclass(frozen=True)
 class Scalars:
-    """Posterior of the share of noise, Beta(a, b), and of the concentration, Gamma(gamma1, gamma2)."""
+    """Posterior of the share of noise, Beta(a, b), and of the concentration, Gamma(gamma1, gamma2).
+
+    A share ``pi1`` or a concentration ``alpha0`` that is given is fixed, and the posterior of that one is of no effect.
+    """
 
     a: float
     b: float
     gamma1: float
     gamma2: float
+    pi1: float | None = None
+    alpha0: float | None = None
 
     @property
     def alpha(self) -> float:
-        return self.gamma1 / self.gamma2
+        return self.gamma1 / self.gamma2 if self.alpha0 is None else self.alpha0
 
 
-def scalars(components: DataFrame, resp_sums: Row, prior: dict) -> Scalars:
-    """From ``r0`` and ``r1`` (sums of noise and other responsibilities) and the components' expected logs."""
+def scalars(components: DataFrame, resp_sums: Row, prior: dict, pi1: float | None = None, alpha0: float | None = None) -> Scalars:
+    """From ``r0`` and ``r1`` (sums of noise and other responsibilities) and the components' expected logs, or fixed values."""
     row = components.agg(F.count("*").alias("n"), F.coalesce(F.sum("elog_1mu"), F.lit(0.0)).alias("s")).first()
-    return Scalars(prior["a"] + resp_sums["r0"], prior["b"] + resp_sums["r1"], prior["gamma1"] + row["n"], prior["gamma2"] - row["s"])
+    return Scalars(prior["a"] + resp_sums["r0"], prior["b"] + resp_sums["r1"], prior["gamma1"] + row["n"], prior["gamma2"] - row["s"], pi1, alpha0)
 
 
 def resp_sums(resp: DataFrame, axes=XY) -> DataFrame:
@@ -67,11 +73,16 @@ def stick_bound(components: DataFrame, s: Scalars, prior: dict) -> DataFrame:
     """One row ``stick``: the bound's part of the shares of components and their concentration."""
     own = F.coalesce(F.sum(c_beta(F.col("eta1"), F.col("eta0"))), F.lit(0.0))
     mean = F.lit(s.alpha)
+    if s.alpha0 is not None:
+        return components.agg((F.count("*") * c_beta(F.lit(1.0), mean) - own).alias("stick"))
     top = c_alpha(F.lit(prior["gamma1"]), F.lit(prior["gamma2"]), mean) - c_alpha(F.lit(s.gamma1), F.lit(s.gamma2), mean)
     return components.agg((top - own).alias("stick"))
 
 
-def noise_bound(r0: Column, s: Scalars, prior: dict) -> Column:
+def noise_bound(r0: Column, r1: Column, s: Scalars, prior: dict) -> Column:
+    """The bound's part of the share of noise, from the sums of noise and other responsibilities."""
+    if s.pi1 is not None:
+        return r0 * (math.log(s.pi1 / (1 - s.pi1)) + prior["logp0"]) + (r0 + r1) * math.log(1 - s.pi1)
     return r0 * prior["logp0"] + c_beta(F.lit(prior["a"]), F.lit(prior["b"])) - c_beta(F.lit(s.a), F.lit(s.b))
 
 
@@ -79,7 +90,7 @@ def bound(sums: DataFrame, components: DataFrame, s: Scalars, prior: dict, axes=
     """One row ``e_noise, e_obs, e_sb, e_ent, elbo`` from the sums of a step and the components it led to."""
     own = components.agg(F.coalesce(F.sum(prior_bound(prior, axes) - own_bound(axes)), F.lit(0.0)).alias("centres"))
     one = sums.crossJoin(own).crossJoin(stick_bound(components, s, prior))  # three single rows
-    parts = one.select(noise_bound(F.col("r0"), s, prior).alias("e_noise"), (F.col("centres") + F.col("cobs")).alias("e_obs"), F.col("stick").alias("e_sb"), (-F.col("entropy")).alias("e_ent"))
+    parts = one.select(noise_bound(F.col("r0"), F.col("r1"), s, prior).alias("e_noise"), (F.col("centres") + F.col("cobs")).alias("e_obs"), F.col("stick").alias("e_sb"), (-F.col("entropy")).alias("e_ent"))
     return parts.withColumn("elbo", F.col("e_noise") + F.col("e_obs") + F.col("e_sb") + F.col("e_ent"))
 
 
@@ -124,6 +135,8 @@ def _result(spark, noise: float, stick: float, entropy: float, obs: float) -> Da
 
 def _noise_change(spark, moved: float, s: Scalars, after: Scalars, prior: dict) -> float:
     """By ``moved`` more responsibility for noise."""
+    if s.pi1 is not None:
+        return moved * (math.log(s.pi1 / (1 - s.pi1)) + prior["logp0"])
     return _value(spark.range(1).select(F.lit(moved) * prior["logp0"] - c_beta(F.lit(after.a), F.lit(after.b)) + c_beta(F.lit(s.a), F.lit(s.b))))
 
 
@@ -166,7 +179,7 @@ def gap_birth(candidates: DataFrame, components: DataFrame, s: Scalars, prior: d
     centre = new_centre(sums, prior, axes)
     moved = centre["rk"]
     logs = components.agg(F.count("*").alias("n"), F.coalesce(F.sum("elog_1mu"), F.lit(0.0)).alias("s"), F.coalesce(F.sum("rk"), F.lit(0.0)).alias("rk")).first()
-    after = Scalars(s.a - moved, s.b + moved, prior["gamma1"] + logs["n"] + 1, prior["gamma2"] - logs["s"])
+    after = replace(s, a=s.a - moved, b=s.b + moved, gamma1=prior["gamma1"] + logs["n"] + 1, gamma2=prior["gamma2"] - logs["s"])
     old = _moved(_with_base(components), s, after).select("eta1", "eta0")
     born = spark.range(1).select(F.lit(1.0 + moved).alias("eta1"), F.lit(after.alpha + logs["rk"]).alias("eta0"))
     stick = _value(stick_bound(written(old.union(born), "moved"), after, prior)) - _value(stick_bound(components, s, prior))

@@ -39,6 +39,10 @@ class Config:
     propagate_rounds: int = 10
     seed: int = 7
 
+    def fixed(self, prior: dict) -> dict:
+        """The share of noise and the concentration where they are not inferred."""
+        return {"pi1": None if self.infer_pi1 else prior["pi1"], "alpha0": None if self.infer_alpha0 else prior["alpha0"]}
+
 
 @dataclass
 class Model:
@@ -76,7 +80,8 @@ def start(points: DataFrame, centres: DataFrame, config: Config | None = None, p
     """A model with the components ``centres(c, mu*, v*, eta1, eta0)``."""
     prior = prior or priors(points, axes)
     components = mstep.stick_weights(centres.withColumn("rk", F.col("eta1") - 1.0)).select("c", *(f"mu{a}" for a in axes), *(f"v{a}" for a in axes), "rk", "eta1", "eta0", "elog_u", "elog_1mu", "log_weight")
-    return Model(points, written(components, "components"), Scalars(prior["a"], prior["b"], prior["gamma1"], prior["gamma2"]), prior, config or Config(), tuple(axes))
+    config = config or Config()
+    return Model(points, written(components, "components"), Scalars(prior["a"], prior["b"], prior["gamma1"], prior["gamma2"], **config.fixed(prior)), prior, config, tuple(axes))
 
 
 def initial_centres(points: DataFrame, kind: str = "density_peaks", prior: dict | None = None, axes=XY, **options) -> DataFrame:
@@ -124,12 +129,8 @@ def step(model: Model, what: str = "update", from_resp: DataFrame | None = None)
         F.coalesce(F.sum("ent"), zero).alias("entropy"),
         (-0.5 * F.coalesce(F.sum(F.when(noise, 0.0).otherwise(F.col("obs"))), zero)).alias("cobs"),
     )
-    alpha = model.scalars.alpha if model.config.infer_alpha0 else model.prior["alpha0"]
-    components = written(mstep.update(model.components, stats.drop("ent", "obs"), model.prior, alpha, model.axes), "components")
-    scalars = bounds.scalars(components, sums.first(), model.prior)
-    if not model.config.infer_alpha0:
-        # a fixed concentration
-        scalars = replace(scalars, gamma1=model.prior["alpha0"], gamma2=1.0)
+    components = written(mstep.update(model.components, stats.drop("ent", "obs"), model.prior, model.scalars.alpha, model.axes), "components")
+    scalars = bounds.scalars(components, sums.first(), model.prior, **model.config.fixed(model.prior))
     elbo = float(bounds.bound(sums, components, scalars, model.prior, model.axes).first()["elbo"])
     n = components.count()
     history = [*model.history, {"iteration": len(model.history), "elbo": elbo, "components": n, "what": what}]

@@ -35,14 +35,17 @@ def _points(spark: SparkSession, folder: str) -> DataFrame:
     return views.event_points(spark, folder)
 
 
-def _setup(spark: SparkSession, folder: str) -> fit.Model:
+FIXED = fit.Config(prune=False, infer_pi1=False, infer_alpha0=False)
+
+
+def _setup(spark: SparkSession, folder: str, config: fit.Config = fit.Config(prune=False)) -> fit.Model:
     """Points of events with the cells' centres as components."""
     points = _points(spark, folder)
-    return fit.start(points, views.cell_centres(points), fit.Config(prune=False))
+    return fit.start(points, views.cell_centres(points), config)
 
 
-def _one_step(spark: SparkSession, folder: str) -> fit.Model:
-    return fit.step(_setup(spark, folder))
+def _one_step(spark: SparkSession, folder: str, config: fit.Config = fit.Config(prune=False)) -> fit.Model:
+    return fit.step(_setup(spark, folder, config))
 
 
 # Priors, local and global step
@@ -98,14 +101,25 @@ def stick_weights(spark, folder):
     return _shown(mstep.stick_weights(views.cell_centres(_points(spark, folder)))).select("c", "eta1", "eta0", "elog_u", "elog_1mu", "log_weight")
 
 
-@query(STEP + f"SELECT {o.rounded(2, 'e_noise', 'e_obs', 'e_sb', 'e_ent')} FROM el1")
-def elbo_terms(spark, folder):
-    before = _setup(spark, folder)
+ELBO = f"SELECT {o.rounded(2, 'e_noise', 'e_obs', 'e_sb', 'e_ent')} FROM el1"
+
+
+def _elbo_terms(before: fit.Model) -> DataFrame:
     sums = written(elbo.resp_sums(before.responsibilities()), "sums")
     after = fit.step(before)
     return rounded(elbo.bound(sums, after.components, after.scalars, after.prior), 2, "e_noise", "e_obs", "e_sb", "e_ent").drop("elbo")
 
 
+@query(STEP + ELBO)
+def elbo_terms(spark, folder):
+    return _elbo_terms(_setup(spark, folder))
+
+
+@query(o.with_(*o.BASE, o.estep(0, fixed=True), o.mstep(0, True)) + ELBO)
+def elbo_terms_fixed(spark, folder):
+    return _elbo_terms(_setup(spark, folder, FIXED))
+
+
 @query(o.with_(*o.BASE, *(x for i in range(3) for x in (o.estep(i), o.mstep(i)))) + CS + "cs3")
 def vb_3_iterations(spark, folder):
     model = _setup(spark, folder)
@@ -114,107 +128,145 @@ def vb_3_iterations(spark, folder):
     return _shown(model.components)
 
 
-# Moves. Component 5 is deleted or split, 3 and 5 are merged, and the noise left of 100 becomes a component.
+# Moves. Component 5 is deleted or split, 3 and 5 are merged, and the noise left of 100 becomes a component; with the share of noise and the
+# concentration inferred, and with both fixed.
 
-TWO = o.with_(*o.BASE, o.estep(0), o.mstep(0), o.estep(1), o.BASED)
-GAMMAS = "(SELECT g1 FROM sc1)", "(SELECT g2 FROM sc1)"
-DA = "({0}) / ({1}) - (SELECT g1 / g2 FROM sc1)"
 
+def _gap_sql(parts: list[str], noise: str | None, after: tuple[str, str], rest: str, entropy: str, obs: str, source: str, fixed: bool) -> str:
+    """SQL of a gap, from the moved responsibility and posterior of the share, the concentration after it, and its other terms."""
+    steps = o.with_(*o.BASE, o.estep(0, fixed=fixed), o.mstep(0, fixed), o.estep(1, fixed=fixed), o.BASED)
+    if fixed:
+        moved, stick = "0e0", f"{o.stick_fixed(rest)} - {o.stick_fixed('cs1')}"
+    else:
+        moved, stick = f"({after[0]}) / ({after[1]}) - (SELECT g1 / g2 FROM sc1)", f"{o.stick(rest, *after)} - {o.stick('cs1', '(SELECT g1 FROM sc1)', '(SELECT g2 FROM sc1)')}"
+    if noise:
+        share = f"({noise}) * {o.LOGIT}" if fixed else f"({noise}) * logp0 - {o.c_beta(f'(a + ({noise}))', f'(b - ({noise}))')} + {o.c_beta('a', 'b')}"
+    select = f"SELECT {share if noise else '0e0'} AS noise, {stick} AS stick, {entropy} AS entropy, {obs} AS obs FROM {source}"
+    return steps.rstrip() + ",\n" + ",\n".join(p.replace("{DA}", moved) for p in parts) + f",\ngap AS ({select})\nSELECT {o.GAP} FROM gap"
 
-def _gap_sql(parts: list[str], select: str) -> str:
-    return TWO.rstrip() + ",\n" + ",\n".join(parts) + f",\ngap AS ({select})\nSELECT {o.GAP} FROM gap"
 
+def _centre_sql(table: str, where: str = "") -> str:
+    return f"(SELECT sum({o.c_obs('mux', 'vx')} + {o.c_obs('muy', 'vy')}) FROM {table} {where})"
 
-def _shown_gap(gap: DataFrame) -> DataFrame:
-    return rounded(gap.drop("gap"), 2, "noise", "stick", "entropy", "obs")
 
+CO0 = f"({o.c_obs('mu0x', 'sigma02')} + {o.c_obs('mu0y', 'sigma02')})"
 
-DEL = "(SELECT g1 - 1 FROM sc1)", "(SELECT g2 + (SELECT e1 FROM cs1 WHERE c = 5) FROM sc1)"
 
-
-@query(
-    _gap_sql(
+def _delete_sql(fixed: bool) -> str:
+    return _gap_sql(
         [
             "k AS (SELECT o.*, z.r AS r0 FROM r1 o JOIN (SELECT id, r FROM r1 WHERE c = -1) z ON o.id = z.id WHERE c = 5 AND o.r > 0)",
             f"s AS (SELECT sum(r) AS m, sum(r * ({o.c_obs('x', 's2x')} + {o.c_obs('y', 's2y')})) AS co, sum(-{o.plogp('(r + r0)')} + {o.plogp('r0')} + {o.plogp('r')}) AS h FROM k)",
-            o.moved("rest", "(SELECT * FROM based WHERE c <> 5)", DA.format(*DEL)),
+            o.moved("rest", "(SELECT * FROM based WHERE c <> 5)", "{DA}"),
         ],
-        f"""SELECT m * logp0 - {o.c_beta('(a + m)', '(b - m)')} + {o.c_beta('a', 'b')} AS noise, {o.stick('rest', *DEL)} - {o.stick('cs1', *GAMMAS)} AS stick, h AS entropy,
-  -co - ({o.c_obs('mu0x', 'sigma02')} + {o.c_obs('mu0y', 'sigma02')}) + (SELECT {o.c_obs('mux', 'vx')} + {o.c_obs('muy', 'vy')} FROM cs1 WHERE c = 5) AS obs FROM s, sc1, prior""",
+        "m", ("(SELECT g1 - 1 FROM sc1)", "(SELECT g2 + (SELECT e1 FROM cs1 WHERE c = 5) FROM sc1)"), "rest", "h", f"-co - {CO0} + {_centre_sql('cs1', 'WHERE c = 5')}", "s, sc1, prior", fixed,
     )
-)
-def gap_delete(spark, folder):
-    m = _one_step(spark, folder)
-    return _shown_gap(elbo.gap_delete(m.responsibilities(), m.components, m.scalars, m.prior, 5))
-
 
-MRG = "(SELECT g1 - 1 FROM sc1)", "(SELECT g2 + (SELECT e1 FROM cs1 WHERE c = 5) FROM sc1)"
 
-
-@query(
-    _gap_sql(
+def _merge_sql(fixed: bool) -> str:
+    return _gap_sql(
         [
             f"k AS (SELECT id, x, y, s2x, s2y, sum(r) AS r, sum({o.plogp('r')}) AS apart FROM r1 WHERE c IN (3, 5) GROUP BY ALL)",
             o.new_centre("m", "k", "r"),
             f"s AS (SELECT sum(apart - {o.plogp('r')}) AS h FROM k)",
-            o.moved("rest", "(SELECT c, base, rk + CASE WHEN c = 3 THEN (SELECT rk FROM cs1 WHERE c = 5) ELSE 0 END AS rk FROM based WHERE c <> 5)", DA.format(*MRG)),
+            o.moved("rest", "(SELECT c, base, rk + CASE WHEN c = 3 THEN (SELECT rk FROM cs1 WHERE c = 5) ELSE 0 END AS rk FROM based WHERE c <> 5)", "{DA}"),
         ],
-        f"""SELECT 0e0 AS noise, {o.stick('rest', *MRG)} - {o.stick('cs1', *GAMMAS)} AS stick, h AS entropy,
-  -({o.c_obs('mu0x', 'sigma02')} + {o.c_obs('mu0y', 'sigma02')}) - ({o.c_obs('mux', 'vx')} + {o.c_obs('muy', 'vy')})
-  + (SELECT sum({o.c_obs('mux', 'vx')} + {o.c_obs('muy', 'vy')}) FROM cs1 WHERE c IN (3, 5)) AS obs FROM s, m, prior""",
+        None, ("(SELECT g1 - 1 FROM sc1)", "(SELECT g2 + (SELECT e1 FROM cs1 WHERE c = 5) FROM sc1)"), "rest", "h", f"-{CO0} - {_centre_sql('m')} + {_centre_sql('cs1', 'WHERE c IN (3, 5)')}", "s, prior", fixed,
     )
-)
-def gap_merge(spark, folder):
-    m = _one_step(spark, folder)
-    return _shown_gap(elbo.gap_merge(m.responsibilities(), m.components, m.scalars, m.prior, 3, 5))
 
 
-BRT = "(SELECT 2e0 + count(*) FROM cs1)", "(SELECT 1e-2 - sum(e1) FROM cs1)"
-
-
-@query(
-    _gap_sql(
+def _birth_sql(fixed: bool) -> str:
+    g1, g2 = "(SELECT 2e0 + count(*) FROM cs1)", "(SELECT 1e-2 - sum(e1) FROM cs1)"
+    alpha = o.ALPHA0 if fixed else f"({g1}) / ({g2})"
+    return _gap_sql(
         [
             "k AS (SELECT * FROM r1 WHERE c = -1 AND x < 100)",
             o.new_centre("m", "k", "r"),
-            o.moved("old", "based", DA.format(*BRT)),
-            f"rest AS (SELECT eta1, eta0 FROM old UNION ALL SELECT 1 + (SELECT rk FROM m), ({BRT[0]}) / ({BRT[1]}) + (SELECT sum(rk) FROM cs1))",
+            o.moved("old", "based", "{DA}"),
+            f"rest AS (SELECT eta1, eta0 FROM old UNION ALL SELECT 1 + (SELECT rk FROM m), {alpha} + (SELECT sum(rk) FROM cs1))",
         ],
-        f"""SELECT -rk * logp0 - {o.c_beta('(a - rk)', '(b + rk)')} + {o.c_beta('a', 'b')} AS noise, {o.stick('rest', *BRT)} - {o.stick('cs1', *GAMMAS)} AS stick, 0e0 AS entropy,
-  co + {o.c_obs('mu0x', 'sigma02')} + {o.c_obs('mu0y', 'sigma02')} - ({o.c_obs('mux', 'vx')} + {o.c_obs('muy', 'vy')}) AS obs FROM m, sc1, prior""",
+        "-rk", (g1, g2), "rest", "0e0", f"co + {CO0} - {_centre_sql('m')}", "m, sc1, prior", fixed,
     )
-)
-def gap_birth(spark, folder):
-    m = _one_step(spark, folder)
-    candidates = written(estep.noise_points(m.responsibilities(), -1.0).where("x < 100"), "noise")
-    return _shown_gap(elbo.gap_birth(candidates, m.components, m.scalars, m.prior))
-
-
-SPL = "(SELECT g1 + 1 FROM sc1)", "(SELECT 1e-2 - sum(e1) + (SELECT e1 FROM cs1 WHERE c = 5) FROM cs1)"
 
 
-@query(
-    _gap_sql(
+def _split_sql(fixed: bool) -> str:
+    return _gap_sql(
         [
             "k AS (SELECT *, r * CASE WHEN x < (SELECT mux FROM cs1 WHERE c = 5) THEN 0.9e0 ELSE 0.1e0 END AS ra FROM r1 WHERE c = 5 AND r > 0)",
             o.new_centre("ma", "k", "ra"),
             o.new_centre("mb", "k", "(r - ra)"),
             f"s AS (SELECT sum({o.plogp('r')} - {o.plogp('ra')} - {o.plogp('(r - ra)')}) AS h FROM k)",
-            o.moved("rest", "(SELECT CASE WHEN c > 5 THEN c + 1 ELSE c END AS c, base, CASE WHEN c = 5 THEN (SELECT rk FROM ma) ELSE rk END AS rk FROM based UNION ALL SELECT 6, base, (SELECT rk FROM mb) FROM based WHERE c = 5)", DA.format(*SPL)),
+            o.moved("rest", "(SELECT CASE WHEN c > 5 THEN c + 1 ELSE c END AS c, base, CASE WHEN c = 5 THEN (SELECT rk FROM ma) ELSE rk END AS rk FROM based UNION ALL SELECT 6, base, (SELECT rk FROM mb) FROM based WHERE c = 5)", "{DA}"),
         ],
-        f"""SELECT 0e0 AS noise, {o.stick('rest', *SPL)} - {o.stick('cs1', *GAMMAS)} AS stick, h AS entropy,
-  {o.c_obs('mu0x', 'sigma02')} + {o.c_obs('mu0y', 'sigma02')} - (SELECT {o.c_obs('mux', 'vx')} + {o.c_obs('muy', 'vy')} FROM ma) - (SELECT {o.c_obs('mux', 'vx')} + {o.c_obs('muy', 'vy')} FROM mb)
-  + (SELECT {o.c_obs('mux', 'vx')} + {o.c_obs('muy', 'vy')} FROM cs1 WHERE c = 5) AS obs FROM s, prior""",
+        None, ("(SELECT g1 + 1 FROM sc1)", "(SELECT 1e-2 - sum(e1) + (SELECT e1 FROM cs1 WHERE c = 5) FROM cs1)"), "rest", "h",
+        f"{CO0} - {_centre_sql('ma')} - {_centre_sql('mb')} + {_centre_sql('cs1', 'WHERE c = 5')}", "s, prior", fixed,
     )
-)
-def gap_split(spark, folder):
-    m = _one_step(spark, folder)
+
+
+def _shown_gap(gap: DataFrame) -> DataFrame:
+    return rounded(gap.drop("gap"), 2, "noise", "stick", "entropy", "obs")
+
+
+def _delete_gap(m: fit.Model) -> DataFrame:
+    return _shown_gap(elbo.gap_delete(m.responsibilities(), m.components, m.scalars, m.prior, 5))
+
+
+def _merge_gap(m: fit.Model) -> DataFrame:
+    return _shown_gap(elbo.gap_merge(m.responsibilities(), m.components, m.scalars, m.prior, 3, 5))
+
+
+def _birth_gap(m: fit.Model) -> DataFrame:
+    candidates = written(estep.noise_points(m.responsibilities(), -1.0).where("x < 100"), "noise")
+    return _shown_gap(elbo.gap_birth(candidates, m.components, m.scalars, m.prior))
+
+
+def _split_gap(m: fit.Model) -> DataFrame:
     at = float(m.components.where("c = 5").first()["mux"])
     rows = m.responsibilities().where("c = 5 and r > 0").withColumn("r1", F.col("r") * F.when(F.col("x") < at, 0.9).otherwise(0.1))
     proposed = written(rows.withColumn("r2", F.col("r") - F.col("r1")), "proposed")
     return _shown_gap(elbo.gap_split(proposed, m.components, m.scalars, m.prior, 5))
 
 
+@query(_delete_sql(False))
+def gap_delete(spark, folder):
+    return _delete_gap(_one_step(spark, folder))
+
+
+@query(_delete_sql(True))
+def gap_delete_fixed(spark, folder):
+    return _delete_gap(_one_step(spark, folder, FIXED))
+
+
+@query(_merge_sql(False))
+def gap_merge(spark, folder):
+    return _merge_gap(_one_step(spark, folder))
+
+
+@query(_merge_sql(True))
+def gap_merge_fixed(spark, folder):
+    return _merge_gap(_one_step(spark, folder, FIXED))
+
+
+@query(_birth_sql(False))
+def gap_birth(spark, folder):
+    return _birth_gap(_one_step(spark, folder))
+
+
+@query(_birth_sql(True))
+def gap_birth_fixed(spark, folder):
+    return _birth_gap(_one_step(spark, folder, FIXED))
+
+
+@query(_split_sql(False))
+def gap_split(spark, folder):
+    return _split_gap(_one_step(spark, folder))
+
+
+@query(_split_sql(True))
+def gap_split_fixed(spark, folder):
+    return _split_gap(_one_step(spark, folder, FIXED))
+
+
 # Spatial joins and initial centres
 
 RHO = "rho AS (SELECT a.id, a.x, a.y, count(*) AS n FROM pts a JOIN pts b ON pow(a.x - b.x, 2) + pow(a.y - b.y, 2) <= {0} GROUP BY ALL)"
