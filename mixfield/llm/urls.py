@@ -13,7 +13,11 @@ from mixfield.llm.common import written
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 #: At most so many labelled URLs, those with the smallest hash, train the trees.
 FIT_URLS = 4000
-FEATURES = ("length", "host_length", "labels", "depth", "digits", "entropy", "parameters", "longest_label", "hyphens", "ending_length", "secure", "suffix_rate", "start_rate")
+LEXICAL = ("length", "host_length", "labels", "depth", "digits", "entropy", "parameters", "longest_label", "hyphens", "ending_length", "secure", "last_label", "first_part")
+#: Statistics of the host's suffix: how many pages have it, and the share of blocked ones among the labelled URLs.
+FEATURES = (*LEXICAL, "suffix_pages", "suffix_rate")
+#: Labelled URLs are dealt into so many folds; the share that a URL is trained with comes from the other folds.
+FOLDS = 4
 
 
 def host_of(url: Column) -> Column:
@@ -26,7 +30,7 @@ def path_of(url: Column) -> Column:
 
 
 def rule_of(host: Column, path: Column, rules=RULES) -> Column:
-    """``rule, verdict`` of the longest rule that fits, by host and then path; null if none fits."""
+    """``rule, verdict`` of the rule that fits and is longest, host and path together; null if none fits."""
     fits = [
         F.when(((host == name) | host.endswith("." + name)) & path.startswith(start), F.struct(F.lit(len(name) + len(start)).alias("n"), F.lit(name + start).alias("rule"), F.lit(verdict).alias("verdict")))
         for verdict, name, start in rules
@@ -49,8 +53,15 @@ def entropy(text: Column) -> Column:
     return F.when(n > 0, F.log2(n) - runs / n).otherwise(0.0)
 
 
+def place_of(text: Column) -> Column:
+    """The place of a text in alphabetical order, by its first two letters."""
+    letters = [F.lower(F.substring(text, k, 1)) for k in (1, 2)]
+    first, second = (F.when(x != "", F.call_function("locate", x, F.lit("abcdefghijklmnopqrstuvwxyz"))).otherwise(0) for x in letters)
+    return (27 * first + second).cast("double")
+
+
 def lexical(pages: DataFrame) -> DataFrame:
-    """``pages`` with ``host``, ``path``, ``suffix`` (the host's last two labels), ``beginning`` and the lexical features of ``url``."""
+    """``pages`` with ``host``, ``path``, ``suffix`` (the host's last two labels) and the lexical features of ``url``."""
     url = F.coalesce(F.col("url"), F.lit(""))
     rows = pages.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
     labels = F.split("host", r"\.")
@@ -59,7 +70,6 @@ def lexical(pages: DataFrame) -> DataFrame:
     return rows.select(
         "*",
         F.substring_index("host", ".", -2).alias("suffix"),
-        F.concat(F.substring_index("host", ".", -1), F.regexp_extract("path", "^/?[^/]*/?", 0)).alias("beginning"),
         F.length(url).cast("double").alias("length"),
         F.length("host").cast("double").alias("host_length"),
         F.size(labels).cast("double").alias("labels"),
@@ -71,38 +81,51 @@ def lexical(pages: DataFrame) -> DataFrame:
         count("[^-]").alias("hyphens"),
         F.length(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)).cast("double").alias("ending_length"),
         F.when(url.startswith("https://"), 1.0).otherwise(0.0).alias("secure"),
+        place_of(F.substring_index("host", ".", -1)).alias("last_label"),
+        place_of(F.regexp_extract("path", "^/([^/]*)", 1)).alias("first_part"),
     )
 
 
-#: Statistics of labelled URLs by group: the host's suffix, and its last label with the first part of the path.
-RATES = {"suffix_rate": "suffix", "start_rate": "beginning"}
+def fold_of(url: Column) -> Column:
+    return F.pmod(F.xxhash64(F.lit(7), url), F.lit(FOLDS))
+
 
+def suffix_statistics(rows: DataFrame) -> DataFrame:
+    """``suffix, pages, blocked, labelled`` over all of ``rows(url, suffix, blocked)``, the last two as an array by fold."""
+    by_fold = lambda what: F.array(*(F.sum(F.when(fold_of(F.col("url")) == k, what).otherwise(0)) for k in range(FOLDS)))
+    known = F.col("blocked").isNotNull().cast("long")
+    return rows.groupBy("suffix").agg(F.count("*").alias("pages"), by_fold(F.coalesce("blocked", F.lit(0)).cast("long")).alias("in_fold_blocked"), by_fold(known).alias("in_fold_labelled"))
 
-def rates(labelled: DataFrame) -> dict[str, DataFrame]:
-    """The share of blocked URLs in each group over all of ``labelled``, drawn towards one half by one URL of each label."""
-    return {name: labelled.groupBy(by).agg(((F.sum("blocked") + 1.0) / (F.count("*") + 2.0)).alias(name)) for name, by in RATES.items()}
 
+def with_statistics(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """Adds ``suffix_pages`` and ``suffix_rate``, drawn towards one half by one URL of each label.
 
-def with_rates(rows: DataFrame, known: dict[str, DataFrame]) -> DataFrame:
-    """Adds the shares of a URL's groups, one half where none is labelled."""
-    for name, by in RATES.items():
-        rows = rows.join(known[name], by, "left").withColumn(name, F.coalesce(name, F.lit(0.5)))
-    return rows
+    A labelled URL's share leaves out its own fold, so no label is among a URL's own features.
+    """
+    every = lambda name: F.aggregate(name, F.lit(0).cast("long"), lambda a, x: a + x)
+    fold = fold_of(F.col("url"))
+    own = lambda name: F.when(F.col("blocked").isNotNull(), F.get(name, fold.cast("int"))).otherwise(0)
+    rate = (every("in_fold_blocked") - own("in_fold_blocked") + 1.0) / (every("in_fold_labelled") - own("in_fold_labelled") + 2.0)
+    rows = rows.join(known, "suffix", "left").withColumn("suffix_pages", F.coalesce(F.ln(F.col("pages") + 1.0), F.lit(0.0)))
+    return rows.withColumn("suffix_rate", F.coalesce(rate, F.lit(0.5))).drop("pages", "in_fold_blocked", "in_fold_labelled")
 
 
 def with_vector(rows: DataFrame) -> DataFrame:
     return VectorAssembler(inputCols=list(FEATURES), outputCol="features", handleInvalid="keep").transform(rows)
 
 
-def train(labelled: DataFrame, urls: int = FIT_URLS) -> GBTClassificationModel | None:
-    """Trees for ``labelled(url, blocked, ...)`` with lexical features, on at most ``urls`` of its rows; none if only one label occurs."""
-    columns = ["blocked", *FEATURES]
-    sample = labelled.where("blocked is not null").orderBy(F.xxhash64("url"), "url").limit(urls).select(*columns)
-    rows = with_vector(sample.coalesce(1)).select("features", F.col("blocked").cast("double").alias("label")).cache()
+def sampled(labelled: DataFrame, urls: int = FIT_URLS) -> DataFrame:
+    """At most ``urls`` rows with a label, those with the smallest hash of the URL."""
+    return labelled.where("blocked is not null").orderBy(F.xxhash64("url"), "url").limit(urls)
+
+
+def train(rows: DataFrame) -> GBTClassificationModel | None:
+    """Trees for a sample ``rows(blocked, ...)`` with all features; none if only one label occurs."""
+    rows = with_vector(rows.select("blocked", *FEATURES).coalesce(1)).select("features", F.col("blocked").cast("double").alias("label")).cache()
     try:
         if rows.select("label").distinct().count() < 2:
             return None
-        return GBTClassifier(maxIter=10, maxDepth=4, stepSize=0.3, seed=7).fit(rows)
+        return GBTClassifier(maxIter=20, maxDepth=4, maxBins=64, stepSize=0.3, seed=7).fit(rows)
     finally:
         rows.unpersist()
 
@@ -112,18 +135,17 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
 
     The host is what follows the first ``://`` up to ``/``, ``?``, ``#`` or the end, with A-Z in lower case, the path what follows up to ``?``, ``#`` or the
     end; both are empty for null and without ``://``. A rule fits its host and all subdomains if the path begins as the rule's; the longest decides. URLs
-    that a rule decides are the labelled ones: they train boosted trees on the lexical features, which decide the others. ``score`` is the
+    that a rule decides are the labelled ones: they train boosted trees on lexical features and statistics of the suffix, which decide the others. ``score`` is the
     trees' probability of blocking. If the rules leave fewer than two labels, the trees decide nothing and such URLs are allowed. A page_id
     may be null or repeated; other columns are dropped.
     """
     rows = lexical(pages.select("page_id", F.col("url").cast("string")))
     rows = rows.withColumn("_rule", rule_of(F.col("host"), F.col("path"), rules))
     rows = rows.withColumn("blocked", F.when(F.col("_rule").isNotNull(), (F.col("_rule.verdict") == "block").cast("int")))
-    labelled = rows.where("blocked is not null").select("url", *RATES.values(), "blocked", *(f for f in FEATURES if f not in RATES))
-    # tables of their own: Spark sees how small they are, and sends them to the URLs instead of shuffling those by suffix
-    known = {name: written(df, name) for name, df in rates(labelled).items()}
-    model = train(with_rates(labelled, known))
-    rows = with_rates(rows, known)
+    # a table of its own: Spark sees whether it is small, and sends it to the URLs instead of shuffling those by suffix
+    known = written(suffix_statistics(rows.select("url", "suffix", "blocked")), "suffixes")
+    model = train(with_statistics(sampled(rows), known))
+    rows = with_statistics(rows, known)
     if model is None:
         scored = rows.withColumn("score", F.lit(0.0))
     else:
