@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from mixfield.llm.batches import slices
 from mixfield.llm.common import written
 from mixfield.operators.graph import components
+from mixfield.operators.storage import discard
 
 SHINGLE, SEED = 3, 42
 #: Fingerprints with at most so many differing bits are linked.
@@ -25,6 +26,8 @@ PAIRED = 8
 NEAR_SHINGLE, SIMILARITY = 5, 0.8
 #: Each text has fingerprints of so many parts of its shingles at most.
 PARTS = 24
+#: Texts with at least so many of them are compared only if they have two in common.
+MANY = 12
 
 
 def shingle_hashes(text: bytes | None, size: int = SHINGLE, seed: int = SEED) -> np.ndarray:
@@ -195,9 +198,17 @@ def sketches(docs: DataFrame, size: int = NEAR_SHINGLE) -> DataFrame:
 
 
 def _placed(nodes: DataFrame) -> DataFrame:
-    """``node, fp, cell`` for each fingerprint of ``nodes``: a cell is one of the grid of its place, found by bit counts."""
-    rows = nodes.select("node", F.explode(F.arrays_zip("place", "fp")).alias("x")).select("node", "x.place", "x.fp")
-    return rows.select("node", "fp", F.xxhash64("place", own_cell(F.col("fp"))).alias("cell"))
+    """``node, parts, fp, cell`` for each fingerprint of ``nodes``: a cell is one of the grid of its place, found by bit counts."""
+    rows = nodes.select("node", F.size("place").alias("parts"), F.explode(F.arrays_zip("place", "fp")).alias("x")).select("node", "parts", "x.place", "x.fp")
+    return rows.select("node", "parts", "fp", F.xxhash64("place", own_cell(F.col("fp"))).alias("cell"))
+
+
+def sharing(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Those of ``pairs(a, b)`` with two fingerprints in common, or one if either text has few."""
+    keys = nodes.select("node", F.transform(F.arrays_zip("place", "fp"), lambda x: F.xxhash64(x["place"], x["fp"])).alias("keys"))
+    side = lambda name: keys.select(F.col("node").alias(name), F.col("keys").alias(f"keys_{name}"))
+    needed = F.when(F.least(F.size("keys_a"), F.size("keys_b")) >= MANY, 2).otherwise(1)
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(F.size(F.array_intersect("keys_a", "keys_b")) >= needed).select("a", "b")
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -246,11 +257,18 @@ def _centred(members: DataFrame) -> DataFrame:
 
 
 def apart(members: DataFrame, found: DataFrame) -> DataFrame:
-    """``node, root`` of the members of those cells that are in more than one component."""
-    rows = members.join(found, "node", "left").select("cell", "node", F.coalesce("root", "node").alias("root"))
+    """``node, root`` of members of cells with more than PAIRED texts that share them with another component.
+
+    Texts with many fingerprints count only where they share a second cell with another component as well.
+    """
+    rows = members.where(F.col("n") > PAIRED).join(found, "node", "left").select("cell", "node", "parts", F.coalesce("root", "node").alias("root"))
     rows = written(rows, "rooted")
-    open_cells = rows.groupBy("cell").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 != r2").select("cell")
-    return written(rows.join(open_cells, "cell", "left_semi").select("node", "root").distinct(), "apart")
+    # of several components
+    several = lambda df, key: df.join(df.groupBy(key).agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 != r2").select(key), key, "left_semi")
+    rows = written(several(rows, "cell"), "open")
+    both = rows.where(F.col("parts") >= MANY).join(members.select("node", F.col("cell").alias("second")), "node").where("cell != second")
+    both = written(both.select(F.xxhash64(F.least("cell", "second"), F.greatest("cell", "second")).alias("both"), "node", "root").distinct(), "both")
+    return written(several(both, "both").select("node", "root").union(rows.where(F.col("parts") < MANY).select("node", "root")).distinct(), "apart")
 
 
 def prefix_pairs(rows: DataFrame, docs: DataFrame, size: int = NEAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
@@ -282,7 +300,8 @@ def prefix_pairs(rows: DataFrame, docs: DataFrame, size: int = NEAR_SHINGLE, sim
     smaller = placed.where(F.col("place") <= F.col("n") - least(2 * similarity / (1 + similarity) * F.col("n"))).select("shingle", *(F.col(c).alias(f"{c}2") for c in ("node", "root", "n", "place")))
     needed = similarity / (1 + similarity) * (F.col("n") + F.col("n2")) - 1e-9
     left = F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2"))
-    fits = (F.col("root") != F.col("root2")) & (F.col("n2") <= F.col("n")) & (F.col("n2") >= similarity * F.col("n") - 1e-9) & (left >= needed)
+    first = (F.col("n2") < F.col("n")) | ((F.col("n2") == F.col("n")) & (F.col("node2") < F.col("node")))  # each pair one way round
+    fits = (F.col("root") != F.col("root2")) & first & (F.col("n2") >= similarity * F.col("n") - 1e-9) & (left >= needed)
     return _ordered(placed.join(smaller, "shingle").where(fits).select(F.col("node").alias("a"), F.col("node2").alias("b")))
 
 
@@ -291,8 +310,8 @@ def near_texts(docs: DataFrame, size: int = NEAR_SHINGLE, similarity: float = SI
 
     Texts are linked if they share at least ``similarity`` of their ``size``-word shingles. One 64-bit fingerprint of a whole text can't tell: at
     0.8 it differs in about ten bits, too many for a grid. So parts of a text's shingles have fingerprints of their own (see
-    ``part_fingerprints``), an unchanged part has the same bit counts, and texts that meet in a cell of the grid are verified
-    on their whole texts. ``node`` is ``text_hash`` of the row's text: equal texts are one node, so copies are never paired.
+    ``part_fingerprints``), an unchanged part has the same bit counts, and texts that meet in a cell of the grid and have two fingerprints in
+    common (one, if either has few) are verified on their whole texts. ``node`` is ``text_hash`` of the row's text: equal texts are one node, so copies are never paired.
 
     Up to PAIRED texts of a cell are compared with each other. In fuller cells each text meets one, and those of cells that are not all linked by
     then are compared by a prefix filter, which finds all that are similar without pairing the others (see ``prefix_pairs``).
@@ -304,13 +323,15 @@ def near_texts(docs: DataFrame, size: int = NEAR_SHINGLE, similarity: float = SI
     full = placed.groupBy("cell").agg(F.count("*").alias("n"), F.min("node").alias("a"), F.max("node").alias("b"), F.bit_xor("fp").alias("bits")).where("n > 1")
     full = written(full, "cells")
     two = full.where((F.col("n") == 2) & (F.bit_count("bits") <= DISTANCE)).select("a", "b")
-    members = written(placed.join(full.where("n > 2").select("cell", "n"), "cell").select("cell", "n", "node"), "members")
-    few, many = members.where(F.col("n") <= PAIRED), members.where(F.col("n") > PAIRED).select("cell", "node")
-    pairs = written(_ordered(two.union(_within(few, "cell")).union(_centred(many))), "pairs")
+    members = written(placed.join(full.select("cell", "n"), "cell").select("cell", "n", "node", "parts"), "members")
+    few, many = members.where((F.col("n") > 2) & (F.col("n") <= PAIRED)), members.where(F.col("n") > PAIRED).select("cell", "node")
+    pairs = written(sharing(_ordered(two.union(_within(few, "cell")).union(_centred(many))), nodes), "pairs")
     links = written(verified(pairs, docs, size, similarity), "links")
     found = components(links)
-    more = written(prefix_pairs(apart(many, found), docs, size, similarity).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    more = prefix_pairs(apart(members, found), docs, size, similarity).join(pairs, ["a", "b"], "left_anti")
+    more = written(sharing(more, nodes), "pairs")
     more = written(verified(more, docs, size, similarity), "links")
     if not more.isEmpty():
         found = components(links.union(more))
+    discard(nodes, full, members, pairs)
     return hashed.join(found, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))
