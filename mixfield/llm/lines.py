@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mixfield.llm.common import fresh, written
+from mixfield.operators.storage import discard
 
 #: Runs of at least so many lines are removed where they are repeated.
 MIN_LINES = 3
@@ -29,7 +30,9 @@ def positions(docs: DataFrame) -> DataFrame:
     lines = ordered.select("doc_id", "text_hash", F.size("lines").alias("n"), F.posexplode("lines").alias("place", "line"))
     # partitions are ranges of documents in order, so these ids follow the order of documents and lines
     lines = lines.withColumn("pos", F.monotonically_increasing_id())
-    return written(lines.select("doc_id", "text_hash", "place", "pos", (F.col("pos") - F.col("place") + F.col("n") - 1).alias("last"), "line.h1", "line.h2"), "lines")
+    lines = written(lines.select("doc_id", "text_hash", "place", "pos", (F.col("pos") - F.col("place") + F.col("n") - 1).alias("last"), "line.h1", "line.h2"), "lines")
+    discard(thin)
+    return lines
 
 
 def _ranked(blocks: DataFrame, *key: str) -> DataFrame:
@@ -43,13 +46,19 @@ def _ranked(blocks: DataFrame, *key: str) -> DataFrame:
     ordered = groups.repartitionByRange(*key).sortWithinPartitions(*key).withColumn("new", F.monotonically_increasing_id())
     # a table of its own, so that Spark can split the join with it where a block is very frequent
     ordered = written(ordered, "ranks")
-    return written(blocks.select("pos", "last", *key).join(ordered, list(key)).select("pos", "last", F.col("new").alias("rank"), "first"), "suffixes")
+    discard(groups)
+    found = written(blocks.select("pos", "last", *key).join(ordered, list(key)).select("pos", "last", F.col("new").alias("rank"), "first"), "suffixes")
+    discard(ordered)
+    return found
 
 
-def _joined(left: DataFrame, right: DataFrame, step: int) -> DataFrame:
-    """Blocks made of a block of ``left`` and one of ``right`` that begins ``step`` lines later in the same document."""
-    after = right.select((F.col("pos") - step).alias("pos"), F.col("last").alias("last_after"), F.col("rank").alias("rank_after"))
-    return written(left.join(after, "pos").where(F.col("last") == F.col("last_after")).select("pos", "last", "rank", "rank_after"), "blocks")
+def _joined(found: DataFrame, step: int) -> DataFrame:
+    """``_ranked`` for blocks made of two blocks of ``found``, the second of which begins ``step`` lines later in the same document."""
+    after = found.select((F.col("pos") - step).alias("pos"), F.col("last").alias("last_after"), F.col("rank").alias("rank_after"))
+    blocks = written(found.join(after, "pos").where(F.col("last") == F.col("last_after")).select("pos", "last", "rank", "rank_after"), "blocks")
+    ranked = _ranked(blocks, "rank", "rank_after")
+    discard(blocks)
+    return ranked
 
 
 class Suffixes:
@@ -61,19 +70,26 @@ class Suffixes:
     """
 
     def __init__(self, lines: DataFrame):
+        self.overlapping: list[DataFrame] = []
         self.levels = [_ranked(lines.select("pos", "last", "h1", "h2"), "h1", "h2")]
 
     def level(self, j: int) -> DataFrame:
         while len(self.levels) <= j:
-            self.levels.append(_ranked(_joined(self.levels[-1], self.levels[-1], 1 << (len(self.levels) - 1)), "rank", "rank_after"))
+            self.levels.append(_joined(self.levels[-1], 1 << (len(self.levels) - 1)))
         return self.levels[j]
 
     def intervals(self, length: int) -> DataFrame:
         """``pos, first`` of the suffixes in an interval whose longest common prefix has at least ``length`` lines, and its first position."""
         whole = length.bit_length() - 1
         found, over = self.level(whole), length - (1 << whole)
-        # two blocks that overlap
-        return _ranked(_joined(found, found, over), "rank", "rank_after") if over else found
+        if not over:
+            return found
+        self.overlapping.append(_joined(found, over))
+        return self.overlapping[-1]
+
+    def close(self) -> None:
+        """Deletes all tables."""
+        discard(*self.levels, *self.overlapping)
 
     def complete(self) -> None:
         """Doubles until no suffix is in an interval with another."""
@@ -88,7 +104,7 @@ class Suffixes:
         those that will follow them over fewer lines.
         """
         self.complete()
-        found = self.levels[-1].select("pos", "last", "first", F.lit(0).cast("long").alias("length"))  # no rows
+        start = found = self.levels[-1].select("pos", "last", "first", F.lit(0).cast("long").alias("length"))  # no rows
         group = ["first", "length"]
         for j in range(len(self.levels) - 2, -1, -1):
             step = self.levels[j]
@@ -102,7 +118,8 @@ class Suffixes:
             going = written(ahead.join(together, [*group, "rank"]).select("pos", "last", *group, "next"), "going")
             gone_on = going.select("pos", "last", F.col("next").alias("first"), (F.col("length") + (1 << j)).alias("length"))
             behind = together.select(F.col("next").alias("pos"), F.col("next_last").alias("last"), *group)
-            found = written(found.join(going.select("pos", *group), ["pos", *group], "left_anti").select("pos", "last", *group).union(gone_on).union(behind).union(entering), "prefixes")
+            before, found = found, written(found.join(going.select("pos", *group), ["pos", *group], "left_anti").select("pos", "last", *group).union(gone_on).union(behind).union(entering), "prefixes")
+            discard(ahead, together, going, *[before] * (before is not start))
         return found.groupBy("pos").agg(F.max("length").alias("length"))
 
 
@@ -139,6 +156,9 @@ def deduplicate(docs: DataFrame, min_lines: int = MIN_LINES, runs: bool = False)
         none = F.lit(None)
         both = one(found, "removed", none.cast("long").alias("longest")).unionByName(one(depth, none.cast("array<int>").alias("removed"), "longest"))
         found = both.groupBy(F.col("d").alias("doc_id"), F.col("t").alias("text_hash")).agg(F.first("removed", True).alias("removed"), F.first("longest", True).alias("longest"))
+    found = written(found, "removed")
+    suffixes.close()
+    discard(places)
     removed = found.select(F.col("doc_id").alias(at), F.col("text_hash").alias(text_hash), F.col("removed").alias(gone), *[F.col("longest").alias(longest)] * runs)
     rows = rows.withColumn(own, F.xxhash64("text", F.length("text")))
     rows = rows.join(removed, F.col("doc_id").cast("long").eqNullSafe(F.col(at)) & (F.col(own) == F.col(text_hash)), "left")

@@ -226,7 +226,7 @@ class Index:
         spans = written(joined.select("d", "key", F.col("lo").alias("start"), (F.col("n") + (window - 1)).alias("n")), "covered")
         low = found.agg(F.min("d")).first()[0]
         if not touched.isEmpty():
-            spans = spans.union(written(self._by_window(new, touched, low), "by-window"))
+            spans = spans.union(self._by_window(new, touched, low))
         self.runs.append((new, anchors))
         discard(found, known, touched, *[own] * (own is not new))
         return spans
@@ -253,7 +253,9 @@ class Index:
         earliest = opened.groupBy("w1", "w2").agg(F.min("d").alias("first"), F.max("d").alias("most")).where("first < most").select("w1", "w2", "first")
         earliest = written(earliest, "earliest")
         mine = thinned(opened.where(F.col("d") >= F.lit(low)), "w1", bitmap(earliest.select("w1")))
-        return mine.join(earliest, ["w1", "w2"]).where("first < d").select("d", "key", "start", F.lit(window).alias("n"))
+        found = written(mine.join(earliest, ["w1", "w2"]).where("first < d").select("d", "key", "start", F.lit(window).alias("n")), "by-window")
+        discard(wanted, opened, earliest)
+        return found
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int = BATCHES) -> DataFrame:
