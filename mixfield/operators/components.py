@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mixfield.operators.estep import NOISE, point_columns
+from mixfield.operators.order import numbered
 from mixfield.operators.spatial import XY
 
 
@@ -39,10 +40,26 @@ def insert_front(components: DataFrame, centre: DataFrame) -> DataFrame:
     return moved.unionByName(centre.withColumn("c", F.lit(0).cast("long")).select(*components.columns))
 
 
-def renumber(components: DataFrame, gone: list[int]) -> DataFrame:
-    """Components without the numbers ``gone``, and with those after them moved down."""
-    below = sum((F.when(F.col("c") > g, 1).otherwise(0) for g in gone), F.lit(0))
-    return components.where(~F.col("c").isin(gone)).withColumn("c", (F.col("c") - below).cast("long")) if gone else components
+#: Up to so many numbers are compared one by one in an expression, more are joined as a table.
+FEW = 16
+
+
+def renumber(rows: DataFrame, gone: list[int]) -> DataFrame:
+    """Rows without the components ``gone``, and with the numbers after them moved down."""
+    gone = sorted(set(gone))
+    if not gone:
+        return rows
+    if len(gone) <= FEW:
+        below = sum((F.when(F.col("c") > g, 1).otherwise(0) for g in gone), F.lit(0))
+        return rows.where(~F.col("c").isin(gone)).withColumn("c", (F.col("c") - below).cast("long"))
+    # one row for each component up to the last that goes
+    spark = rows.sparkSession
+    kept = spark.range(gone[-1]).join(spark.createDataFrame([(g,) for g in gone], "id long"), "id", "left_anti")
+    moved = numbered(kept, "_to", "id").withColumnRenamed("id", "_from")
+    table = moved.unionByName(spark.createDataFrame([(g, None) for g in gone], "_from long, _to long"))
+    found = rows.join(table, rows.c == F.col("_from"), "left").where("_from is null or _to is not null")
+    noise = F.when(F.col("c") == NOISE, F.col("c"))
+    return found.withColumn("c", F.coalesce(noise, "_to", F.col("c") - len(gone)).cast("long")).select(*rows.columns)
 
 
 def remove(resp: DataFrame, gone: list[int], axes=XY) -> DataFrame:

@@ -140,10 +140,10 @@ def _noise_change(spark, moved: float, s: Scalars, after: Scalars, prior: dict)
     return _value(spark.range(1).select(F.lit(moved) * prior["logp0"] - c_beta(F.lit(after.a), F.lit(after.b)) + c_beta(F.lit(s.a), F.lit(s.b))))
 
 
-def gap_delete(resp: DataFrame, components: DataFrame, s: Scalars, prior: dict, k: int, axes=XY) -> DataFrame:
+def gap_delete(resp: DataFrame, components: DataFrame, s: Scalars, prior: dict, k: int, axes=XY, stick: float | None = None) -> DataFrame:
     """One row ``noise, stick, entropy, obs, gap``: the change of the bound when component ``k`` becomes noise.
 
-    Only the rows of ``k``, and the noise rows of its points, are read.
+    Only the rows of ``k``, and the noise rows of its points, are read. A model whose shares are no sticks gives their part as ``stick``.
     """
     spark = resp.sparkSession
     both = written(resp.where(F.col("c").isin(k, NOISE)).select(*point_columns(axes), "c", "r"), "pair")
@@ -153,12 +153,13 @@ def gap_delete(resp: DataFrame, components: DataFrame, s: Scalars, prior: dict,
     row = components.where(F.col("c") == k).select("elog_1mu", own_bound(axes).alias("co"), prior_bound(prior, axes).alias("co0")).first()
     moved = float(sums["rk"] or 0.0)
     after = replace(s, a=s.a + moved, b=s.b - moved, gamma1=s.gamma1 - 1, gamma2=s.gamma2 + row["elog_1mu"])
-    rest = written(_moved(_with_base(components).where(F.col("c") != k), s, after), "moved")
-    stick = _value(stick_bound(rest, after, prior)) - _value(stick_bound(components, s, prior))
+    if stick is None:
+        rest = written(_moved(_with_base(components).where(F.col("c") != k), s, after), "moved")
+        stick = _value(stick_bound(rest, after, prior)) - _value(stick_bound(components, s, prior))
     return _result(spark, _noise_change(spark, moved, s, after, prior), stick, float(sums["entropy"] or 0.0), -float(sums["co"] or 0.0) - row["co0"] + row["co"])
 
 
-def gap_merge(resp: DataFrame, components: DataFrame, s: Scalars, prior: dict, k1: int, k2: int, axes=XY) -> DataFrame:
+def gap_merge(resp: DataFrame, components: DataFrame, s: Scalars, prior: dict, k1: int, k2: int, axes=XY, stick: float | None = None) -> DataFrame:
     """The same when component ``k2`` is added to ``k1 < k2``."""
     spark = resp.sparkSession
     pair = written(resp.where(F.col("c").isin(k1, k2)).select(*point_columns(axes), "r"), "pair")
@@ -167,12 +168,13 @@ def gap_merge(resp: DataFrame, components: DataFrame, s: Scalars, prior: dict, k
     centre = new_centre(sums, prior, axes)
     old = components.where(F.col("c").isin(k1, k2)).agg(F.sum(own_bound(axes)).alias("co"), F.max(prior_bound(prior, axes)).alias("co0"), F.max(F.when(F.col("c") == k2, F.col("elog_1mu"))).alias("gone"), F.max(F.when(F.col("c") == k2, F.col("rk"))).alias("rk")).first()
     after = replace(s, gamma1=s.gamma1 - 1, gamma2=s.gamma2 + old["gone"])
-    joined = _with_base(components).where(F.col("c") != k2).withColumn("rk", F.col("rk") + F.when(F.col("c") == k1, F.lit(old["rk"])).otherwise(0.0)).withColumn("eta1", 1.0 + F.col("rk"))
-    stick = _value(stick_bound(written(_moved(joined, s, after), "moved"), after, prior)) - _value(stick_bound(components, s, prior))
+    if stick is None:
+        joined = _with_base(components).where(F.col("c") != k2).withColumn("rk", F.col("rk") + F.when(F.col("c") == k1, F.lit(old["rk"])).otherwise(0.0)).withColumn("eta1", 1.0 + F.col("rk"))
+        stick = _value(stick_bound(written(_moved(joined, s, after), "moved"), after, prior)) - _value(stick_bound(components, s, prior))
     return _result(spark, 0.0, stick, float(sums["entropy"] or 0.0), -old["co0"] - _centre_value(spark, centre, axes) + old["co"])
 
 
-def gap_birth(candidates: DataFrame, components: DataFrame, s: Scalars, prior: dict, axes=XY) -> DataFrame:
+def gap_birth(candidates: DataFrame, components: DataFrame, s: Scalars, prior: dict, axes=XY, stick: float | None = None) -> DataFrame:
     """The same when ``candidates``, rows of noise, become a component in front of all others."""
     spark = candidates.sparkSession
     sums = candidates.agg(*_sums(candidates, F.col("r"), axes)).first()
@@ -180,14 +182,15 @@ def gap_birth(candidates: DataFrame, components: DataFrame, s: Scalars, prior: d
     moved = centre["rk"]
     logs = components.agg(F.count("*").alias("n"), F.coalesce(F.sum("elog_1mu"), F.lit(0.0)).alias("s"), F.coalesce(F.sum("rk"), F.lit(0.0)).alias("rk")).first()
     after = replace(s, a=s.a - moved, b=s.b + moved, gamma1=prior["gamma1"] + logs["n"] + 1, gamma2=prior["gamma2"] - logs["s"])
-    old = _moved(_with_base(components), s, after).select("eta1", "eta0")
-    born = spark.range(1).select(F.lit(1.0 + moved).alias("eta1"), F.lit(after.alpha + logs["rk"]).alias("eta0"))
-    stick = _value(stick_bound(written(old.union(born), "moved"), after, prior)) - _value(stick_bound(components, s, prior))
+    if stick is None:
+        old = _moved(_with_base(components), s, after).select("eta1", "eta0")
+        born = spark.range(1).select(F.lit(1.0 + moved).alias("eta1"), F.lit(after.alpha + logs["rk"]).alias("eta0"))
+        stick = _value(stick_bound(written(old.union(born), "moved"), after, prior)) - _value(stick_bound(components, s, prior))
     co0 = _value(spark.range(1).select(prior_bound(prior, axes)))
     return _result(spark, _noise_change(spark, -moved, s, after, prior), stick, 0.0, float(sums["co"] or 0.0) + co0 - _centre_value(spark, centre, axes))
 
 
-def gap_split(proposed: DataFrame, components: DataFrame, s: Scalars, prior: dict, k: int, axes=XY) -> DataFrame:
+def gap_split(proposed: DataFrame, components: DataFrame, s: Scalars, prior: dict, k: int, axes=XY, stick: float | None = None) -> DataFrame:
     """The same when component ``k`` becomes ``k`` and ``k + 1`` with the responsibilities ``r1`` and ``r2`` of ``proposed``.
 
     ``proposed`` has the columns of points for all that ``k`` has a responsibility for; the two add up to the old one.
@@ -200,10 +203,11 @@ def gap_split(proposed: DataFrame, components: DataFrame, s: Scalars, prior: dic
     row = components.where(F.col("c") == k).select("elog_1mu", own_bound(axes).alias("co"), prior_bound(prior, axes).alias("co0")).first()
     logs = components.agg(F.count("*").alias("n"), F.sum("elog_1mu").alias("s")).first()
     after = replace(s, gamma1=s.gamma1 + 1, gamma2=prior["gamma2"] - logs["s"] + row["elog_1mu"])
-    based = _with_base(components).withColumn("c", F.when(F.col("c") > k, F.col("c") + 1).otherwise(F.col("c")))
-    at = F.col("c") == k
-    kept = based.withColumn("rk", F.when(at, F.lit(centres[0]["rk"])).otherwise(F.col("rk"))).select("c", "rk", "_base")
-    made = based.where(at).select((F.col("c") + 1).alias("c"), F.lit(centres[1]["rk"]).alias("rk"), "_base")
-    both = written(_moved(kept.unionByName(made).withColumn("eta1", 1.0 + F.col("rk")), s, after), "moved")
-    stick = _value(stick_bound(both, after, prior)) - _value(stick_bound(components, s, prior))
+    if stick is None:
+        based = _with_base(components).withColumn("c", F.when(F.col("c") > k, F.col("c") + 1).otherwise(F.col("c")))
+        at = F.col("c") == k
+        kept = based.withColumn("rk", F.when(at, F.lit(centres[0]["rk"])).otherwise(F.col("rk"))).select("c", "rk", "_base")
+        made = based.where(at).select((F.col("c") + 1).alias("c"), F.lit(centres[1]["rk"]).alias("rk"), "_base")
+        both = written(_moved(kept.unionByName(made).withColumn("eta1", 1.0 + F.col("rk")), s, after), "moved")
+        stick = _value(stick_bound(both, after, prior)) - _value(stick_bound(components, s, prior))
     return _result(spark, 0.0, stick, float(one["entropy"] or 0.0), row["co0"] - sum(_centre_value(spark, x, axes) for x in centres) + row["co"])

@@ -67,32 +67,54 @@ def near_pairs(points: DataFrame, components: DataFrame, radius: float, axes=XY)
     Points are put into classes by the power of two above their radius, and each class is joined on a grid of its own size, so a few
     uncertain points don't coarsen the grid of all others. Components are repeated for every class that occurs.
     """
+    left, levels, cells = _classed(points.select(*point_columns(axes)), radius, axes)
+    centre = _around(components.select(*component_columns(axes)), levels, cells, axes)
+    d2 = reduce(lambda a, b: a + b, [(F.col(a) - F.col(f"mu{a}")) ** 2 for a in axes])
+    return left.join(centre, ["level", *cells]).where(d2 < F.col("reach2")).drop("reach2", "level", *cells)
+
+
+def _classed(points: DataFrame, radius: float, axes) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Points with ``reach2``, ``level`` and cells of their level's size; the levels that occur; the names of the cells."""
     mean = reduce(lambda a, b: a + b, [F.col(f"s2{a}") for a in axes]) / len(axes)
     reach = F.lit(radius) * F.sqrt(mean)
-    rows = points.select(*point_columns(axes), (reach * reach).alias("reach2"), F.ceil(F.log2(reach)).cast("int").alias("level"))
-    levels = rows.select("level").distinct()
+    rows = points.withColumn("reach2", reach * reach).withColumn("level", F.ceil(F.log2(reach)).cast("int"))
     cells = [f"cell_{a}" for a in axes]
     size = F.pow(F.lit(2.0), F.col("level"))
-    left = rows.withColumns({c: F.floor(F.col(a) / size) for c, a in zip(cells, axes, strict=True)})
-    right = components.select(*component_columns(axes)).crossJoin(F.broadcast(levels))  # a level for each power of two
-    centre = right.withColumns({c: F.floor(F.col(f"mu{a}") / size) for c, a in zip(cells, axes, strict=True)})
+    return rows.withColumns({c: F.floor(F.col(a) / size) for c, a in zip(cells, axes, strict=True)}), rows.select("level").distinct(), cells
+
+
+def _around(components: DataFrame, levels: DataFrame, cells: list[str], axes) -> DataFrame:
+    """Components in the cells around their own, for every level; a level for each power of two."""
+    size = F.pow(F.lit(2.0), F.col("level"))
+    rows = components.crossJoin(F.broadcast(levels)).withColumns({c: F.floor(F.col(f"mu{a}") / size) for c, a in zip(cells, axes, strict=True)})
     for c in cells:
-        centre = centre.withColumn(c, F.explode(F.array(F.col(c) - 1, F.col(c), F.col(c) + 1)))
-    d2 = reduce(lambda a, b: a + b, [(F.col(a) - F.col(f"mu{a}")) ** 2 for a in axes])
-    return left.join(centre, ["level", *cells]).where(d2 < F.col("reach2")).drop("reach2", "level", *cells)
+        rows = rows.withColumn(c, F.explode(F.array(F.col(c) - 1, F.col(c), F.col(c) + 1)))
+    return rows
 
 
 def sparse(points: DataFrame, components: DataFrame, logit: Column, radius: float = 4.0, axes=XY) -> DataFrame:
     """As ``dense``, with only the components that are near a point (see ``near_pairs``) and its noise row.
 
-    For any number of components. Log weights 50 below the best of a point give 0.
+    For any number of components: those near a cell come to its points as an array, and a point's weights are normalized in its row, so
+    pairs are never shuffled. Log weights 50 below the best of a point give 0.
     """
-    pairs = near_pairs(points, components, radius, axes)
-    k = F.struct(*component_columns(axes))
     own = point_columns(axes)
-    rows = pairs.withColumn("k", k).select(*own, F.col("c").cast("long").alias("c"), log_density(F.col("k"), axes).alias("logp"))
-    rows = rows.unionByName(points.select(*own, F.lit(NOISE).cast("long").alias("c"), logit.cast("double").alias("logp")))
-    return softmax(rows, UNDERFLOW)
+    left, levels, cells = _classed(points.select(*own), radius, axes)
+    there = _around(components.select(*component_columns(axes)), levels, cells, axes).groupBy("level", *cells).agg(F.collect_list(F.struct(*component_columns(axes))).alias("ks"))
+    rows = left.join(there, ["level", *cells], "left")
+    d2 = lambda k: reduce(lambda a, b: a + b, [(F.col(a) - k[f"mu{a}"]) ** 2 for a in axes])
+    near = F.filter(F.coalesce("ks", F.array()), lambda k: d2(k) < F.col("reach2"))
+    return normalized(rows, own, near, logit, axes, UNDERFLOW)
+
+
+def normalized(rows: DataFrame, own: list[str], centres: Column, logit: Column, axes=XY, cut: float | None = None) -> DataFrame:
+    """``c, logp, r`` and the columns ``own`` for noise and each of a row's array of components, normalized within the row."""
+    logs = F.transform(centres, lambda k: F.struct(k["c"].cast("long").alias("c"), log_density(k, axes).alias("logp")))
+    rows = rows.select(*own, F.concat(F.array(F.struct(F.lit(NOISE).cast("long").alias("c"), logit.cast("double").alias("logp"))), logs).alias("logs"))
+    rows = rows.withColumn("top", F.array_max(F.transform("logs", lambda v: v["logp"])))
+    weight = lambda logp: F.exp(logp - F.col("top")) if cut is None else F.when(logp - F.col("top") < cut, 0.0).otherwise(F.exp(logp - F.col("top")))
+    rows = rows.withColumn("total", F.aggregate("logs", F.lit(0.0), lambda s, v: s + weight(v["logp"])))
+    return rows.select(*own, "top", "total", F.explode("logs").alias("k")).select(*own, F.col("k.c").alias("c"), F.col("k.logp").alias("logp"), (weight(F.col("k.logp")) / F.col("total")).alias("r"))
 
 
 def softmax(rows: DataFrame, cut: float | None = None, clip: float | None = None) -> DataFrame:

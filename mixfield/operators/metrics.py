@@ -5,14 +5,13 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mixfield.functions.special import normal_cdf, normal_pdf
+from mixfield.operators.order import numbered
 from mixfield.operators.spatial import XY, packed
-
+from mixfield.operators.storage import written
 
 
 def weighted_means(points: DataFrame, by: str, axes=XY) -> DataFrame:
@@ -36,12 +35,14 @@ def trace_summary(samples: DataFrame, by: str, value: str) -> DataFrame:
     return samples.groupBy(by).agg(F.avg(value).alias("mean"), p(0.5).alias("median"), p(0.025).alias("low"), p(0.975).alias("high"))
 
 
-def ks_statistic(samples: DataFrame, value: str) -> DataFrame:
-    """``n, d``: the largest distance of the sample's distribution from the normal one of its mean and standard deviation.
+def ks_statistic(samples: DataFrame, value: str, mean: float | None = None, std: float | None = None) -> DataFrame:
+    """``n, d, p``: the largest distance of the sample's distribution from a normal one, and its probability by chance.
+
+    The normal distribution has the given mean and standard deviation, or the sample's own.
 
     Values are ranked in order by counting equal values and adding up the counts of runs of ranks, so no task orders all of them.
     """
-    moments = samples.agg(F.avg(value).alias("m"), F.stddev_pop(value).alias("s"), F.count(value).alias("n"))
+    moments = samples.agg((F.avg(value) if mean is None else F.lit(float(mean))).alias("m"), (F.stddev_pop(value) if std is None else F.lit(float(std))).alias("s"), F.count(value).alias("n"))
     counts = samples.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("k"))
     # a thousand bins between mean -+ 4 deviations hold bounded parts of the values
     binned = counts.crossJoin(F.broadcast(moments)).withColumn("bin", F.floor(F.greatest(F.least((F.col("v") - F.col("m")) / F.col("s"), F.lit(4.0)), F.lit(-4.0)) * 125))
@@ -50,7 +51,8 @@ def ks_statistic(samples: DataFrame, value: str) -> DataFrame:
     upto = F.sum("k").over(Window.partitionBy("bin").orderBy("v")) + F.col("before")
     ranked = binned.join(sums, F.col("bin") == F.col("b")).withColumn("upto", upto)
     cdf = normal_cdf((F.col("v") - F.col("m")) / F.col("s"))
-    return ranked.agg(F.max("n").alias("n"), F.max(F.greatest(F.col("upto") / F.col("n") - cdf, cdf - (F.col("upto") - F.col("k")) / F.col("n"))).alias("d"))
+    found = ranked.agg(F.max("n").alias("n"), F.max(F.greatest(F.col("upto") / F.col("n") - cdf, cdf - (F.col("upto") - F.col("k")) / F.col("n"))).alias("d"))
+    return found.withColumn("p", kolmogorov_p(F.col("d"), F.col("n")))
 
 
 def bayes_factor(left: DataFrame, right: DataFrame, value: str, bandwidth: float, prior_std: float) -> DataFrame:
@@ -63,36 +65,53 @@ def bayes_factor(left: DataFrame, right: DataFrame, value: str, bandwidth: float
     return pairs.agg((density / (1.0 / (prior_std * math.sqrt(2 * math.pi)))).alias("factor"))
 
 
-def two_centre_chain(points: DataFrame, chains: int = 2, draws: int = 1000, warm_up: int = 500, seed: int = 7) -> DataFrame:
-    """``chain, draw, weight, x1, y1, x2, y2``: Metropolis samples of a mixture of two centres with a Beta(5, 5) weight.
+def pairwise_factor(left: DataFrame, right: DataFrame, value: str, prior_std: float, by: str | None = None, parts: int = 50, reach: float = 8.0) -> DataFrame:
+    """``[by,] n, bandwidth, factor``: the ratio for no difference from all pairs of two samples, by groups of ``by`` if given.
 
-    Each chain is a task that holds the points, so this is for the comparison of small samples.
+    The kernel's bandwidth is Scott's, for the standard deviation of all differences. Values are put into bins of a ``parts``-th of it, and
+    bins up to ``reach`` bandwidths apart are weighed with each other, so there is no row for a pair of values.
+    """
+    key = [by] if by else []
+    one = lambda df: df.where(F.col(value).isNotNull()).select(*key, F.col(value).alias("v"))
+    sides = one(left).withColumn("side", F.lit(0)).unionByName(one(right).withColumn("side", F.lit(1)))
+    at = lambda k, x: F.when(F.col("side") == k, x)
+    sums = sides.groupBy(*key).agg(F.count(at(0, F.col("v"))).alias("n0"), F.count(at(1, F.col("v"))).alias("n1"), F.var_pop(at(0, F.col("v"))).alias("v0"), F.var_pop(at(1, F.col("v"))).alias("v1"))
+    pairs = F.col("n0") * F.col("n1")
+    sums = sums.where("n0 > 0 and n1 > 0").withColumn("bandwidth", F.sqrt((F.col("v0") + F.col("v1")) * pairs / (pairs - 1)) * F.pow(pairs, F.lit(-0.2))).where("bandwidth > 0")
+    sums = written(sums, "sums")  # one row a group
+    placed = sides.join(F.broadcast(sums), key) if key else sides.crossJoin(F.broadcast(sums))
+    binned = placed.groupBy(*key, "side", "bandwidth", F.floor(F.col("v") * parts / F.col("bandwidth")).alias("bin")).agg(F.count("*").alias("k"))
+    binned = written(binned, "bins")
+    # bins of the right side go to blocks of their own size and the two around it
+    width = int(reach * parts)
+    a = binned.where("side = 0").select(*key, "bandwidth", F.col("bin").alias("b0"), F.col("k").alias("k0"), F.floor(F.col("bin") / width).alias("block"))
+    b = binned.where("side = 1").select(*key, F.col("bin").alias("b1"), F.col("k").alias("k1"), F.explode(F.sequence(F.floor(F.col("bin") / width) - 1, F.floor(F.col("bin") / width) + 1)).alias("block"))
+    near = a.join(b, [*key, "block"]).where(F.abs(F.col("b0") - F.col("b1")) <= width)
+    density = near.groupBy(*key).agg(F.sum(F.col("k0") * F.col("k1") * F.exp(-0.5 * F.pow((F.col("b0") - F.col("b1")) / float(parts), 2))).alias("sum"))
+    rows = sums.join(density, key, "left") if key else sums.crossJoin(density)
+    density_at_0 = F.coalesce("sum", F.lit(0.0)) / (pairs * F.col("bandwidth") * math.sqrt(2 * math.pi))
+    return rows.select(*key, pairs.alias("n"), "bandwidth", (density_at_0 * prior_std * math.sqrt(2 * math.pi)).alias("factor"))
+
+
+def kolmogorov_p(d, n, terms: int = 100):
+    """The probability that the statistic of ``n`` values is at least ``d`` by chance, in the limit of many values."""
+    x = d * F.sqrt(n.cast("double"))
+    tail = reduce(lambda a, b: a + b, [(2.0 if k % 2 else -2.0) * F.exp(-2.0 * k * k * x * x) for k in range(1, terms)])
+    # near 0 the series doesn't settle, and the probability is 1
+    return F.when(x < 0.2, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), tail)))
+
+
+def comparison_report(left: DataFrame, right: DataFrame, value: str, prior_std: float, by: str = "separation") -> DataFrame:
+    """A row for each separation: means of both samples, their distance, its 95 % interval, and the ratio for no difference.
+
+    ``left`` and ``right`` have ``(by, value)``, samples of one coordinate of the two centres.
     """
-    rows = points.select("x", "y", "s2x", "s2y").withColumn("chain", F.explode(F.sequence(F.lit(0), F.lit(chains - 1))))
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        chain = int(group["chain"].iloc[0])
-        rng = np.random.default_rng([seed, chain])
-        x, s2 = group[["x", "y"]].to_numpy(), group[["s2x", "s2y"]].to_numpy()
-        order = np.lexsort(x.T)
-        x, s2 = x[order], s2[order]
-
-        def log_post(state: np.ndarray) -> float:
-            w = 1 / (1 + np.exp(-state[0]))
-            parts = [-0.5 * ((x - m) ** 2 / s2 + np.log(2 * np.pi * s2)).sum(axis=1) for m in (state[1:3], state[3:5])]
-            return np.logaddexp(np.log(w) + parts[0], np.log1p(-w) + parts[1]).sum() + 5 * (np.log(w) + np.log1p(-w))
-
-        spread = x.std(axis=0)
-        state = np.concatenate([[0.0], x.mean(axis=0) - spread, x.mean(axis=0) + spread])
-        step = np.concatenate([[0.3], *[np.sqrt(s2.mean(axis=0) / max(len(x), 1)) * 1.5] * 2])
-        now, out = log_post(state), []
-        for i in range(warm_up + draws):
-            other = state + step * rng.standard_normal(5)
-            then = log_post(other)
-            if np.log(rng.random()) < then - now:
-                state, now = other, then
-            if i >= warm_up:
-                out.append((chain, i - warm_up, 1 / (1 + np.exp(-state[0])), *state[1:]))
-        return pd.DataFrame(out, columns=["chain", "draw", "weight", "x1", "y1", "x2", "y2"])
-
-    return rows.groupBy("chain").applyInPandas(run, "chain long, draw long, weight double, x1 double, y1 double, x2 double, y2 double")
+    side = lambda df, name: df.groupBy(by).agg(F.avg(value).alias(f"mean_{name}"), F.var_samp(value).alias(f"var_{name}"), F.count(value).alias(f"n_{name}"))
+    rows = side(left, "left").join(side(right, "right"), by).join(pairwise_factor(left, right, value, prior_std, by).select(by, "factor"), by, "left")
+    gap, spread = F.col("mean_right") - F.col("mean_left"), F.sqrt(F.col("var_left") + F.col("var_right"))
+    return rows.select(by, "n_left", "n_right", "mean_left", "mean_right", gap.alias("distance"), (gap - 1.96 * spread).alias("low"), (gap + 1.96 * spread).alias("high"), "factor")
+
+
+def sorted_centres(centres: DataFrame, axes=XY) -> DataFrame:
+    """Centres numbered from 0 in order of their first axis, then the others; an axis is never sorted apart from its row."""
+    return numbered(centres.drop("c"), "c", *(f"mu{a}" for a in axes)).withColumn("c", F.col("c").cast("long")).select("c", *(x for x in centres.columns if x != "c"))

@@ -6,10 +6,11 @@ import math
 from functools import reduce
 from itertools import product
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mixfield.operators.graph import label_components
+from mixfield.operators.order import numbered
 from mixfield.operators.storage import written
 
 XY = ("x", "y")
@@ -51,7 +52,12 @@ def range_join(left: DataFrame, right: DataFrame, radius: float, axes=XY, within
 
 
 def neighbour_counts(points: DataFrame, radius: float, axes=XY, parts: int = 4) -> DataFrame:
-    """``id, n``: points at most ``radius`` away, the point itself included.
+    """``id, n``: points at most ``radius`` away, the point itself included."""
+    return counts_within(points, points, radius, axes, parts)
+
+
+def counts_within(points: DataFrame, others: DataFrame, radius: float, axes=XY, parts: int = 4, how_close: str = "<=") -> DataFrame:
+    """``id, n``: the number of ``others(*axes)`` at most ``radius`` away (or nearer, with ``<``), for points with any.
 
     Each point looks at the cells, ``parts`` to a radius, that its circle reaches. Of a cell that lies in the circle as a whole only the number of points
     is needed; the points of the other cells, on the rim, are compared one by one.
@@ -59,6 +65,7 @@ def neighbour_counts(points: DataFrame, radius: float, axes=XY, parts: int = 4)
     size = radius / parts
     cells = [f"cell_{a}" for a in axes]
     thin = with_cells(points.select("id", *axes), size, axes)
+    there = with_cells(others.select(*axes), size, axes)
     reach = [s for s in product(range(-parts - 1, parts + 2), repeat=len(axes)) if sum(max(abs(k) - 1, 0) ** 2 for k in s) <= parts**2]
     shifts = F.array(*(F.struct(*(F.lit(k).alias(f"k_{a}") for a, k in zip(axes, s, strict=True))) for s in reach))
     rows = thin.withColumn("k", F.explode(shifts)).select("id", *axes, *((F.col(f"cell_{a}") + F.col(f"k.k_{a}")).alias(f"cell_{a}") for a in axes))
@@ -70,23 +77,18 @@ def neighbour_counts(points: DataFrame, radius: float, axes=XY, parts: int = 4)
         near = near + F.greatest(low - F.col(a), F.col(a) - high, F.lit(0.0)) ** 2
         far = far + F.greatest(F.col(a) - low, high - F.col(a)) ** 2
     rows = rows.withColumn("whole", far <= limit).where(near <= limit)
-    sizes = thin.groupBy(*cells).agg(F.count("*").alias("n"))
+    sizes = there.groupBy(*cells).agg(F.count("*").alias("n"))
     inside = rows.where("whole").join(sizes, cells).groupBy("id").agg(F.sum("n").alias("n"))
     rim = rows.where("not whole").select(F.col("id").alias("l_id"), *(F.col(a).alias(f"l_{a}") for a in axes), *cells)
-    there = thin.select(*(F.col(a).alias(f"r_{a}") for a in axes), *cells)
-    counted = rim.join(there, cells).where(distance2("l", "r", axes) <= limit).groupBy(F.col("l_id").alias("id")).agg(F.count("*").alias("n"))
+    there = there.select(*(F.col(a).alias(f"r_{a}") for a in axes), *cells)
+    d2 = distance2("l", "r", axes)
+    counted = rim.join(there, cells).where(d2 <= limit if how_close == "<=" else d2 < limit).groupBy(F.col("l_id").alias("id")).agg(F.count("*").alias("n"))
     return inside.union(counted).groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def density_rank(rho: DataFrame) -> DataFrame:
-    """``id, n, rank``: the order of falling density, ties by id.
-
-    Ranks are made in two steps, by density and within a density, so that no task orders all points.
-    """
-    sizes = rho.groupBy("n").agg(F.count("*").alias("own"))
-    before = sizes.select(F.col("n").alias("m"), F.coalesce(F.sum("own").over(Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    inside = rho.withColumn("inside", F.row_number().over(Window.partitionBy("n").orderBy("id")))
-    return inside.join(before, inside.n == before.m).select("id", "n", (F.col("before") + F.col("inside")).alias("rank"))
+    """``id, n, rank``: the order of falling density, ties by id, from 1."""
+    return numbered(rho.select("id", "n"), "rank", F.desc("n"), F.asc("id")).withColumn("rank", F.col("rank") + 1)
 
 
 def density_peaks(points: DataFrame, gk: float = 35.0, axes=XY, rings=(0.15, 0.6, 3.0)) -> DataFrame:
@@ -114,12 +116,22 @@ def peaks(points: DataFrame, gk: float = 35.0, condition: float = 5.0, axes=XY)
     return density_peaks(points, gk, axes).where(F.col("delta") > condition)
 
 
-def nearest_neighbour(points: DataFrame, radius: float = 20.0, axes=XY) -> DataFrame:
-    """``id, other, d``: the nearest point at a distance above 0 and at most ``radius``, ties to the smaller id."""
+def nearest_neighbour(points: DataFrame, radius: float = 20.0, axes=XY, rings=(0.04, 0.2, 1.0)) -> DataFrame:
+    """``id, other, d``: the nearest point at a distance above 0 and at most ``radius``, ties to the smaller id.
+
+    The neighbours are searched in growing rings, and only points that have none in a ring go on to the next one.
+    """
     thin = points.select("id", *axes)
-    pairs = range_join(thin, thin, radius, axes, F.col("d2") > 0)
-    best = F.min(F.struct("d2", "r_id")).alias("best")
-    return pairs.groupBy(F.col("l_id").alias("id")).agg(best).select("id", F.col("best.r_id").alias("other"), F.sqrt("best.d2").alias("d"))
+    left, found = thin, []
+    for i, ring in enumerate(rings):
+        pairs = range_join(left, thin, ring * radius, axes, F.col("d2") > 0).select(F.col("l_id").alias("id"), F.col("r_id").alias("other"), "d2")
+        # the distance alone and then the id at that distance: sums by key without a sort
+        nearest = written(pairs.groupBy("id").agg(F.min("d2").alias("least")), "least")
+        near = pairs.join(nearest, "id").where("d2 = least").groupBy("id").agg(F.min("other").alias("other"), F.min("d2").alias("d2"))
+        found.append(written(near, "ring"))
+        if i + 1 < len(rings):
+            left = written(left.join(nearest, "id", "left_anti"), "left")
+    return reduce(DataFrame.union, found).select("id", "other", F.sqrt("d2").alias("d"))
 
 
 def density_labels(points: DataFrame, radius: float = 50.0, least: int = 5, link: float = 5.0, axes=XY) -> DataFrame:
@@ -148,7 +160,9 @@ def cell_links(points: DataFrame, link: float, axes=XY) -> DataFrame:
     near = placed.select(F.col("id").alias("l_id"), *(F.col(a).alias(f"l_{a}") for a in axes), around.alias("_c")).select("l_id", *(f"l_{a}" for a in axes), "_c.*")
     other = placed.select(F.col("id").alias("r_id"), *(F.col(a).alias(f"r_{a}") for a in axes), *cells)
     pairs = near.join(other, cells).where(distance2("l", "r", axes) <= link * link)
-    between = pairs.groupBy(*cells, *(f"own_{c}" for c in cells)).agg(F.min(F.struct("l_id", "r_id")).alias("p")).select(F.col("p.l_id").alias("a"), F.col("p.r_id").alias("b"))
+    # any pair of two cells links them; the one with the smallest left id is the same in every run
+    both = [*cells, *(f"own_{c}" for c in cells)]
+    between = pairs.groupBy(*both).agg(F.min("l_id").alias("a"), F.min_by("r_id", F.struct("l_id", "r_id")).alias("b")).select("a", "b")
     return inside.union(between)
 
 
@@ -180,11 +194,14 @@ def largest_label(labels: DataFrame) -> DataFrame:
 
 
 def degree_counters(points: DataFrame, centres: DataFrame, radius: float, axes=XY) -> tuple[DataFrame, DataFrame]:
-    """``id, n`` of the centres near each point and ``c, n`` of the points near each centre, 0 included."""
-    pairs = written(range_join(points.select("id", *axes), centres.select("c", *(F.col(f"mu{a}").alias(a) for a in axes)), radius, axes, how_close="<").select("l_id", "r_c"), "near")
-    by_point = points.select("id").join(pairs.groupBy(F.col("l_id").alias("id")).agg(F.count("*").alias("n")), "id", "left").na.fill(0, ["n"])
-    by_centre = centres.select("c").join(pairs.groupBy(F.col("r_c").alias("c")).agg(F.count("*").alias("n")), "c", "left").na.fill(0, ["n"])
-    return by_point, by_centre
+    """``id, n`` of the centres nearer than ``radius`` to each point and ``c, n`` of the points near each centre, 0 included.
+
+    Both are counted by cells, without a row for each pair.
+    """
+    there = centres.select(F.col("c").alias("id"), *(F.col(f"mu{a}").alias(a) for a in axes))
+    by_point = points.select("id").join(counts_within(points, there, radius, axes, how_close="<"), "id", "left").na.fill(0, ["n"])
+    by_centre = there.select("id").join(counts_within(there, points, radius, axes, how_close="<"), "id", "left").na.fill(0, ["n"])
+    return by_point, by_centre.withColumnRenamed("id", "c")
 
 
 def close_centres(centres: DataFrame, radius: float, axes=XY, how_close: str = "<=") -> DataFrame:
@@ -224,7 +241,9 @@ def packed(centres: DataFrame, columns: list[str]) -> DataFrame:
 def nearest_centre_grid(points: DataFrame, centres: DataFrame, radius: float, axes=XY) -> DataFrame:
     """The same for any number of centres, if each point has a centre within ``radius``; points without one are left out."""
     pairs = range_join(points.select("id", *axes), centres.select("c", *(F.col(f"mu{a}").alias(a) for a in axes)), radius, axes)
-    return pairs.groupBy(F.col("l_id").alias("id")).agg(F.min(F.struct("d2", "r_c")).alias("b")).select("id", F.col("b.r_c").alias("c"), F.col("b.d2").alias("d2"))
+    pairs = pairs.select(F.col("l_id").alias("id"), F.col("r_c").alias("c"), "d2")
+    least = pairs.groupBy("id").agg(F.min("d2").alias("least"))
+    return pairs.join(least, "id").where("d2 = least").groupBy("id").agg(F.min("c").alias("c"), F.min("d2").alias("d2"))
 
 
 def kmeans(points: DataFrame, seeds: DataFrame, rounds: int = 5, axes=XY) -> DataFrame:

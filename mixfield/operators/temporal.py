@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mixfield.functions.special import c_dirichlet, c_gamma, digamma, e_log_n
-from mixfield.operators.estep import NOISE, point_columns, softmax
+from mixfield.functions.special import c_dirichlet, c_gamma, digamma
+from mixfield.operators.estep import NOISE, component_columns, normalized, point_columns
 from mixfield.operators.spatial import XY, range_join
+from mixfield.operators.storage import written
 
 STATES = 4  # not yet active, on, dark, bleached
 
@@ -27,15 +30,27 @@ def frame_weights(active: DataFrame, weights: DataFrame) -> DataFrame:
     return rows.join(sums, "frame").select("frame", "c", (digamma(F.col("alpha")) - digamma(F.col("total"))).alias("log_weight"))
 
 
-def frame_estep(points: DataFrame, components: DataFrame, weights: DataFrame, logit: Column, radius: float = 30.0, axes=XY) -> DataFrame:
-    """``id, frame, c, logp, r`` and the point's columns: each point against noise and the components active in its frame."""
+def frame_estep(points: DataFrame, components: DataFrame, weights: DataFrame, logit: Column, radius: float = 30.0, axes=XY, sigmas: float | None = None, values: DataFrame | None = None) -> DataFrame:
+    """``id, frame, c, logp, r`` and the point's columns: each point against noise and the components active in its frame.
+
+    With ``sigmas`` only those within so many root mean variances of the point count. ``values(frame, value0, value1)`` has a log weight of noise, in
+    place of ``logit``, and an offset of the components' log weights for each frame; a frame that it lacks has ``logit`` and 0. The components of a frame
+    come to its points as one array, and a point's weights are normalized in its row.
+    """
     own = ["frame", *point_columns(axes)]
     active = frame_weights(active_centres(points, components, radius, axes), weights)
     centres = active.join(components.select("c", *(f"mu{a}" for a in axes), *(f"v{a}" for a in axes)), "c")
-    density = e_log_n([F.col(a) for a in axes], [F.col(f"s2{a}") for a in axes], [F.col(f"mu{a}") for a in axes], [F.col(f"v{a}") for a in axes])
-    rows = points.select(*own).join(centres, "frame").select(*own, F.col("c").cast("long").alias("c"), (density + F.col("log_weight")).alias("logp"))
-    noise = points.select(*own, F.lit(NOISE).cast("long").alias("c"), logit.cast("double").alias("logp"))
-    return softmax(rows.unionByName(noise))
+    by_frame = written(centres.groupBy("frame").agg(F.collect_list(F.struct(*component_columns(axes))).alias("ks")), "by-frame")
+    rows = points.select(*own).join(by_frame, "frame", "left")
+    ks = F.coalesce("ks", F.array())
+    if sigmas is not None:
+        mean = reduce(lambda a, b: a + b, [F.col(f"s2{a}") for a in axes]) / len(axes)
+        ks = F.filter(ks, lambda k: reduce(lambda a, b: a + b, [(F.col(a) - k[f"mu{a}"]) ** 2 for a in axes]) < sigmas * sigmas * mean)
+    if values is not None:
+        rows = rows.join(values.select("frame", "value0", "value1"), "frame", "left")
+        logit = F.coalesce("value0", logit)
+        ks = F.transform(ks, lambda k: k.withField("log_weight", k["log_weight"] + F.coalesce("value1", F.lit(0.0))))
+    return normalized(rows, own, ks, logit, axes)
 
 
 def frame_accumulators(resp: DataFrame, weights: DataFrame) -> DataFrame:
@@ -84,7 +99,10 @@ def transition_prior(weight: float = 1.0) -> list[tuple[int, int, float]]:
 
 
 def transition_bound(spark, counts: DataFrame, prior: list[tuple[int, int, float]]) -> DataFrame:
-    """``bound``: the change of the log normalizers of the rows of transitions from prior to posterior."""
+    """``bound``: the change of the log normalizers of the rows of transitions from prior to posterior.
+
+    The constant of ``trace_counts`` times the number of components comes on top.
+    """
     rows = spark.createDataFrame(prior, "i int, j int, prior double").join(counts.select("i", "j", "n"), ["i", "j"], "left").na.fill(0)
     by_row = rows.groupBy("i").agg(F.sort_array(F.collect_list(F.struct("j", "prior", (F.col("prior") + F.col("n")).alias("post")))).alias("cells"))
     parts = []
@@ -96,7 +114,55 @@ def transition_bound(spark, counts: DataFrame, prior: list[tuple[int, int, float
 
 def frame_share_bound(weights: DataFrame, alpha0: float) -> DataFrame:
     """``bound``: the part of the components' weights in the bound of the model with frames."""
-    return weights.agg(F.sum(c_gamma(F.lit(alpha0), F.lit(1.0)) - c_gamma(F.col("alpha"), F.lit(1.0))).alias("bound"))
+    return weights.agg(F.coalesce(F.sum(c_gamma(F.lit(float(alpha0)), F.lit(1.0)) - c_gamma(F.col("alpha"), F.lit(1.0))), F.lit(0.0)).alias("bound"))
+
+
+#: Transitions that are counted before anything is seen.
+FIRST_COUNTS = {(0, 1): 10.0, (1, 2): 10.0, (1, 3): 10.0}
+
+
+def first_counts(traces: DataFrame, least: int = 10) -> DataFrame:
+    """``i, j, n``: the transitions of the first ``least`` components of ``traces(c, frame)`` and FIRST_COUNTS."""
+    few = traces.select("c").distinct().orderBy("c").limit(least)
+    seeds = F.coalesce(*(F.when((F.col("i") == i) & (F.col("j") == j), n) for (i, j), n in FIRST_COUNTS.items()), F.lit(0.0))
+    return transition_counts(traces.join(few, "c", "left_semi")).withColumn("n", F.col("n") + seeds)
+
+
+def average_trace(spark, posterior: DataFrame, share: float, steps: int = 10_000) -> tuple[list[list[float]], float]:
+    """Summed pair probabilities of on, dark and bleached, and log evidence, of a component's trace as it decays on average.
+
+    The chain starts on and has ``steps`` steps, whatever the data, with the expected logs of ``posterior(i, j, alpha)`` as transitions and ``share``, the mean
+    share of a component, as what an on state costs in a frame without a point.
+    """
+    totals = posterior.groupBy("i").agg(F.sum("alpha").alias("total"))
+    logs = posterior.join(totals, "i").where("i > 0 and j > 0").select("i", "j", F.when(F.col("alpha") > 0, F.exp(digamma(F.col("alpha")) - digamma(F.col("total")))).otherwise(0.0).alias("p"))
+    moves = [[0.0] * (STATES - 1) for _ in range(STATES - 1)]
+    for r in logs.collect():  # nine rows
+        moves[r["i"] - 1][r["j"] - 1] = r["p"]
+    step, cost = np.array(moves), np.array([-share, -1e-10, -1e-10])
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        _, pairs, evidence = forward_backward(np.tile(cost, (steps, 1)), np.array([1.0, 0.0, 0.0]), step)
+        return pd.DataFrame({"pairs": [pairs.ravel().tolist()], "evidence": [evidence]})
+
+    row = spark.range(1).groupBy("id").applyInPandas(run, "pairs array<double>, evidence double").first()
+    return np.array(row["pairs"]).reshape(3, 3).tolist(), float(row["evidence"])
+
+
+def trace_counts(traces: DataFrame, posterior: DataFrame, weights: DataFrame, steps: int = 10_000) -> tuple[DataFrame, float]:
+    """``i, j, n`` and the constant of the transitions: what is seen in ``traces(c, frame)``, and for each component the average decay.
+
+    ``weights(c, alpha)`` give the mean share. Bleaching is final, so its stays aren't counted.
+    """
+    spark = traces.sparkSession
+    sums = weights.agg(F.count("*").alias("n"), F.avg("alpha").alias("mean"), F.sum("alpha").alias("total")).first()
+    if not sums["n"]:
+        return transition_counts(traces), 0.0
+    pairs, evidence = average_trace(spark, posterior, sums["mean"] / sums["total"], steps)
+    decay = [(i + 1, j + 1, pairs[i][j] * sums["n"]) for i in range(3) for j in range(3) if (i, j) != (2, 2)]
+    seen = transition_counts(traces).withColumn("n", F.when((F.col("i") == 0) & (F.col("j") == 1), F.lit(0.0)).otherwise(F.col("n")))
+    more = spark.createDataFrame([*decay, (0, 1, float(sums["n"]))], "i int, j int, n double")
+    return seen.unionByName(more).groupBy("i", "j").agg(F.sum("n").alias("n")), evidence
 
 
 def forward_backward(evidence: np.ndarray, start: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:

@@ -6,7 +6,7 @@ import math
 import random
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mixfield.functions.special import plogp
@@ -15,6 +15,7 @@ from mixfield.operators import mstep, spatial
 from mixfield.operators.components import insert_front, renumber
 from mixfield.operators.elbo import Scalars, new_centre
 from mixfield.operators.estep import BELONGING, NOISE, dense, noise_logit, noise_points, point_columns, sparse, split_candidates
+from mixfield.operators.order import numbered
 from mixfield.operators.spatial import XY
 from mixfield.operators.storage import written
 from mixfield.sources.views import cell_centres, priors, with_counts
@@ -104,13 +105,11 @@ def initial_centres(points: DataFrame, kind: str = "density_peaks", prior: dict
         found = spatial.label_means(points, labels, axes).withColumnRenamed("label", "id")
     else:
         raise ValueError(f"unknown initializer {kind}")
-    # ids in order give the numbers; ranks within hash buckets would not be in order, and centres are far fewer than points
-    numbered = found.withColumn("c", (F.row_number().over(Window.orderBy("id")) - 1).cast("long")).drop("id")
-    rows = numbered.crossJoin(F.broadcast(v)).select("c", *(f"mu{a}" for a in axes), *(F.col("v").alias(f"v{a}") for a in axes), "n")
+    rows = numbered(found, "c", "id").withColumn("c", F.col("c").cast("long")).drop("id").crossJoin(F.broadcast(v)).select("c", *(f"mu{a}" for a in axes), *(F.col("v").alias(f"v{a}") for a in axes), "n")
     return with_counts(rows, alpha0)
 
 
-def _step_stats(resp: DataFrame, axes) -> DataFrame:
+def step_stats(resp: DataFrame, axes) -> DataFrame:
     """Sufficient statistics with each component's part of entropy and of ``cobs``, so that a step reads the points once."""
     terms = sum((F.col(a) * F.col(a) / F.col(f"s2{a}") + F.ln(2 * math.pi * F.col(f"s2{a}")) for a in axes), F.lit(0.0))
     sums = [F.sum(F.col("r") * F.col(a) / F.col(f"s2{a}")).alias(f"xx{a}") for a in axes] + [F.sum(F.col("r") / F.col(f"s2{a}")).alias(f"sx{a}") for a in axes]
@@ -120,7 +119,7 @@ def _step_stats(resp: DataFrame, axes) -> DataFrame:
 def step(model: Model, what: str = "update", from_resp: DataFrame | None = None) -> Model:
     """A local and a global step, or a global one from given responsibilities, and the bound."""
     resp = model.responsibilities() if from_resp is None else from_resp
-    stats = written(_step_stats(resp, model.axes), "stats")
+    stats = written(step_stats(resp, model.axes), "stats")
     noise = F.col("c") == NOISE
     zero = F.lit(0.0)
     sums = stats.agg(

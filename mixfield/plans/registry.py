@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from mixfield.operators import elbo, estep, metrics, mstep, spatial, temporal
 from mixfield.operators.storage import written
-from mixfield.plans import fit, oracle as o
+from mixfield.plans import fit, frames, oracle as o
 from mixfield.sources import generators, views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -387,7 +387,48 @@ ERF = "(1 - (t * (0.254829592e0 + t * (-0.284496736e0 + t * (1.421413741e0 + t *
       SELECT n, (x - m) / s AS z, count(*) OVER (ORDER BY x) AS hi, rank() OVER (ORDER BY x) - 1 AS lo FROM emb, m))) GROUP BY n"""
 )
 def ks_stat(spark, folder):
-    return rounded(metrics.ks_statistic(views.embedding_points(spark, folder), "x"), 5, "d")
+    return rounded(metrics.ks_statistic(views.embedding_points(spark, folder), "x").drop("p"), 5, "d")
+
+
+NORMAL = f"""SELECT n, max(greatest(hi / n - f, f - lo / n)) AS d FROM (
+  SELECT n, hi, lo, 0.5e0 * (1 + sign(z) * {ERF}) AS f FROM (
+    SELECT n, hi, lo, z, 1 / (1 + 0.3275911e0 * abs(z) / sqrt(2e0)) AS t FROM (
+      SELECT n, (x - 0) / 150e0 AS z, count(*) OVER (ORDER BY x) AS hi, rank() OVER (ORDER BY x) - 1 AS lo FROM emb, (SELECT count(*) AS n FROM emb)))) GROUP BY n"""
+
+
+@query(
+    o.with_(EMB)
+    + f"""SELECT n, round(d, 5) AS d, round(CASE WHEN d * sqrt(n) < 0.2 THEN 1e0 ELSE greatest(0e0, least(1e0,
+  (SELECT sum(CASE WHEN k % 2 = 1 THEN 2e0 ELSE -2e0 END * exp(-2e0 * k * k * d * d * n)) FROM range(1, 100) r(k)))) END, 5) AS p FROM ({NORMAL})"""
+)
+def ks_test(spark, folder):
+    """Against a normal distribution of given mean and standard deviation."""
+    return rounded(metrics.ks_statistic(views.embedding_points(spark, folder), "x", 0.0, 150.0), 5, "d", "p")
+
+
+PAIRS = """g AS (SELECT truth % 3 AS separation, x, y FROM emb),
+sm AS (SELECT separation, CAST(count(x) AS DOUBLE) * count(y) AS n, sqrt((var_pop(x) + var_pop(y)) * n / (n - 1)) * pow(n, -0.2e0) AS h FROM g GROUP BY separation),
+bx AS (SELECT g.separation, floor(x * 50 / h) AS b, count(*) AS k FROM g JOIN sm ON g.separation = sm.separation GROUP BY 1, 2),
+by_ AS (SELECT g.separation, floor(y * 50 / h) AS b, count(*) AS k FROM g JOIN sm ON g.separation = sm.separation GROUP BY 1, 2),
+den AS (SELECT bx.separation, sum(bx.k * by_.k * exp(-0.5e0 * pow((bx.b - by_.b) / 50e0, 2))) AS s FROM bx JOIN by_ ON bx.separation = by_.separation AND abs(bx.b - by_.b) <= 400 GROUP BY 1),
+fac AS (SELECT sm.separation, coalesce(s, 0) / (n * h) * 100 AS factor FROM sm LEFT JOIN den ON sm.separation = den.separation)"""
+
+
+@query(
+    o.with_(EMB, PAIRS)
+    + f"""SELECT g.separation, count(x) AS n_left, count(y) AS n_right, round(avg(x), 4) AS mean_left, round(avg(y), 4) AS mean_right, round(avg(y) - avg(x), 4) AS distance,
+  round(avg(y) - avg(x) - 1.96e0 * sqrt(var_samp(x) + var_samp(y)), 4) AS low, round(avg(y) - avg(x) + 1.96e0 * sqrt(var_samp(x) + var_samp(y)), 4) AS high, round(any_value(factor), 4) AS factor
+FROM g JOIN fac ON g.separation = fac.separation GROUP BY g.separation"""
+)
+def comparison_report(spark, folder):
+    points = views.embedding_points(spark, folder).withColumn("separation", F.col("truth") % 3)
+    found = metrics.comparison_report(points.select("separation", F.col("x").alias("v")), points.select("separation", F.col("y").alias("v")), "v", 100.0)
+    return rounded(found, 4, "mean_left", "mean_right", "distance", "low", "high", "factor")
+
+
+@query(o.with_(*o.BASE) + "SELECT row_number() OVER (ORDER BY mux, muy) - 1 AS c, round(mux, 4) AS mux, round(muy, 4) AS muy FROM cen")
+def sorted_centres(spark, folder):
+    return rounded(metrics.sorted_centres(views.cell_centres(_points(spark, folder)).select("c", "mux", "muy")), 4, "mux", "muy")
 
 
 @query(o.with_(EMB) + "SELECT round(avg(exp(-0.5e0 * pow((x - y) / 20, 2)) / (20 * sqrt(2 * pi()))) / (1 / (100 * sqrt(2 * pi()))), 5) AS factor FROM emb")
@@ -444,6 +485,140 @@ def frame_entropy(spark, folder):
     return rounded(temporal.frame_entropy(_frames(spark, folder)[0]), 4, "entropy")
 
 
+# The model with frames: a step, its bound and the gaps of its moves after a step
+
+
+def _frame_local(i: int) -> str:
+    """Responsibilities ``fr`` with the points' columns from the components ``fcs`` and the posterior ``fsc`` of the share of noise."""
+    return f"""fact{i} AS (SELECT DISTINCT frame, c FROM pts JOIN fcs{i} ON pow(x - mux, 2) + pow(y - muy, 2) <= 900),
+fw{i} AS (SELECT frame, k.c, {o.psi('alpha')} - {o.psi('sum(alpha) OVER (PARTITION BY frame)')} AS lw FROM fact{i} k JOIN fcs{i} j ON k.c = j.c),
+fl{i} AS (SELECT id, pts.frame, x, y, s2x, s2y, w.c, lw + {o.LOGN} AS logp FROM pts JOIN fw{i} w ON pts.frame = w.frame JOIN fcs{i} j ON w.c = j.c
+  UNION ALL SELECT id, frame, x, y, s2x, s2y, -1, {o.psi('a')} - {o.psi('b')} + logp0 FROM pts, fsc{i}, prior),
+fr{i} AS (SELECT *, exp(logp - top) / sum(exp(logp - top)) OVER (PARTITION BY id) AS r FROM (SELECT *, max(logp) OVER (PARTITION BY id) AS top FROM fl{i}))"""
+
+
+def _frame_global(i: int) -> str:
+    j = i + 1
+    return f"""fst{i} AS (SELECT c, sum(r) AS rk, sum(r * x / s2x) AS xxx, sum(r * y / s2y) AS xxy, sum(r / s2x) AS sxx, sum(r / s2y) AS sxy FROM fr{i} GROUP BY c),
+fsu{i} AS (SELECT sum(CASE WHEN c = -1 THEN r ELSE 0 END) AS r0, sum(CASE WHEN c = -1 THEN 0 ELSE r END) AS r1, sum({o.plogp('r')}) AS entropy,
+  -0.5e0 * sum(CASE WHEN c = -1 THEN 0 ELSE r * (x * x / s2x + ln(2 * pi() * s2x) + y * y / s2y + ln(2 * pi() * s2y)) END) AS cobs FROM fr{i}),
+fcs{j} AS (SELECT k.c, (coalesce(xxx, 0) + mu0x / sigma02) / (coalesce(sxx, 0) + 1 / sigma02) AS mux, (coalesce(xxy, 0) + mu0y / sigma02) / (coalesce(sxy, 0) + 1 / sigma02) AS muy,
+  1 / (coalesce(sxx, 0) + 1 / sigma02) AS vx, 1 / (coalesce(sxy, 0) + 1 / sigma02) AS vy, coalesce(t.rk, 0) AS rk, alpha FROM fcs{i} k LEFT JOIN fst{i} t ON k.c = t.c, prior),
+fsc{j} AS (SELECT 1 + r0 AS a, 10 + r1 AS b FROM fsu{i})"""
+
+
+FRAMED = o.with_(*o.BASE, "fcs0 AS (SELECT c, mux, muy, vx, vy, n AS rk, eta1 AS alpha FROM cen)", "fsc0 AS (SELECT 1e0 AS a, 10e0 AS b)", _frame_local(0), _frame_global(0))
+
+
+def _frame_model(spark, folder) -> frames.FrameModel:
+    points = _points(spark, folder)
+    return frames.start(points, views.cell_centres(points), fit.Config(prune=False))
+
+
+@query(FRAMED + f"SELECT c, {o.rounded(4, 'mux', 'muy', 'vx', 'vy')}, {o.rounded(3, 'rk', 'alpha')} FROM fcs1")
+def frame_step(spark, folder):
+    return rounded(rounded(frames.step(_frame_model(spark, folder)).components, 4, "mux", "muy", "vx", "vy"), 3, "rk", "alpha")
+
+
+@query(
+    FRAMED
+    + f"""SELECT round(r0 * logp0 + {o.c_beta('1e0', '10e0')} - {o.c_beta('a', 'b')}, 2) AS e_noise,
+  round((SELECT count(*) FROM fcs1) * {CO0} + cobs - {_centre_sql('fcs1')}, 2) AS e_obs,
+  round((SELECT sum(lgamma(alpha) - lgamma(10e0)) FROM fcs1), 2) AS e_share, round(-entropy, 2) AS e_ent FROM fsu0, fsc1, prior"""
+)
+def frame_elbo_terms(spark, folder):
+    model = _frame_model(spark, folder)
+    after, sums = frames.global_step(model, model.responsibilities())
+    return rounded(frames.bound(sums, after), 2, "e_noise", "e_obs", "e_share", "e_ent").drop("elbo")
+
+
+def _frame_gap_sql(parts: list[str], noise: str | None, share: str, entropy: str, obs: str, source: str) -> str:
+    moved = f"({noise}) * logp0 - {o.c_beta(f'(a + ({noise}))', f'(b - ({noise}))')} + {o.c_beta('a', 'b')}" if noise else "0e0"
+    select = f"SELECT {moved} AS noise, {share} AS stick, {entropy} AS entropy, {obs} AS obs FROM {source}"
+    return FRAMED.rstrip() + ",\n" + ",\n".join([_frame_local(1), *parts]) + f",\ngap AS ({select})\nSELECT {o.GAP} FROM gap"
+
+
+_ALPHA = "(SELECT alpha FROM fcs1 WHERE c = {0})"
+
+
+def _frame_model_stepped(spark, folder) -> tuple[frames.FrameModel, DataFrame]:
+    model = frames.step(_frame_model(spark, folder))
+    return model, written(model.responsibilities(), "resp")
+
+
+@query(
+    _frame_gap_sql(
+        [
+            "k AS (SELECT o.*, z.r AS r0 FROM fr1 o JOIN (SELECT id, r FROM fr1 WHERE c = -1) z ON o.id = z.id WHERE c = 5 AND o.r > 0)",
+            f"s AS (SELECT coalesce(sum(r), 0) AS m, coalesce(sum(r * ({o.c_obs('x', 's2x')} + {o.c_obs('y', 's2y')})), 0) AS co, coalesce(sum(-{o.plogp('(r + r0)')} + {o.plogp('r0')} + {o.plogp('r')}), 0) AS h FROM k)",
+        ],
+        "m", f"lgamma(10e0) - lgamma({_ALPHA.format(5)})", "h", f"-co - {CO0} + {_centre_sql('fcs1', 'WHERE c = 5')}", "s, fsc1, prior",
+    )
+)
+def frame_gap_delete(spark, folder):
+    return _shown_gap(frames.gap_delete(*_frame_model_stepped(spark, folder), 5))
+
+
+@query(
+    _frame_gap_sql(
+        [
+            f"k AS (SELECT id, x, y, s2x, s2y, sum(r) AS r, sum({o.plogp('r')}) AS apart FROM fr1 WHERE c IN (3, 5) GROUP BY id, x, y, s2x, s2y)",
+            o.new_centre("m", "k", "r"),
+            f"s AS (SELECT sum(apart - {o.plogp('r')}) AS h FROM k)",
+        ],
+        None, f"lgamma({_ALPHA.format(3)} + {_ALPHA.format(5)} - 10e0 / (SELECT count(*) FROM fcs1)) - lgamma({_ALPHA.format(3)}) - lgamma({_ALPHA.format(5)}) + lgamma(10e0)",
+        "h", f"-{CO0} - {_centre_sql('m')} + {_centre_sql('fcs1', 'WHERE c IN (3, 5)')}", "s, prior",
+    )
+)
+def frame_gap_merge(spark, folder):
+    return _shown_gap(frames.gap_merge(*_frame_model_stepped(spark, folder), 3, 5))
+
+
+@query(
+    _frame_gap_sql(
+        ["k AS (SELECT * FROM fr1 WHERE c = -1 AND x < 100)", o.new_centre("m", "k", "r")],
+        "-rk", "lgamma(1 + rk) - lgamma(10e0)", "0e0", f"co + {CO0} - {_centre_sql('m')}", "m, fsc1, prior",
+    )
+)
+def frame_gap_birth(spark, folder):
+    model, resp = _frame_model_stepped(spark, folder)
+    return _shown_gap(frames.gap_birth(model, written(resp.where("c = -1 and x < 100"), "noise")))
+
+
+@query(
+    _frame_gap_sql(
+        [
+            "k AS (SELECT *, r * CASE WHEN x < (SELECT mux FROM fcs1 WHERE c = 5) THEN 0.9e0 ELSE 0.1e0 END AS ra FROM fr1 WHERE c = 5 AND r > 0)",
+            o.new_centre("ma", "k", "ra"),
+            o.new_centre("mb", "k", "(r - ra)"),
+            f"s AS (SELECT sum({o.plogp('r')} - {o.plogp('ra')} - {o.plogp('(r - ra)')}) AS h FROM k)",
+            f"w AS (SELECT {_ALPHA.format(5)} + 10e0 / (1 + (SELECT count(*) FROM fcs1)) AS whole, (SELECT rk FROM ma) / ((SELECT rk FROM ma) + (SELECT rk FROM mb)) AS part)",
+        ],
+        None, f"lgamma(whole * part) + lgamma(whole * (1 - part)) - lgamma({_ALPHA.format(5)}) - lgamma(10e0)",
+        "h", f"{CO0} - {_centre_sql('ma')} - {_centre_sql('mb')} + {_centre_sql('fcs1', 'WHERE c = 5')}", "s, w, prior",
+    )
+)
+def frame_gap_split(spark, folder):
+    model, resp = _frame_model_stepped(spark, folder)
+    at = float(model.components.where("c = 5").first()["mux"])
+    rows = resp.where("c = 5 and r > 0").withColumn("r1", F.col("r") * F.when(F.col("x") < at, 0.9).otherwise(0.1))
+    return _shown_gap(frames.gap_split(model, written(rows.withColumn("r2", F.col("r") - F.col("r1")), "proposed"), 5))
+
+
+@query()
+def frame_fit(spark, folder):
+    """The fit of the model with frames, to the tolerance or 100 iterations."""
+    points = _points(spark, folder)
+    model = frames.fit(frames.start(points, views.cell_centres(points), fit.Config(tolerance=1e-6)))
+    return rounded(rounded(model.components, 4, "mux", "muy", "vx", "vy"), 3, "rk", "alpha")
+
+
+@query()
+def frame_transitions(spark, folder):
+    """The posterior of the four states' transitions after a step."""
+    return rounded(frames.with_transitions(frames.step(_frame_model(spark, folder))).transitions, 4, "alpha")
+
+
 TRANS = """
 SELECT i, j, CAST(CASE WHEN i = 0 AND j = 0 THEN s0 WHEN i = 0 AND j = 1 THEN n WHEN i = 1 AND j = 1 THEN s1 WHEN i = 1 AND j = 2 THEN s2 WHEN i = 2 AND j = 1 THEN s2
   WHEN i = 2 AND j = 2 THEN s3 ELSE 0 END AS BIGINT) AS n
@@ -492,7 +667,20 @@ def truth_one_hot(spark, folder):
 
 # Initializers and whole fits
 
-@query()
+@query(
+    o.with_(
+        o.PTS,
+        "rho AS (SELECT a.id, count(*) AS n FROM pts a JOIN pts b ON pow(a.x - b.x, 2) + pow(a.y - b.y, 2) <= 2500 GROUP BY a.id)",
+        "dn AS (SELECT pts.* FROM pts JOIN rho ON pts.id = rho.id WHERE rho.n > 5)",
+        "e AS (SELECT a.id AS a, b.id AS b FROM dn a JOIN dn b ON pow(a.x - b.x, 2) + pow(a.y - b.y, 2) <= 25)",
+        "reach(id, label) AS (SELECT a, a FROM e UNION SELECT e.b, r.label FROM reach r JOIN e ON r.id = e.a)",
+        "lab AS (SELECT id, min(label) AS label FROM reach GROUP BY id)",
+        "gr AS (SELECT row_number() OVER (ORDER BY label) - 1 AS c, avg(x) AS mux, avg(y) AS muy, count(*) AS n FROM lab JOIN pts ON lab.id = pts.id GROUP BY label)",
+    ).replace("WITH", "WITH RECURSIVE", 1)
+    + f"""SELECT c, n, {o.rounded(4, 'mux', 'muy')}, round(v, 4) AS vx, round(v, 4) AS vy, 1e0 + n AS eta1,
+  10e0 + coalesce(sum(n) OVER (ORDER BY c ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) AS eta0
+FROM gr, (SELECT (avg(s2x) + avg(s2y)) / 2 AS v FROM pts)"""
+)
 def init_density(spark, folder):
     return rounded(fit.initial_centres(_points(spark, folder), "density"), 4, "mux", "muy", "vx", "vy")
 
@@ -529,6 +717,38 @@ def split_move(spark, folder):
     return _shown(fit.split(_one_step(spark, folder), 5).components)
 
 
+@query(
+    o.with_(*o.BASE, *(x for i in range(4) for x in (o.estep(i), o.mstep(i))))
+    + " UNION ALL ".join(f"SELECT {i} AS iteration, round(e_noise + e_obs + e_sb + e_ent, 2) AS elbo, (SELECT count(*) FROM cs{i + 1}) AS components, 'update' AS what FROM el{i + 1}" for i in range(4))
+)
+def bound_history(spark, folder):
+    """The bound of four steps without pruning."""
+    model = _setup(spark, folder)
+    for _ in range(4):
+        model = fit.step(model)
+    return rounded(model.history_table(), 2, "elbo")
+
+
+@query(
+    o.with_(*o.BASE, *(x for i in range(3) for x in (o.estep(i, "WHERE pow(x - mux, 2) + pow(y - muy, 2) < 16 * (s2x + s2y) / 2", True), o.mstep(i)))) + CS + "cs3"
+)
+def vb_3_sparse(spark, folder):
+    """Three steps of the sparse kind."""
+    model = _setup(spark, folder, fit.Config(prune=False, search_radius=4.0))
+    for _ in range(3):
+        model = fit.step(model)
+    return _shown(model.components)
+
+
+@query(o.with_(*o.BASE, *(x for i in range(3) for x in (o.estep(i, fixed=True), o.mstep(i, True)))) + CS + "cs3")
+def vb_3_fixed(spark, folder):
+    """Three steps with a fixed share of noise and concentration."""
+    model = _setup(spark, folder, FIXED)
+    for _ in range(3):
+        model = fit.step(model)
+    return _shown(model.components)
+
+
 @query()
 def fit_full(spark, folder):
     points = _points(spark, folder)

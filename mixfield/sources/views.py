@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mixfield.operators.mstep import running_sums
+from mixfield.operators.order import numbered
 from mixfield.operators.spatial import XY
 
 
@@ -57,8 +58,7 @@ def cell_centres(points: DataFrame, pitch: float = 50.0, alpha0: float = 10.0, a
     cells = [f"cell_{a}" for a in axes]
     placed = points.select(*(F.floor(F.col(a) / pitch).alias(c) for a, c in zip(axes, cells, strict=True)), *axes, *(f"s2{a}" for a in axes))
     found = placed.groupBy(*cells).agg(*(F.avg(a).alias(f"mu{a}") for a in axes), *(F.avg(f"s2{a}").alias(f"v{a}") for a in axes), F.count("*").alias("n"))
-    # one row a cell from here on
-    rows = found.withColumn("c", (F.row_number().over(Window.orderBy(*cells)) - 1).cast("long"))
+    rows = numbered(found, "c", *cells).withColumn("c", F.col("c").cast("long"))
     return with_counts(rows.select("c", *(f"mu{a}" for a in axes), *(f"v{a}" for a in axes), "n"), alpha0)
 
 

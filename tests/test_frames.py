@@ -1,10 +1,16 @@
 import math
 import random
+from dataclasses import replace
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from mixfield.operators import temporal
+from mixfield.operators import components as ops
+from mixfield.operators import elbo, temporal
+from mixfield.operators.storage import written
+from mixfield.plans import fit, frames
+from mixfield.sources import generators, views
 from mixfield.streaming.assign import assign, frame_counts
 
 
@@ -109,3 +115,91 @@ def smooth_by_hand(logp, start, moves):
         back.append(moves @ (row * back[-1]))
     both = np.array(ahead) * np.array(back[::-1])
     return both / both.sum(axis=1, keepdims=True)
+
+
+def framed(spark, **config):
+    points = generators.gaussian_grid(spark, 2, 25, pitch=60.0, s2=30.0, seed=3).withColumn("frame", (F.col("id") % 7).cast("int"))
+    points = written(generators.with_noise(points, 0.2, 4).drop("truth"), "points")
+    return frames.start(points, views.cell_centres(points, pitch=60.0), fit.Config(prune=False, **config))
+
+
+TERMS = ("e_noise", "e_share", "e_ent", "e_obs")
+
+
+@pytest.mark.parametrize("config", [{}, {"infer_pi1": False}])
+def test_gaps_of_frames_are_changes_of_the_bound(spark, config):
+    """Each gap against the bounds of two whole configurations with the weights that the move gives."""
+    start = framed(spark, **config)
+    resp = written(start.responsibilities(), "resp")
+    model, _ = frames.global_step(start, resp)
+    assert abs(model.components.agg(F.sum("rk")).first()[0] + resp.where("c = -1").agg(F.sum("r")).first()[0] - start.points.count()) < 1e-6
+    terms = lambda m, r: np.array([frames.bound(elbo.resp_sums(r), m).first()[n] for n in TERMS])
+    before = terms(model, resp)
+    alphas = [r.alpha for r in model.components.orderBy("c").collect()]
+    n = len(alphas)
+
+    def check(row, resp_after, weights):
+        columns = model.components.columns
+        some = model.components.drop("c", "alpha").limit(1)
+        changed = spark.createDataFrame(list(enumerate(map(float, weights))), "c long, alpha double").join(some, how="cross").select(*columns)
+        after, _ = frames.global_step(replace(model, components=changed), written(resp_after, "after"))
+        np.testing.assert_allclose([row.noise, row.stick, row.entropy, row.obs], terms(after, resp_after) - before, atol=1e-5)
+
+    check(frames.gap_delete(model, resp, 1).first(), ops.remove(resp, [1]), [a for k, a in enumerate(alphas) if k != 1])
+    merged = alphas[0] + alphas[2] - 10.0 / n
+    check(frames.gap_merge(model, resp, 0, 2).first(), ops.merge(resp, 0, 2), [merged, *alphas[1:2], *alphas[3:]])
+    chosen = written(resp.where("c = -1 and x > 20"), "chosen")
+    check(frames.gap_birth(model, chosen).first(), ops.insert_from_noise(resp, chosen), [1 + chosen.agg(F.sum("r")).first()[0], *alphas])
+    proposed = written(resp.where("c = 1").withColumn("r1", F.col("r") * F.when(F.col("x") > 0, 0.9).otherwise(0.2)).withColumn("r2", F.col("r") - F.col("r1")), "proposed")
+    mass = proposed.agg(F.sum("r1"), F.sum("r2")).first()
+    whole = alphas[1] + 10.0 / (n + 1)
+    halves = [whole * mass[0] / sum(mass), whole * mass[1] / sum(mass)]
+    check(frames.gap_split(model, proposed, 1).first(), ops.split(resp, 1, proposed), [alphas[0], *halves, *alphas[2:]])
+
+
+def test_fit_of_frames(spark):
+    model = framed(spark)
+    found = frames.fit(replace(model, config=fit.Config(iterations=6, tolerance=1e-6)))
+    trace = [h["elbo"] for h in found.history if h["what"] == "update"]
+    assert len(trace) > 1 and found.elbo >= trace[0]
+    centres = found.components.toPandas()
+    assert all(np.hypot(centres.mux - x, centres.muy - y).min() < 5 for x in (0, 60) for y in (0, 60))
+    assert math.isfinite(frames.transition_bound(found)) and found.transitions.count() == len(temporal.transition_prior())
+
+
+def test_moves_of_frames_raise_the_bound(spark):
+    model = frames.step(framed(spark))
+    for move in (lambda m: frames.delete(m, 0), lambda m: frames.merge(m, 0, 1), lambda m: frames.birth(m, m.points.where("x > 30").select("id"))):
+        after = move(model)
+        n, what = after.components.count(), after.history[-1]["what"]
+        assert after is model or (what != "update" and n == model.components.count() + {"dead": -1, "merge": -1, "birth": 1}[what])
+
+
+def test_parameters_of_frames(spark):
+    """Log weights by frame, and only components within some standard deviations."""
+    points = spark.createDataFrame([(0, 0, 0.0, 0.0, 4.0, 4.0), (1, 1, 9.0, 0.0, 4.0, 4.0)], "id long, frame int, x double, y double, s2x double, s2y double")
+    centres = spark.createDataFrame([(0, 0.0, 0.0, 1.0, 1.0)], "c long, mux double, muy double, vx double, vy double")
+    weights = spark.createDataFrame([(0, 3.0)], "c long, alpha double")
+    values = spark.createDataFrame([(1, -5.0, 2.0)], "frame int, value0 double, value1 double")
+    plain = {(r.id, r.c): r.logp for r in temporal.frame_estep(points, centres, weights, F.lit(-20.0)).collect()}
+    with_values = {(r.id, r.c): r.logp for r in temporal.frame_estep(points, centres, weights, F.lit(-20.0), values=values).collect()}
+    assert with_values[0, -1] == -20.0 and with_values[1, -1] == -5.0
+    assert with_values[0, 0] == plain[0, 0] and abs(with_values[1, 0] - plain[1, 0] - 2.0) < 1e-12
+    near = {(r.id, r.c) for r in temporal.frame_estep(points, centres, weights, F.lit(-20.0), sigmas=4.0).collect()}
+    assert near == {(0, -1), (0, 0), (1, -1)}
+
+
+def test_average_trace_against_forward_backward(spark):
+    prior = [(0, 0, 10.0), (0, 1, 11.0), (1, 1, 30.0), (1, 2, 12.0), (1, 3, 11.0), (2, 1, 9.0), (2, 2, 40.0), (2, 3, 1.0), (3, 3, 1.0)]
+    pairs, evidence = temporal.average_trace(spark, spark.createDataFrame(prior, "i int, j int, alpha double"), 0.2, steps=50)
+    from twin import digamma
+
+    moves = np.zeros((3, 3))
+    for i, j, a in prior:
+        if i and j:
+            moves[i - 1, j - 1] = math.exp(digamma(np.array(a)) - digamma(np.array(sum(w for k, _, w in prior if k == i))))
+    ahead = [np.array([math.exp(-0.2), 0.0, 0.0])]
+    for _ in range(49):
+        ahead.append(ahead[-1] @ moves * np.exp([-0.2, -1e-10, -1e-10]))
+    assert abs(evidence - math.log(ahead[-1].sum())) < 1e-7
+    assert abs(np.sum(pairs) - 49) < 1e-6

@@ -1,4 +1,5 @@
 import math
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 import twin
 from mixfield.operators import components as ops
 from mixfield.operators import elbo, estep, mstep
+from mixfield.operators.storage import written
 from mixfield.plans import fit
 from mixfield.sources import generators, views
 
@@ -139,6 +141,67 @@ def test_gap_of_a_split_is_the_change_of_the_bound(setup):
     assert np.allclose([got.noise, got.stick, got.entropy, got.obs], want, atol=1e-5)
 
 
+MODES = [dict(infer_pi1=False), dict(infer_alpha0=False), dict(infer_pi1=False, infer_alpha0=False)]
+
+
+@pytest.mark.parametrize("mode", MODES)
+def test_bound_with_fixed_values(setup, mode):
+    """The bound of a fixed share of noise or concentration by its formula, over all points and components."""
+    start, x, s2 = setup
+    model = fit.start(start.points, views.cell_centres(start.points, pitch=40.0), fit.Config(prune=False, **mode))
+    resp = model.responsibilities()
+    r = dense_r(model)
+    after = fit.step(model, from_resp=resp)
+    got = elbo.bound(elbo.resp_sums(resp), after.components, after.scalars, after.prior).first()
+    pi1, alpha0, logp0 = after.prior["pi1"], after.prior["alpha0"], after.prior["logp0"]
+    mu, v, eta1, eta0, _, sc = arrays(after)
+    inferred = twin.elbo(x, s2, r, mu, v, eta1, eta0, sc, after.prior)
+    noise = r[:, 0].sum() * (math.log(pi1 / (1 - pi1)) + logp0) + len(x) * math.log(1 - pi1) if "infer_pi1" in mode else inferred[0]
+    c_beta = lambda a, b: math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
+    stick = len(mu) * c_beta(1.0, alpha0) - sum(map(c_beta, eta1, eta0)) if "infer_alpha0" in mode else inferred[1]
+    assert np.allclose([got.e_noise, got.e_sb, got.e_ent, got.e_obs], [noise, stick, inferred[2], inferred[3]], atol=1e-5)
+    if "infer_alpha0" in mode:
+        assert np.allclose(eta0, alpha0 + (eta1 - 1)[::-1].cumsum()[::-1] - (eta1 - 1))
+
+
+def change(before, sums, after, sums_after):
+    terms = lambda m, s: np.array([elbo.bound(s, m.components, m.scalars, m.prior).first()[n] for n in ("e_noise", "e_sb", "e_ent", "e_obs")])
+    return terms(after, sums_after) - terms(before, sums)
+
+
+@pytest.mark.parametrize("mode", [dict(infer_alpha0=False), dict(infer_pi1=False, infer_alpha0=False)])
+def test_gaps_with_fixed_values_are_changes_of_the_bound(setup, mode):
+    """Each gap against the bounds of two whole configurations, made by steps from the responsibilities before and after."""
+    start, x, _ = setup
+    model = fit.start(start.points, views.cell_centres(start.points, pitch=40.0), fit.Config(prune=False, **mode))
+    resp = written(model.responsibilities(), "resp")
+    same, sums = fit.step(model, from_resp=resp), elbo.resp_sums(resp)
+    spark = resp.sparkSession
+
+    def moved(resp_after, n):
+        numbers = spark.range(n).withColumnRenamed("id", "c").join(same.components.drop("c").limit(1), how="cross")
+        m = fit.step(replace(same, components=numbers.select(*same.components.columns)), from_resp=written(resp_after, "after"))
+        return change(same, sums, m, elbo.resp_sums(resp_after))
+
+    n = same.components.count()
+    check = lambda row, want: np.testing.assert_allclose([row.noise, row.stick, row.entropy, row.obs], want, atol=1e-5)
+    check(elbo.gap_delete(resp, same.components, same.scalars, same.prior, 1).first(), moved(ops.remove(resp, [1]), n - 1))
+    check(elbo.gap_merge(resp, same.components, same.scalars, same.prior, 0, 2).first(), moved(ops.merge(resp, 0, 2), n - 1))
+    at = float(np.median(x[:, 0]))
+    proposed = resp.where("c = 1").withColumn("r1", F.col("r") * F.when(F.col("x") > at, 0.9).otherwise(0.1)).withColumn("r2", F.col("r") - F.col("r1"))
+    check(elbo.gap_split(proposed, same.components, same.scalars, same.prior, 1).first(), moved(ops.split(resp, 1, proposed), n + 1))
+    chosen = resp.where("c = -1 and x > 20")
+    check(elbo.gap_birth(chosen, same.components, same.scalars, same.prior).first(), moved(ops.insert_from_noise(resp, chosen), n + 1))
+
+
+@pytest.mark.parametrize("gone", [[3], [0, 2, 7], list(range(1, 60, 2))])
+def test_renumbering(spark, gone):
+    rows = spark.createDataFrame([(c, c) for c in range(-1, 80)], "c long, was long")
+    kept = [c for c in range(80) if c not in gone]
+    found = {r.was: r.c for r in ops.renumber(rows, gone).collect()}
+    assert found == {-1: -1} | {c: i for i, c in enumerate(kept)}
+
+
 def test_fit_finds_the_grid(spark):
     points = generators.with_noise(generators.gaussian_grid(spark, 2, 30, pitch=80.0, s2=25.0, seed=5), 0.05, 2).cache()
     model = fit.fit(fit.start(points, fit.initial_centres(points, "density_peaks"), fit.Config(iterations=8, search_radius=6.0)))

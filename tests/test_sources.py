@@ -95,9 +95,32 @@ def test_statistics(spark):
         assert got.n == n and abs(got.d - want) < 1e-6
 
 
-def test_chain_of_two_centres(spark):
-    points = generators.gaussian_grid(spark, 2, 20, pitch=40.0, s2=9.0).where("truth in (0, 1)")
-    draws = metrics.two_centre_chain(points, chains=1, draws=400, warm_up=400)
-    mean = draws.agg(*(F.avg(c).alias(c) for c in ("x1", "x2", "weight"))).first()
-    assert sorted([round(mean.x1 / 40), round(mean.x2 / 40)]) == [0, 1] and 0.3 < mean.weight < 0.7
-    assert metrics.trace_summary(draws, "chain", "x1").count() == 1
+def test_probability_of_a_distance(spark):
+    # known values of the limiting distribution
+    rows = spark.createDataFrame([(0.5, 1), (1.0, 1), (1.36, 1), (0.05, 4)], "d double, n long")
+    got = [r.p for r in rows.select("d", metrics.kolmogorov_p(F.col("d"), F.col("n")).alias("p")).collect()]
+    assert np.allclose(got, [0.9639452, 0.2699997, 0.0494859, 1.0], atol=1e-5)
+
+
+def test_ratio_from_all_pairs(spark):
+    rng = np.random.default_rng(1)
+    rows, want = [], {}
+    for group, shift in ((0, 0.0), (1, 3.0)):
+        a, b = rng.normal(0, 1, 60), rng.normal(shift, 2, 80)
+        gaps = (a[:, None] - b[None, :]).ravel()
+        h = gaps.std(ddof=1) * len(gaps) ** -0.2
+        want[group] = (np.exp(-0.5 * (gaps / h) ** 2) / (h * math.sqrt(2 * math.pi))).mean() * 10 * math.sqrt(2 * math.pi)
+        rows += [(group, 0, float(v)) for v in a] + [(group, 1, float(v)) for v in b]
+    df = spark.createDataFrame(rows, "separation long, side int, v double").repartition(4)
+    left, right = (df.where(F.col("side") == k).drop("side") for k in (0, 1))
+    got = {r.separation: r.factor for r in metrics.pairwise_factor(left, right, "v", 10.0, "separation").collect()}
+    assert all(abs(got[g] - want[g]) < 0.01 * want[g] for g in want)
+    only = metrics.pairwise_factor(left.where("separation = 0"), right.where("separation = 0"), "v", 10.0).first()
+    assert abs(only.factor - got[0]) < 1e-9 and only.n == 4800
+    report = {r.separation: r for r in metrics.comparison_report(left, right, "v", 10.0).collect()}
+    assert report[1].low < report[1].distance < report[1].high and report[0].factor > report[1].factor
+
+
+def test_centres_are_sorted_by_rows(spark):
+    rows = spark.createDataFrame([(0, 5.0, 1.0), (1, 2.0, 9.0), (2, 2.0, 3.0)], "c long, mux double, muy double")
+    assert [(r.c, r.mux, r.muy) for r in metrics.sorted_centres(rows).orderBy("c").collect()] == [(0, 2.0, 3.0), (1, 2.0, 9.0), (2, 5.0, 1.0)]
