@@ -34,10 +34,9 @@ class Scalars:
         return self.gamma1 / self.gamma2 if self.alpha0 is None else self.alpha0
 
 
-def scalars(components: DataFrame, resp_sums: Row, prior: dict, pi1: float | None = None, alpha0: float | None = None) -> Scalars:
-    """From ``r0`` and ``r1`` (sums of noise and other responsibilities) and the components' expected logs, or fixed values."""
-    row = components.agg(F.count("*").alias("n"), F.coalesce(F.sum("elog_1mu"), F.lit(0.0)).alias("s")).first()
-    return Scalars(prior["a"] + resp_sums["r0"], prior["b"] + resp_sums["r1"], prior["gamma1"] + row["n"], prior["gamma2"] - row["s"], pi1, alpha0)
+def scalars(of: Row, resp_sums: Row, prior: dict, pi1: float | None = None, alpha0: float | None = None) -> Scalars:
+    """From ``r0`` and ``r1`` (sums of noise and other responsibilities) and the ``totals`` of components, or fixed values."""
+    return Scalars(prior["a"] + resp_sums["r0"], prior["b"] + resp_sums["r1"], prior["gamma1"] + of["n"], prior["gamma2"] - of["s"], pi1, alpha0)
 
 
 def resp_sums(resp: DataFrame, axes=XY) -> DataFrame:
@@ -94,6 +93,28 @@ def bound(sums: DataFrame, components: DataFrame, s: Scalars, prior: dict, axes=
     return parts.withColumn("elbo", F.col("e_noise") + F.col("e_obs") + F.col("e_sb") + F.col("e_ent"))
 
 
+def totals(components: DataFrame, prior: dict, least: float = 0.0, axes=XY) -> Row:
+    """What the scalars and the bound need of components, in one job: ``n``, ``s`` (expected logs), ``own`` (sticks), ``centres``, and ``few``, how many have less than ``least``."""
+    zero = F.lit(0.0)
+    total = lambda x: F.coalesce(F.sum(x), zero)
+    return components.agg(
+        F.count("*").alias("n"), total(F.col("elog_1mu")).alias("s"), total(c_beta(F.col("eta1"), F.col("eta0"))).alias("own"),
+        total(prior_bound(prior, axes) - own_bound(axes)).alias("centres"), F.count_if(F.col("rk") < least).alias("few"),
+    ).first()
+
+
+def bound_value(sums: Row, of: Row, s: Scalars, prior: dict) -> float:
+    """``bound`` from the row of sums of a step and the ``totals`` of the components it led to."""
+    beta = lambda a, b: math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
+    alpha = lambda a, b: a * math.log(b) - math.lgamma(a) - b * s.alpha
+    if s.pi1 is None:
+        noise = sums["r0"] * prior["logp0"] + beta(prior["a"], prior["b"]) - beta(s.a, s.b)
+    else:
+        noise = sums["r0"] * (math.log(s.pi1 / (1 - s.pi1)) + prior["logp0"]) + (sums["r0"] + sums["r1"]) * math.log(1 - s.pi1)
+    top = alpha(prior["gamma1"], prior["gamma2"]) - alpha(s.gamma1, s.gamma2) if s.alpha0 is None else of["n"] * beta(1.0, s.alpha0)
+    return noise + of["centres"] + sums["cobs"] + top - of["own"] - sums["entropy"]
+
+
 def _moved(components: DataFrame, before: Scalars, after: Scalars) -> DataFrame:
     """``eta0`` from the counts ``rk`` of the components as they are, with the new concentration in place of the old one.
 

@@ -17,7 +17,7 @@ from mixfield.operators.elbo import Scalars, new_centre
 from mixfield.operators.estep import BELONGING, NOISE, dense, noise_logit, noise_points, point_columns, sparse, split_candidates
 from mixfield.operators.order import numbered
 from mixfield.operators.spatial import XY
-from mixfield.operators.storage import written
+from mixfield.operators.storage import discard, written
 from mixfield.sources.views import cell_centres, priors, with_counts
 
 
@@ -54,6 +54,8 @@ class Model:
     config: Config = field(default_factory=Config)
     axes: tuple[str, ...] = XY
     elbo: float = -math.inf
+    #: Components with too few points after the last step.
+    few: int = 0
     #: Rows for each step: iteration, elbo, number of components, what was done.
     history: list[dict] = field(default_factory=list)
     moves: dict[tuple[str, bool], int] = field(default_factory=dict)
@@ -129,11 +131,12 @@ def step(model: Model, what: str = "update", from_resp: DataFrame | None = None)
         (-0.5 * F.coalesce(F.sum(F.when(noise, 0.0).otherwise(F.col("obs"))), zero)).alias("cobs"),
     )
     components = written(mstep.update(model.components, stats.drop("ent", "obs"), model.prior, model.scalars.alpha, model.axes), "components")
-    scalars = bounds.scalars(components, sums.first(), model.prior, **model.config.fixed(model.prior))
-    elbo = float(bounds.bound(sums, components, scalars, model.prior, model.axes).first()["elbo"])
-    n = components.count()
-    history = [*model.history, {"iteration": len(model.history), "elbo": elbo, "components": n, "what": what}]
-    return replace(model, components=components, scalars=scalars, elbo=elbo, history=history)
+    row, of = sums.first(), bounds.totals(components, model.prior, model.config.least_count, model.axes)
+    scalars = bounds.scalars(of, row, model.prior, **model.config.fixed(model.prior))
+    elbo = bounds.bound_value(row, of, scalars, model.prior)
+    discard(stats)
+    history = [*model.history, {"iteration": len(model.history), "elbo": elbo, "components": of["n"], "what": what}]
+    return replace(model, components=components, scalars=scalars, elbo=elbo, few=of["few"], history=history)
 
 
 def drop_components(model: Model, gone: list[int]) -> Model:
@@ -142,8 +145,8 @@ def drop_components(model: Model, gone: list[int]) -> Model:
 
 def prune(model: Model) -> Model:
     """Drops components with too few points and, of components closer than the redundant radius, those that a fuller one is close to."""
-    few = [r["c"] for r in mstep.empty_components(model.components, model.config.least_count).select("c").collect()]
-    if few:
+    if model.few:
+        few = [r["c"] for r in mstep.empty_components(model.components, model.config.least_count).select("c").collect()]
         model = step(drop_components(model, few), "empty")
     counts = model.components.select("c", "rk")
     pairs = spatial.close_centres(model.components, model.config.redundant_radius, model.axes)
@@ -154,7 +157,7 @@ def prune(model: Model) -> Model:
 
 
 def fit(model: Model) -> Model:
-    """Steps until the bound changes by less than the tolerance or the iterations are used up; the best configuration is returned."""
+    """Steps until the bound changes by less than the tolerance, relative to its size, or the iterations are used up; the best configuration is returned."""
     best, last = model, -math.inf
     for _ in range(model.config.iterations):
         model = step(model)
@@ -162,7 +165,7 @@ def fit(model: Model) -> Model:
             model = prune(model)
         if model.elbo > best.elbo:
             best = model
-        if abs(model.elbo - last) < model.config.tolerance:
+        if abs(model.elbo - last) < model.config.tolerance * max(1.0, abs(model.elbo)):
             break
         last = model.elbo
     return replace(best, history=model.history, moves=model.moves)

@@ -94,7 +94,7 @@ def step(model: FrameModel, what: str = "update") -> FrameModel:
 
 
 def fit(model: FrameModel) -> FrameModel:
-    """Steps until the bound changes by less than the tolerance or the iterations are used up, then the transitions; the best configuration is returned."""
+    """Steps until the bound changes by less than the tolerance, relative to its size, or the iterations are used up, then the transitions; the best configuration is returned."""
     best, last = model, -math.inf
     for _ in range(model.config.iterations):
         model = step(model)
@@ -104,7 +104,7 @@ def fit(model: FrameModel) -> FrameModel:
                 model = step(replace(model, components=written(renumber(model.components, few), "components")), "empty")
         if model.elbo > best.elbo:
             best = model
-        if abs(model.elbo - last) < model.config.tolerance:
+        if abs(model.elbo - last) < model.config.tolerance * max(1.0, abs(model.elbo)):
             break
         last = model.elbo
     return with_transitions(replace(best, history=model.history))

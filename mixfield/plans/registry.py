@@ -609,7 +609,7 @@ def frame_gap_split(spark, folder):
 def frame_fit(spark, folder):
     """The fit of the model with frames, to the tolerance or 100 iterations."""
     points = _points(spark, folder)
-    model = frames.fit(frames.start(points, views.cell_centres(points), fit.Config(tolerance=1e-6)))
+    model = frames.fit(frames.start(points, views.cell_centres(points), fit.Config()))
     return rounded(rounded(model.components, 4, "mux", "muy", "vx", "vy"), 3, "rk", "alpha")
 
 
@@ -633,7 +633,25 @@ def transition_counts(spark, folder):
     return temporal.transition_counts(_points(spark, folder).select(F.col("y").alias("c"), "frame"))
 
 
-@query()
+CHAIN = """WITH RECURSIVE ev AS (SELECT CAST(user_id AS DOUBLE) * 3 AS seq, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS hour FROM events),
+ends AS (SELECT min(hour) AS first, max(hour) AS last FROM ev),
+grid AS (SELECT seq, t, coalesce(n, 0) AS n FROM (SELECT seq, unnest(range(0, last - first + 1)) AS t FROM (SELECT DISTINCT seq FROM ev), ends)
+  LEFT JOIN (SELECT seq AS s, hour - first AS f, count(*) AS n FROM ev, ends GROUP BY 1, 2) ON seq = s AND t = f),
+soft AS (SELECT seq, t, exp(-0.05e0 + n * ln(0.05e0)) AS e0, exp(-1e0) AS e1 FROM grid),
+fw(seq, t, a0, a1, ls) AS (
+  SELECT seq, t, e0 / (e0 + e1), e1 / (e0 + e1), ln(0.5e0 * e0 + 0.5e0 * e1) FROM soft WHERE t = 0
+  UNION ALL SELECT seq, t, b0 / (b0 + b1), b1 / (b0 + b1), ls + ln(b0 + b1) FROM (
+    SELECT f.seq, s.t, (a0 * 0.95e0 + a1 * 0.2e0) * e0 AS b0, (a0 * 0.05e0 + a1 * 0.8e0) * e1 AS b1, ls FROM fw f JOIN soft s ON f.seq = s.seq AND s.t = f.t + 1)),
+bw(seq, t, b0, b1) AS (
+  SELECT seq, last - first, 0.5e0, 0.5e0 FROM (SELECT DISTINCT seq FROM ev), ends
+  UNION ALL SELECT seq, t, c0 / (c0 + c1), c1 / (c0 + c1) FROM (
+    SELECT b.seq, b.t - 1 AS t, 0.95e0 * e0 * b0 + 0.05e0 * e1 * b1 AS c0, 0.2e0 * e0 * b0 + 0.8e0 * e1 * b1 AS c1 FROM bw b JOIN soft s ON b.seq = s.seq AND s.t = b.t WHERE b.t > 0)),
+ev_ AS (SELECT seq, ls FROM fw, ends WHERE t = last - first)
+SELECT fw.seq, fw.t, round(a0 * b0 / (a0 * b0 + a1 * b1), 6) AS p_off, round(a1 * b1 / (a0 * b0 + a1 * b1), 6) AS p_on, round(ev_.ls, 4) AS log_evidence
+FROM fw JOIN bw ON fw.seq = bw.seq AND fw.t = bw.t JOIN ev_ ON fw.seq = ev_.seq"""
+
+
+@query(CHAIN)
 def forward_backward(spark, folder):
     """Smoothed on and off states of each user from the number of events in each frame; a chain for each user."""
     # frames are hours from the first event on, so months don't fold onto each other
@@ -649,12 +667,32 @@ def forward_backward(spark, folder):
 
 # Generators
 
-@query()
+def _uniform(seed: int, key: str) -> str:
+    return f"(CAST('0x' || substr(md5(concat_ws('|', {seed}, {key})), 1, 8) AS BIGINT) / 4294967296e0)"
+
+
+NOISY = ", ".join(f"lo_{a} - (hi_{a} - lo_{a}) / 2 + {_uniform(12 + k, 'id')} * (hi_{a} - lo_{a} + 2 * ((hi_{a} - lo_{a}) / 2)) AS {a}" for k, a in enumerate("xy"))
+
+
+@query(
+    o.with_(o.PTS, "box AS (SELECT min(x) AS lo_x, max(x) AS hi_x, min(y) AS lo_y, max(y) AS hi_y FROM pts)")
+    + f"""SELECT id, frame, round(x, 4) AS x, round(y, 4) AS y, s2x, s2y, truth FROM (
+  SELECT id, frame, x, y, s2x, s2y, 0 AS truth FROM pts UNION ALL SELECT -1 - id, frame, {NOISY}, s2x, s2y, -1 FROM pts, box WHERE {_uniform(11, 'id')} < 0.2)"""
+)
 def noise_injection(spark, folder):
-    return generators.with_noise(_points(spark, folder), 0.2, 11)
+    return rounded(generators.with_noise(_points(spark, folder), 0.2, 11), 4, "x", "y")
 
 
-@query()
+@query(
+    o.with_(
+        EMB,
+        "names AS (SELECT truth AS source, row_number() OVER (ORDER BY md5(concat_ws('|', 5, truth)), truth) - 1 AS k FROM (SELECT DISTINCT truth FROM emb))",
+        "nn AS (SELECT * FROM names WHERE k < 9)",
+        f"places AS (SELECT p AS truth, (p % 3) * 500e0 AS px, (p // 3) * 500e0 AS py, CAST(floor({_uniform(6, 'p')} * (SELECT count(*) FROM nn)) AS BIGINT) AS k FROM range(9) r(p))",
+        "wm AS (SELECT truth AS source, sum(x / s2) / sum(1 / s2) AS mx, sum(y / s2) / sum(1 / s2) AS my FROM emb GROUP BY truth)",
+    )
+    + "SELECT e.id, p.truth, e.truth AS source, round(e.x - mx + px, 6) AS x, round(e.y - my + py, 6) AS y FROM places p JOIN nn ON p.k = nn.k JOIN emb e ON e.truth = nn.source JOIN wm ON wm.source = nn.source"
+)
 def grid_generator(spark, folder):
     points = views.embedding_points(spark, folder).withColumn("source", F.col("truth"))
     return generators.grid_of_sources(points, 3, 500.0, 5)[0].select("id", "truth", "source", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))

@@ -10,8 +10,13 @@ from mixfield.operators.spatial import XY
 
 
 def uniform(*key: Column | str, seed: int) -> Column:
-    """A number in [0, 1) that depends on the key and seed alone, the same wherever the row is."""
-    return F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(1 << 30)).cast("double") / float(1 << 30)
+    """A number in [0, 1) that depends on the key and seed alone, the same wherever the row is: 32 bits of their MD5."""
+    return F.conv(F.substring(drawn_order(*key, seed=seed), 1, 8), 16, 10).cast("double") / float(1 << 32)
+
+
+def drawn_order(*key: Column | str, seed: int) -> Column:
+    """A text that puts keys into an order drawn with ``seed``."""
+    return F.md5(F.concat_ws("|", F.lit(seed), *key).cast("binary"))
 
 
 def centred(points: DataFrame, source: str = "source", axes=XY) -> DataFrame:
@@ -36,7 +41,7 @@ def grid_of_sources(points: DataFrame, n: int, pitch: float, seed: int, source:
     """
     spark = points.sparkSession
     kinds = points.select(source).distinct()
-    order = kinds.select(source, F.xxhash64(F.lit(seed), F.col(source)).alias("h")).orderBy("h", source).limit(n * n).collect()  # n * n names at most
+    order = kinds.select(source, drawn_order(source, seed=seed).alias("h")).orderBy("h", source).limit(n * n).collect()  # n * n names at most
     names = [r[source] for r in order]
     if not names:
         raise ValueError("there is no source")
