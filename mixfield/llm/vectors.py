@@ -15,14 +15,15 @@ from mixfield.llm.common import written
 #: At most so many vectors, those with the smallest hash, train the codebooks and cells.
 FIT_VECTORS = 16_384
 BOOKS, WORDS, BEAM = 16, 256, 4
-#: There are about as many cells as the square root of the number of vectors, and so many at most.
-CELLS = 4096
-#: A query visits so many of the nearest cells at least, and more until so many vectors are in them.
-PROBES, SEEN = 24, 4096
+#: A cell has about so many vectors, and there are so many cells at most.
+CELL_ROWS, CELLS = 4096, 4096
+#: A query visits the nearest cells until they have this share of all vectors. Where vectors point in all directions alike, a neighbour may be in any
+#: cell, and nine of ten neighbours take half of the vectors; for vectors in clear groups far less is enough.
+SHARE = 0.8
 #: A task scores about so many vectors of a cell for about so many queries at a time.
 BLOCK, QUERIES = 8192, 1024
-#: So many vectors by quantised distance are reranked for each query.
-SHORTLIST = 256
+#: So many vectors by quantised distance are taken from each block of a cell, and so many of all are reranked.
+LOCAL, SHORTLIST = 128, 512
 RESULT = "query_id long, rank int, vec_id long, score double"
 
 
@@ -107,7 +108,7 @@ def build(nodes: DataFrame, books: int = BOOKS, words: int = WORDS, sample: int
     n = nodes.count()
     # at most ``sample`` vectors reach the driver
     fitted = nodes.orderBy("h1", "h2").limit(sample).toPandas()
-    cells = max(1, min(CELLS, len(fitted) // 4, 1 << round(np.log2(n) / 2)))
+    cells = max(1, min(CELLS, len(fitted) // 4, round(n / CELL_ROWS)))
     coder = train(np.stack(fitted["embedding"].to_numpy()), books, words, cells=cells)
     shared = nodes.sparkSession.sparkContext.broadcast(coder)  # books * words and CELLS vectors at most
 
@@ -134,8 +135,7 @@ def probes(asked: DataFrame, coder: Codebooks, sizes: np.ndarray) -> DataFrame:
                 x = np.stack(rows["embedding"].to_numpy())
                 order = np.argsort(own.near_cells(x), axis=1, kind="stable")
                 seen = np.cumsum(n[order], axis=1) - n[order]
-                use = (np.arange(order.shape[1]) < PROBES) | (seen < SEEN)
-                at, place = np.nonzero(use & (n[order] > 0))
+                at, place = np.nonzero((seen < SHARE * n.sum()) & (n[order] > 0))
                 vectors = np.array([v.tobytes() for v in x.astype(np.float32)], object)
                 yield pd.DataFrame({"q1": rows["h1"].to_numpy()[at], "q2": rows["h2"].to_numpy()[at], "vector": vectors[at], "cell": order[at, place]})
 
@@ -143,7 +143,7 @@ def probes(asked: DataFrame, coder: Codebooks, sizes: np.ndarray) -> DataFrame:
 
 
 def shortlists(visits: DataFrame, index: DataFrame, coder: Codebooks, sizes: np.ndarray, shortlist: int) -> DataFrame:
-    """``q1, q2, h1, h2``: for each query the ``shortlist`` vectors of its cells that are nearest by the lookup tables.
+    """``q1, q2, h1, h2``: for each query the ``shortlist`` vectors that are nearest by the lookup tables, of LOCAL from each block of its cells.
 
     A cell's vectors and queries meet in blocks of bounded size, so a full cell is shared out among tasks.
     """
@@ -163,7 +163,7 @@ def shortlists(visits: DataFrame, index: DataFrame, coder: Codebooks, sizes: np.
             codes = np.frombuffer(b"".join(there["codes"]), np.uint8).reshape(len(there), -1)
             norms, h1, h2 = there["norm"].to_numpy(), there["h1"].to_numpy(), there["h2"].to_numpy()
             q = np.frombuffer(b"".join(asked["vector"]), np.float32).reshape(len(asked), -1)
-            keep = min(shortlist, len(there))
+            keep = min(LOCAL, len(there))
             for a in range(0, len(asked), 64):
                 scores = shared.value.scores(q[a : a + 64], codes, norms)
                 best = np.argpartition(scores, keep - 1, axis=1)[:, :keep]
@@ -186,10 +186,9 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, shortlist: int = S
 
     Every other usable row of the same dimension is a candidate (see ``usable``), also one with the query's vec_id, or without any; each dimension has an
     index of its own. Equal vectors are one node, so copies of a vector are searched and found once. Each node belongs to the cell of the nearest
-    centre, of which there are about as many as the square root of the number of nodes; a query visits the nearest PROBES cells, or more until they
-    have SEEN nodes. All nodes of these are scored by lookup tables, the best ``shortlist`` are reranked by the exact Euclidean
-    distance of the original vectors in double precision; ties go to the smaller vec_id, null last. With fewer than ``k`` candidates all are
-    returned, and without candidates or queries there are no rows.
+    centre; a query visits the nearest cells until they have SHARE of all nodes, with their codes only. All nodes of these are scored by
+    lookup tables, the best ``shortlist`` are fetched and reranked by the exact Euclidean distance of the original vectors in double
+    precision; ties go to the smaller vec_id, null last. With fewer than ``k`` candidates all are returned, and without candidates or queries there are no rows.
     """
     rows = written(usable(vectors), "vectors")
     out = vectors.sparkSession.createDataFrame([], RESULT)
