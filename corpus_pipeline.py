@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mixfield.llm import language, lines, mixing, packing, queries, simhash
+from mixfield.llm import language, lines, mixing, packing, queries, simhash, substrings
 from mixfield.llm.common import WORD, table, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -44,14 +44,15 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     # a row for each text, then one for each group: no group is gathered in a task
     first = found.groupBy("root", "node").agg(F.min(rank).alias("rank")).groupBy("root").agg(F.min("rank").alias("rank"))
     first = first.select(F.col("rank.doc_id").alias("_id"), F.col("rank.node").alias("_node"))
-    again = found.groupBy("doc_id", "node").agg(F.count("*").alias("_rows")).where("_rows > 1").select(F.col("doc_id").alias("_again"), F.col("node").alias("_node_again"))
-    first = first.join(again, F.col("_id").eqNullSafe(F.col("_again")) & (F.col("_node") == F.col("_node_again")), "left")
+    counted = found.groupBy("doc_id", "node").agg(F.count("*").alias("_rows")).where("_rows > 1").select(F.col("doc_id").alias("_again"), F.col("node").alias("_node_again"))
+    first = first.join(counted, F.col("_id").eqNullSafe(F.col("_again")) & (F.col("_node") == F.col("_node_again")), "left")
     first = written(first.select("_id", "_node", F.col("_node_again").isNotNull().alias("_repeated")), "first")
     own = docs.select(*COLUMNS).withColumn("_own", simhash.text_hash(F.col("text")))
     at = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_node"))
     once = own.join(first.where("not _repeated"), at, "left_semi").select(*COLUMNS)
     # rows that are repeated with their doc_id and text
-    repeated = own.join(first.where("_repeated"), at, "left_semi").groupBy("doc_id", "_own").agg(F.min(F.struct(*COLUMNS[1:])).alias("row"))
+    again = first.where("_repeated")
+    repeated = substrings.thinned(own, "_own", substrings.bitmap(again.select("_node"))).join(again, at, "left_semi").groupBy("doc_id", "_own").agg(F.min(F.struct(*COLUMNS[1:])).alias("row"))
     return once.unionByName(repeated.select("doc_id", "row.*").select(*COLUMNS))
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from mixfield.llm.batches import slices
 from mixfield.llm.common import written
+from mixfield.llm.substrings import bitmap, thinned
 from mixfield.operators.graph import components
 from mixfield.operators.storage import discard
 
@@ -240,8 +241,9 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int = NEAR_SHINGLE, simila
                 keep.append(both >= similarity * (len(a) + len(b) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = _texts(docs).join(needed, "node", "left_semi")
+    needed = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "needed")
+    # few texts are needed: the others go before the shuffle
+    texts = thinned(_texts(docs), "node", bitmap(needed)).join(needed, "node", "left_semi")
     texts = written(texts.groupBy("node").agg(F.first("text").alias("text")), "texts")
     sides = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
     return sides.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
@@ -286,7 +288,7 @@ def prefix_pairs(rows: DataFrame, docs: DataFrame, size: int = NEAR_SHINGLE, sim
             ends = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in sets])]), pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets)))], ["node", "root", "shingles"])
 
-    texts = _texts(docs).join(rows, "node").groupBy("node", "root").agg(F.first("text").alias("text"))
+    texts = thinned(_texts(docs), "node", bitmap(rows.select("node"))).join(rows, "node").groupBy("node", "root").agg(F.first("text").alias("text"))
     sets = written(texts.select("node", "root", "text").mapInArrow(run, "node long, root long, shingles array<long>"), "shingles")
     flat = sets.select("node", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
     shared = written(flat.groupBy("shingle").agg(F.count("*").alias("texts")).where("texts > 1"), "shared")
@@ -329,7 +331,7 @@ def near_texts(docs: DataFrame, size: int = NEAR_SHINGLE, similarity: float = SI
     links = written(verified(pairs, docs, size, similarity), "links")
     found = components(links)
     more = prefix_pairs(apart(members, found), docs, size, similarity).join(pairs, ["a", "b"], "left_anti")
-    more = written(sharing(more, nodes), "pairs")
+    more = written(more, "pairs")
     more = written(verified(more, docs, size, similarity), "links")
     if not more.isEmpty():
         found = components(links.union(more))
