@@ -84,7 +84,8 @@ def start(points: DataFrame, centres: DataFrame, config: Config | None = None, p
     prior = prior or priors(points, axes)
     components = mstep.stick_weights(centres.withColumn("rk", F.col("eta1") - 1.0)).select("c", *(f"mu{a}" for a in axes), *(f"v{a}" for a in axes), "rk", "eta1", "eta0", "elog_u", "elog_1mu", "log_weight")
     config = config or Config()
-    return Model(points, written(components, "components"), Scalars(prior["a"], prior["b"], prior["gamma1"], prior["gamma2"], **config.fixed(prior)), prior, config, tuple(axes))
+    # the points are read at every step: once from where they come from, then as a table
+    return Model(written(points, "points"), written(components, "components"), Scalars(prior["a"], prior["b"], prior["gamma1"], prior["gamma2"], **config.fixed(prior)), prior, config, tuple(axes))
 
 
 def initial_centres(points: DataFrame, kind: str = "density_peaks", prior: dict | None = None, axes=XY, **options) -> DataFrame:

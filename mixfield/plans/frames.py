@@ -60,7 +60,7 @@ def start(points: DataFrame, centres: DataFrame, config: Config | None = None, p
     prior, config = prior or priors(points, axes), config or Config()
     rows = centres.select("c", *(f"mu{a}" for a in axes), *(f"v{a}" for a in axes), (F.col("eta1") - 1.0).alias("rk"), F.col("eta1").alias("alpha"))
     fixed = config.fixed(prior) | {"alpha0": prior["alpha0"]}
-    return FrameModel(points, written(rows, "components"), Scalars(prior["a"], prior["b"], 1.0, 1.0, **fixed), prior, config, radius, tuple(axes))
+    return FrameModel(written(points, "points"), written(rows, "components"), Scalars(prior["a"], prior["b"], 1.0, 1.0, **fixed), prior, config, radius, tuple(axes))
 
 
 def bound(sums: DataFrame, model: FrameModel) -> DataFrame:
