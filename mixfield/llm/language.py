@@ -11,13 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mixfield.llm.batches import slices
+from mixfield.llm.common import written
 
 #: A profile has so many n-grams, and so many of a document's are compared with it.
 PROFILE = 300
 #: About so many labelled documents, chosen by a hash of their doc_id, make the profiles.
 FIT_DOCUMENTS = 20_000
-#: So many languages have profiles at most, those with most rows.
-MAX_LANGUAGES = 4096
 
 
 def ngram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -59,10 +58,14 @@ class Profiles:
     def __init__(self, ranked: dict[str, list[int]], size: int):
         self.languages = sorted(ranked)
         self.size = size
-        self.known = np.unique(np.concatenate([np.array(ranked[x], np.int64) for x in self.languages])) if ranked else np.zeros(0, np.int64)
-        self.ranks = np.full((len(self.languages), len(self.known) + 1), -1, np.int64)
-        for row, x in zip(self.ranks, self.languages, strict=True):
-            row[np.searchsorted(self.known, ranked[x])] = np.arange(len(ranked[x]))
+        sizes = np.array([len(ranked[x]) for x in self.languages], np.int64)
+        grams = np.concatenate([np.array(ranked[x], np.int64) for x in self.languages]) if ranked else np.zeros(0, np.int64)
+        order = np.argsort(grams, kind="stable")
+        # by n-gram: the languages that have it, and its ranks there
+        self.known, starts = np.unique(grams[order], return_index=True)
+        self.starts = np.append(starts, len(grams))
+        self.language = np.repeat(np.arange(len(sizes)), sizes)[order]
+        self.rank = np.concatenate([np.arange(n) for n in sizes])[order] if ranked else grams
 
     def predict(self, text: str | None) -> tuple[str, float]:
         if text is None or not self.languages:
@@ -70,10 +73,14 @@ class Profiles:
         own = most_frequent(*ngram_counts(text), self.size)
         if not len(own) or not own.any():
             return "und", 0.0
-        at = np.searchsorted(self.known, own)
-        at[self.known[np.minimum(at, len(self.known) - 1)] != own] = len(self.known)
-        ranks = self.ranks[:, at]
-        away = np.where(ranks < 0, self.size, np.abs(ranks - np.arange(len(own)))).sum(axis=1)
+        at = np.minimum(np.searchsorted(self.known, own), len(self.known) - 1)
+        place = np.flatnonzero(self.known[at] == own)
+        at = at[place]
+        n = self.starts[at + 1] - self.starts[at]
+        where = np.repeat(self.starts[at], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        # an n-gram that a profile lacks is as far out of place as can be
+        nearer = np.bincount(self.language[where], self.size - np.abs(self.rank[where] - np.repeat(place, n)), len(self.languages))
+        away = self.size * len(own) - nearer
         best = int(away.argmin())
         return self.languages[best], 1.0 - float(away[best]) / (self.size * len(own))
 
@@ -81,17 +88,16 @@ class Profiles:
 def fit(labelled: DataFrame, documents: int = FIT_DOCUMENTS, size: int = PROFILE) -> Profiles:
     """Profiles from ``labelled(doc_id, text, lang)``; rows without text or lang are left out.
 
-    If there are more than ``documents`` rows, those with a small hash of doc_id are taken, ``documents`` of
-    them in expectation. Of more than MAX_LANGUAGES languages, those with most rows have profiles, ties by name. Each task sums the n-grams of its
+    If there are more than ``documents`` rows, those with a small hash of doc_id are taken: of each language the same number in expectation, all of one that has
+    fewer, and ``documents`` of all languages at most. Each task sums the n-grams of its
     rows by language, the sums of the tasks are added, and only the ``size`` most frequent of each language reach the driver.
     """
     rows = labelled.where("text is not null and lang is not null").select("doc_id", "text", "lang")
-    languages = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    languages = written(rows.groupBy("lang").agg(F.count("*").alias("n")), "languages")
     n, kinds = languages.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    if kinds > MAX_LANGUAGES:
-        rows = rows.join(F.broadcast(languages.orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).select("lang")), "lang").select("doc_id", "text", "lang")
     if n > documents:
-        rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * documents / n))
+        place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) / float(1 << 32)
+        rows = rows.join(languages, "lang").where(place * F.col("n") < documents / kinds).select("doc_id", "text", "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, tuple[np.ndarray, np.ndarray]] = {}
@@ -115,7 +121,7 @@ def fit(labelled: DataFrame, documents: int = FIT_DOCUMENTS, size: int = PROFILE
     sums = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     first = sums.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("rank") <= size)
     ranked: dict[str, list[int]] = {}
-    for row in first.orderBy("lang", "rank").collect():  # MAX_LANGUAGES * size rows at most
+    for row in first.orderBy("lang", "rank").collect():  # documents * size rows at most
         ranked.setdefault(row.lang, []).append(row.gram)
     return Profiles(ranked, size)
 
@@ -128,7 +134,7 @@ def identify(docs: DataFrame, profiles: Profiles, keep: tuple[str, ...] = ()) ->
     and a text without letters get ``und`` and 0, as does every text if there are no profiles. Only the text is looked at; a
     doc_id may be null or repeated.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(profiles)  # at most MAX_LANGUAGES * PROFILE ranks
+    shared = docs.sparkSession.sparkContext.broadcast(profiles)  # at most FIT_DOCUMENTS * PROFILE ranks
     names = ["doc_id", "text", *keep, "lang_pred", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -70,7 +70,7 @@ class Suffixes:
     """
 
     def __init__(self, lines: DataFrame):
-        self.overlapping: list[DataFrame] = []
+        self.prefixes: list[DataFrame] = []
         self.levels = [_ranked(lines.select("pos", "last", "h1", "h2"), "h1", "h2")]
 
     def level(self, j: int) -> DataFrame:
@@ -78,18 +78,9 @@ class Suffixes:
             self.levels.append(_joined(self.levels[-1], 1 << (len(self.levels) - 1)))
         return self.levels[j]
 
-    def intervals(self, length: int) -> DataFrame:
-        """``pos, first`` of the suffixes in an interval whose longest common prefix has at least ``length`` lines, and its first position."""
-        whole = length.bit_length() - 1
-        found, over = self.level(whole), length - (1 << whole)
-        if not over:
-            return found
-        self.overlapping.append(_joined(found, over))
-        return self.overlapping[-1]
-
     def close(self) -> None:
         """Deletes all tables."""
-        discard(*self.levels, *self.overlapping)
+        discard(*self.levels, *self.prefixes)
 
     def complete(self) -> None:
         """Doubles until no suffix is in an interval with another."""
@@ -97,7 +88,7 @@ class Suffixes:
             self.level(len(self.levels))
 
     def common_prefixes(self) -> DataFrame:
-        """``pos, length`` of each suffix that begins with a repeated line: the longest prefix that it has in common with any other suffix.
+        """``pos, length, earlier`` of each suffix that begins with a repeated line: the longest prefix that it has in common with any other suffix, and with an earlier one.
 
         This is the depth of the deepest interval that the suffix is in, found from the highest level down: a suffix goes on by ``2 ** j`` lines if
         another one with the same prefix so far goes on in the same way. Of suffixes that have gone on together one stays behind as well, for
@@ -120,19 +111,22 @@ class Suffixes:
             behind = together.select(F.col("next").alias("pos"), F.col("next_last").alias("last"), *group)
             before, found = found, written(found.join(going.select("pos", *group), ["pos", *group], "left_anti").select("pos", "last", *group).union(gone_on).union(behind).union(entering), "prefixes")
             discard(ahead, together, going, *[before] * (before is not start))
-        return found.groupBy("pos").agg(F.max("length").alias("length"))
+        self.prefixes = [found] * (found is not start)
+        # the first suffix of an interval has rows of the wider intervals that it is in, too
+        return found.groupBy("pos").agg(F.max("length").alias("length"), F.max(F.when(F.col("first") < F.col("pos"), F.col("length"))).alias("earlier"))
 
 
-def later_copies(suffixes: Suffixes, lines: DataFrame, min_lines: int) -> DataFrame:
-    """``doc_id, text_hash, removed``: the places of the lines that belong to a later copy of a run of lines.
+def later_copies(prefixes: DataFrame, lines: DataFrame, min_lines: int) -> DataFrame:
+    """``doc_id, text_hash, removed``: the places of the lines that belong to a later copy of a run of lines, from ``Suffixes.common_prefixes``.
 
-    A run is any ``min_lines`` or more lines in a row, also over blank lines; its first occurrence in order of doc_id and place stays. All
-    suffixes but the first of an interval with a common prefix of ``min_lines`` begin a later copy. Where a run is longer, the suffixes that begin
-    inside it are in such intervals too, so maximal runs go as a whole. Occurrences may overlap, so of a line repeated many times
-    in a row the first one stays. Runs do not go over the end of a document.
+    A run is any ``min_lines`` or more lines in a row, also over blank lines; its first occurrence in order of doc_id and place stays. A suffix whose
+    longest prefix in common with an earlier one has so many lines begins a later copy of a maximal run, unless that lies in the run of the suffix one line before: then it is one
+    line shorter at most. Occurrences may overlap, so of a line repeated many times in a row the first one stays. Runs do not go over the end of a document.
     """
-    later = suffixes.intervals(min_lines).where("first < pos")
-    gone = later.select(F.explode(F.sequence(F.col("pos"), F.col("pos") + (min_lines - 1))).alias("pos")).distinct()
+    copies = prefixes.where(F.col("earlier") >= min_lines).select("pos", "earlier")
+    before = copies.select((F.col("pos") + 1).alias("pos"), F.col("earlier").alias("before"))
+    maximal = copies.join(before, "pos", "left").where("before is null or before <= earlier")
+    gone = maximal.select(F.explode(F.sequence(F.col("pos"), F.col("pos") + F.col("earlier") - 1)).alias("pos")).distinct()
     return lines.select("doc_id", "text_hash", "place", "pos").join(gone, "pos").groupBy("doc_id", "text_hash").agg(F.collect_set("place").alias("removed"))
 
 
@@ -145,28 +139,29 @@ def deduplicate(docs: DataFrame, min_lines: int = MIN_LINES, runs: bool = False)
     text all of whose lines go becomes empty. Null doc_ids come first in the order of documents.
     """
     rows = docs.drop("kept", "n_lines", "n_removed", *["longest_run"] * runs)
-    at, text_hash, own, gone, parts, longest = fresh(rows, "id", "text_hash", "own_hash", "removed", "parts", "longest")
+    at, text_hash, own, gone, longest = fresh(rows, "id", "text_hash", "own_hash", "removed", "longest")
     places = positions(docs)
     suffixes = Suffixes(places)
-    found = later_copies(suffixes, places, min_lines)
+    prefixes = written(suffixes.common_prefixes().where(F.col("length") >= min_lines), "runs")
+    suffixes.close()
+    found = later_copies(prefixes, places, min_lines)
     if runs:
-        depth = suffixes.common_prefixes().where(F.col("length") >= min_lines)
-        depth = places.select("doc_id", "text_hash", "pos").join(depth, "pos").groupBy("doc_id", "text_hash").agg(F.max("length").alias("longest"))
+        depth = places.select("doc_id", "text_hash", "pos").join(prefixes, "pos").groupBy("doc_id", "text_hash").agg(F.max("length").alias("longest"))
         one = lambda df, *more: df.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t"), *more)
         none = F.lit(None)
         both = one(found, "removed", none.cast("long").alias("longest")).unionByName(one(depth, none.cast("array<int>").alias("removed"), "longest"))
         found = both.groupBy(F.col("d").alias("doc_id"), F.col("t").alias("text_hash")).agg(F.first("removed", True).alias("removed"), F.first("longest", True).alias("longest"))
     found = written(found, "removed")
-    suffixes.close()
-    discard(places)
+    discard(places, prefixes)
     removed = found.select(F.col("doc_id").alias(at), F.col("text_hash").alias(text_hash), F.col("removed").alias(gone), *[F.col("longest").alias(longest)] * runs)
     rows = rows.withColumn(own, F.xxhash64("text", F.length("text")))
     rows = rows.join(removed, F.col("doc_id").cast("long").eqNullSafe(F.col(at)) & (F.col(own) == F.col(text_hash)), "left")
     n = F.when(F.col("text").isNull(), 0).otherwise(F.size(split_lines(F.col("text"))))
     left = F.sort_array(F.array_except(F.sequence(F.lit(0), n - 1), gone))
-    kept = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(F.col(parts), i)), "\n"))
+    # the lines are a variable of the outer lambda, so that a text is split once and not once for each line
+    joined = F.transform(F.array(split_lines(F.col("text"))), lambda lines: F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))[0]
+    kept = F.when(F.col(gone).isNull(), F.col("text")).otherwise(joined)
     rows = rows.withColumn("n_lines", n.cast("long")).withColumn("n_removed", F.coalesce(F.size(gone), F.lit(0)).cast("long"))
     if runs:
         rows = rows.withColumn("longest_run", F.coalesce(longest, F.lit(0)).cast("long")).drop(longest)
-    rows = rows.withColumn(parts, F.when(F.col(gone).isNotNull(), split_lines(F.col("text")))).withColumn("kept", kept)
-    return rows.drop(at, text_hash, own, gone, parts)
+    return rows.withColumn("kept", kept).drop(at, text_hash, own, gone)

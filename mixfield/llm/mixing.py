@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mixfield.llm.common import word_count, written
@@ -22,8 +22,13 @@ BUCKET, RUN_BITS = 4096, 16
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """``doc_id, source, size, place``: the number of words, and a hash of doc_id that shuffles documents."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), word_count(F.col("text")).alias("size"), F.xxhash64("doc_id").alias("place"))
+    """``doc_id, source, size, key, copies``: the number of words, a hash of the text, and how many rows are alike in all of these."""
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), word_count(F.col("text")).alias("size"), text_key(F.col("text")).alias("key"))
+    return rows.groupBy("doc_id", "source", "size", "key").agg(F.count("*").alias("copies"))
+
+
+def text_key(text: Column) -> Column:
+    return F.xxhash64(text, F.length(text))
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
@@ -50,17 +55,19 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
 def placed(sizes: DataFrame, sources: DataFrame) -> DataFrame:
     """``sizes`` with ``sid``, its source's columns and ``start``: the words of the same source that come before in shuffled order.
 
-    A source is ordered in buckets of its hash, whose sums are added up first, so no task orders a whole source.
+    A source is ordered in buckets by a hash of doc_id and text, whose sums are added up first, so no task orders a whole source. Rows that are alike are one row
+    there, and are told apart by ``copy``, from 0, afterwards.
     """
     buckets = max(1, -(-sizes.count() // BUCKET))
-    rows = sizes.join(sources, sizes.source.eqNullSafe(sources.source)).drop(sources.source)
-    rows = rows.withColumn("bucket", F.pmod("place", F.lit(buckets)))
+    rows = sizes.join(sources, sizes.source.eqNullSafe(sources.source)).drop(sources.source).withColumn("place", F.xxhash64("doc_id", "key"))
+    rows = rows.withColumn("bucket", F.pmod("place", F.lit(buckets))).withColumn("all", F.col("size") * F.col("copies"))
     earlier = Window.partitionBy("s").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    sums = rows.groupBy(F.col("sid").alias("s"), F.col("bucket").alias("b")).agg(F.sum("size").alias("words"))
+    sums = rows.groupBy(F.col("sid").alias("s"), F.col("bucket").alias("b")).agg(F.sum("all").alias("words"))
     sums = sums.select("s", "b", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("before"))
-    within = Window.partitionBy("sid", "bucket").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    return rows.join(sums, (rows.sid == sums.s) & (rows.bucket == sums.b)).withColumn("start", F.col("before") + F.col("inside")).drop("s", "b", "bucket", "before", "inside", "place")
+    within = Window.partitionBy("sid", "bucket").orderBy("place", "doc_id", "key").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("inside", F.coalesce(F.sum("all").over(within), F.lit(0)))
+    rows = rows.join(sums, (rows.sid == sums.s) & (rows.bucket == sums.b)).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    return rows.withColumn("start", F.col("before") + F.col("inside") + F.col("copy") * F.col("size")).drop("s", "b", "bucket", "before", "inside", "place", "all")
 
 
 def blocked(sources: DataFrame) -> DataFrame:
@@ -110,13 +117,13 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     """What a mix of the sources of ``docs(doc_id, text, source)`` takes of each document.
 
     The r-th slot of a source reads the r-th of its blocks, and begins again after the last one, ``cap`` times at most. Returns
-    ``doc_id, source, size, source_size, target, taken, passes``, one row for each of ``docs``: ``passes`` has the words taken
+    ``doc_id, source, size, source_size, target, taken, passes, key, copies, copy``, one row for each of ``docs``: ``passes`` has the words taken
     from the document's beginning or end in each reading of its source, as ``(pass, first, words)`` with ``first`` the words before them, and ``taken`` is their sum. Null
     text has no words and gives ``taken`` 0, as an empty one does; a null source is one of the sources, the last. Equal rows may be taken unequally often, but
-    always in the same numbers. Other columns are dropped.
+    always in the same numbers: ``key`` is ``text_key`` of the text, and of ``copies`` rows with the same doc_id, source and text each has another ``copy``. Other columns are dropped.
     """
     sizes = written(sized(docs), "sizes")
-    sources = written(targets(sizes.select("source", "size"), weights, share, cap), "sources")
+    sources = written(targets(sizes.select("source", (F.col("size") * F.col("copies")).alias("size")), weights, share, cap), "sources")
     rows = placed(sizes, sources)
     cut = blocked(sources).select(F.col("sid").alias("s"), "blocks", "words", "over")
     uses = schedule(sources).join(cut, F.col("sid") == F.col("s")).select("sid", (F.col("rank") % F.col("blocks")).alias("block"), F.expr("rank div blocks").alias("pass"))
@@ -126,11 +133,11 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     pieces = filled.withColumn("block", F.explode(F.sequence(F.expr(block_of("start")), F.expr(block_of("start + size - 1")))))
     since, until = F.expr(block_start("block")), F.expr(block_start("block + 1"))
     pieces = pieces.withColumn("first", F.greatest(since, "start") - F.col("start")).withColumn("n", F.least(until, F.col("start") + F.col("size")) - F.col("start") - F.col("first"))
-    key = ["doc_id", "source", "size", "source_size", "target", "sid", "start"]
+    key = ["doc_id", "source", "size", "source_size", "target", "sid", "start", "key", "copies", "copy"]
     read = pieces.join(uses, ["sid", "block"], "left").select(*key, "first", "n", F.explode_outer("used").alias("pass"))
     by_pass = read.groupBy(*key, "pass").agg(F.min("first").alias("first"), F.sum("n").alias("words"))
     took = F.filter(F.collect_list(F.when(F.col("pass").isNotNull(), F.struct("pass", "first", "words"))), lambda x: x.isNotNull())
     taken = by_pass.groupBy(*key).agg(F.sort_array(took).alias("passes"))
-    taken = taken.select("doc_id", "source", "size", "source_size", "target", F.aggregate("passes", F.lit(0).cast("long"), lambda a, x: a + x.words).alias("taken"), "passes")
-    empty = rows.where("size = 0").select("doc_id", "source", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"), F.expr("cast(array() as array<struct<pass: bigint, first: bigint, words: bigint>>)").alias("passes"))
+    taken = taken.select("doc_id", "source", "size", "source_size", "target", F.aggregate("passes", F.lit(0).cast("long"), lambda a, x: a + x.words).alias("taken"), "passes", "key", "copies", "copy")
+    empty = rows.where("size = 0").select("doc_id", "source", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"), F.expr("cast(array() as array<struct<pass: bigint, first: bigint, words: bigint>>)").alias("passes"), "key", "copies", "copy")
     return taken.unionByName(empty)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mixfield.llm.batches import slices
-from mixfield.llm.common import written
+from mixfield.llm.common import smallest, written
 
 #: At most so many labelled documents, those with the smallest hash of doc_id, fit the model.
 FIT_DOCUMENTS = 8000
@@ -21,8 +21,6 @@ FIT_DOCUMENTS = 8000
 BUCKETS = 1 << 22
 #: A feature is kept if so many toxic documents of the sample have it, and so many times the share that is expected.
 SUPPORT, LIFT = 3, 4.0
-#: Of the features that may be kept, so many reach the driver at most, those with most toxic documents.
-MAX_FEATURES = 100_000
 GRADES = 3
 _WORD = re.compile(r"\w+")
 
@@ -147,7 +145,7 @@ def fit(docs: DataFrame, labels: DataFrame, documents: int = FIT_DOCUMENTS) -> M
     counts once, and of several texts the one with the smallest hash counts.
     """
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).where("toxic = most")
-    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(documents).select("doc_id", "toxic")
+    sample = smallest(known, documents, "doc_id").select("doc_id", "toxic")
     # at most ``documents`` rows of two numbers: small enough to send to all tasks, so only the sample's texts are shuffled
     rows = docs.where("text is not null").select(F.col("doc_id").cast("long"), "text").join(F.broadcast(sample), "doc_id")
     rows = rows.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("toxic").cast("int").alias("toxic"))
@@ -167,8 +165,8 @@ def fit(docs: DataFrame, labels: DataFrame, documents: int = FIT_DOCUMENTS) -> M
     (n0, b0), (n1, b1) = sizes.get(0, (0, 0)), sizes.get(1, (0, 0))
     # features that any of the three fits may keep: of either fold, or of both together
     useful = telling(F.col("any0"), F.col("bad0"), n0, b0) | telling(F.col("any1"), F.col("bad1"), n1, b1) | telling(F.col("any0") + F.col("any1"), F.col("bad0") + F.col("bad1"), n0 + n1, b0 + b1)
-    kept = np.sort(np.array([r["bucket"] for r in sums.where(useful).orderBy(F.desc(F.col("bad0") + F.col("bad1")), "bucket").limit(MAX_FEATURES).select("bucket").collect()], np.int64))
-    shared = docs.sparkSession.sparkContext.broadcast(kept)  # MAX_FEATURES numbers at most
+    kept = np.sort(np.array([r["bucket"] for r in sums.where(useful).select("bucket").collect()], np.int64))
+    shared = docs.sparkSession.sparkContext.broadcast(kept)  # BUCKETS numbers at most: 32 MB
 
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
@@ -185,7 +183,7 @@ def grade(docs: DataFrame, model: Model) -> DataFrame:
     ``severity`` is the expected grade (0 to 2), ``grade`` the nearest one, and ``toxic`` is severity of at least one half. A
     null or empty text has none of the features. A doc_id may be null or repeated; each row is graded by itself.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_FEATURES weights
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # a weight for each of BUCKETS at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value

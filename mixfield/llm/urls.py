@@ -7,7 +7,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mixfield.llm.common import written
+from mixfield.llm.common import smallest, written
 
 #: ``(verdict, host, beginning of the path)``.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
@@ -115,8 +115,8 @@ def with_vector(rows: DataFrame) -> DataFrame:
 
 
 def sampled(labelled: DataFrame, urls: int = FIT_URLS) -> DataFrame:
-    """At most ``urls`` rows with a label, those with the smallest hash of the URL."""
-    return labelled.where("blocked is not null").orderBy(F.xxhash64("url"), "url").limit(urls)
+    """At most ``urls`` rows with a label, those with the smallest hash of URL and page_id."""
+    return smallest(labelled.where("blocked is not null"), urls, *(c for c in ("url", "page_id") if c in labelled.columns))
 
 
 def train(rows: DataFrame) -> GBTClassificationModel | None:

@@ -3,23 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mixfield.llm.common import written
+from mixfield.llm.common import smallest, written
 
 #: At most so many vectors, those with the smallest hash, train the codebooks and cells.
 FIT_VECTORS = 16_384
 BOOKS, WORDS, BEAM = 16, 256, 4
 #: A cell has about so many vectors, and there are so many cells at most.
 CELL_ROWS, CELLS = 4096, 4096
-#: A query visits the nearest cells until they have this share of all vectors. Where vectors point in all directions alike, a neighbour may be in any
-#: cell, and nine of ten neighbours take half of the vectors; for vectors in clear groups far less is enough.
-SHARE = 0.8
+#: A query visits the nearest cells until they have the share of all vectors that holds TARGET of the nearest neighbours of PROBED vectors of the sample. Where
+#: vectors point in all directions alike, a neighbour may be in any cell, and that takes most of the vectors; for vectors in clear groups little is enough.
+TARGET, PROBED = 0.97, 512
 #: A task scores about so many vectors of a cell for about so many queries at a time.
 BLOCK, QUERIES = 8192, 1024
 #: So many vectors by quantised distance are taken from each block of a cell, and so many of all are reranked.
@@ -29,10 +29,19 @@ RESULT = "query_id long, rank int, vec_id long, score double"
 
 @dataclass(frozen=True)
 class Codebooks:
-    """``books[m, k]`` is a whole vector; a vector is approximated by the sum of one word of each book. ``cells`` are centres."""
+    """``books[m, k]`` is a whole vector; a vector is approximated by the sum of one word of each book. ``cells`` are centres.
+
+    All work on what ``centred`` gives: vectors less ``mean``, taken away in double precision, so that an offset common to all vectors doesn't drown their differences.
+    A query visits the nearest cells with ``share`` of all vectors.
+    """
 
     books: np.ndarray
     cells: np.ndarray
+    mean: np.ndarray | float = 0.0
+    share: float = 1.0
+
+    def centred(self, x: np.ndarray) -> np.ndarray:
+        return (x - self.mean).astype(np.float32)
 
     def encode(self, x: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
         """Codes and squared lengths of the approximations: of ``beam`` choices so far, the best ``beam`` with one more word are kept."""
@@ -55,13 +64,13 @@ class Codebooks:
     def decode(self, codes: np.ndarray) -> np.ndarray:
         return sum(self.books[m][codes[:, m]] for m in range(len(self.books)))
 
-    def scores(self, queries: np.ndarray, codes: np.ndarray, norms: np.ndarray) -> np.ndarray:
-        """Squared distances but for the queries' own length, from tables of inner products of queries and words."""
+    def scores(self, queries: np.ndarray, codes: np.ndarray, norms: np.ndarray, lengths: np.ndarray | float = 1.0) -> np.ndarray:
+        """Squared distances but for the queries' own length, from tables of inner products of queries and words; ``norms`` are those of codes times ``lengths``."""
         tables = np.einsum("mkd,qd->mkq", self.books, queries.astype(np.float32))
-        out = np.broadcast_to(norms[:, None], (len(codes), len(queries))).astype(np.float32)
+        out = np.zeros((len(codes), len(queries)), np.float32)
         for m, table in enumerate(tables):
-            out -= 2 * table[codes[:, m]]
-        return out.T
+            out += table[codes[:, m]]
+        return (norms - 2 * np.asarray(lengths, np.float32) * out.T).astype(np.float32)
 
     def near_cells(self, x: np.ndarray) -> np.ndarray:
         """Squared distances from the cells' centres, but for the length of ``x``."""
@@ -92,6 +101,34 @@ def train(x: np.ndarray, books: int = BOOKS, words: int = WORDS, rounds: int = 8
     return Codebooks(np.array(out), kmeans(x.astype(np.float32), cells, rounds, rng))
 
 
+def directions(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of length 1, and their lengths: codes are of directions, so that short vectors among long ones are told apart as well. A zero vector stays."""
+    length = np.sqrt((x.astype(np.float64) ** 2).sum(axis=1)).astype(np.float32)
+    return x / np.where(length > 0, length, 1)[:, None], length
+
+
+def share_needed(x: np.ndarray, cells: np.ndarray, k: int = 10, target: float = TARGET, probed: int = PROBED) -> float:
+    """The share of the rows of ``x`` in the nearest cells of a query that holds ``target`` of the ``k`` nearest rows, over the first ``probed`` rows as queries."""
+    k = min(k, len(x) - 1)
+    if k < 1 or len(cells) == 1:
+        return 1.0
+    norms = (x**2).sum(axis=1)
+    own = ((cells**2).sum(axis=1) - 2 * x @ cells.T).argmin(axis=1)
+    sizes = np.bincount(own, minlength=len(cells))
+    needed = []
+    for a in range(0, min(probed, len(x)), 128):
+        q = x[a : min(a + 128, probed)]
+        away = norms - 2 * q @ x.T
+        away[np.arange(len(q)), a + np.arange(len(q))] = np.inf
+        near = own[np.argpartition(away, k - 1, axis=1)[:, :k]]
+        order = np.argsort((cells**2).sum(axis=1) - 2 * q @ cells.T, axis=1, kind="stable")
+        upto = np.cumsum(sizes[order], axis=1)
+        by_cell = np.empty_like(upto)
+        np.put_along_axis(by_cell, order, upto, axis=1)
+        needed.append(np.take_along_axis(by_cell, near, axis=1).ravel())
+    return float(np.quantile(np.concatenate(needed), target)) / len(x)
+
+
 def usable(vectors: DataFrame) -> DataFrame:
     """``row, vec_id, dim, embedding, h1, h2`` of the vectors that take part: not null, not all zero, and without null or non-finite components.
 
@@ -104,27 +141,32 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 
 def build(nodes: DataFrame, books: int = BOOKS, words: int = WORDS, sample: int = FIT_VECTORS) -> tuple[Codebooks, DataFrame]:
-    """Codebooks, and the index ``h1, h2, cell, codes, norm`` of all ``nodes(h1, h2, embedding)``, of which there is one at least."""
+    """Codebooks, and the index ``h1, h2, cell, codes, norm, length, error`` of all ``nodes(h1, h2, embedding)``, of which there is one at least."""
     n = nodes.count()
     # at most ``sample`` vectors reach the driver
-    fitted = nodes.orderBy("h1", "h2").limit(sample).toPandas()
+    fitted = np.stack(smallest(nodes.select("h1", "h2", "embedding"), sample, "h1", "h2").toPandas()["embedding"].to_numpy())
     cells = max(1, min(CELLS, len(fitted) // 4, round(n / CELL_ROWS)))
-    coder = train(np.stack(fitted["embedding"].to_numpy()), books, words, cells=cells)
+    mean = fitted.mean(axis=0)
+    x = (fitted - mean).astype(np.float32)
+    centres = kmeans(x, cells, 8, np.random.default_rng(11))
+    coder = replace(train(directions(x)[0], books, words), cells=centres, mean=mean, share=share_needed(x, centres))
     shared = nodes.sparkSession.sparkContext.broadcast(coder)  # books * words and CELLS vectors at most
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for a in range(0, len(part), 1024):
                 rows = part.iloc[a : a + 1024]
-                x = np.stack(rows["embedding"].to_numpy())
-                codes, norms = shared.value.encode(x)
-                yield pd.DataFrame({"h1": rows["h1"], "h2": rows["h2"], "cell": shared.value.near_cells(x).argmin(axis=1), "codes": [c.tobytes() for c in codes], "norm": norms.astype(np.float32)})
+                x = shared.value.centred(np.stack(rows["embedding"].to_numpy()))
+                unit, length = directions(x)
+                codes, norms = shared.value.encode(unit)
+                error = np.sqrt(((x.astype(np.float64) - length[:, None] * shared.value.decode(codes)) ** 2).sum(axis=1))
+                yield pd.DataFrame({"h1": rows["h1"], "h2": rows["h2"], "cell": shared.value.near_cells(x).argmin(axis=1), "codes": [c.tobytes() for c in codes], "norm": (norms * length**2).astype(np.float32), "length": length, "error": error})
 
-    return coder, written(nodes.select("h1", "h2", "embedding").mapInPandas(run, "h1 long, h2 long, cell int, codes binary, norm float"), "codes")
+    return coder, written(nodes.select("h1", "h2", "embedding").mapInPandas(run, "h1 long, h2 long, cell int, codes binary, norm float, length float, error double"), "codes")
 
 
 def probes(asked: DataFrame, coder: Codebooks, sizes: np.ndarray) -> DataFrame:
-    """``q1, q2, vector, cell`` for each cell that a query of ``asked(h1, h2, embedding)`` visits, the nearest ones."""
+    """``q1, q2, vector, cell, reach`` for each cell that a query of ``asked(h1, h2, embedding, reach)`` visits: the nearest ones, or all if ``reach`` is not null."""
     shared = asked.sparkSession.sparkContext.broadcast((coder, sizes))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -132,19 +174,23 @@ def probes(asked: DataFrame, coder: Codebooks, sizes: np.ndarray) -> DataFrame:
         for part in parts:
             for a in range(0, len(part), 256):
                 rows = part.iloc[a : a + 256]
-                x = np.stack(rows["embedding"].to_numpy())
+                x = own.centred(np.stack(rows["embedding"].to_numpy()))
                 order = np.argsort(own.near_cells(x), axis=1, kind="stable")
                 seen = np.cumsum(n[order], axis=1) - n[order]
-                at, place = np.nonzero((seen < SHARE * n.sum()) & (n[order] > 0))
-                vectors = np.array([v.tobytes() for v in x.astype(np.float32)], object)
-                yield pd.DataFrame({"q1": rows["h1"].to_numpy()[at], "q2": rows["h2"].to_numpy()[at], "vector": vectors[at], "cell": order[at, place]})
+                reach = rows["reach"].to_numpy(np.float64, na_value=np.nan)
+                at, place = np.nonzero(((seen < own.share * n.sum()) | ~np.isnan(reach)[:, None]) & (n[order] > 0))
+                vectors = np.array([v.tobytes() for v in x], object)
+                yield pd.DataFrame({"q1": rows["h1"].to_numpy()[at], "q2": rows["h2"].to_numpy()[at], "vector": vectors[at], "cell": order[at, place], "reach": reach[at]})
 
-    return asked.select("h1", "h2", "embedding").mapInPandas(run, "q1 long, q2 long, vector binary, cell int")
+    return asked.select("h1", "h2", "embedding", "reach").mapInPandas(run, "q1 long, q2 long, vector binary, cell int, reach double")
 
 
-def shortlists(visits: DataFrame, index: DataFrame, coder: Codebooks, sizes: np.ndarray, shortlist: int) -> DataFrame:
+def shortlists(visits: DataFrame, index: DataFrame, coder: Codebooks, sizes: np.ndarray, shortlist: int | None) -> DataFrame:
     """``q1, q2, h1, h2``: for each query the ``shortlist`` vectors that are nearest by the lookup tables, of LOCAL from each block of its cells.
 
+    Without a ``shortlist``, all vectors that may be as near as the query's ``reach``: those whose distance by the tables, less the error of their own code,
+    is not above it.
+
     A cell's vectors and queries meet in blocks of bounded size, so a full cell is shared out among tasks.
     """
     spark = visits.sparkSession
@@ -153,27 +199,34 @@ def shortlists(visits: DataFrame, index: DataFrame, coder: Codebooks, sizes: np.
     plan = F.broadcast(plan)
     place = lambda n, *key: F.pmod(F.xxhash64(*key), F.col(n)).cast("int")
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = visits.join(plan, "cell").select("cell", all_of("blocks").alias("block"), place("groups", "q1", "q2").alias("group"), "q1", "q2", "vector")
-    right = index.join(plan, "cell").select("cell", place("blocks", "h1", "h2").alias("block"), all_of("groups").alias("group"), "h1", "h2", "codes", "norm")
+    left = visits.join(plan, "cell").select("cell", all_of("blocks").alias("block"), place("groups", "q1", "q2").alias("group"), "q1", "q2", "vector", "reach")
+    right = index.join(plan, "cell").select("cell", place("blocks", "h1", "h2").alias("block"), all_of("groups").alias("group"), "h1", "h2", "codes", "norm", "length", "error")
     shared = spark.sparkContext.broadcast(coder)
 
     def run(asked: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(asked) and len(there):
             codes = np.frombuffer(b"".join(there["codes"]), np.uint8).reshape(len(there), -1)
-            norms, h1, h2 = there["norm"].to_numpy(), there["h1"].to_numpy(), there["h2"].to_numpy()
+            norms, lengths, h1, h2 = there["norm"].to_numpy(), there["length"].to_numpy(), there["h1"].to_numpy(), there["h2"].to_numpy()
             q = np.frombuffer(b"".join(asked["vector"]), np.float32).reshape(len(asked), -1)
             keep = min(LOCAL, len(there))
             for a in range(0, len(asked), 64):
-                scores = shared.value.scores(q[a : a + 64], codes, norms)
-                best = np.argpartition(scores, keep - 1, axis=1)[:, :keep]
+                scores = shared.value.scores(q[a : a + 64], codes, norms, lengths)
                 own = asked.iloc[a : a + 64]
+                if shortlist is None:
+                    squares = (q[a : a + 64].astype(np.float64) ** 2).sum(axis=1)[:, None]
+                    # rounding of single precision is allowed for
+                    least = np.sqrt(np.maximum(scores + squares, 0)) - there["error"].to_numpy() - 1e-3 * np.sqrt(norms + squares)
+                    at, best = np.nonzero(least <= own["reach"].to_numpy()[:, None])
+                    out.append(pd.DataFrame({"q1": own["q1"].to_numpy()[at], "q2": own["q2"].to_numpy()[at], "h1": h1[best], "h2": h2[best], "near": 0.0}))
+                    continue
+                best = np.argpartition(scores, keep - 1, axis=1)[:, :keep]
                 out.append(pd.DataFrame({"q1": np.repeat(own["q1"].to_numpy(), keep), "q2": np.repeat(own["q2"].to_numpy(), keep), "h1": h1[best].ravel(), "h2": h2[best].ravel(), "near": np.take_along_axis(scores, best, axis=1).ravel()}))
         return pd.concat(out) if out else pd.DataFrame({"q1": [], "q2": [], "h1": [], "h2": [], "near": []}).astype({"q1": "int64", "q2": "int64", "h1": "int64", "h2": "int64"})
 
     keys = ["cell", "block", "group"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, "q1 long, q2 long, h1 long, h2 long, near double")
-    return _first(found, ["q1", "q2"], [F.col("near"), F.col("h1"), F.col("h2")], shortlist).drop("near")
+    return found.drop("near") if shortlist is None else _first(found, ["q1", "q2"], [F.col("near"), F.col("h1"), F.col("h2")], shortlist).drop("near")
 
 
 def _first(rows: DataFrame, by: list[str], order: list[Column], n: int) -> DataFrame:
@@ -181,24 +234,25 @@ def _first(rows: DataFrame, by: list[str], order: list[Column], n: int) -> DataF
     return rows.withColumn("_place", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_place") <= n).drop("_place")
 
 
-def search(vectors: DataFrame, every: int = 100, k: int = 10, shortlist: int = SHORTLIST) -> DataFrame:
+def search(vectors: DataFrame, every: int = 100, k: int = 10, shortlist: int = SHORTLIST, exact: bool = False) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest found of each usable vector whose vec_id is divisible by ``every``.
 
     Every other usable row of the same dimension is a candidate (see ``usable``), also one with the query's vec_id, or without any; each dimension has an
     index of its own. Equal vectors are one node, so copies of a vector are searched and found once. Each node belongs to the cell of the nearest
-    centre; a query visits the nearest cells until they have SHARE of all nodes, with their codes only. All nodes of these are scored by
-    lookup tables, the best ``shortlist`` are fetched and reranked by the exact Euclidean distance of the original vectors in double
-    precision; ties go to the smaller vec_id, null last. With fewer than ``k`` candidates all are returned, and without candidates or queries there are no rows.
+    centre; a query visits the nearest cells, with their codes only, until they have the share of all nodes that ``share_needed`` finds in the sample. All
+    nodes of these are scored by lookup tables, the best ``shortlist`` are fetched and reranked by the exact Euclidean distance of the original vectors in double
+    precision; ties go to the smaller vec_id, null last. With ``exact``, what was found only bounds the distance of the ``k``-th: all codes are scored, and every vector whose
+    code and error allow a smaller distance is reranked as well, so the result is that of a full search. With fewer than ``k`` candidates all are returned, and without candidates or queries there are no rows.
     """
     rows = written(usable(vectors), "vectors")
     out = vectors.sparkSession.createDataFrame([], RESULT)
     for r in rows.groupBy("dim").agg(F.count_if(F.col("vec_id") % every == 0).alias("queries")).orderBy("dim").collect():
         if r["queries"]:
-            out = out.union(_search(rows.where(F.col("dim") == r["dim"]), every, k, shortlist))
+            out = out.unionByName(_search(rows.where(F.col("dim") == r["dim"]), every, k, shortlist, exact).drop("row"))
     return out
 
 
-def _search(rows: DataFrame, every: int, k: int, shortlist: int) -> DataFrame:
+def _search(rows: DataFrame, every: int, k: int, shortlist: int, exact: bool) -> DataFrame:
     nodes = written(rows.groupBy("h1", "h2").agg(F.first("embedding").alias("embedding")), "nodes")
     coder, index = build(nodes)
     sizes = np.zeros(len(coder.cells), np.int64)
@@ -206,8 +260,21 @@ def _search(rows: DataFrame, every: int, k: int, shortlist: int) -> DataFrame:
         sizes[r["cell"]] = r["n"]
     queries = rows.where(F.col("vec_id") % every == 0).select("row", F.col("vec_id").alias("query_id"), "h1", "h2")
     asked = nodes.join(queries.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi")
+    asked = asked.withColumn("reach", F.lit(None).cast("double"))
     visits = written(probes(asked, coder, sizes), "visits")
     found = written(shortlists(visits, index, coder, sizes, shortlist), "shortlists")
+    result = _reranked(found, nodes, rows, queries, k)
+    if not exact:
+        return result
+    # the distance of the k-th row bounds those that may still come; with fewer found there is no bound
+    reach = result.groupBy("row").agg(F.when(F.count("*") >= k, F.max("score")).otherwise(float("inf")).alias("far"))
+    reach = queries.join(reach, "row", "left").groupBy("h1", "h2").agg(F.max(F.coalesce("far", F.lit(float("inf")))).alias("reach"))
+    visits = written(probes(asked.drop("reach").join(reach, ["h1", "h2"]), coder, sizes), "visits")
+    return _reranked(written(shortlists(visits, index, coder, sizes, None), "shortlists"), nodes, rows, queries, k)
+
+
+def _reranked(found: DataFrame, nodes: DataFrame, rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """``query_id, rank, vec_id, score, row`` by exact distances of the pairs ``found(q1, q2, h1, h2)``; ``row`` is the query's."""
     vector = lambda a, b, name: nodes.select(F.col("h1").alias(a), F.col("h2").alias(b), F.col("embedding").alias(name))
     exact = found.join(vector("h1", "h2", "x"), ["h1", "h2"]).join(vector("q1", "q2", "y"), ["q1", "q2"])
     squares = F.zip_with("x", "y", lambda a, b: (a - b) * (a - b))
@@ -218,4 +285,4 @@ def _search(rows: DataFrame, every: int, k: int, shortlist: int) -> DataFrame:
     near = _first(exact.join(members, ["h1", "h2"]), ["q1", "q2"], [F.col("score"), *order], k + 1).select("q1", "q2", "vec_id", F.col("row").alias("other"), "score")
     pairs = queries.select(F.col("h1").alias("q1"), F.col("h2").alias("q2"), "row", "query_id").join(near, ["q1", "q2"]).where("row != other")
     rank = F.row_number().over(Window.partitionBy("row").orderBy(F.col("score"), F.asc_nulls_last("vec_id"), F.col("other")))
-    return pairs.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
+    return pairs.select("query_id", rank.alias("rank"), "vec_id", "score", "row").where(F.col("rank") <= k)

@@ -459,9 +459,26 @@ def test_vectors_with_repeated_ids_and_dimensions(spark):
     assert got == want
 
 
-@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1", "check_s"])
-def test_vector_recall_at_three_sizes(spark, sf):
-    frame = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
+def random_vectors(kind: str, n: int) -> list[tuple[int, list[float]]]:
+    rng = np.random.default_rng(17)
+    x = rng.standard_normal((n, 32))
+    if kind == "directions":
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+    elif kind == "offset":
+        x = 1000 + 0.1 * x
+    elif kind == "groups":
+        x = 5 * rng.standard_normal((60, 32))[rng.integers(0, 60, n)] + x
+    elif kind == "lengths":
+        x *= 10.0 ** rng.uniform(-2, 2, (n, 1))
+    return [(i, v) for i, v in enumerate(x.tolist())]
+
+
+@pytest.mark.parametrize("source", ["sf0.01", "sf0.1", "directions", "offset", "groups", "lengths"])
+def test_vector_recall(spark, source):
+    if source.startswith("sf"):
+        frame = spark.read.parquet(f"/root/testdata/{source}/embeddings.parquet")
+    else:
+        frame = spark.createDataFrame(random_vectors(source, 10_000), "vec_id long, embedding array<double>").repartition(8)
     rows = frame.toPandas()
     ids, x = rows["vec_id"].to_numpy(), np.stack(rows["embedding"].to_numpy()).astype(np.float64)
     found = vectors.search(frame).toPandas().groupby("query_id")["vec_id"].apply(set)
@@ -474,6 +491,26 @@ def test_vector_recall_at_three_sizes(spark, sf):
     assert np.mean(hits) >= 0.9
 
 
+def test_exact_search_finds_all(spark):
+    frame = spark.createDataFrame(random_vectors("lengths", 3000) + [(3000 + i, [i + 1.0] * 32) for i in range(200)], "vec_id long, embedding array<double>").repartition(4)
+    x = np.array([r.embedding for r in frame.orderBy("vec_id").collect()])
+    # hardly anything is reranked at first, so the bounds have to find the rest
+    found = vectors.search(frame, shortlist=2, exact=True).toPandas().sort_values(["query_id", "rank"])
+    for q, group in found.groupby("query_id"):
+        away = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        away[q] = np.inf
+        assert np.allclose(group["score"], np.sort(away)[:10])
+
+
+def test_work_follows_the_sample(spark):
+    """Vectors in clear groups need few cells, those of all directions most."""
+    needed = {}
+    for kind in ("directions", "groups"):
+        x = np.array([v for _, v in random_vectors(kind, 4000)], np.float32)
+        needed[kind] = vectors.share_needed(x, vectors.kmeans(x, 60, 8, np.random.default_rng(1)))
+    assert needed["groups"] < 0.2 < needed["directions"] <= 1
+
+
 def test_beam_search_is_not_worse():
     rng = np.random.default_rng(0)
     x = rng.standard_normal((600, 16))

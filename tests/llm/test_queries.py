@@ -174,7 +174,12 @@ def test_language_of_odd_rows(spark, odd_folder):
     assert all(r.lang_pred == "und" for r in rows if r.doc_id in (1, 2, 3))
 
 
-def test_more_languages_than_profiles(spark, monkeypatch):
-    monkeypatch.setattr(language, "MAX_LANGUAGES", 2)
-    rows = [(i, text, lang) for i, (text, lang) in enumerate([("aaa bbb", "x"), ("aaa bbb", "x"), ("ccc ddd", "y"), ("ccc ddd", "y"), ("eee", "z")])]
-    assert language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string")).languages == ["x", "y"]
+def test_every_language_has_a_profile_in_a_bounded_sample(spark):
+    """A sample of 200 rows of 4,000 holds all of a rare language, and hundreds of languages are told apart."""
+    rows = [(i, f"common{i % 7} words of many rows", "x") for i in range(4000)] + [(5000 + i, "zzz qqq vvv", "rare") for i in range(5)]
+    profiles = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), documents=200)
+    assert profiles.languages == ["rare", "x"] and profiles.predict("zzz qqq")[0] == "rare"
+    rows = [(i, 3 * (chr(0x4E00 + 3 * i) + chr(0x4E01 + 3 * i)), f"lang{i:03}") for i in range(300)]
+    profiles = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(profiles.languages) == 300
+    assert all(profiles.predict(text)[0] == lang for _, text, lang in rows)
