@@ -57,9 +57,21 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: a row for each reading of a document, with the words that the reading takes."""
-    took = mixing.mix(docs).where("taken > 0").select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.explode("passes").alias("_pass"))
-    rows = docs.join(took, docs.doc_id.cast("long").eqNullSafe(F.col("_id")))
+    """The mix: a row for each reading of a document, with the words that the reading takes.
+
+    A reading finds its document by doc_id, source and text, so documents without doc_id or with the same one are told apart. Rows that are alike in
+    these are read as often as the mix says, and the other columns are those of one of them.
+    """
+    took = mixing.mix(docs).where("taken > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("key").alias("_key"), "copies", F.col("size").alias("_size"), F.explode("passes").alias("_pass"))
+    took = written(took, "readings")
+    own = docs.select(*COLUMNS).withColumn("_own", mixing.text_key(F.col("text")))
+    at = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & F.col("source").cast("string").eqNullSafe(F.col("_source")) & (F.col("_own") == F.col("_key"))
+    rows = own.join(took.where("copies = 1"), at)
+    again = took.where("copies > 1")
+    repeated = own.join(again.select("_id", "_source", "_key").distinct(), at, "left_semi").groupBy("doc_id", "source", "_own").agg(F.min(F.struct("text", "lang", "n_chars")).alias("row"))
+    repeated = repeated.select("doc_id", "row.text", "row.lang", "source", "row.n_chars", "_own")
+    if not again.isEmpty():
+        rows = rows.unionByName(repeated.join(again, at))
     words = F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), 1), (F.col("_pass.first") + 1).cast("int"), F.col("_pass.words").cast("int"))
     return _with_text(rows, F.when(F.col("_pass.words") == F.col("_size"), F.col("text")).otherwise(F.array_join(words, " ")))
 
