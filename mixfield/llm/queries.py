@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mixfield.llm import audio, language, lines, mixing, packing, simhash, substrings, toxicity, urls, vectors
+from mixfield.llm import audio, language, lines, minhash, mixing, packing, phrases, ranking, simhash, substrings, toxicity, urls, vectors
 from mixfield.llm.common import table
 
 
@@ -132,5 +132,103 @@ def op10_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_cost_packing, op3_toxicity, op4_source_mixing, op5_substring_dedup, op6_line_dedup, op7_url_filter, op8_vector_search, op9_language_id, op10_telephony_audio)}
-ORACLE = {"op5_substring_dedup": OP5_SQL, "op6_line_dedup": OP6_SQL}
+#: Only A-Z in lower case.
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+#: The same result from all phrases of up to four words.
+OP11_SQL = rf"""
+WITH p AS (
+  SELECT lang, d, generate_subscripts(pieces, 1) AS piece, unnest(pieces) AS text FROM (
+    SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS d, string_split_regex({_LOWER}, '[.,;:!?\x0A-\x0D]') AS pieces FROM documents)
+), w AS (
+  SELECT lang, d, piece, generate_subscripts(words, 1) AS place, unnest(words) AS w1 FROM (SELECT lang, d, piece, regexp_extract_all(text, '[^\x20\x09]+') AS words FROM p)
+), g AS (
+  SELECT lang, w1, w1 || ' ' || lead(w1, 1) OVER o AS w2, w1 || ' ' || lead(w1, 1) OVER o || ' ' || lead(w1, 2) OVER o AS w3,
+    w1 || ' ' || lead(w1, 1) OVER o || ' ' || lead(w1, 2) OVER o || ' ' || lead(w1, 3) OVER o AS w4
+  FROM w WINDOW o AS (PARTITION BY d, piece ORDER BY place)
+), f AS (
+  SELECT lang, phrase, size, count(*) AS a FROM (
+    SELECT lang, w1 AS phrase, 1 AS size FROM g UNION ALL SELECT lang, w2, 2 FROM g UNION ALL SELECT lang, w3, 3 FROM g UNION ALL SELECT lang, w4, 4 FROM g)
+  WHERE phrase IS NOT NULL GROUP BY lang, phrase, size HAVING count(*) >= 30
+), c AS (
+  SELECT f.lang, f.phrase, f.a, l.a AS l, r.a AS r, CAST(2000000 * CAST(f.a AS HUGEINT) // (l.a + r.a) AS BIGINT) AS score,
+    row_number() OVER (PARTITION BY f.lang, f.phrase ORDER BY 2000000 * CAST(f.a AS HUGEINT) // (l.a + r.a), k) AS first
+  FROM (SELECT *, unnest(range(1, size)) AS k, string_split(phrase, ' ') AS words FROM f WHERE size > 1) f
+  JOIN f l ON l.lang = f.lang AND l.phrase = array_to_string(f.words[1:k], ' ') JOIN f r ON r.lang = f.lang AND r.phrase = array_to_string(f.words[k + 1:], ' ')
+), inside AS (
+  SELECT lang, array_to_string(words[k:k + n - 1], ' ') AS phrase, max(a) AS longer FROM (
+    SELECT *, unnest(range(1, size - n + 2)) AS k FROM (SELECT *, string_split(phrase, ' ') AS words, unnest(range(2, size)) AS n FROM f WHERE size > 2))
+  GROUP BY 1, 2
+), n AS (
+  SELECT lang, count(*) AS n FROM w GROUP BY lang
+), ranked AS (
+  SELECT c.lang, row_number() OVER (PARTITION BY c.lang ORDER BY c.score DESC, c.a DESC, c.phrase) AS rank, c.phrase, c.a, c.l, c.r, n.n, c.score
+  FROM c JOIN n ON c.lang = n.lang LEFT JOIN inside i ON c.lang = i.lang AND c.phrase = i.phrase
+  WHERE c.first = 1 AND NOT coalesce(100 * i.longer >= 80 * c.a, false)
+)
+SELECT * FROM ranked WHERE rank <= 2000
+"""
+
+
+def op12_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+#: The same result from all pairs of documents with a shingle in common.
+OP12_SQL = rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, generate_subscripts(words, 1) AS place, unnest(words) AS w, len(words) AS n, words FROM (
+    SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS words FROM documents)
+), s AS (
+  SELECT DISTINCT doc_id, CASE WHEN n < 4 THEN array_to_string(words, ' ') ELSE array_to_string(words[place:place + 3], ' ') END AS shingle
+  FROM w WHERE place + 3 <= n OR (n < 4 AND place = 1)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), e AS (
+  SELECT a, b FROM p JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * p.both >= 80 * (x.n + y.n - p.both)
+), reach(doc_id, root) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT e.b, r.root FROM reach r JOIN e ON r.doc_id = e.a
+), c AS (
+  SELECT doc_id, min(root) AS component_id FROM reach GROUP BY doc_id
+)
+SELECT c.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, c.doc_id = c.component_id AS kept FROM c LEFT JOIN n ON c.doc_id = n.doc_id
+"""
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+#: The same result from scores of all documents.
+OP13_SQL = rf"""
+WITH t AS (
+  SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents) GROUP BY 1, 2
+), n AS (
+  SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM t GROUP BY doc_id
+), c AS (
+  SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM n
+), m AS (
+  SELECT doc_id, 25 + (75 * n * n_docs) // n_terms AS m FROM n, c
+), w AS (
+  SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM t, c GROUP BY term, n_docs
+), q AS (
+  SELECT item_id, unnest(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), s AS (
+  SELECT item_id, t.doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+  FROM q JOIN t ON q.term = t.term JOIN w ON w.term = t.term JOIN m ON m.doc_id = t.doc_id GROUP BY 1, 2
+), ranked AS (
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0
+)
+SELECT * FROM ranked WHERE rank <= 10
+"""
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_cost_packing, op3_toxicity, op4_source_mixing, op5_substring_dedup, op6_line_dedup, op7_url_filter, op8_vector_search, op9_language_id, op10_telephony_audio, op11_phrase_mining, op12_minhash_near_dedup, op13_ranked_search)}
+ORACLE = {"op5_substring_dedup": OP5_SQL, "op6_line_dedup": OP6_SQL, "op11_phrase_mining": OP11_SQL, "op12_minhash_near_dedup": OP12_SQL, "op13_ranked_search": OP13_SQL}
