@@ -22,6 +22,13 @@ def digamma(x: Column) -> Column:
     return series - reduce(lambda a, b: a + b, [1.0 / (x + k) for k in range(SHIFT)])
 
 
+def digamma_value(x: float) -> float:
+    """``digamma`` of a number."""
+    y = x + SHIFT
+    q = 1.0 / (y * y)
+    return math.log(y) - 0.5 / y - q * (1 / 12 - q * (1 / 120 - q * (1 / 252 - q * (1 / 240 - q / 132)))) - sum(1.0 / (x + k) for k in range(SHIFT))
+
+
 def lgamma(x: Column) -> Column:
     """ln Gamma for x > 0, to about 1e-12."""
     x = x.cast("double")

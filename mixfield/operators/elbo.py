@@ -103,14 +103,19 @@ def totals(components: DataFrame, prior: dict, least: float = 0.0, axes=XY) -> R
     ).first()
 
 
+def noise_value(r0: float, r1: float, s: Scalars, prior: dict) -> float:
+    """``noise_bound`` as a number."""
+    beta = lambda a, b: math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
+    if s.pi1 is not None:
+        return r0 * (math.log(s.pi1 / (1 - s.pi1)) + prior["logp0"]) + (r0 + r1) * math.log(1 - s.pi1)
+    return r0 * prior["logp0"] + beta(prior["a"], prior["b"]) - beta(s.a, s.b)
+
+
 def bound_value(sums: Row, of: Row, s: Scalars, prior: dict) -> float:
     """``bound`` from the row of sums of a step and the ``totals`` of the components it led to."""
     beta = lambda a, b: math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
     alpha = lambda a, b: a * math.log(b) - math.lgamma(a) - b * s.alpha
-    if s.pi1 is None:
-        noise = sums["r0"] * prior["logp0"] + beta(prior["a"], prior["b"]) - beta(s.a, s.b)
-    else:
-        noise = sums["r0"] * (math.log(s.pi1 / (1 - s.pi1)) + prior["logp0"]) + (sums["r0"] + sums["r1"]) * math.log(1 - s.pi1)
+    noise = noise_value(sums["r0"], sums["r1"], s, prior)
     top = alpha(prior["gamma1"], prior["gamma2"]) - alpha(s.gamma1, s.gamma2) if s.alpha0 is None else of["n"] * beta(1.0, s.alpha0)
     return noise + of["centres"] + sums["cobs"] + top - of["own"] - sums["entropy"]
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mixfield.functions.special import digamma, e_log_n
+from mixfield.functions.special import digamma, digamma_value, e_log_n
 from mixfield.operators.spatial import XY, packed
 
 NOISE = -1
@@ -24,6 +25,18 @@ def noise_logit(logp0, a=None, b=None, pi1=None):
     return digamma(F.lit(a) if not isinstance(a, Column) else a) - digamma(F.lit(b) if not isinstance(b, Column) else b) + logp0
 
 
+def noise_logit_value(logp0: float, s) -> float:
+    """``noise_logit`` as a number, for scalars with a posterior (a, b) or a fixed share."""
+    if s.pi1 is not None:
+        return math.log(s.pi1 / (1 - s.pi1)) + logp0
+    return digamma_value(s.a) - digamma_value(s.b) + logp0
+
+
+def with_number(rows: DataFrame, name: str, value: float) -> DataFrame:
+    """``rows`` with a number that comes as a table of one row: so the code that Spark compiles for a step is that of the step before."""
+    return rows.crossJoin(F.broadcast(rows.sparkSession.createDataFrame([(float(value),)], f"{name} double")))
+
+
 def component_columns(axes=XY) -> list[str]:
     return ["c", *(f"mu{a}" for a in axes), *(f"v{a}" for a in axes), "log_weight"]
 
@@ -52,10 +65,7 @@ def dense(points: DataFrame, components: DataFrame, logit: Column, axes=XY) -> D
     """
     rows = points.select(*point_columns(axes)).crossJoin(F.broadcast(packed(components, component_columns(axes))))
     logs = F.concat(F.array(logit.cast("double")), F.transform("centres", lambda k: log_density(k, axes)))
-    # one pass over the array keeps the largest so far and the sum relative to it
-    more = lambda s, v: F.when(v > s["m"], F.struct(v.alias("m"), (s["s"] * F.exp(s["m"] - v) + 1.0).alias("s"))).otherwise(F.struct(s["m"].alias("m"), (s["s"] + F.exp(v - s["m"])).alias("s")))
-    total = F.aggregate("logs", F.struct(F.lit(float("-inf")).alias("m"), F.lit(0.0).alias("s")), more, lambda s: s["m"] + F.ln(s["s"]))
-    rows = rows.withColumn("logs", logs).withColumn("total", total)
+    rows = rows.withColumn("logs", logs).withColumn("total", log_sum(F.col("logs")))
     ids = F.concat(F.array(F.lit(NOISE).cast("long")), F.transform("centres", lambda k: k["c"].cast("long")))
     pairs = rows.select(*point_columns(axes), "total", F.explode(F.arrays_zip(ids.alias("c"), F.col("logs").alias("logp"))).alias("k"))
     return pairs.select(*point_columns(axes), F.col("k.c").alias("c"), F.col("k.logp").alias("logp"), F.exp(F.col("k.logp") - F.col("total")).alias("r"))
@@ -107,14 +117,29 @@ def sparse(points: DataFrame, components: DataFrame, logit: Column, radius: floa
     return normalized(rows, own, near, logit, axes, UNDERFLOW)
 
 
+def log_sum(logs: Column, start: Column | None = None, finish=lambda s: s["m"] + F.ln(s["s"])) -> Column:
+    """``ln sum exp`` of an array of numbers, and of ``start`` if given, in one pass: with the largest so far and the sum relative to it."""
+    first = F.struct(F.lit(float("-inf")).alias("m"), F.lit(0.0).alias("s")) if start is None else F.struct(start.cast("double").alias("m"), F.lit(1.0).alias("s"))
+    more = lambda s, v: F.when(v > s["m"], F.struct(v.alias("m"), (s["s"] * F.exp(s["m"] - v) + 1.0).alias("s"))).otherwise(F.struct(s["m"].alias("m"), (s["s"] + F.exp(v - s["m"])).alias("s")))
+    return F.aggregate(logs, first, more, finish)
+
+
 def normalized(rows: DataFrame, own: list[str], centres: Column, logit: Column, axes=XY, cut: float | None = None) -> DataFrame:
-    """``c, logp, r`` and the columns ``own`` for noise and each of a row's array of components, normalized within the row."""
-    logs = F.transform(centres, lambda k: F.struct(k["c"].cast("long").alias("c"), log_density(k, axes).alias("logp")))
-    rows = rows.select(*own, F.concat(F.array(F.struct(F.lit(NOISE).cast("long").alias("c"), logit.cast("double").alias("logp"))), logs).alias("logs"))
-    rows = rows.withColumn("top", F.array_max(F.transform("logs", lambda v: v["logp"])))
-    weight = lambda logp: F.exp(logp - F.col("top")) if cut is None else F.when(logp - F.col("top") < cut, 0.0).otherwise(F.exp(logp - F.col("top")))
-    rows = rows.withColumn("total", F.aggregate("logs", F.lit(0.0), lambda s, v: s + weight(v["logp"])))
-    return rows.select(*own, "top", "total", F.explode("logs").alias("k")).select(*own, F.col("k.c").alias("c"), F.col("k.logp").alias("logp"), (weight(F.col("k.logp")) / F.col("total")).alias("r"))
+    """``c, logp, r`` and the columns ``own`` for noise and each of a row's array of components, normalized within the row; what is ``cut`` below the best of a row has 0.
+
+    The array is a variable of the outer lambda, so it is made once, and one pass over it gives the sum; the weights come after it is exploded, in compiled code.
+    """
+    both = lambda s: F.struct(s["m"].alias("top"), (s["m"] + F.ln(s["s"])).alias("total"))
+    sums = lambda ks: log_sum(F.transform(ks, lambda k: log_density(k, axes)), logit, both)
+    noise = F.struct(*((F.lit(NOISE).cast("long") if n == "c" else F.lit(1.0)).alias(n) for n in component_columns(axes)))
+    named = lambda k: F.struct(*((k[n].cast("long") if n == "c" else k[n].cast("double")).alias(n) for n in component_columns(axes)))
+    one = F.transform(F.array(centres), lambda ks: F.struct(sums(ks).alias("sums"), F.concat(F.array(noise), F.transform(ks, named)).alias("ks")))[0]
+    rows = rows.select(*own, logit.cast("double").alias("_noise"), one.alias("_one"))
+    rows = rows.select(*own, "_noise", F.col("_one.sums").alias("_sums"), F.explode("_one.ks").alias("_k"))
+    logp = F.when(F.col("_k.c") == NOISE, F.col("_noise")).otherwise(log_density(F.col("_k"), axes))
+    rows = rows.select(*own, F.col("_k.c").alias("c"), logp.alias("logp"), "_sums")
+    weight = F.exp(F.col("logp") - F.col("_sums.total"))
+    return rows.select(*own, "c", "logp", (weight if cut is None else F.when(F.col("logp") - F.col("_sums.top") < cut, 0.0).otherwise(weight)).alias("r"))
 
 
 def softmax(rows: DataFrame, cut: float | None = None, clip: float | None = None) -> DataFrame:

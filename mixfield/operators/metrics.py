@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mixfield.functions.special import normal_cdf, normal_pdf
-from mixfield.operators.order import numbered
-from mixfield.operators.spatial import XY, packed
+from mixfield.operators.order import accumulated, numbered
+from mixfield.operators.spatial import MAX_PACKED, XY, nearest_centre_rings, packed
 from mixfield.operators.storage import written
 
 
@@ -20,7 +20,10 @@ def weighted_means(points: DataFrame, by: str, axes=XY) -> DataFrame:
 
 
 def nearest_truth(found: DataFrame, truth: DataFrame, axes=XY) -> DataFrame:
-    """``c, truth, d``: the nearest of ``truth(truth, mu*)`` for each of ``found(c, mu*)``, ties to the smaller."""
+    """``c, truth, d``: the nearest of ``truth(truth, mu*)`` for each of ``found(c, mu*)``, ties to the smaller; in growing rings if ``truth`` has too many rows to be sent to all tasks."""
+    if truth.limit(MAX_PACKED + 1).count() > MAX_PACKED:
+        near = nearest_centre_rings(found.select(F.col("c").alias("id"), *(F.col(f"mu{a}").alias(a) for a in axes)), truth.withColumnRenamed("truth", "c"), axes)
+        return near.select(F.col("id").alias("c"), F.col("c").alias("truth"), F.sqrt("d2").alias("d"))
     rows = found.crossJoin(F.broadcast(packed(truth, ["truth", *(f"mu{a}" for a in axes)])))
     score = F.transform("centres", lambda k: F.struct(F.sqrt(reduce(lambda a, b: a + b, [(F.col(f"mu{a}") - k[f"mu{a}"]) ** 2 for a in axes])).alias("d"), k["truth"].alias("truth")))
     return rows.withColumn("best", F.array_min(score)).select("c", "best.truth", "best.d")
@@ -30,9 +33,27 @@ def distance_metric(matches: DataFrame) -> DataFrame:
     return matches.agg(F.avg("d").alias("mean_d"), F.stddev_pop("d").alias("std_d"), F.count("*").alias("n"))
 
 
+def percentiles(samples: DataFrame, by: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """``by, n, mean`` and the percentiles named in ``shares``, exact and with linear interpolation between neighbours; null values don't count.
+
+    Equal values are counted first, and the counts are added up in order by ranges of group and value. So neither a group nor a value has to fit in a task.
+    """
+    counts = samples.where(F.col(value).isNotNull()).groupBy(F.col(by).alias("g"), F.col(value).cast("double").alias("v")).agg(F.count("*").alias("k"))
+    placed = written(accumulated(counts, "k", "before", "g", "v"), "placed")
+    groups = placed.groupBy("g").agg(F.sum("k").alias("n"), F.min("before").alias("first"), (F.sum(F.col("v") * F.col("k")) / F.sum("k")).alias("mean"))
+    rows = placed.join(groups.withColumnRenamed("g", "of"), F.col("g").eqNullSafe(F.col("of"))).withColumn("since", F.col("before") - F.col("first"))
+    inside = lambda at: F.max(F.when((F.col("since") <= at) & (at < F.col("since") + F.col("k")), F.col("v")))
+    found, out = [F.first("n").alias("n"), F.first("mean").alias("mean")], []
+    for name, share in shares.items():
+        place = share * (F.col("n") - 1)
+        found += [inside(F.floor(place)).alias(f"{name}_low"), inside(F.ceil(place)).alias(f"{name}_high"), F.first(place - F.floor(place)).alias(f"{name}_part")]
+        out.append((F.col(f"{name}_low") + (F.col(f"{name}_high") - F.col(f"{name}_low")) * F.col(f"{name}_part")).alias(name))
+    return rows.groupBy("g").agg(*found).select(F.col("g").alias(by), "n", "mean", *out)
+
+
 def trace_summary(samples: DataFrame, by: str, value: str) -> DataFrame:
-    p = lambda q: F.percentile(value, F.lit(q))
-    return samples.groupBy(by).agg(F.avg(value).alias("mean"), p(0.5).alias("median"), p(0.025).alias("low"), p(0.975).alias("high"))
+    """``by, mean, median, low, high``: the middle and the 95 % interval of each group's samples."""
+    return percentiles(samples, by, value, {"median": 0.5, "low": 0.025, "high": 0.975}).drop("n")
 
 
 def ks_statistic(samples: DataFrame, value: str, mean: float | None = None, std: float | None = None) -> DataFrame:

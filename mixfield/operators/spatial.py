@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 from functools import reduce
 from itertools import product
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from mixfield.operators.graph import label_components
 from mixfield.operators.order import numbered
-from mixfield.operators.storage import written
+from mixfield.operators.storage import dealt_out, discard, written
 
 XY = ("x", "y")
 
@@ -64,7 +65,8 @@ def counts_within(points: DataFrame, others: DataFrame, radius: float, axes=XY,
     """
     size = radius / parts
     cells = [f"cell_{a}" for a in axes]
-    thin = with_cells(points.select("id", *axes), size, axes)
+    # a point looks at many cells: they are made by all cores
+    thin = with_cells(dealt_out(points.select("id", *axes)), size, axes)
     there = with_cells(others.select(*axes), size, axes)
     reach = [s for s in product(range(-parts - 1, parts + 2), repeat=len(axes)) if sum(max(abs(k) - 1, 0) ** 2 for k in s) <= parts**2]
     shifts = F.array(*(F.struct(*(F.lit(k).alias(f"k_{a}") for a, k in zip(axes, s, strict=True))) for s in reach))
@@ -246,6 +248,70 @@ def nearest_centre_grid(points: DataFrame, centres: DataFrame, radius: float, ax
     return pairs.join(least, "id").where("d2 = least").groupBy("id").agg(F.min("c").alias("c"), F.min("d2").alias("d2"))
 
 
+def nearest_centre_rings(points: DataFrame, centres: DataFrame, axes=XY, first: float | None = None) -> DataFrame:
+    """``id, c, d2`` as of ``nearest_centre``, for any number of centres and without a radius: the search goes on in rings of twice the size.
+
+    A centre found within a ring's radius is the nearest of all, since a nearer one would have been found there too; only points that have none in a ring go on. The first ring is as
+    wide as centres are apart on average. Points without finite coordinates have no nearest centre and are left out, as all are if there are no centres.
+    """
+    rows = written(centres.select("c", *(f"mu{a}" for a in axes)), "ring-centres")
+    box = rows.agg(F.count("*").alias("n"), *(f(f"mu{a}").alias(f"{name}_{a}") for a in axes for name, f in (("lo", F.min), ("hi", F.max)))).first()
+    finite = reduce(lambda a, b: a & b, [F.coalesce(F.abs(F.col(a)) < float("inf"), F.lit(False)) for a in axes])
+    left = written(points.where(finite).select("id", *axes), "ring-left")
+    found = []
+    extent = max((box[f"hi_{a}"] - box[f"lo_{a}"] for a in axes), default=0.0) if box["n"] else 0.0
+    radius = first or extent / box["n"] ** (1 / len(axes)) if extent else 1.0
+    while box["n"] and not left.isEmpty():
+        near = written(nearest_centre_grid(left, rows, radius, axes), "ring")
+        found.append(near)
+        before, left = left, written(left.join(near, "id", "left_anti"), "ring-left")
+        discard(before)
+        radius *= 2
+    discard(left)
+    return reduce(DataFrame.union, found) if found else nearest_centre_grid(points, rows, 1.0, axes)
+
+
+def _uniform(seed: int, *key: str | Column) -> Column:
+    """A number in (0, 1) from the hash of a key: the same in every run, on any cluster."""
+    return (F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(1 << 53)) + 0.5) / float(1 << 53)
+
+
+def kmeans_seeds(points: DataFrame, k: int, seed: int = 7, rounds: int = 4, axes=XY) -> DataFrame:
+    """``c, mu*``: ``k`` seeds for ``kmeans`` that are far apart (Bahmani et al., 2012), fewer if there are fewer different points.
+
+    Each round draws about ``2 k`` points with probabilities by their squared distance from those drawn so far. The candidates, ``2 k * rounds`` in expectation whatever the number of points, are
+    weighted by the number of points nearest to them, and ``k`` of them are drawn one by one by weight and squared distance. Draws come from hashes of ``id``.
+    """
+    rows = points.select("id", *axes)
+    spark = rows.sparkSession
+    at = [F.col(a).alias(f"mu{a}") for a in axes]
+    first = rows.agg(F.min_by(F.struct(*at), F.struct(F.xxhash64(F.lit(seed), "id"), "id")).alias("k")).where("k is not null").select("k.*")
+    chosen = [tuple(r) for r in first.collect()]
+    table = lambda: spark.createDataFrame([(i, *x) for i, x in enumerate(chosen)], "c long, " + ", ".join(f"mu{a} double" for a in axes))
+    if not chosen:
+        return table()
+    for i in range(rounds):
+        away = written(rows.join(nearest_centre(rows, table(), axes), "id"), "away")
+        cost = away.agg(F.coalesce(F.sum("d2"), F.lit(0.0))).first()[0]
+        if not cost > 0:
+            break
+        drawn = away.where(_uniform(seed + 1 + i, "id") < 2 * k * F.col("d2") / cost).select(*at).distinct()
+        chosen += sorted(set(map(tuple, drawn.collect())) - set(chosen))  # 2 k in expectation
+        discard(away)
+    weight = {r["c"]: r["n"] for r in nearest_centre(rows, table(), axes).groupBy("c").agg(F.count("*").alias("n")).collect()}
+    rng = random.Random(f"seeds {seed}")
+    picked, gap = [], [math.inf] * len(chosen)
+    while len(picked) < min(k, len(chosen)):
+        odds = [weight.get(i, 0) * (g if picked else 1.0) for i, g in enumerate(gap)]
+        if not sum(odds) > 0:
+            break
+        new = rng.choices(range(len(chosen)), odds)[0]
+        picked.append(new)
+        gap = [min(g, sum((a - b) ** 2 for a, b in zip(chosen[new], x, strict=True))) for g, x in zip(gap, chosen, strict=True)]
+    chosen = [chosen[i] for i in picked]
+    return table()
+
+
 def kmeans(points: DataFrame, seeds: DataFrame, rounds: int = 5, axes=XY) -> DataFrame:
     """``c``, the means and ``n`` after ``rounds`` of Lloyd's algorithm from ``seeds(c, mu*)``; a centre without points stays."""
     centres = seeds.select("c", *(f"mu{a}" for a in axes))

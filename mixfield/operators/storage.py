@@ -51,6 +51,12 @@ def sorted_table(df: DataFrame, name: str, buckets: int, *key: str) -> DataFrame
     return _kept(spark, path, spark.table(table), table)
 
 
+def dealt_out(df: DataFrame) -> DataFrame:
+    """``df`` dealt out to all cores, so that a small table doesn't leave the work that a row makes to a few tasks."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes tables of ``written`` and ``sorted_table`` that nothing will read any more."""
     for df in tables:

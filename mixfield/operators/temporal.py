@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 import numpy as np
@@ -10,8 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mixfield.functions.special import c_dirichlet, c_gamma, digamma
-from mixfield.operators.estep import NOISE, component_columns, normalized, point_columns
-from mixfield.operators.spatial import XY, range_join
+from mixfield.operators.estep import NOISE, log_density, log_sum, normalized, point_columns
+from mixfield.operators.spatial import MAX_PACKED, XY, range_join
+from mixfield.operators.order import numbered
 from mixfield.operators.storage import written
 
 STATES = 4  # not yet active, on, dark, bleached
@@ -30,18 +32,46 @@ def frame_weights(active: DataFrame, weights: DataFrame) -> DataFrame:
     return rows.join(sums, "frame").select("frame", "c", (digamma(F.col("alpha")) - digamma(F.col("total"))).alias("log_weight"))
 
 
-def frame_estep(points: DataFrame, components: DataFrame, weights: DataFrame, logit: Column, radius: float = 30.0, axes=XY, sigmas: float | None = None, values: DataFrame | None = None) -> DataFrame:
+def frame_tables(points: DataFrame, components: DataFrame, weights: DataFrame | None = None, radius: float = 30.0, axes=XY) -> DataFrame:
+    """``frame, ks, nt, xi_t``: the components active in a frame as one array with their log weights, their number and the sum of their weights.
+
+    Without ``weights(c, alpha)`` the components have a column ``alpha``. An array has a row's size for each component that a frame's points come near, MAX_PACKED at most: more in
+    one frame are an error.
+    """
+    if weights is not None:
+        components = components.drop("alpha").join(weights.select("c", "alpha"), "c")
+    own = [f"v{a}" for a in axes] + ["alpha", "log_alpha"]
+    rows = components.select("c", *(F.col(f"mu{a}").alias(a) for a in axes), *(f"v{a}" for a in axes), "alpha", digamma(F.col("alpha")).alias("log_alpha"))
+    near = range_join(points.select("frame", *axes), rows, radius, axes)
+    # each component once for a frame, with what it needs
+    active = near.groupBy(F.col("l_frame").alias("frame"), F.col("r_c").alias("c")).agg(*(F.first(f"r_{a}").alias(f"mu{a}") for a in axes), *(F.first(f"r_{x}").alias(x) for x in own))
+    tables = active.groupBy("frame").agg(F.sort_array(F.collect_list(F.struct("c", *(f"mu{a}" for a in axes), *own))).alias("ks"), F.count("*").alias("nt"), F.sum("alpha").alias("xi_t"))
+    tables = tables.withColumn("log_total", digamma(F.col("xi_t")))
+    columns = ["c", *(f"mu{a}" for a in axes), *(f"v{a}" for a in axes)]
+    named = F.transform("ks", lambda k: F.struct(*(k[x].alias(x) for x in columns), (k["log_alpha"] - F.col("log_total")).alias("log_weight")))
+    checked = F.when(F.col("nt") <= MAX_PACKED, named).otherwise(F.raise_error(F.lit(f"more than {MAX_PACKED} components in a frame")))
+    return tables.select("frame", checked.alias("ks"), "nt", "xi_t")
+
+
+def frame_sums(points: DataFrame, components: DataFrame, weights: DataFrame, logit: Column, radius: float = 30.0, axes=XY) -> DataFrame:
+    """``frame_accumulators`` of ``frame_estep`` without a row for each point and component: a point adds its noise and its rest to its frame."""
+    tables = frame_tables(points, components, weights, radius, axes)
+    rows = points.select("frame", *axes, *(f"s2{a}" for a in axes)).join(tables, "frame", "left")
+    logs = F.transform(F.coalesce("ks", F.array()), lambda k: log_density(k, axes))
+    noise = F.exp(logit - log_sum(F.concat(F.array(logit.cast("double")), logs)))
+    rows = rows.select("frame", noise.alias("noise"), "nt", "xi_t")
+    return rows.groupBy("frame").agg(F.sum("noise").alias("acc_0"), F.sum(1.0 - F.col("noise")).alias("acc_n0"), F.coalesce(F.first("nt"), F.lit(0)).alias("nt"), F.coalesce(F.first("xi_t"), F.lit(0.0)).alias("xi_t"))
+
+
+def frame_estep(points: DataFrame, components: DataFrame, weights: DataFrame, logit: Column, radius: float = 30.0, axes=XY, sigmas: float | None = None, values: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """``id, frame, c, logp, r`` and the point's columns: each point against noise and the components active in its frame.
 
     With ``sigmas`` only those within so many root mean variances of the point count. ``values(frame, value0, value1)`` has a log weight of noise, in
     place of ``logit``, and an offset of the components' log weights for each frame; a frame that it lacks has ``logit`` and 0. The components of a frame
-    come to its points as one array, and a point's weights are normalized in its row.
+    come to its points as one array (see ``frame_tables``), and a point's weights are normalized in its row. Columns ``keep`` of the points stay.
     """
-    own = ["frame", *point_columns(axes)]
-    active = frame_weights(active_centres(points, components, radius, axes), weights)
-    centres = active.join(components.select("c", *(f"mu{a}" for a in axes), *(f"v{a}" for a in axes)), "c")
-    by_frame = written(centres.groupBy("frame").agg(F.collect_list(F.struct(*component_columns(axes))).alias("ks")), "by-frame")
-    rows = points.select(*own).join(by_frame, "frame", "left")
+    own = ["frame", *point_columns(axes), *keep]
+    rows = points.select(*own).join(frame_tables(points, components, weights, radius, axes).select("frame", "ks"), "frame", "left")
     ks = F.coalesce("ks", F.array())
     if sigmas is not None:
         mean = reduce(lambda a, b: a + b, [F.col(f"s2{a}") for a in axes]) / len(axes)
@@ -67,6 +97,11 @@ def centre_frame_weight(resp: DataFrame, accumulators: DataFrame) -> DataFrame:
     return seen.join(accumulators.where("xi_t > 0"), "frame").groupBy("c").agg(F.sum(1.0 / F.col("xi_t")).alias("rk2"))
 
 
+def centre_weights(tables: DataFrame) -> DataFrame:
+    """``centre_frame_weight`` from ``frame_tables``."""
+    return tables.where("xi_t > 0").select(F.explode("ks.c").alias("c"), "xi_t").groupBy("c").agg(F.sum(1.0 / F.col("xi_t")).alias("rk2"))
+
+
 def frame_entropy(resp: DataFrame, least: float = 1e-10) -> DataFrame:
     """``frame, entropy``: sum of r ln r over components, without noise and tiny values."""
     return resp.where((F.col("c") != NOISE) & (F.col("r") > least)).groupBy("frame").agg(F.sum(F.col("r") * F.ln("r")).alias("entropy"))
@@ -185,17 +220,86 @@ def forward_backward(evidence: np.ndarray, start: np.ndarray, moves: np.ndarray)
     return marginals, pairs, float(np.log(scale).sum() + top.sum())
 
 
-def smooth(sequences: DataFrame, start: list[float], moves: list[list[float]]) -> DataFrame:
-    """``seq, t, p, log_evidence`` for ``sequences(seq, t, logp array<double>)``: the marginals of each chain.
-
-    The recursion is sequential, so a chain is one group; chains run side by side. A chain has to fit in a task.
-    """
-    first, step = np.array(start), np.array(moves)
+#: A chain is cut into blocks of so many steps; a block is one group.
+CHAIN_BLOCK = 4096
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("t")
-        p, _, log_evidence = forward_backward(np.stack(rows["logp"].to_numpy()), first, step)
-        return pd.DataFrame({"seq": rows["seq"].to_numpy(), "t": rows["t"].to_numpy(), "p": list(p), "log_evidence": log_evidence})
 
-    seq, t = dict(sequences.dtypes)["seq"], dict(sequences.dtypes)["t"]
-    return sequences.groupBy("seq").applyInPandas(run, f"seq {seq}, t {t}, p array<double>, log_evidence double")
+def _block_product(evidence: np.ndarray, moves: np.ndarray, opens: bool) -> tuple[np.ndarray, float]:
+    """The product of the steps of a block as one matrix of largest entry 1, and the log of its scale; the first step of a chain has no move before it."""
+    top = evidence.max(axis=1)
+    soft = np.exp(evidence - top[:, None])
+    product, scale = np.eye(len(moves)), float(top.sum())
+    for t, s in enumerate(soft):
+        product = product * s if opens and t == 0 else (product @ moves) * s
+        most = product.max()
+        product, scale = product / most, scale + math.log(most)
+    return product, scale
+
+
+def _scan(products: list[np.ndarray], scales: list[float], start: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray], float]:
+    """For each block of a chain what comes before it and what follows, up to a factor, and the log evidence of the chain."""
+    ahead, before, log_evidence = start, [], sum(scales)
+    for m in products:
+        before.append(ahead)
+        ahead = ahead @ m
+        log_evidence += math.log(ahead.sum())
+        ahead = ahead / ahead.sum()
+    back, after = np.ones(len(start)), []
+    for m in reversed(products):
+        after.append(back)
+        back = m @ back
+        back = back / back.max()
+    return before, after[::-1], log_evidence
+
+
+def smooth(sequences: DataFrame, start: list[float], moves: list[list[float]], block: int = CHAIN_BLOCK) -> DataFrame:
+    """``seq, t, p, log_evidence`` for ``sequences(seq, t, logp array<double>)``: the marginals of each chain, however long it is.
+
+    The steps of a block of ``block`` places are multiplied to one matrix, which is associative: so blocks run side by side, and a chain's recursion goes over its blocks' matrices, forward and
+    backward. Then each block is smoothed by itself from what comes before it and what follows. Of a chain only these matrices meet in a task. Steps are in order of ``t``; no step is left out where
+    ``t`` has gaps. A ``t`` that occurs twice in a chain is two steps in no fixed order.
+    """
+    first, step = np.array(start, float), np.array(moves, float)
+    kinds = dict(sequences.dtypes)
+    seq, t = kinds["seq"], kinds["t"]
+    # places within chains, by ranges
+    rows = written(numbered(sequences.select("seq", "t", "logp"), "_at", "seq", "t"), "steps")
+    begins = rows.groupBy("seq").agg(F.min("_at").alias("_begin"))
+    rows = rows.join(begins, "seq").withColumn("_block", F.expr(f"(_at - _begin) div {block}"))
+
+    def multiply(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("_at")
+        number = int(part["_block"].iloc[0])
+        product, scale = _block_product(np.stack(part["logp"].to_numpy()), step, number == 0)
+        return pd.DataFrame({"seq": part["seq"].iloc[:1], "_block": [number], "product": [product.ravel().tolist()], "scale": [scale]})
+
+    def scan(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("_block")
+        k = len(first)
+        before, after, evidence = _scan([np.array(m).reshape(k, k) for m in part["product"]], part["scale"].tolist(), first)
+        return pd.DataFrame({"seq": part["seq"], "_block": part["_block"], "before": [x.tolist() for x in before], "after": [x.tolist() for x in after], "log_evidence": evidence})
+
+    def within(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("_at")
+        p = _smoothed(np.stack(part["logp"].to_numpy()), np.array(part["before"].iloc[0]), np.array(part["after"].iloc[0]), step, part["_block"].iloc[0] == 0)
+        return pd.DataFrame({"seq": part["seq"], "t": part["t"], "p": list(p), "log_evidence": part["log_evidence"]})
+
+    products = rows.groupBy("seq", "_block").applyInPandas(multiply, f"seq {seq}, _block long, product array<double>, scale double")
+    ends = written(products.groupBy("seq").applyInPandas(scan, f"seq {seq}, _block long, before array<double>, after array<double>, log_evidence double"), "ends")
+    return rows.join(ends, ["seq", "_block"]).groupBy("seq", "_block").applyInPandas(within, f"seq {seq}, t {t}, p array<double>, log_evidence double")
+
+
+def _smoothed(evidence: np.ndarray, before: np.ndarray, after: np.ndarray, moves: np.ndarray, opens: bool) -> np.ndarray:
+    """The marginals of a block's steps."""
+    soft = np.exp(evidence - evidence.max(axis=1)[:, None])
+    ahead = np.empty(soft.shape)
+    for t, s in enumerate(soft):
+        now = (before if opens and t == 0 else before @ moves) * s
+        ahead[t] = before = now / now.sum()
+    out, back = np.empty(soft.shape), after
+    for t in range(len(soft) - 1, -1, -1):
+        both = ahead[t] * back
+        out[t] = both / both.sum()
+        back = moves @ (soft[t] * back)
+        back = back / back.max()
+    return out

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import math
-import random
-from dataclasses import dataclass, field, replace
+import json
+from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +17,8 @@ from mixfield.operators.elbo import Scalars, new_centre
 from mixfield.operators.estep import BELONGING, NOISE, dense, noise_logit, noise_points, point_columns, sparse, split_candidates
 from mixfield.operators.order import numbered
 from mixfield.operators.spatial import XY
-from mixfield.operators.storage import discard, written
+from mixfield.operators.storage import dealt_out, discard, written
+from mixfield.sources.files import load_model, save_model
 from mixfield.sources.views import cell_centres, priors, with_counts
 
 
@@ -85,15 +86,36 @@ def start(points: DataFrame, centres: DataFrame, config: Config | None = None, p
     components = mstep.stick_weights(centres.withColumn("rk", F.col("eta1") - 1.0)).select("c", *(f"mu{a}" for a in axes), *(f"v{a}" for a in axes), "rk", "eta1", "eta0", "elog_u", "elog_1mu", "log_weight")
     config = config or Config()
     # the points are read at every step: once from where they come from, then as a table
-    return Model(written(points, "points"), written(components, "components"), Scalars(prior["a"], prior["b"], prior["gamma1"], prior["gamma2"], **config.fixed(prior)), prior, config, tuple(axes))
+    return Model(written(dealt_out(points), "points"), written(components, "components"), Scalars(prior["a"], prior["b"], prior["gamma1"], prior["gamma2"], **config.fixed(prior)), prior, config, tuple(axes))
+
+
+def save(model: Model, path: str) -> None:
+    """A snapshot from which ``restart`` goes on: components, scalars, priors, settings and history."""
+    numbers = {k: v for k, v in asdict(model.scalars).items() if v is not None}
+    numbers |= {f"prior_{k}": v for k, v in model.prior.items()} | {"elbo": model.elbo, "few": model.few, "config": json.dumps(asdict(model.config)), "axes": "".join(model.axes), "moves": json.dumps([[*k, n] for k, n in model.moves.items()])}
+    save_model(model.components, numbers, path)
+    model.history_table().write.mode("overwrite").parquet(f"{path}/history")
+
+
+def restart(points: DataFrame, path: str) -> Model:
+    """The model of a snapshot on its ``points``, as if it had never been stopped."""
+    spark = points.sparkSession
+    components, numbers = load_model(spark, path)
+    prior = {k.removeprefix("prior_"): v for k, v in numbers.items() if k.startswith("prior_")}
+    scalars = Scalars(*(numbers[k] for k in ("a", "b", "gamma1", "gamma2")), numbers.get("pi1"), numbers.get("alpha0"))
+    history = [r.asDict() for r in spark.read.parquet(f"{path}/history").orderBy("iteration").collect()]
+    moves = {(name, accepted): n for name, accepted, n in json.loads(numbers["moves"])}
+    return Model(written(dealt_out(points), "points"), written(components, "components"), scalars, prior, Config(**json.loads(numbers["config"])), tuple(numbers["axes"]), numbers["elbo"], numbers["few"], history, moves)
 
 
 def initial_centres(points: DataFrame, kind: str = "density_peaks", prior: dict | None = None, axes=XY, **options) -> DataFrame:
-    """Centres ``c, mu*, v*, n, eta1, eta0`` by ``points``, ``cells``, ``density``, ``density_peaks`` or ``nearest``.
+    """Centres ``c, mu*, v*, n, eta1, eta0`` by ``points``, ``cells``, ``density``, ``density_peaks``, ``nearest`` or ``post``.
 
-    ``points`` makes every point a centre, so it needs the sparse step.
+    ``post`` takes those of the snapshot at ``path``. ``points`` makes every point a centre, so it needs the sparse step.
     """
     alpha0 = (prior or {}).get("alpha0", 10.0)
+    if kind == "post":
+        return load_model(points.sparkSession, options["path"])[0].select("c", *(f"mu{a}" for a in axes), *(f"v{a}" for a in axes), F.col("rk").alias("n"), "eta1", "eta0")
     if kind == "cells":
         return cell_centres(points, alpha0=alpha0, axes=axes, **options)
     mean = sum((F.avg(f"s2{a}") for a in axes), F.lit(0.0)) / len(axes)
@@ -184,9 +206,7 @@ def birth_candidates(model: Model, noise: DataFrame):
     """Sets of noise points that may be a component: the densest neighbourhood, the largest of a few clusters, the largest dense group."""
     yield spatial.densest_neighbourhood(noise, model.config.birth_radius, model.axes)
     n = noise.count()
-    seeds = noise.orderBy(F.xxhash64(F.lit(model.config.seed), "id"), "id").limit(2 if n < 10 else 5)
-    rows = [r.asDict() for r in seeds.select(*model.axes).collect()]
-    centres = model.points.sparkSession.createDataFrame([{"c": i} | {f"mu{a}": r[a] for a in model.axes} for i, r in enumerate(rows)])
+    centres = spatial.kmeans_seeds(noise, 2 if n < 10 else 5, model.config.seed, axes=model.axes)
     near = spatial.nearest_centre(noise, spatial.kmeans(noise, centres, 5, model.axes), model.axes).select("id", F.col("c").alias("label"))
     yield near.join(spatial.largest_label(near), "label", "left_semi").select("id")
     labels = written(spatial.density_labels(noise, radius=100.0, axes=model.axes), "labels")
@@ -226,12 +246,19 @@ def _restick(rows: DataFrame, alpha: float) -> DataFrame:
     return mstep.stick_weights(rows.withColumn("eta1", 1.0 + F.col("rk")).withColumn("eta0", F.lit(alpha) + F.col("_after")).drop("_after")).select(*columns)
 
 
+def weighted_choice(rows: DataFrame, column: str, weight, key: str):
+    """The value of ``column`` of one row, drawn in proportion to ``weight`` by hashes with ``key``; none without rows of a weight above 0.
+
+    Each row has an exponential time at the rate of its weight, and the first one is drawn: one aggregation, without a row at the driver.
+    """
+    uniform = (F.pmod(F.xxhash64(F.lit(key), column), F.lit(1 << 53)) + 0.5) / float(1 << 53)
+    rows = rows.select(column, (-F.ln(uniform) / weight).alias("_time"), weight.alias("_weight")).where("_weight > 0")
+    return rows.agg(F.min_by(column, F.struct("_time", column))).first()[0]
+
+
 def _random_component(model: Model, salt: int, squared: bool = False) -> int | None:
-    rows = model.components.select("c", "rk").orderBy("c").collect()  # a row for each component
-    if not rows:
-        return None
-    rng = random.Random(f"{model.config.seed} {salt} {len(model.history)}")
-    return rng.choices([r["c"] for r in rows], [(r["rk"] or 0.0) ** 2 + 1e-12 for r in rows] if squared else None)[0]
+    weight = F.coalesce("rk", F.lit(0.0)) * F.coalesce("rk", F.lit(0.0)) + 1e-12 if squared else F.lit(1.0)
+    return weighted_choice(model.components, "c", weight, f"{model.config.seed} {salt} {len(model.history)}")
 
 
 def delete(model: Model, k: int | None = None) -> Model:

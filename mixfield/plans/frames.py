@@ -5,17 +5,19 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field, replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mixfield.functions.special import c_gamma
+from mixfield.functions.special import c_gamma, digamma_value
 from mixfield.operators import elbo as bounds
 from mixfield.operators import mstep, temporal
 from mixfield.operators.components import insert_front, renumber
 from mixfield.operators.elbo import Scalars, new_centre
-from mixfield.operators.estep import BELONGING, NOISE, noise_logit
-from mixfield.operators.spatial import XY
-from mixfield.operators.storage import written
+from mixfield.operators.estep import BELONGING, NOISE, noise_logit_value, with_number
+from mixfield.operators.spatial import MAX_PACKED, XY
+from mixfield.operators.storage import dealt_out, sorted_table, written
 from mixfield.plans.fit import Config, step_stats
 from mixfield.sources.views import priors
 
@@ -32,6 +34,10 @@ class FrameModel:
     radius: float = 30.0
     axes: tuple[str, ...] = XY
     elbo: float = -math.inf
+    #: Components with too few points after the last step.
+    few: int = 0
+    #: The points in buckets of whole frames, if no frame has too many.
+    by_frame: DataFrame | None = None
     history: list[dict] = field(default_factory=list)
     #: ``i, j, alpha`` of the transitions of the four states, and the log evidence of the average trace.
     transitions: DataFrame | None = None
@@ -40,13 +46,9 @@ class FrameModel:
     def weights(self) -> DataFrame:
         return self.components.select("c", "alpha")
 
-    def logit(self):
-        if self.scalars.pi1 is None:
-            return noise_logit(self.prior["logp0"], self.scalars.a, self.scalars.b)
-        return noise_logit(self.prior["logp0"], pi1=self.scalars.pi1)
-
     def responsibilities(self) -> DataFrame:
-        return temporal.frame_estep(self.points, self.components, self.weights(), self.logit(), self.radius, self.axes, self.config.search_radius)
+        points = with_number(self.points, "_logit", noise_logit_value(self.prior["logp0"], self.scalars))
+        return temporal.frame_estep(points, self.components, None, F.col("_logit"), self.radius, self.axes, self.config.search_radius, keep=("_logit",)).drop("_logit")
 
     def share_bound(self) -> float:
         return float(temporal.frame_share_bound(self.weights(), self.prior["alpha0"]).first()["bound"])
@@ -60,7 +62,11 @@ def start(points: DataFrame, centres: DataFrame, config: Config | None = None, p
     prior, config = prior or priors(points, axes), config or Config()
     rows = centres.select("c", *(f"mu{a}" for a in axes), *(f"v{a}" for a in axes), (F.col("eta1") - 1.0).alias("rk"), F.col("eta1").alias("alpha"))
     fixed = config.fixed(prior) | {"alpha0": prior["alpha0"]}
-    return FrameModel(written(points, "points"), written(rows, "components"), Scalars(prior["a"], prior["b"], 1.0, 1.0, **fixed), prior, config, radius, tuple(axes))
+    points = written(dealt_out(points), "points")
+    most = points.groupBy("frame").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    buckets = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by_frame = sorted_table(points.repartition(buckets, "frame"), "frames", buckets, "frame") if 0 < most <= FRAME_POINTS else None
+    return FrameModel(points, written(rows, "components"), Scalars(prior["a"], prior["b"], 1.0, 1.0, **fixed), prior, config, radius, tuple(axes), by_frame=by_frame)
 
 
 def bound(sums: DataFrame, model: FrameModel) -> DataFrame:
@@ -86,11 +92,88 @@ def global_step(model: FrameModel, resp: DataFrame) -> tuple[FrameModel, DataFra
 
 
 def step(model: FrameModel, what: str = "update") -> FrameModel:
-    """A local and a global step, and the bound."""
-    after, sums = global_step(model, model.responsibilities())
-    elbo = float(bound(sums, after).first()["elbo"])
-    history = [*model.history, {"iteration": len(model.history), "elbo": elbo, "components": after.components.count(), "what": what}]
-    return replace(after, elbo=elbo, history=history)
+    """A local and a global step, and the bound: ``global_step`` and ``bound`` in one pass over the points, which leaves a row for each component.
+
+    Where the points are kept by frames, a frame is one group: its active components, their weights and its part of all sums are made there, and no point is shuffled. Else frames
+    and points are joined.
+    """
+    axes, prior = model.axes, model.prior
+    if model.by_frame is None:
+        resp = model.responsibilities()
+        nothing = {c: F.lit(0.0 if c == "r" else 1.0) for c in resp.columns if c not in ("c", "id", "frame")}
+        stats = step_stats(resp.select("c", *nothing), axes).withColumnRenamed("rk", "mass")
+    else:
+        stats = _frame_stats(model)
+    sums = [c for c in stats.columns if c != "c"]
+    # a row of zeros for each component: those without points stay
+    every = stats.withColumn("alpha", F.lit(None).cast("double")).unionByName(model.components.select("c", *(F.lit(0.0).alias(x) for x in sums), "alpha"))
+    rows = every.groupBy("c").agg(*(F.sum(x).alias(x) for x in sums), F.max("alpha").alias("alpha"))
+    for a in axes:
+        rows = rows.withColumn(f"v{a}", 1.0 / (F.col(f"sx{a}") + 1.0 / prior["sigma02"])).withColumn(f"mu{a}", (F.col(f"xx{a}") + prior[f"mu0{a}"] / prior["sigma02"]) * F.col(f"v{a}"))
+    rows = written(rows.select("c", *(f"mu{a}" for a in axes), *(f"v{a}" for a in axes), F.col("mass").alias("rk"), "alpha", "ent", "obs"), "components")
+    own = F.col("c") != NOISE
+    total = lambda x: F.coalesce(F.sum(F.when(own, x)), F.lit(0.0))
+    row = rows.agg(
+        F.coalesce(F.sum(F.when(~own, F.col("rk"))), F.lit(0.0)).alias("r0"), total(F.col("rk")).alias("r1"), F.coalesce(F.sum("ent"), F.lit(0.0)).alias("entropy"), (-0.5 * total(F.col("obs"))).alias("cobs"),
+        total(bounds.prior_bound(prior, axes) - bounds.own_bound(axes)).alias("centres"), total(c_gamma(F.lit(float(prior["alpha0"])), F.lit(1.0)) - c_gamma(F.col("alpha"), F.lit(1.0))).alias("share"),
+        F.count_if(own).alias("n"), F.count_if(own & (F.col("rk") < model.config.least_count)).alias("few"),
+    ).first()
+    scalars = replace(model.scalars, a=prior["a"] + row["r0"], b=prior["b"] + row["r1"])
+    elbo = bounds.noise_value(row["r0"], row["r1"], scalars, prior) + row["centres"] + row["cobs"] + row["share"] - row["entropy"]
+    history = [*model.history, {"iteration": len(model.history), "elbo": elbo, "components": row["n"], "what": what}]
+    return replace(model, components=rows.where(own).drop("ent", "obs"), scalars=scalars, elbo=elbo, few=row["few"], history=history)
+
+
+#: Points are kept by frames where no frame has more of them.
+FRAME_POINTS = 1 << 20
+#: Points times components that are looked at together.
+PAIRS = 1 << 20
+
+
+def _frame_stats(model: FrameModel) -> DataFrame:
+    """``step_stats`` by component, with ``mass``, from the points by frame."""
+    axes, radius, sigmas = model.axes, model.radius, model.config.search_radius
+    rows = model.components.select("c", *(f"mu{a}" for a in axes), *(f"v{a}" for a in axes), "alpha").limit(MAX_PACKED + 1).toArrow()
+    if rows.num_rows > MAX_PACKED:
+        return step_stats(model.responsibilities(), axes).withColumnRenamed("rk", "mass")
+    column = lambda t, names: np.stack([t.column(n).to_numpy() for n in names], axis=1)
+    c, mu, v, alpha = rows.column("c").to_numpy(), column(rows, [f"mu{a}" for a in axes]), column(rows, [f"v{a}" for a in axes]), rows.column("alpha").to_numpy()
+    log_alpha = np.array([digamma_value(x) for x in alpha.tolist()])
+    logit = noise_logit_value(model.prior["logp0"], model.scalars)
+    shared = model.points.sparkSession.sparkContext.broadcast((c, mu, v, alpha, log_alpha))  # MAX_PACKED rows at most
+    names = ["c", "mass", *(f"xx{a}" for a in axes), *(f"sx{a}" for a in axes), "ent", "obs"]
+
+    def run(points: pa.Table) -> pa.Table:
+        c, mu, v, alpha, log_alpha = shared.value
+        x, s2 = column(points, axes), column(points, [f"s2{a}" for a in axes])
+        size = max(1, PAIRS // max(1, len(c)))
+        away = lambda part: ((x[part, None, :] - mu) ** 2).sum(axis=2)
+        parts = [slice(a, a + size) for a in range(0, len(x), size)]
+        active = np.zeros(len(c), bool)
+        for part in parts:
+            active |= (away(part) <= radius * radius).any(axis=0)
+        at = np.flatnonzero(active)
+        weight = log_alpha[at] - digamma_value(float(alpha[at].sum())) if len(at) else log_alpha[at]
+        sums = np.zeros((len(at) + 1, len(names) - 1))
+        for part in parts:
+            d2 = (x[part, None, :] - mu[at]) ** 2
+            logs = weight - len(axes) / 2 * math.log(2 * math.pi) - 0.5 * np.log(s2[part]).sum(axis=1)[:, None] - ((d2 + v[at]) / (2 * s2[part, None, :])).sum(axis=2)
+            if sigmas is not None:
+                logs[d2.sum(axis=2) >= sigmas * sigmas * s2[part].mean(axis=1)[:, None]] = -np.inf
+            logs = np.concatenate([np.full((len(logs), 1), logit), logs], axis=1)
+            top = logs.max(axis=1, keepdims=True)
+            r = np.exp(logs - top)
+            r /= r.sum(axis=1, keepdims=True)
+            one = 1 / s2[part]
+            sums[:, 0] += r.sum(axis=0)
+            sums[:, 1 : 1 + len(axes)] += r.T @ (x[part] * one)
+            sums[:, 1 + len(axes) : 1 + 2 * len(axes)] += r.T @ one
+            sums[:, -2] += (r * np.log(np.clip(r, np.finfo(float).eps, 1))).sum(axis=0)
+            sums[:, -1] += r.T @ (x[part] ** 2 * one + np.log(2 * math.pi * s2[part])).sum(axis=1)
+        return pa.table([pa.array(np.concatenate([[NOISE], c[at]]).astype(np.int64)), *map(pa.array, sums.T)], names)
+
+    points = model.by_frame.select("frame", *axes, *(f"s2{a}" for a in axes))
+    return points.groupBy("frame").applyInArrow(run, "c long, " + ", ".join(f"{n} double" for n in names[1:]))
 
 
 def fit(model: FrameModel) -> FrameModel:
@@ -98,10 +181,9 @@ def fit(model: FrameModel) -> FrameModel:
     best, last = model, -math.inf
     for _ in range(model.config.iterations):
         model = step(model)
-        if model.config.prune:
+        if model.config.prune and model.few:
             few = [r["c"] for r in mstep.empty_components(model.components, model.config.least_count).select("c").collect()]
-            if few:
-                model = step(replace(model, components=written(renumber(model.components, few), "components")), "empty")
+            model = step(replace(model, components=written(renumber(model.components, few), "components")), "empty")
         if model.elbo > best.elbo:
             best = model
         if abs(model.elbo - last) < model.config.tolerance * max(1.0, abs(model.elbo)):

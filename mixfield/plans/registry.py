@@ -451,11 +451,16 @@ FRAME = o.with_(
 )
 
 
-def _frames(spark, folder) -> tuple[DataFrame, DataFrame]:
-    """Responsibilities by frame, and the weights of components."""
+def _frame_setup(spark, folder) -> tuple[fit.Model, DataFrame]:
+    """The model with the cells' centres, and the weights of components."""
     model = _setup(spark, folder)
-    weights = model.components.select("c", F.col("eta1").alias("alpha"))
-    return written(temporal.frame_estep(model.points, model.components, weights, model.logit()), "frames"), weights
+    return model, model.components.select("c", F.col("eta1").alias("alpha"))
+
+
+def _frames(spark, folder) -> DataFrame:
+    """Responsibilities by frame."""
+    model, weights = _frame_setup(spark, folder)
+    return temporal.frame_estep(model.points, model.components, weights, model.logit())
 
 
 @query(o.with_(*o.BASE, ACT) + "SELECT frame, c FROM act")
@@ -466,23 +471,24 @@ def frame_active(spark, folder):
 
 @query(FRAME + "SELECT id, frame, c, round(logp, 3) AS logp, round(r, 4) AS r FROM fr")
 def frame_estep(spark, folder):
-    return rounded(rounded(_frames(spark, folder)[0].select("id", "frame", "c", "logp", "r"), 4, "r"), 3, "logp")
+    return rounded(rounded(_frames(spark, folder).select("id", "frame", "c", "logp", "r"), 4, "r"), 3, "logp")
 
 
 @query(FRAME + f"SELECT frame, nt, {o.rounded(4, 'acc_0', 'acc_n0')}, round(xi_t, 3) AS xi_t FROM facc")
 def frame_accumulators(spark, folder):
-    return rounded(rounded(temporal.frame_accumulators(*_frames(spark, folder)), 4, "acc_0", "acc_n0"), 3, "xi_t")
+    model, weights = _frame_setup(spark, folder)
+    return rounded(rounded(temporal.frame_sums(model.points, model.components, weights, model.logit()), 4, "acc_0", "acc_n0"), 3, "xi_t")
 
 
 @query(FRAME + "SELECT c, round(sum(1 / xi_t), 5) AS rk2 FROM act JOIN facc ON act.frame = facc.frame WHERE xi_t > 0 GROUP BY c")
 def centre_frame_weight(spark, folder):
-    resp, weights = _frames(spark, folder)
-    return rounded(temporal.centre_frame_weight(resp, temporal.frame_accumulators(resp, weights)), 5, "rk2")
+    model, weights = _frame_setup(spark, folder)
+    return rounded(temporal.centre_weights(temporal.frame_tables(model.points, model.components, weights)), 5, "rk2")
 
 
 @query(FRAME + "SELECT frame, round(sum(r * ln(r)), 4) AS entropy FROM fr WHERE c <> -1 AND r > 1e-10 GROUP BY frame")
 def frame_entropy(spark, folder):
-    return rounded(temporal.frame_entropy(_frames(spark, folder)[0]), 4, "entropy")
+    return rounded(temporal.frame_entropy(_frames(spark, folder)), 4, "entropy")
 
 
 # The model with frames: a step, its bound and the gaps of its moves after a step
@@ -605,6 +611,22 @@ def frame_gap_split(spark, folder):
     return _shown_gap(frames.gap_split(model, written(rows.withColumn("r2", F.col("r") - F.col("r1")), "proposed"), 5))
 
 
+def _frame_bound_sql(i: int) -> str:
+    beta = lambda a, b: o.c_beta(a, b)
+    return f"""SELECT {i} AS iteration, round(r0 * logp0 + {beta('1e0', '10e0')} - {beta('a', 'b')} + (SELECT count(*) FROM fcs{i + 1}) * {CO0} + cobs - {_centre_sql(f'fcs{i + 1}')}
+  + (SELECT sum(lgamma(alpha) - lgamma(10e0)) FROM fcs{i + 1}) - entropy, 2) AS elbo, (SELECT count(*) FROM fcs{i + 1}) AS components FROM fsu{i}, fsc{i + 1}, prior"""
+
+
+@query(FRAMED.rstrip() + "".join(f",\n{_frame_local(i)},\n{_frame_global(i)}" for i in (1, 2, 3)) + "\n" + " UNION ALL ".join(map(_frame_bound_sql, range(4))))
+def frame_bounds(spark, folder):
+    """The bound of the first four steps of the model with frames."""
+    model = _frame_model(spark, folder)
+    for _ in range(4):
+        model = frames.step(model)
+    rows = [(h["iteration"], round(h["elbo"], 2), h["components"]) for h in model.history]
+    return spark.createDataFrame(rows, "iteration int, elbo double, components long")
+
+
 @query()
 def frame_fit(spark, folder):
     """The fit of the model with frames, to the tolerance or 100 iterations."""
