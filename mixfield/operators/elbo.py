@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from mixfield.functions.special import c_alpha, c_beta, c_obs, plogp
 from mixfield.operators.estep import NOISE, point_columns
 from mixfield.operators.mstep import observed, running_sums
-from mixfield.operators.spatial import XY
+from mixfield.operators.spatial import XY, packed
 from mixfield.operators.storage import written
 
 
@@ -185,6 +185,37 @@ def gap_delete(resp: DataFrame, components: DataFrame, s: Scalars, prior: dict,
     return _result(spark, _noise_change(spark, moved, s, after, prior), stick, float(sums["entropy"] or 0.0), -float(sums["co"] or 0.0) - row["co0"] + row["co"])
 
 
+def gaps_delete(resp: DataFrame, components: DataFrame, s: Scalars, prior: dict, axes=XY) -> DataFrame:
+    """``c, noise, stick, entropy, obs, gap``: ``gap_delete`` of every component, in one pass over the responsibilities.
+
+    The part of the shares needs all components for each one; they come as one array, so there may be MAX_PACKED of them.
+    """
+    noise = resp.where(F.col("c") == NOISE).select("id", F.col("r").alias("r0"))
+    own = resp.where((F.col("c") != NOISE) & (F.col("r") > 0)).join(noise, "id")
+    sums = own.groupBy("c").agg(*_sums(own, F.col("r"), axes), F.sum(-plogp(F.col("r") + F.col("r0")) + plogp(F.col("r0")) + plogp(F.col("r"))).alias("entropy")).withColumnRenamed("rk", "moved")
+    sums = sums.select("c", "moved", "co", "entropy")
+    before = stick_bound(components, s, prior)
+    rows = components.join(sums, "c", "left").na.fill(0.0, ["moved", "co", "entropy"]).crossJoin(F.broadcast(before)).crossJoin(F.broadcast(packed(components, ["c", "eta1", "eta0", "rk"])))
+    moved = F.col("moved")
+    if s.pi1 is None:
+        share = moved * prior["logp0"] - c_beta(F.lit(s.a) + moved, F.lit(s.b) - moved) + c_beta(F.lit(s.a), F.lit(s.b))
+    else:
+        share = moved * (math.log(s.pi1 / (1 - s.pi1)) + prior["logp0"])
+    if s.alpha0 is None:
+        g1, g2 = F.lit(s.gamma1 - 1), F.lit(s.gamma2) + F.col("elog_1mu")
+        alpha = g1 / g2
+        top = c_alpha(F.lit(prior["gamma1"]), F.lit(prior["gamma2"]), alpha) - c_alpha(g1, g2, alpha)
+    else:
+        alpha = F.lit(s.alpha0)
+        top = (F.size("centres") - 1) * c_beta(F.lit(1.0), alpha)
+    rows = rows.withColumn("top", top).withColumn("change", alpha - F.lit(s.alpha))
+    # without this component, those before it have its count no longer among the later ones
+    other = lambda j: c_beta(j["eta1"], j["eta0"] + F.col("change") - F.when(F.col("c") > j["c"], F.col("rk")).otherwise(0.0))
+    rest = F.aggregate(F.filter("centres", lambda j: j["c"] != F.col("c")), F.lit(0.0), lambda total, j: total + other(j))
+    rows = rows.select("c", share.alias("noise"), (F.col("top") - rest - F.col("stick")).alias("stick"), "entropy", (-F.col("co") - prior_bound(prior, axes) + own_bound(axes)).alias("obs"))
+    return rows.withColumn("gap", F.col("noise") + F.col("stick") + F.col("entropy") + F.col("obs"))
+
+
 def gap_merge(resp: DataFrame, components: DataFrame, s: Scalars, prior: dict, k1: int, k2: int, axes=XY, stick: float | None = None) -> DataFrame:
     """The same when component ``k2`` is added to ``k1 < k2``."""
     spark = resp.sparkSession

@@ -273,6 +273,38 @@ def delete(model: Model, k: int | None = None) -> Model:
     return _count(step(drop_components(model, [k]), "dead"), "dead", True)
 
 
+def apart(gaps: DataFrame, components: DataFrame, radius: float, axes=XY) -> DataFrame:
+    """``c, gap`` of the rows of ``gaps(c, gap)`` that are the best among all of them within ``radius``, ties to the smaller c: moves of these touch different components."""
+    rows = gaps.select("c", "gap")
+    near = spatial.close_centres(components.join(rows, "c", "left_semi"), radius, axes).select("c", "other")
+    better = near.join(rows, "c").join(rows.select(F.col("c").alias("other"), F.col("gap").alias("rival")), "other").where((F.col("rival") > F.col("gap")) | ((F.col("rival") == F.col("gap")) & (F.col("other") < F.col("c"))))
+    return rows.join(better.select("c").distinct(), "c", "left_anti")
+
+
+def delete_all(model: Model, rounds: int = 10) -> Model:
+    """Makes all components noise whose deletion raises the bound, in rounds of one pass each.
+
+    A round has the gaps of all components, and deletes those that are the best for as far as two birth radii around, so that they hardly share points. If the bound is lower after a step with
+    all of them gone, only the best one goes. The number of jobs depends on the rounds and not on the number of components.
+    """
+    for _ in range(rounds):
+        gaps = bounds.gaps_delete(model.responsibilities(), model.components, model.scalars, model.prior, model.axes)
+        gaps = written(gaps.where(F.col("gap") > 0), "gaps")
+        chosen = [r["c"] for r in apart(gaps, model.components, 2 * model.config.birth_radius, model.axes).orderBy(F.desc("gap"), "c").collect()]
+        if not chosen:
+            return _count(model, "dead", False)
+        after = step(drop_components(model, chosen), "dead")
+        if after.elbo < model.elbo and len(chosen) > 1:
+            chosen = chosen[:1]
+            after = step(drop_components(model, chosen), "dead")
+        if after.elbo < model.elbo:
+            return _count(model, "dead", False)
+        for _ in chosen:
+            after = _count(after, "dead", True)
+        model = after
+    return model
+
+
 def merge(model: Model, k: int | None = None) -> Model:
     """Tries to merge component ``k`` with each one that is near, the last first."""
     k = _random_component(model, 2) if k is None else k
@@ -385,11 +417,11 @@ def sweep(model: Model, rounds: int | None = None) -> Model:
 
 
 def refine(model: Model) -> Model:
-    """A few births, then a split, a merge and a delete for each component."""
+    """A few births, then a split and a merge for each component, and deletions of all in rounds."""
     for _ in range(model.components.count() // 10):
         model = birth(model)
-    for move in (split, merge, delete):
+    for move in (split, merge):
         for k in range(model.components.count() - 1, -1, -1):
             if k < model.components.count():
                 model = move(model, k)
-    return prune(model)
+    return prune(delete_all(model))

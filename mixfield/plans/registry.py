@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 
 from mixfield.operators import elbo, estep, metrics, mstep, spatial, temporal
+from mixfield.operators import components as surgery
 from mixfield.operators.storage import written
 from mixfield.plans import fit, frames, oracle as o
 from mixfield.sources import generators, views
@@ -237,6 +238,71 @@ def gap_delete_fixed(spark, folder):
     return _delete_gap(_one_step(spark, folder, FIXED))
 
 
+@query(
+    o.with_(
+        *o.BASE, o.estep(0), o.mstep(0), o.estep(1),
+        "k AS (SELECT o.*, z.r AS r0 FROM r1 o JOIN (SELECT id, r FROM r1 WHERE c = -1) z ON o.id = z.id WHERE c >= 0 AND o.r > 0)",
+        f"s AS (SELECT c, sum(r) AS m, sum(r * ({o.c_obs('x', 's2x')} + {o.c_obs('y', 's2y')})) AS co, sum(-{o.plogp('(r + r0)')} + {o.plogp('r0')} + {o.plogp('r')}) AS h FROM k GROUP BY c)",
+        "al AS (SELECT c, rk, mux, muy, vx, vy, g1 - 1 AS n1, g2 + e1 AS n2, g1 / g2 AS alpha, a, b FROM cs1, sc1)",
+        f"st AS (SELECT k.c, sum({o.c_beta('j.eta1', '(j.eta0 - CASE WHEN k.c > j.c THEN k.rk ELSE 0 END + n1 / n2 - alpha)')}) AS rest FROM al k JOIN cs1 j ON j.c <> k.c GROUP BY k.c)",
+    )
+    + f"""SELECT al.c, round(coalesce(m, 0) * logp0 - {o.c_beta('(a + coalesce(m, 0))', '(b - coalesce(m, 0))')} + {o.c_beta('a', 'b')}, 2) + 0e0 AS noise,
+  round({o.c_alpha('1e0', '1e-2', 'n1 / n2')} - {o.c_alpha('n1', 'n2', 'n1 / n2')} - rest - {o.stick('cs1', '(SELECT g1 FROM sc1)', '(SELECT g2 FROM sc1)')}, 2) + 0e0 AS stick, round(coalesce(h, 0), 2) + 0e0 AS entropy,
+  round(-coalesce(co, 0) - {CO0} + {o.c_obs('mux', 'vx')} + {o.c_obs('muy', 'vy')}, 2) + 0e0 AS obs
+FROM al LEFT JOIN s ON al.c = s.c JOIN st ON al.c = st.c, prior"""
+)
+def refine_pass(spark, folder):
+    """The gaps of the deletions of all components."""
+    m = _one_step(spark, folder)
+    gaps = elbo.gaps_delete(m.responsibilities(), m.components, m.scalars, m.prior)
+    # a zero without a sign
+    return gaps.select("c", *((F.round(x, 2) + 0.0).alias(x) for x in ("noise", "stick", "entropy", "obs")))
+
+
+@query()
+def dead_moves(spark, folder):
+    """The components that are left after deletions in rounds."""
+    return _shown(fit.delete_all(_one_step(spark, folder)).components)
+
+
+# Surgery on responsibilities
+
+RESP = o.with_(*o.BASE, o.estep(0))
+SHOWN_RESP = "SELECT id, c, round(sum(r), 4) AS r FROM ({0}) GROUP BY id, c"
+
+
+def _shown_resp(resp: DataFrame) -> DataFrame:
+    return rounded(resp.groupBy("id", "c").agg(F.sum("r").alias("r")), 4, "r")
+
+
+@query(RESP + SHOWN_RESP.format("SELECT id, CASE WHEN c IN (3, 5) THEN -1 WHEN c > 5 THEN c - 2 WHEN c > 3 THEN c - 1 ELSE c END AS c, r FROM r0"))
+def resp_remove(spark, folder):
+    return _shown_resp(surgery.remove(_setup(spark, folder).responsibilities(), [3, 5]))
+
+
+@query(RESP + SHOWN_RESP.format("SELECT id, CASE WHEN c = 5 THEN 3 WHEN c > 5 THEN c - 1 ELSE c END AS c, r FROM r0"))
+def resp_merge(spark, folder):
+    return _shown_resp(surgery.merge(_setup(spark, folder).responsibilities(), 3, 5))
+
+
+@query(RESP + SHOWN_RESP.format("SELECT id, CASE WHEN c = -1 AND x < 100 THEN 0 WHEN c = -1 THEN -1 ELSE c + 1 END AS c, r FROM r0"))
+def resp_insert(spark, folder):
+    model = _setup(spark, folder)
+    return _shown_resp(surgery.insert_from_noise(model.responsibilities(), model.points.where("x < 100").select("id")))
+
+
+@query(RESP + SHOWN_RESP.format("SELECT id, CASE WHEN c > 5 THEN c + 1 ELSE c END AS c, r * CASE WHEN c = 5 THEN 0.25e0 ELSE 1e0 END AS r FROM r0 UNION ALL SELECT id, 6, r * 0.75e0 FROM r0 WHERE c = 5"))
+def resp_split(spark, folder):
+    resp = _setup(spark, folder).responsibilities()
+    halves = resp.where("c = 5").withColumn("r1", F.col("r") * 0.25).withColumn("r2", F.col("r") * 0.75)
+    return _shown_resp(surgery.split(resp, 5, halves))
+
+
+@query(o.with_(*o.BASE) + "SELECT c, round(mux, 4) AS mux, round(muy, 4) AS muy FROM cen UNION ALL SELECT count(*) + i, 0e0, 0e0 FROM cen, range(3) r(i) GROUP BY i")
+def components_append(spark, folder):
+    return rounded(surgery.append_empty(views.cell_centres(_points(spark, folder)).select("c", "mux", "muy"), 3), 4, "mux", "muy")
+
+
 @query(_merge_sql(False))
 def gap_merge(spark, folder):
     return _merge_gap(_one_step(spark, folder))

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from mixfield.operators import metrics, order, spatial, temporal
+from mixfield.operators import elbo, metrics, order, spatial, temporal
 from mixfield.plans import fit, frames
 from mixfield.sources import generators, views
 from mixfield.streaming.assign import assign
@@ -167,3 +167,30 @@ def test_assignment_with_many_components_and_by_cells(spark):
     every = {r.id: (r.c, r.r) for r in assign(points, centres, F.lit(-14.0)).collect()}
     near = {r.id: (r.c, r.r) for r in assign(points, centres, F.lit(-14.0), radius=40.0).collect()}
     assert len(every) == 300 and all(every[i][0] == near[i][0] and abs(every[i][1] - near[i][1]) < 1e-9 for i in every)
+
+
+@pytest.mark.parametrize("config", [{}, {"infer_pi1": False, "infer_alpha0": False}])
+def test_gaps_of_all_deletions_are_those_of_each(spark, config):
+    points = generators.gaussian_grid(spark, 2, 20, pitch=60.0, s2=30.0, seed=3)
+    model = fit.step(fit.start(points, views.cell_centres(points, pitch=40.0), fit.Config(prune=False, **config)))
+    resp = model.responsibilities()
+    found = {r.c: r for r in elbo.gaps_delete(resp, model.components, model.scalars, model.prior).collect()}
+    assert len(found) == model.components.count()
+    for k in list(found)[:3]:
+        want = elbo.gap_delete(resp, model.components, model.scalars, model.prior, k).first()
+        assert np.allclose([found[k][n] for n in ("noise", "stick", "entropy", "obs", "gap")], [want[n] for n in ("noise", "stick", "entropy", "obs", "gap")], atol=1e-6)
+
+
+def test_deletions_in_rounds_raise_the_bound(spark):
+    points = generators.gaussian_grid(spark, 2, 20, pitch=60.0, s2=30.0, seed=3)
+    model = fit.step(fit.start(points, views.cell_centres(points, pitch=15.0), fit.Config(prune=False)))
+    after = fit.delete_all(model)
+    assert after.elbo > model.elbo and after.components.count() < model.components.count()
+    assert elbo.gaps_delete(after.responsibilities(), after.components, after.scalars, after.prior).where("gap > 0").count() == 0 or after.moves[("dead", False)] == 1
+    assert sorted(r.c for r in after.components.collect()) == list(range(after.components.count()))
+
+
+def test_moves_that_are_apart(spark):
+    components = spark.createDataFrame([(0, 0.0, 0.0), (1, 1.0, 0.0), (2, 2.0, 0.0), (3, 50.0, 0.0)], "c long, mux double, muy double")
+    gaps = spark.createDataFrame([(0, 1.0), (1, 3.0), (2, 3.0), (3, 0.5)], "c long, gap double")
+    assert sorted(r.c for r in fit.apart(gaps, components, 1.5).collect()) == [1, 3]
