@@ -155,3 +155,18 @@ def test_toxicity(spark, docs, nothing):
     assert toxicity.grade(nothing, model).count() == 0
     unknown = toxicity.fit(docs, labels.limit(0))
     assert not any(r.toxic for r in toxicity.grade(docs, unknown).collect())
+
+
+def test_line_dedup_of_very_many_lines(spark):
+    """Seconds grow with the lines of a document, not with their square."""
+    import time
+
+    def seconds(n: int) -> float:
+        rows = [(1, "\n".join(["a", "b", "c"])), (2, "\n".join(["a", "b", "c", *(f"line {i}" for i in range(n))]))]
+        began = time.perf_counter()
+        found = {r.doc_id: r for r in lines.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert found[2].n_lines == n + 3 and found[2].n_removed == 3 and found[2].kept == "\n".join(f"line {i}" for i in range(n))
+        return time.perf_counter() - began
+
+    seconds(1000)
+    assert seconds(100_000) < 20 * seconds(10_000) + 20

@@ -93,3 +93,24 @@ def test_packing_stage(stages):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, DATA).count() > 100
+
+
+def test_mixing_stage_with_null_and_repeated_ids(spark):
+    """Rows without doc_id, of the same doc_id and repeated rows are each read as often as the mix says, and never crossed with each other."""
+    texts = [f"words of text number {i} " * (3 + i % 5) for i in range(12)]
+    rows = [(None, t.strip(), "en", "a") for t in texts[:4]] + [(3, t.strip(), "en", "a") for t in texts[4:6]] + [(7, texts[6].strip(), "de", "b")] * 5 + [(i + 20, t.strip(), "de", None) for i, t in enumerate(texts[7:])] + [(None, texts[0].strip(), "fr", "b")]
+    docs = spark.createDataFrame([(*r, len(r[1])) for r in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    found = corpus_pipeline.mix_sources(spark, docs, DATA).collect()
+    mixed = corpus_pipeline.mixing.mix(docs).collect()
+    words = lambda t: len(t.split())
+    assert len(found) == sum(len([p for p in r.passes if p.words]) for r in mixed)
+    assert sum(words(r.text) for r in found) == sum(r.taken for r in mixed)
+    taken = Counter()
+    for r in mixed:
+        taken[r.doc_id, r.source] += r.taken
+    assert Counter(taken) == sum((Counter({(r.doc_id, r.source): words(r.text)}) for r in found), Counter())
+    whole = {t.strip() for t in texts}
+    assert all(any(r.text in t for t in whole) for r in found)
+    readings = Counter((r.doc_id, r.source, r.text) for r in found)
+    copies = Counter((d, s, t) for d, t, _, s in rows)
+    assert all(n <= 2 * copies[k] for k, n in readings.items() if k[2] in whole)
