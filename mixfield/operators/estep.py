@@ -173,6 +173,11 @@ def split_candidates(resp: DataFrame, component: DataFrame, c: int, radius: floa
     return own.where((F.col("c") == c) | (d2 <= radius * radius)).select(*point_columns(axes)).distinct()
 
 
+def entropy(resp: DataFrame, least: float = 1e-10) -> DataFrame:
+    """One row ``entropy``: the sum of r ln r of noise and components alike, without values below ``least``."""
+    return resp.where(F.col("r") >= least).agg(F.coalesce(F.sum(F.col("r") * F.ln("r")), F.lit(0.0)).alias("entropy"))
+
+
 def ragged(resp: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Lists of ``(c, r)`` by point and of ``(id, r)`` by component, for export."""
     by_point = resp.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("c", "r"))).alias("components"))

@@ -29,6 +29,14 @@ def nearest_truth(found: DataFrame, truth: DataFrame, axes=XY) -> DataFrame:
     return rows.withColumn("best", F.array_min(score)).select("c", "best.truth", "best.d")
 
 
+def bucket_counts(values: DataFrame, column: str, width: int | None = None, most: int = 1000) -> DataFrame:
+    """``bucket, n``: how many whole numbers are in each bucket, of equal ``width`` from 0 or, without one, by bit length. Buckets below 0 and from ``most`` on are left out."""
+    x = F.col(column).cast("long")
+    bucket = F.floor(x / width) if width else F.when(x > 0, F.length(F.bin(x))).when(x == 0, 0)
+    rows = values.select(bucket.cast("long").alias("bucket")).where((F.col("bucket") >= 0) & (F.col("bucket") < most))
+    return rows.groupBy("bucket").agg(F.count("*").alias("n"))
+
+
 def distance_metric(matches: DataFrame) -> DataFrame:
     return matches.agg(F.avg("d").alias("mean_d"), F.stddev_pop("d").alias("std_d"), F.count("*").alias("n"))
 

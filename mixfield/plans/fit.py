@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mixfield.functions.special import plogp
+from mixfield.operators import components as surgery
 from mixfield.operators import elbo as bounds
 from mixfield.operators import mstep, spatial
 from mixfield.operators.components import insert_front, renumber
@@ -194,6 +195,33 @@ def fit(model: Model) -> Model:
     return replace(best, history=model.history, moves=model.moves)
 
 
+# Components taken out, put in, merged or split as told, whatever the bound says
+
+
+def delete_components(model: Model, gone: list[int]) -> Model:
+    """The model after a global step with the responsibilities of the components ``gone`` given to noise."""
+    return step(drop_components(model, gone), "dead", surgery.remove(model.responsibilities(), gone, model.axes))
+
+
+def add_component(model: Model, ids: DataFrame) -> Model:
+    """The model after a global step with a new component 0 that has the noise of the points ``ids(id)``."""
+    resp = surgery.insert_from_noise(model.responsibilities(), ids)
+    return step(_with_front(model, {f"{n}{a}": 0.0 for n in ("mu", "v") for a in model.axes} | {"rk": 0.0}), "birth", resp)
+
+
+def merge_components(model: Model, k1: int, k2: int) -> Model:
+    """The model after a global step with the responsibilities of ``k2`` added to those of ``k1 < k2``."""
+    return step(drop_components(model, [k2]), "merge", surgery.merge(model.responsibilities(), k1, k2, model.axes))
+
+
+def split_component(model: Model, k: int, proposed: DataFrame) -> Model:
+    """The model after a global step with ``k`` replaced by ``k`` and ``k + 1``, given by ``r1`` and ``r2`` of ``proposed``."""
+    resp = surgery.split(model.responsibilities(), k, proposed, model.axes)
+    moved = model.components.withColumn("c", F.when(F.col("c") > k, F.col("c") + 1).otherwise(F.col("c")).cast("long"))
+    rows = moved.unionByName(moved.where(F.col("c") == k).withColumn("c", F.lit(k + 1).cast("long")))
+    return step(replace(model, components=written(rows, "components")), "split", resp)
+
+
 def _count(model: Model, move: str, accepted: bool) -> Model:
     return replace(model, moves=model.moves | {(move, accepted): model.moves.get((move, accepted), 0) + 1})
 

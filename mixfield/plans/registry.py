@@ -298,6 +298,27 @@ def resp_split(spark, folder):
     return _shown_resp(surgery.split(resp, 5, halves))
 
 
+@query(RESP + "SELECT c, round(sum(r), 3) AS rk FROM (SELECT CASE WHEN c = 5 THEN 3 WHEN c > 5 THEN c - 1 ELSE c END AS c, r FROM r0 WHERE c >= 0) GROUP BY c")
+def merge_components(spark, folder):
+    return rounded(fit.merge_components(_setup(spark, folder), 3, 5).components.select("c", "rk"), 3, "rk")
+
+
+@query(RESP + "SELECT c, round(sum(r), 3) AS rk FROM (SELECT CASE WHEN c > 5 THEN c - 2 WHEN c > 3 THEN c - 1 ELSE c END AS c, r FROM r0 WHERE c >= 0 AND c NOT IN (3, 5)) GROUP BY c")
+def delete_components(spark, folder):
+    return rounded(fit.delete_components(_setup(spark, folder), [3, 5]).components.select("c", "rk"), 3, "rk")
+
+
+@query(RESP + "SELECT round(sum(r * ln(r)), 2) AS entropy FROM r0 WHERE r >= 1e-10")
+def entropy_sum(spark, folder):
+    return rounded(estep.entropy(_setup(spark, folder).responsibilities()), 2, "entropy")
+
+
+@query(o.with_(o.PTS) + "SELECT n // 5 AS bucket, count(*) AS n FROM (SELECT count(*) AS n FROM pts GROUP BY floor(x / 10), floor(y / 10)) WHERE n // 5 < 1000 GROUP BY n // 5")
+def linear_histogram(spark, folder):
+    cells = spatial.with_cells(_points(spark, folder), 10.0).groupBy("cell_x", "cell_y").agg(F.count("*").alias("n"))
+    return metrics.bucket_counts(cells, "n", 5)
+
+
 @query(o.with_(*o.BASE) + "SELECT c, round(mux, 4) AS mux, round(muy, 4) AS muy FROM cen UNION ALL SELECT count(*) + i, 0e0, 0e0 FROM cen, range(3) r(i) GROUP BY i")
 def components_append(spark, folder):
     return rounded(surgery.append_empty(views.cell_centres(_points(spark, folder)).select("c", "mux", "muy"), 3), 4, "mux", "muy")

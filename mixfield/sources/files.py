@@ -107,6 +107,17 @@ def in_memory_points(spark: SparkSession, arrays: dict) -> DataFrame:
     return spark.createDataFrame(rows)
 
 
+def in_memory_components(spark: SparkSession, mu, sigma2, elog_beta, axes=XY) -> DataFrame:
+    """Components ``c, mu*, v*, log_weight`` of arrays: means and variances with a row for each component, and expected log shares."""
+    mu, sigma2 = pd.DataFrame(mu, columns=[f"mu{a}" for a in axes]), pd.DataFrame(sigma2, columns=[f"v{a}" for a in axes])
+    if not len(mu) == len(sigma2) == len(elog_beta):
+        raise ValueError(f"{len(mu)} means, {len(sigma2)} variances and {len(elog_beta)} shares")
+    rows = pd.concat([mu, sigma2], axis=1).astype(float).assign(log_weight=[float(x) for x in elog_beta])
+    rows.insert(0, "c", range(len(rows)))
+    kinds = ", ".join(f"{c} {'long' if c == 'c' else 'double'}" for c in rows.columns)
+    return spark.createDataFrame(rows.values.tolist() if rows.empty else [(int(r[0]), *r[1:]) for r in rows.itertuples(index=False, name=None)], kinds)
+
+
 def detect(width: int) -> tuple[str, ...]:
     """Names of the columns of an observation matrix with so many columns."""
     kinds = {4: "x y s2x s2y", 6: "x y z s2x s2y s2z", 5: "frame x y s2x s2y", 7: "frame x y z s2x s2y s2z"}

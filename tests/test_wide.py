@@ -9,9 +9,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from mixfield.operators import elbo, metrics, order, spatial, temporal
+from mixfield.operators import elbo, estep, metrics, order, spatial, temporal
 from mixfield.plans import fit, frames
-from mixfield.sources import generators, views
+from mixfield.sources import files, generators, views
 from mixfield.streaming.assign import assign
 
 
@@ -194,3 +194,32 @@ def test_moves_that_are_apart(spark):
     components = spark.createDataFrame([(0, 0.0, 0.0), (1, 1.0, 0.0), (2, 2.0, 0.0), (3, 50.0, 0.0)], "c long, mux double, muy double")
     gaps = spark.createDataFrame([(0, 1.0), (1, 3.0), (2, 3.0), (3, 0.5)], "c long, gap double")
     assert sorted(r.c for r in fit.apart(gaps, components, 1.5).collect()) == [1, 3]
+
+
+def test_components_as_told(spark):
+    """A global step after surgery has the counts of the changed responsibilities, and all mass stays."""
+    points = generators.gaussian_grid(spark, 2, 20, pitch=60.0, s2=30.0, seed=3)
+    model = fit.step(fit.start(points, views.cell_centres(points, pitch=40.0), fit.Config(prune=False)))
+    resp = model.responsibilities().toPandas()
+    mass = resp.groupby("c")["r"].sum()
+    n = len(mass) - 1
+    rk = lambda m: [r.rk for r in m.components.orderBy("c").collect()]
+    assert np.allclose(rk(fit.delete_components(model, [1])), [mass[c] for c in range(n) if c != 1])
+    assert np.allclose(rk(fit.merge_components(model, 0, 2)), [mass[0] + mass[2], *(mass[c] for c in range(1, n) if c != 2)])
+    ids = model.points.where("x > 0").select("id")
+    chosen = {r.id for r in ids.collect()}
+    assert np.allclose(rk(fit.add_component(model, ids)), [resp[(resp.c == -1) & resp.id.isin(chosen)]["r"].sum(), *(mass[c] for c in range(n))])
+    halves = model.responsibilities().where("c = 1").withColumn("r1", F.col("r") * 0.25).withColumn("r2", F.col("r") * 0.75)
+    assert np.allclose(rk(fit.split_component(model, 1, halves)), [mass[0], mass[1] / 4, mass[1] * 0.75, *(mass[c] for c in range(2, n))])
+
+
+def test_buckets_entropy_and_components_of_arrays(spark):
+    values = spark.createDataFrame([(x,) for x in (0, 1, 4, 5, 9, 4999, 5000, -1, None)], "v long")
+    assert {(r.bucket, r.n) for r in metrics.bucket_counts(values, "v", 5).collect()} == {(0, 3), (1, 2), (999, 1)}
+    assert {(r.bucket, r.n) for r in metrics.bucket_counts(values, "v").collect()} == {(0, 1), (1, 1), (3, 2), (4, 1), (13, 2)}
+    resp = spark.createDataFrame([(0, -1, 0.5), (0, 0, 0.5), (1, 0, 1e-12)], "id long, c long, r double")
+    assert abs(estep.entropy(resp).first()["entropy"] - math.log(0.5)) < 1e-12
+    found = files.in_memory_components(spark, [[1, 2], [3, 4]], [[5, 6], [7, 8]], [-1.0, -2.0]).orderBy("c").collect()
+    assert [tuple(r) for r in found] == [(0, 1.0, 2.0, 5.0, 6.0, -1.0), (1, 3.0, 4.0, 7.0, 8.0, -2.0)]
+    with pytest.raises(ValueError):
+        files.in_memory_components(spark, [[1, 2]], [[5, 6]], [])
