@@ -23,8 +23,10 @@ SHINGLE, PERCENT = 4, 80
 TOKENS, TREES = 64, 8
 #: A node of the trees with at most so many sets is compared exhaustively; a larger one branches by so many further tokens.
 SMALL, BRANCH = 16, 2
+#: In larger nodes a set is compared with so many centres at most.
+CENTRES = 2
 #: Trees branch so often below their roots at most; what is not apart by then is joined by a prefix filter, which is exact.
-DEPTH = 4
+DEPTH = 2
 #: Pairs with fewer equal tokens are not verified: two sets at 0.8 have 51 of 64 in expectation, and fewer than 32 with a probability below 1e-8.
 ALIKE = 32
 _FACTORS = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) | 1 for k in range(TOKENS)], np.uint64)
@@ -74,7 +76,7 @@ def _fits(a: str, b: str, percent: int) -> Column:
 def _compared(members: DataFrame, small: int, percent: int) -> DataFrame:
     """Pairs ``a, b`` of ``members(cell, node, n, root, size)`` of different roots: all of a small cell, and of a larger one each with its centre.
 
-    The centre is the set that is in most large cells, ties by hash: the likeliest origin of copies.
+    The centre is the set that is in most large cells, ties by hash: the likeliest origin of copies. A set of many cells is compared with the likeliest CENTRES of theirs.
     """
     few, many = members.where(F.col("size") <= small), members.where(F.col("size") > small)
     lists = few.groupBy("cell").agg(F.collect_list(F.struct("node", "n", "root")).alias("others"))
@@ -82,9 +84,12 @@ def _compared(members: DataFrame, small: int, percent: int) -> DataFrame:
     pairs = pairs.where((F.col("x.root") != F.col("y.root")) & _fits("x.n", "y.n", percent)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
     often = many.groupBy("node").agg(F.count("*").alias("often"))
     rank = F.struct("often", F.xxhash64("node"))
-    centre = many.join(often, "node").groupBy("cell").agg(F.max_by(F.struct("node", "n", "root"), rank).alias("x"))
+    centre = many.join(often, "node").groupBy("cell").agg(F.max_by(F.struct("node", "n", "root"), rank).alias("x"), (-F.max("often")).alias("order"))
     stars = many.join(written(centre, "centres"), "cell").where((F.col("root") != F.col("x.root")) & _fits("n", "x.n", percent))
-    stars = stars.select(F.least("node", "x.node").alias("a"), F.greatest("node", "x.node").alias("b"))
+    # a set of centres has TREES * BRANCH ** DEPTH members at most
+    stars = stars.groupBy("node").agg(F.collect_set(F.struct("order", F.xxhash64("x.node").alias("hash"), F.col("x.node").alias("x"))).alias("centres"))
+    stars = stars.select("node", F.explode(F.slice(F.sort_array("centres"), 1, CENTRES)["x"]).alias("x"))
+    stars = stars.select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b"))
     return pairs.union(stars).distinct()
 
 
