@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mixfield.llm.common import fresh, written
+from mixfield.llm.substrings import bitmap, others, thinned
 from mixfield.operators.storage import discard
 
 #: Runs of at least so many lines are removed where they are repeated.
@@ -155,7 +156,10 @@ def deduplicate(docs: DataFrame, min_lines: int = MIN_LINES, runs: bool = False)
     discard(places, prefixes)
     removed = found.select(F.col("doc_id").alias(at), F.col("text_hash").alias(text_hash), F.col("removed").alias(gone), *[F.col("longest").alias(longest)] * runs)
     rows = rows.withColumn(own, F.xxhash64("text", F.length("text")))
-    rows = rows.join(removed, F.col("doc_id").cast("long").eqNullSafe(F.col(at)) & (F.col(own) == F.col(text_hash)), "left")
+    # only texts that have something to remove, or to tell of, are shuffled
+    bits = bitmap(removed.select(text_hash))
+    joined = thinned(rows, own, bits).join(removed, F.col("doc_id").cast("long").eqNullSafe(F.col(at)) & (F.col(own) == F.col(text_hash)), "left")
+    rows = joined.unionByName(others(rows, own, bits), allowMissingColumns=True)
     n = F.when(F.col("text").isNull(), 0).otherwise(F.size(split_lines(F.col("text"))))
     left = F.sort_array(F.array_except(F.sequence(F.lit(0), n - 1), gone))
     # the lines are a variable of the outer lambda, so that a text is split once and not once for each line

@@ -127,10 +127,23 @@ def bitmap(values: DataFrame) -> DataFrame:
 def thinned(rows: DataFrame, column: str, bits: DataFrame) -> DataFrame:
     """The rows whose number in ``column`` may be in a ``bitmap``, without a shuffle: the bitmap has a bounded size."""
     names = rows.columns
+    return rows.join(F.broadcast(bits), _slot(column) == F.col("slot")).where(_bit(column) == 1).select(*names)
+
+
+def others(rows: DataFrame, column: str, bits: DataFrame) -> DataFrame:
+    """The rows that ``thinned`` leaves out."""
+    names = rows.columns
+    return rows.join(F.broadcast(bits), _slot(column) == F.col("slot"), "left").where(F.coalesce(_bit(column), F.lit(0)) == 0).select(*names)
+
+
+def _slot(column: str) -> Column:
+    return F.shiftright(F.col(column).bitwiseAND(F.lit(BITMAP - 1)), 12)
+
+
+def _bit(column: str) -> Column:
     low = F.col(column).bitwiseAND(F.lit(BITMAP - 1))
-    found = rows.join(F.broadcast(bits), F.shiftright(low, 12) == F.col("slot"))
     word = F.get("bits", F.shiftright(low, 6).bitwiseAND(F.lit(63)).cast("int"))
-    return found.where(F.call_function("shiftrightunsigned", word, low.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1).select(*names)
+    return F.call_function("shiftrightunsigned", word, low.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1))
 
 
 @contextmanager
