@@ -29,6 +29,8 @@ NEAR_SHINGLE, SIMILARITY = 5, 0.8
 PARTS = 24
 #: Texts with at least so many of them are compared only if they have two in common.
 MANY = 12
+#: In full cells a text is compared with so many centres at most; the prefix filter compares what is not linked by then.
+CENTRES = 3
 
 
 def shingle_hashes(text: bytes | None, size: int = SHINGLE, seed: int = SEED) -> np.ndarray:
@@ -250,12 +252,17 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int = NEAR_SHINGLE, simila
 
 
 def _centred(members: DataFrame) -> DataFrame:
-    """Pairs of each member of a cell and the one that is in most cells with others, ties by hash: the likeliest origin of copies."""
+    """Pairs of each member of a cell and the one that is in most cells with others, ties by hash: the likeliest origin of copies.
+
+    A member of many cells is paired with the likeliest CENTRES of theirs.
+    """
     often = members.groupBy("node").agg(F.count("*").alias("often"))
     rows = members.join(often, "node")
     rank = F.shiftleft("often", 44) + F.xxhash64("node").bitwiseAND(F.lit((1 << 44) - 1))
-    centre = written(rows.groupBy("cell").agg(F.max_by("node", rank).alias("a")), "centres")
-    return members.join(centre, "cell").select("a", F.col("node").alias("b"))
+    centre = written(rows.groupBy("cell").agg(F.max_by("node", rank).alias("a"), (-F.max(rank)).alias("order")), "centres")
+    # as many as a text has cells
+    found = members.join(centre, "cell").groupBy("node").agg(F.collect_set(F.struct("order", "a")).alias("centres"))
+    return found.select(F.explode(F.slice(F.sort_array("centres"), 1, CENTRES)["a"]).alias("a"), F.col("node").alias("b"))
 
 
 def apart(members: DataFrame, found: DataFrame) -> DataFrame:
