@@ -25,31 +25,36 @@ def positions(docs: DataFrame) -> DataFrame:
     """
     ids = F.transform(split_lines(F.col("text")), lambda x: F.struct(F.xxhash64(x).alias("h1"), F.xxhash64(F.lit(1), x).alias("h2")))
     thin = docs.where("text is not null").select(F.col("doc_id").cast("long"), F.xxhash64("text", F.length("text")).alias("text_hash"), ids.alias("lines"))
-    # Without texts this is small, and written once, since sorting by range reads its input twice.
-    thin = written(thin.dropDuplicates(["doc_id", "text_hash"]), "line-ids")
-    ordered = thin.repartitionByRange("doc_id", "text_hash").sortWithinPartitions("doc_id", "text_hash")
+    # Without texts this is small, and written once, since sorting by range reads its input twice. Only rows that may be repeated are shuffled to become one.
+    thin = written(thin, "line-ids")
+    repeated = thin.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1")
+    bits = written(bitmap(repeated.select("text_hash")), "repeated")
+    once = others(thin, "text_hash", bits).unionByName(thinned(thin, "text_hash", bits).dropDuplicates(["doc_id", "text_hash"]))
+    ordered = once.repartitionByRange("doc_id", "text_hash").sortWithinPartitions("doc_id", "text_hash")
     lines = ordered.select("doc_id", "text_hash", F.size("lines").alias("n"), F.posexplode("lines").alias("place", "line"))
     # partitions are ranges of documents in order, so these ids follow the order of documents and lines
     lines = lines.withColumn("pos", F.monotonically_increasing_id())
     lines = written(lines.select("doc_id", "text_hash", "place", "pos", (F.col("pos") - F.col("place") + F.col("n") - 1).alias("last"), "line.h1", "line.h2"), "lines")
-    discard(thin)
+    discard(thin, bits)
     return lines
 
 
-def _ranked(blocks: DataFrame, *key: str) -> DataFrame:
+def _ranked(blocks: DataFrame, *key: str, hashed: bool = False) -> DataFrame:
     """``pos, last, rank, first`` of the blocks that occur more than once.
 
     Ranks number the groups of equal blocks in the order of their keys, so suffixes are ordered by the ranks of what they begin with; ``first`` is
-    a group's first position. Only the groups are sorted, by ranges, and not their members.
+    a group's first position. Only the groups are sorted, by ranges, and not their members. With ``hashed``, for a key that begins with a hash, blocks
+    that occur once go before the members are shuffled to meet their groups.
     """
     groups = written(blocks.groupBy(*key).agg(F.min("pos").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "groups")
     # partitions are ranges of keys in order, so these ids follow the order of keys
     ordered = groups.repartitionByRange(*key).sortWithinPartitions(*key).withColumn("new", F.monotonically_increasing_id())
     # a table of its own, so that Spark can split the join with it where a block is very frequent
     ordered = written(ordered, "ranks")
-    discard(groups)
+    if hashed:
+        blocks = thinned(blocks, key[0], bitmap(groups.select(key[0])))
     found = written(blocks.select("pos", "last", *key).join(ordered, list(key)).select("pos", "last", F.col("new").alias("rank"), "first"), "suffixes")
-    discard(ordered)
+    discard(ordered, groups)
     return found
 
 
@@ -72,7 +77,7 @@ class Suffixes:
 
     def __init__(self, lines: DataFrame):
         self.prefixes: list[DataFrame] = []
-        self.levels = [_ranked(lines.select("pos", "last", "h1", "h2"), "h1", "h2")]
+        self.levels = [_ranked(lines.select("pos", "last", "h1", "h2"), "h1", "h2", hashed=True)]
 
     def level(self, j: int) -> DataFrame:
         while len(self.levels) <= j:
@@ -89,7 +94,7 @@ class Suffixes:
             self.level(len(self.levels))
 
     def common_prefixes(self) -> DataFrame:
-        """``pos, length, earlier`` of each suffix that begins with a repeated line: the longest prefix that it has in common with any other suffix, and with an earlier one.
+        """``pos, last, length, earlier`` of each suffix that begins with a repeated line: the longest prefix that it has in common with any other suffix, and with an earlier one.
 
         This is the depth of the deepest interval that the suffix is in, found from the highest level down: a suffix goes on by ``2 ** j`` lines if
         another one with the same prefix so far goes on in the same way. Of suffixes that have gone on together one stays behind as well, for
@@ -114,21 +119,29 @@ class Suffixes:
             discard(ahead, together, going, *[before] * (before is not start))
         self.prefixes = [found] * (found is not start)
         # the first suffix of an interval has rows of the wider intervals that it is in, too
-        return found.groupBy("pos").agg(F.max("length").alias("length"), F.max(F.when(F.col("first") < F.col("pos"), F.col("length"))).alias("earlier"))
+        return found.groupBy("pos", "last").agg(F.max("length").alias("length"), F.max(F.when(F.col("first") < F.col("pos"), F.col("length"))).alias("earlier"))
 
 
-def later_copies(prefixes: DataFrame, lines: DataFrame, min_lines: int) -> DataFrame:
+def later_copies(prefixes: DataFrame, lines: DataFrame, min_lines: int, runs: bool) -> DataFrame:
     """``doc_id, text_hash, removed``: the places of the lines that belong to a later copy of a run of lines, from ``Suffixes.common_prefixes``.
 
     A run is any ``min_lines`` or more lines in a row, also over blank lines; its first occurrence in order of doc_id and place stays. A suffix whose
     longest prefix in common with an earlier one has so many lines begins a later copy of a maximal run, unless that lies in the run of the suffix one line before: then it is one
     line shorter at most. Occurrences may overlap, so of a line repeated many times in a row the first one stays. Runs do not go over the end of a document.
+    With ``runs`` there is also ``longest``, and a row for each document with a suffix in ``prefixes``; ``removed`` may be empty then.
     """
-    copies = prefixes.where(F.col("earlier") >= min_lines).select("pos", "earlier")
+    copies = prefixes.where(F.col("earlier") >= min_lines).select("pos", "last", "earlier")
     before = copies.select((F.col("pos") + 1).alias("pos"), F.col("earlier").alias("before"))
     maximal = copies.join(before, "pos", "left").where("before is null or before <= earlier")
-    gone = maximal.select(F.explode(F.sequence(F.col("pos"), F.col("pos") + F.col("earlier") - 1)).alias("pos")).distinct()
-    return lines.select("doc_id", "text_hash", "place", "pos").join(gone, "pos").groupBy("doc_id", "text_hash").agg(F.collect_set("place").alias("removed"))
+    none = F.lit(None).cast("long")
+    marks = maximal.select("last", F.explode(F.sequence(F.col("pos"), F.col("pos") + F.col("earlier") - 1)).alias("pos"), none.alias("length"))
+    if runs:
+        marks = marks.unionByName(prefixes.select("last", none.alias("pos"), "length"))
+    # a document is known by the position of its last line, so its lines need not be joined; nulls are in no set
+    found = written(marks.groupBy("last").agg(F.collect_set("pos").alias("gone"), *[F.max("length").alias("longest")] * runs), "gone")
+    heads = thinned(lines.where("pos = last"), "last", bitmap(found.select("last"))).select("doc_id", "text_hash", "last", "place")
+    removed = F.transform("gone", lambda pos: (pos - F.col("last") + F.col("place")).cast("int"))
+    return heads.join(found, "last").select("doc_id", "text_hash", removed.alias("removed"), *["longest"] * runs)
 
 
 def deduplicate(docs: DataFrame, min_lines: int = MIN_LINES, runs: bool = False) -> DataFrame:
@@ -140,26 +153,19 @@ def deduplicate(docs: DataFrame, min_lines: int = MIN_LINES, runs: bool = False)
     text all of whose lines go becomes empty. Null doc_ids come first in the order of documents.
     """
     rows = docs.drop("kept", "n_lines", "n_removed", *["longest_run"] * runs)
-    at, text_hash, own, gone, longest = fresh(rows, "id", "text_hash", "own_hash", "removed", "longest")
+    at, text_hash, own, key, gone, longest = fresh(rows, "id", "text_hash", "own_hash", "key", "removed", "longest")
     places = positions(docs)
     suffixes = Suffixes(places)
     prefixes = written(suffixes.common_prefixes().where(F.col("length") >= min_lines), "runs")
     suffixes.close()
-    found = later_copies(prefixes, places, min_lines)
-    if runs:
-        depth = places.select("doc_id", "text_hash", "pos").join(prefixes, "pos").groupBy("doc_id", "text_hash").agg(F.max("length").alias("longest"))
-        one = lambda df, *more: df.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t"), *more)
-        none = F.lit(None)
-        both = one(found, "removed", none.cast("long").alias("longest")).unionByName(one(depth, none.cast("array<int>").alias("removed"), "longest"))
-        found = both.groupBy(F.col("d").alias("doc_id"), F.col("t").alias("text_hash")).agg(F.first("removed", True).alias("removed"), F.first("longest", True).alias("longest"))
-    found = written(found, "removed")
+    found = written(later_copies(prefixes, places, min_lines, runs), "removed")
     discard(places, prefixes)
     removed = found.select(F.col("doc_id").alias(at), F.col("text_hash").alias(text_hash), F.col("removed").alias(gone), *[F.col("longest").alias(longest)] * runs)
-    rows = rows.withColumn(own, F.xxhash64("text", F.length("text")))
-    # only texts that have something to remove, or to tell of, are shuffled
-    bits = bitmap(removed.select(text_hash))
-    joined = thinned(rows, own, bits).join(removed, F.col("doc_id").cast("long").eqNullSafe(F.col(at)) & (F.col(own) == F.col(text_hash)), "left")
-    rows = joined.unionByName(others(rows, own, bits), allowMissingColumns=True)
+    rows = rows.withColumn(own, F.xxhash64("text", F.length("text"))).withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), own))
+    # only documents that have something to remove, or to tell of, are shuffled
+    bits = bitmap(removed.select(F.xxhash64(at, text_hash)))
+    joined = thinned(rows, key, bits).join(removed, F.col("doc_id").cast("long").eqNullSafe(F.col(at)) & (F.col(own) == F.col(text_hash)), "left")
+    rows = joined.unionByName(others(rows, key, bits), allowMissingColumns=True)
     n = F.when(F.col("text").isNull(), 0).otherwise(F.size(split_lines(F.col("text"))))
     left = F.sort_array(F.array_except(F.sequence(F.lit(0), n - 1), gone))
     # the lines are a variable of the outer lambda, so that a text is split once and not once for each line
@@ -168,4 +174,4 @@ def deduplicate(docs: DataFrame, min_lines: int = MIN_LINES, runs: bool = False)
     rows = rows.withColumn("n_lines", n.cast("long")).withColumn("n_removed", F.coalesce(F.size(gone), F.lit(0)).cast("long"))
     if runs:
         rows = rows.withColumn("longest_run", F.coalesce(longest, F.lit(0)).cast("long")).drop(longest)
-    return rows.withColumn("kept", kept).drop(at, text_hash, own, gone)
+    return rows.withColumn("kept", kept).drop(at, text_hash, own, key, gone)
