@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -123,7 +125,7 @@ class Suffixes:
 
 
 def later_copies(prefixes: DataFrame, lines: DataFrame, min_lines: int, runs: bool) -> DataFrame:
-    """``doc_id, text_hash, removed``: the places of the lines that belong to a later copy of a run of lines, from ``Suffixes.common_prefixes``.
+    """``doc_id, text_hash, n, removed``: number of lines, and the places of the lines that belong to a later copy of a run of lines, from ``Suffixes.common_prefixes``.
 
     A run is any ``min_lines`` or more lines in a row, also over blank lines; its first occurrence in order of doc_id and place stays. A suffix whose
     longest prefix in common with an earlier one has so many lines begins a later copy of a maximal run, unless that lies in the run of the suffix one line before: then it is one
@@ -141,37 +143,57 @@ def later_copies(prefixes: DataFrame, lines: DataFrame, min_lines: int, runs: bo
     found = written(marks.groupBy("last").agg(F.collect_set("pos").alias("gone"), *[F.max("length").alias("longest")] * runs), "gone")
     heads = thinned(lines.where("pos = last"), "last", bitmap(found.select("last"))).select("doc_id", "text_hash", "last", "place")
     removed = F.transform("gone", lambda pos: (pos - F.col("last") + F.col("place")).cast("int"))
-    return heads.join(found, "last").select("doc_id", "text_hash", removed.alias("removed"), *["longest"] * runs)
+    return heads.join(found, "last").select("doc_id", "text_hash", (F.col("place") + 1).alias("n"), removed.alias("removed"), *["longest"] * runs)
+
+
+def _kept(text: Column, removed: Column) -> Column:
+    """The text without the lines at the places ``removed``."""
+    left = F.sort_array(F.array_except(F.sequence(F.lit(0), F.size(split_lines(text)) - 1), removed))
+    # the lines are a variable of the outer lambda, so that a text is split once and not once for each line
+    return F.transform(F.array(split_lines(text)), lambda lines: F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))[0]
 
 
-def deduplicate(docs: DataFrame, min_lines: int = MIN_LINES, runs: bool = False) -> DataFrame:
+def deduplicate(docs: DataFrame, min_lines: int = MIN_LINES, runs: bool = False, of: Callable[[Column], Column] | None = None) -> DataFrame:
     """``docs`` with ``kept`` (its text without the lines of ``later_copies``), ``n_lines`` and ``n_removed``.
 
     With ``runs`` there is also ``longest_run``: the number of lines of the longest maximal run in the document that occurs again, in it or anywhere, 0
     below ``min_lines``. All columns and rows of ``docs(doc_id, text, ...)`` stay; columns of the new names are replaced. A null text stays null and
     has 0 lines, an empty text has one empty line. Equal rows, by doc_id and text, are one document here and get equal results. A
     text all of whose lines go becomes empty. Null doc_ids come first in the order of documents.
+
+    With ``of``, a function of a text such as its digest, ``kept`` is this of the text that is kept, and there is no column ``text``. Then only texts
+    that lose a part of their lines are shuffled, and of the others what ``of`` makes of them.
     """
     rows = docs.drop("kept", "n_lines", "n_removed", *["longest_run"] * runs)
-    at, text_hash, own, key, gone, longest = fresh(rows, "id", "text_hash", "own_hash", "key", "removed", "longest")
+    at, text_hash, own, key, n, gone, longest, value = fresh(rows, "id", "text_hash", "own_hash", "key", "n", "removed", "longest", "value")
     places = positions(docs)
     suffixes = Suffixes(places)
     prefixes = written(suffixes.common_prefixes().where(F.col("length") >= min_lines), "runs")
     suffixes.close()
     found = written(later_copies(prefixes, places, min_lines, runs), "removed")
     discard(places, prefixes)
-    removed = found.select(F.col("doc_id").alias(at), F.col("text_hash").alias(text_hash), F.col("removed").alias(gone), *[F.col("longest").alias(longest)] * runs)
+    removed = found.select(F.col("doc_id").alias(at), F.col("text_hash").alias(text_hash), F.col("n").alias(n), F.col("removed").alias(gone), *[F.col("longest").alias(longest)] * runs)
     rows = rows.withColumn(own, F.xxhash64("text", F.length("text"))).withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), own))
+    rows = rows.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(split_lines(F.col("text")))).cast("long"))
+    bits_of = lambda some: bitmap(some.select(F.xxhash64(at, text_hash)))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(at)) & (F.col(own) == F.col(text_hash))
+    none = F.size(F.coalesce(F.col(gone), F.array())) == 0
+    if of:
+        part = removed.where(~none & (F.size(gone) < F.col(n))).select(at, text_hash, gone)
+        texts = thinned(rows.select("doc_id", "text", own, key), key, bits_of(part)).join(part, same)
+        texts = texts.select(at, text_hash, of(_kept(F.col("text"), F.col(gone))).alias(value)).dropDuplicates([at, text_hash])
+        texts = texts.select(F.col(at).alias("d"), F.col(text_hash).alias("t"), value)
+        removed = written(removed.join(texts, F.col(at).eqNullSafe(F.col("d")) & (F.col(text_hash) == F.col("t")), "left").drop("d", "t"), "removed")
+        discard(found)
+        rows = rows.withColumn("kept", of(F.col("text"))).drop("text")
+        kept = F.when(none, F.col("kept")).when(F.size(gone) == F.col(n), of(F.lit(""))).otherwise(F.col(value))
+    else:
+        kept = F.when(none, F.col("text")).otherwise(_kept(F.col("text"), F.col(gone)))
     # only documents that have something to remove, or to tell of, are shuffled
-    bits = bitmap(removed.select(F.xxhash64(at, text_hash)))
-    joined = thinned(rows, key, bits).join(removed, F.col("doc_id").cast("long").eqNullSafe(F.col(at)) & (F.col(own) == F.col(text_hash)), "left")
+    bits = bits_of(removed)
+    joined = thinned(rows, key, bits).join(removed, same, "left")
     rows = joined.unionByName(others(rows, key, bits), allowMissingColumns=True)
-    n = F.when(F.col("text").isNull(), 0).otherwise(F.size(split_lines(F.col("text"))))
-    left = F.sort_array(F.array_except(F.sequence(F.lit(0), n - 1), gone))
-    # the lines are a variable of the outer lambda, so that a text is split once and not once for each line
-    joined = F.transform(F.array(split_lines(F.col("text"))), lambda lines: F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))[0]
-    kept = F.when(F.col(gone).isNull(), F.col("text")).otherwise(joined)
-    rows = rows.withColumn("n_lines", n.cast("long")).withColumn("n_removed", F.coalesce(F.size(gone), F.lit(0)).cast("long"))
+    rows = rows.withColumn("n_removed", F.size(F.coalesce(F.col(gone), F.array())).cast("long")).withColumn("kept", kept)
     if runs:
-        rows = rows.withColumn("longest_run", F.coalesce(longest, F.lit(0)).cast("long")).drop(longest)
-    return rows.withColumn("kept", kept).drop(at, text_hash, own, key, gone)
+        rows = rows.withColumn("longest_run", F.coalesce(longest, F.lit(0)).cast("long"))
+    return rows.drop(at, text_hash, own, key, n, gone, longest, value)

@@ -64,8 +64,8 @@ GROUP BY d.doc_id
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = lines.deduplicate(table(spark, sf_dir, "documents"), runs=True)
-    return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"), "longest_run")
+    found = lines.deduplicate(table(spark, sf_dir, "documents"), runs=True, of=lambda kept: F.sha2(kept.cast("binary"), 256))
+    return found.select("doc_id", "n_lines", "n_removed", F.col("kept").alias("kept_sha256"), "longest_run")
 
 
 #: The same result from strings of three lines: with the first occurrence of each, and with stretches of equal ones of two places.
