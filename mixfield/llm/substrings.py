@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mixfield.llm.batches import slices
-from mixfield.llm.common import written
+from mixfield.llm.common import fresh, written
 from mixfield.operators.storage import discard, sorted_table
 
 #: A window has so many words.
@@ -126,23 +126,23 @@ def bitmap(values: DataFrame) -> DataFrame:
 
 def thinned(rows: DataFrame, column: str, bits: DataFrame) -> DataFrame:
     """The rows whose number in ``column`` may be in a ``bitmap``, without a shuffle: the bitmap has a bounded size."""
-    names = rows.columns
-    return rows.join(F.broadcast(bits), _slot(column) == F.col("slot")).where(_bit(column) == 1).select(*names)
+    names, (slot, words) = rows.columns, fresh(rows, "slot", "bits")
+    return rows.join(F.broadcast(bits.toDF(slot, words)), _slot(column) == F.col(slot)).where(_bit(column, words) == 1).select(*names)
 
 
 def others(rows: DataFrame, column: str, bits: DataFrame) -> DataFrame:
     """The rows that ``thinned`` leaves out."""
-    names = rows.columns
-    return rows.join(F.broadcast(bits), _slot(column) == F.col("slot"), "left").where(F.coalesce(_bit(column), F.lit(0)) == 0).select(*names)
+    names, (slot, words) = rows.columns, fresh(rows, "slot", "bits")
+    return rows.join(F.broadcast(bits.toDF(slot, words)), _slot(column) == F.col(slot), "left").where(F.coalesce(_bit(column, words), F.lit(0)) == 0).select(*names)
 
 
 def _slot(column: str) -> Column:
     return F.shiftright(F.col(column).bitwiseAND(F.lit(BITMAP - 1)), 12)
 
 
-def _bit(column: str) -> Column:
+def _bit(column: str, words: str) -> Column:
     low = F.col(column).bitwiseAND(F.lit(BITMAP - 1))
-    word = F.get("bits", F.shiftright(low, 6).bitwiseAND(F.lit(63)).cast("int"))
+    word = F.get(words, F.shiftright(low, 6).bitwiseAND(F.lit(63)).cast("int"))
     return F.call_function("shiftrightunsigned", word, low.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1))
 
 

@@ -122,6 +122,19 @@ def test_lines(docs, nothing):
     assert lines.deduplicate(nothing).count() == 0
 
 
+def test_lines_by_digest(docs, nothing):
+    """What ``of`` gives of the kept texts is what it gives of those that come out without it, for repeated rows and clashing names too."""
+    clash = docs.withColumns({c: F.lit(c) for c in ("slot", "bits", "key", "n", "value", "removed", "n_lines")})
+    digest = lambda text: F.sha2(text.cast("binary"), 256)
+    numbers = ["doc_id", "n_lines", "n_removed", "longest_run"]
+    want = lines.deduplicate(clash, runs=True).select(*numbers, digest(F.col("kept")).alias("kept"))
+    found = lines.deduplicate(clash, runs=True, of=digest)
+    assert set(found.columns) == (set(clash.columns) - {"text"}) | {"kept", "n_removed", "longest_run"}
+    assert {r.slot + r.bits + r.key + r.n + r.value + r.removed for r in found.collect()} == {"slotbitskeynvalueremoved"}
+    assert Counter(map(tuple, found.select(*numbers, "kept").collect())) == Counter(map(tuple, want.collect()))
+    assert lines.deduplicate(nothing, of=digest).count() == 0
+
+
 def test_language(docs, nothing):
     profiles = language.fit(language.training_rows(docs))
     found = language.identify(docs, profiles).collect()
