@@ -1,4 +1,4 @@
-"""Approximate nearest neighbours by additive quantisation, with exact reranking."""
+"""Nearest neighbours by additive quantisation, with exact reranking and a check that no vector left out may be nearer."""
 
 from __future__ import annotations
 
@@ -141,7 +141,7 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 
 def build(nodes: DataFrame, books: int = BOOKS, words: int = WORDS, sample: int = FIT_VECTORS) -> tuple[Codebooks, DataFrame]:
-    """Codebooks, and the index ``h1, h2, cell, codes, norm, length, error`` of all ``nodes(h1, h2, embedding)``, of which there is one at least."""
+    """Codebooks, and the index ``h1, h2, cell, codes, norm, length, error, away`` of all ``nodes(h1, h2, embedding)``, of which there is one at least; ``away`` is the distance from the cell's centre."""
     n = nodes.count()
     # at most ``sample`` vectors reach the driver
     fitted = np.stack(smallest(nodes.select("h1", "h2", "embedding"), sample, "h1", "h2").toPandas()["embedding"].to_numpy())
@@ -160,39 +160,46 @@ def build(nodes: DataFrame, books: int = BOOKS, words: int = WORDS, sample: int
                 unit, length = directions(x)
                 codes, norms = shared.value.encode(unit)
                 error = np.sqrt(((x.astype(np.float64) - length[:, None] * shared.value.decode(codes)) ** 2).sum(axis=1))
-                yield pd.DataFrame({"h1": rows["h1"], "h2": rows["h2"], "cell": shared.value.near_cells(x).argmin(axis=1), "codes": [c.tobytes() for c in codes], "norm": (norms * length**2).astype(np.float32), "length": length, "error": error})
+                cell = shared.value.near_cells(x).argmin(axis=1)
+                away = np.sqrt(((x.astype(np.float64) - shared.value.cells[cell]) ** 2).sum(axis=1))
+                yield pd.DataFrame({"h1": rows["h1"], "h2": rows["h2"], "cell": cell, "codes": [c.tobytes() for c in codes], "norm": (norms * length**2).astype(np.float32), "length": length, "error": error, "away": away})
 
-    return coder, written(nodes.select("h1", "h2", "embedding").mapInPandas(run, "h1 long, h2 long, cell int, codes binary, norm float, length float, error double"), "codes")
+    return coder, written(nodes.select("h1", "h2", "embedding").mapInPandas(run, "h1 long, h2 long, cell int, codes binary, norm float, length float, error double, away double"), "codes")
 
 
-def probes(asked: DataFrame, coder: Codebooks, sizes: np.ndarray) -> DataFrame:
-    """``q1, q2, vector, cell, reach`` for each cell that a query of ``asked(h1, h2, embedding, reach)`` visits: the nearest ones, or all if ``reach`` is not null."""
-    shared = asked.sparkSession.sparkContext.broadcast((coder, sizes))
+def probes(asked: DataFrame, coder: Codebooks, sizes: np.ndarray, widths: np.ndarray | None = None) -> DataFrame:
+    """``q1, q2, vector, cell, reach`` for each cell that a query of ``asked(h1, h2, embedding, reach)`` visits: the nearest ones, with the query as ``coder`` takes it.
+
+    With ``widths``, the distances of the cells' farthest vectors from their centres: all cells that may have a vector within ``reach``, with the query's own vector in double precision.
+    """
+    shared = asked.sparkSession.sparkContext.broadcast((coder, sizes, widths))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, n = shared.value
+        own, n, widths = shared.value
         for part in parts:
             for a in range(0, len(part), 256):
                 rows = part.iloc[a : a + 256]
-                x = own.centred(np.stack(rows["embedding"].to_numpy()))
-                order = np.argsort(own.near_cells(x), axis=1, kind="stable")
-                seen = np.cumsum(n[order], axis=1) - n[order]
-                reach = rows["reach"].to_numpy(np.float64, na_value=np.nan)
-                at, place = np.nonzero(((seen < own.share * n.sum()) | ~np.isnan(reach)[:, None]) & (n[order] > 0))
-                vectors = np.array([v.tobytes() for v in x], object)
-                yield pd.DataFrame({"q1": rows["h1"].to_numpy()[at], "q2": rows["h2"].to_numpy()[at], "vector": vectors[at], "cell": order[at, place], "reach": reach[at]})
+                vectors = np.stack(rows["embedding"].to_numpy()).astype(np.float64)
+                x, reach = own.centred(vectors), rows["reach"].to_numpy(np.float64, na_value=np.nan)
+                if widths is None:
+                    order = np.argsort(own.near_cells(x), axis=1, kind="stable")
+                    seen = np.cumsum(n[order], axis=1) - n[order]
+                    at, place = np.nonzero((seen < own.share * n.sum()) & (n[order] > 0))
+                    cell, vectors = order[at, place], x
+                else:
+                    y, cells = x.astype(np.float64), own.cells.astype(np.float64)
+                    lengths, there = (y**2).sum(axis=1)[:, None], (cells**2).sum(axis=1)
+                    # rounding of single precision is allowed for; what is not a number is visited
+                    least = np.sqrt(np.maximum(lengths + there - 2 * y @ cells.T, 0)) - widths - 1e-5 * (np.sqrt(lengths) + np.sqrt(there) + widths)
+                    at, cell = np.nonzero(~(least > reach[:, None]) & (n > 0))
+                vectors = np.array([v.tobytes() for v in vectors], object)
+                yield pd.DataFrame({"q1": rows["h1"].to_numpy()[at], "q2": rows["h2"].to_numpy()[at], "vector": vectors[at], "cell": cell, "reach": reach[at]})
 
     return asked.select("h1", "h2", "embedding", "reach").mapInPandas(run, "q1 long, q2 long, vector binary, cell int, reach double")
 
 
-def shortlists(visits: DataFrame, index: DataFrame, coder: Codebooks, sizes: np.ndarray, shortlist: int | None) -> DataFrame:
-    """``q1, q2, h1, h2``: for each query the ``shortlist`` vectors that are nearest by the lookup tables, of LOCAL from each block of its cells.
-
-    Without a ``shortlist``, all vectors that may be as near as the query's ``reach``: those whose distance by the tables, less the error of their own code,
-    is not above it.
-
-    A cell's vectors and queries meet in blocks of bounded size, so a full cell is shared out among tasks.
-    """
+def _met(visits: DataFrame, index: DataFrame, sizes: np.ndarray, *columns: str) -> tuple[DataFrame, DataFrame]:
+    """The queries of ``visits`` and the rows of ``index`` with ``columns``, both with ``cell, block, group``: a cell's vectors and queries meet in blocks of bounded size, so a full cell is shared out among tasks."""
     spark = visits.sparkSession
     asked = {r["cell"]: r["n"] for r in visits.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # CELLS rows at most
     plan = spark.createDataFrame([(c, -(-int(sizes[c]) // BLOCK), -(-n // QUERIES)) for c, n in asked.items()], "cell int, blocks int, groups int")
@@ -200,8 +207,14 @@ def shortlists(visits: DataFrame, index: DataFrame, coder: Codebooks, sizes: np.
     place = lambda n, *key: F.pmod(F.xxhash64(*key), F.col(n)).cast("int")
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = visits.join(plan, "cell").select("cell", all_of("blocks").alias("block"), place("groups", "q1", "q2").alias("group"), "q1", "q2", "vector", "reach")
-    right = index.join(plan, "cell").select("cell", place("blocks", "h1", "h2").alias("block"), all_of("groups").alias("group"), "h1", "h2", "codes", "norm", "length", "error")
-    shared = spark.sparkContext.broadcast(coder)
+    right = index.join(plan, "cell").select("cell", place("blocks", "h1", "h2").alias("block"), all_of("groups").alias("group"), "h1", "h2", "codes", "norm", "length", *columns)
+    return left, right
+
+
+def shortlists(visits: DataFrame, index: DataFrame, coder: Codebooks, sizes: np.ndarray, shortlist: int) -> DataFrame:
+    """``q1, q2, h1, h2``: for each query the ``shortlist`` vectors that are nearest by the lookup tables, of LOCAL from each block of its cells."""
+    left, right = _met(visits, index, sizes)
+    shared = visits.sparkSession.sparkContext.broadcast(coder)
 
     def run(asked: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -213,20 +226,82 @@ def shortlists(visits: DataFrame, index: DataFrame, coder: Codebooks, sizes: np.
             for a in range(0, len(asked), 64):
                 scores = shared.value.scores(q[a : a + 64], codes, norms, lengths)
                 own = asked.iloc[a : a + 64]
-                if shortlist is None:
-                    squares = (q[a : a + 64].astype(np.float64) ** 2).sum(axis=1)[:, None]
-                    # rounding of single precision is allowed for
-                    least = np.sqrt(np.maximum(scores + squares, 0)) - there["error"].to_numpy() - 1e-3 * np.sqrt(norms + squares)
-                    at, best = np.nonzero(least <= own["reach"].to_numpy()[:, None])
-                    out.append(pd.DataFrame({"q1": own["q1"].to_numpy()[at], "q2": own["q2"].to_numpy()[at], "h1": h1[best], "h2": h2[best], "near": 0.0}))
-                    continue
                 best = np.argpartition(scores, keep - 1, axis=1)[:, :keep]
                 out.append(pd.DataFrame({"q1": np.repeat(own["q1"].to_numpy(), keep), "q2": np.repeat(own["q2"].to_numpy(), keep), "h1": h1[best].ravel(), "h2": h2[best].ravel(), "near": np.take_along_axis(scores, best, axis=1).ravel()}))
         return pd.concat(out) if out else pd.DataFrame({"q1": [], "q2": [], "h1": [], "h2": [], "near": []}).astype({"q1": "int64", "q2": "int64", "h1": "int64", "h2": "int64"})
 
     keys = ["cell", "block", "group"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, "q1 long, q2 long, h1 long, h2 long, near double")
-    return found.drop("near") if shortlist is None else _first(found, ["q1", "q2"], [F.col("near"), F.col("h1"), F.col("h2")], shortlist).drop("near")
+    return _first(found, ["q1", "q2"], [F.col("near"), F.col("h1"), F.col("h2")], shortlist).drop("near")
+
+
+def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of the rows of ``x`` and ``y``, in double precision, with squares added one by one as in ``_reranked``, so that ties are the same there."""
+    total = np.zeros(len(x))
+    for j in range(x.shape[1]):
+        total += (x[:, j] - y[:, j]) ** 2
+    return np.sqrt(total)
+
+
+def still_near(visits: DataFrame, index: DataFrame, coder: Codebooks, sizes: np.ndarray, k: int) -> DataFrame:
+    """``q1, q2, h1, h2``: all vectors that may be among a query's ``k`` nearest, ``k + 1`` of each block of the cells that it visits at most.
+
+    ``index`` has ``embedding``, ``vec_id`` and ``row`` of a node's first row, ``visits`` the queries' own vectors. A vector is skipped if its distance by the tables, less the error of its code,
+    is above the query's ``reach``. Of the others the nearest by exact distance stay, ties by ``vec_id`` (null last) and ``row``: since each node has a row, what is behind ``k + 1`` nodes is behind
+    as many rows.
+    """
+    left, right = _met(visits, index, sizes, "error", "embedding", "vec_id", "row")
+    shared = visits.sparkSession.sparkContext.broadcast(coder)
+    columns = ["q1", "q2", "h1", "h2"]
+
+    def run(asked: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
+        out = [np.zeros((0, 4), np.int64)]
+        if len(asked) and len(there):
+            codes = np.frombuffer(b"".join(there["codes"]), np.uint8).reshape(len(there), -1)
+            norms, lengths, errors, hashes = there["norm"].to_numpy(), there["length"].to_numpy(), there["error"].to_numpy(), there[["h1", "h2"]].to_numpy()
+            # places in the order of ties
+            order = np.empty(len(there), np.int64)
+            order[there.assign(_none=there["vec_id"].isna()).reset_index(drop=True).sort_values(["_none", "vec_id", "row"]).index.to_numpy()] = np.arange(len(there))
+            vectors = np.stack(there["embedding"].to_numpy()).astype(np.float64)
+            own = np.frombuffer(b"".join(asked["vector"]), np.float64).reshape(len(asked), -1)
+            # what all vectors have in common is taken away, so that products lose less
+            mean = np.asarray(shared.value.mean, np.float64)
+            centred = vectors - mean
+            squares = (centred**2).sum(axis=1)
+            for a in range(0, len(asked), 64):
+                rows = asked.iloc[a : a + 64]
+                reach = rows["reach"].to_numpy(np.float64)
+                exact = own[a : a + 64]
+                part = shared.value.centred(exact)
+                length = (part.astype(np.float64) ** 2).sum(axis=1)[:, None]
+                scores = shared.value.scores(part, codes, norms, lengths)
+                # rounding of single precision is allowed for; what is not a number stays
+                least = np.sqrt(np.maximum(scores + length, 0)) - errors - 1e-3 * np.sqrt(norms + length)
+                may = ~(least > reach[:, None])
+                if not may.any():
+                    continue
+                near = np.flatnonzero(may.any(axis=0))
+                y = exact - mean
+                length = (y**2).sum(axis=1)[:, None]
+                d2 = length + squares[near] - 2 * y @ centred[near].T
+                slack = 1e-12 * (length + squares[near])
+                d2[~may[:, near]] = np.inf
+                keep = min(k, len(near) - 1)
+                bound = np.minimum(np.partition(d2 + slack, keep, axis=1)[:, keep] if len(near) > k else np.inf, reach**2 * (1 + 1e-9))
+                at, place = np.nonzero(may[:, near] & ~(d2 - slack > bound[:, None]))
+                place = near[place]
+                score = np.concatenate([distances(exact[at[i : i + BLOCK]], vectors[place[i : i + BLOCK]]) for i in range(0, len(at), BLOCK)] or [np.zeros(0)])
+                inside = ~(score > reach[at])
+                at, place, score = at[inside], place[inside], score[inside]
+                first = np.lexsort((order[place], score, at))
+                at, place = at[first], place[first]
+                starts = np.searchsorted(at, np.arange(len(rows)))
+                best = np.arange(len(at)) - starts[at] <= k
+                out.append(np.concatenate([rows[["q1", "q2"]].to_numpy()[at[best]], hashes[place[best]]], axis=1))
+        return pd.DataFrame(np.concatenate(out), columns=columns)
+
+    keys = ["cell", "block", "group"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, "q1 long, q2 long, h1 long, h2 long")
 
 
 def _first(rows: DataFrame, by: list[str], order: list[Column], n: int) -> DataFrame:
@@ -234,15 +309,16 @@ def _first(rows: DataFrame, by: list[str], order: list[Column], n: int) -> DataF
     return rows.withColumn("_place", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_place") <= n).drop("_place")
 
 
-def search(vectors: DataFrame, every: int = 100, k: int = 10, shortlist: int = SHORTLIST, exact: bool = False) -> DataFrame:
-    """``query_id, rank, vec_id, score``: the ``k`` nearest found of each usable vector whose vec_id is divisible by ``every``.
+def search(vectors: DataFrame, every: int = 100, k: int = 10, shortlist: int = SHORTLIST, exact: bool = True) -> DataFrame:
+    """``query_id, rank, vec_id, score``: the ``k`` nearest of each usable vector whose vec_id is divisible by ``every``.
 
     Every other usable row of the same dimension is a candidate (see ``usable``), also one with the query's vec_id, or without any; each dimension has an
     index of its own. Equal vectors are one node, so copies of a vector are searched and found once. Each node belongs to the cell of the nearest
     centre; a query visits the nearest cells, with their codes only, until they have the share of all nodes that ``share_needed`` finds in the sample. All
     nodes of these are scored by lookup tables, the best ``shortlist`` are fetched and reranked by the exact Euclidean distance of the original vectors in double
-    precision; ties go to the smaller vec_id, null last. With ``exact``, what was found only bounds the distance of the ``k``-th: all codes are scored, and every vector whose
-    code and error allow a smaller distance is reranked as well, so the result is that of a full search. With fewer than ``k`` candidates all are returned, and without candidates or queries there are no rows.
+    precision; ties go to the smaller vec_id, null last. What was found then bounds the distance of the ``k``-th: every cell that may have a nearer vector is visited, and every vector in it whose
+    code and error allow a smaller distance is compared as well, so the result is that of a full search, whatever the vectors. Without ``exact`` that is left out: how many of the nearest are found then depends on
+    how well codes tell them apart. With fewer than ``k`` candidates all are returned, and without candidates or queries there are no rows.
     """
     rows = written(usable(vectors), "vectors")
     out = vectors.sparkSession.createDataFrame([], RESULT)
@@ -253,13 +329,14 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, shortlist: int = S
 
 
 def _search(rows: DataFrame, every: int, k: int, shortlist: int, exact: bool) -> DataFrame:
-    nodes = written(rows.groupBy("h1", "h2").agg(F.first("embedding").alias("embedding")), "nodes")
+    first = F.min_by(F.struct("vec_id", "row"), F.struct(F.col("vec_id").isNull(), "vec_id", "row"))
+    nodes = written(rows.groupBy("h1", "h2").agg(F.first("embedding").alias("embedding"), first.alias("first")).select("h1", "h2", "embedding", "first.*"), "nodes")
     coder, index = build(nodes)
-    sizes = np.zeros(len(coder.cells), np.int64)
-    for r in index.groupBy("cell").agg(F.count("*").alias("n")).collect():  # CELLS rows at most
-        sizes[r["cell"]] = r["n"]
+    sizes, widths = np.zeros(len(coder.cells), np.int64), np.zeros(len(coder.cells))
+    for r in index.groupBy("cell").agg(F.count("*").alias("n"), F.max("away").alias("width")).collect():  # CELLS rows at most
+        sizes[r["cell"]], widths[r["cell"]] = r["n"], r["width"]
     queries = rows.where(F.col("vec_id") % every == 0).select("row", F.col("vec_id").alias("query_id"), "h1", "h2")
-    asked = nodes.join(queries.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi")
+    asked = nodes.select("h1", "h2", "embedding").join(queries.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi")
     asked = asked.withColumn("reach", F.lit(None).cast("double"))
     visits = written(probes(asked, coder, sizes), "visits")
     found = written(shortlists(visits, index, coder, sizes, shortlist), "shortlists")
@@ -269,8 +346,9 @@ def _search(rows: DataFrame, every: int, k: int, shortlist: int, exact: bool) ->
     # the distance of the k-th row bounds those that may still come; with fewer found there is no bound
     reach = result.groupBy("row").agg(F.when(F.count("*") >= k, F.max("score")).otherwise(float("inf")).alias("far"))
     reach = queries.join(reach, "row", "left").groupBy("h1", "h2").agg(F.max(F.coalesce("far", F.lit(float("inf")))).alias("reach"))
-    visits = written(probes(asked.drop("reach").join(reach, ["h1", "h2"]), coder, sizes), "visits")
-    return _reranked(written(shortlists(visits, index, coder, sizes, None), "shortlists"), nodes, rows, queries, k)
+    visits = written(probes(asked.drop("reach").join(reach, ["h1", "h2"]), coder, sizes, widths), "visits")
+    near = still_near(visits, index.join(nodes, ["h1", "h2"]), coder, sizes, k)
+    return _reranked(written(near, "near"), nodes, rows, queries, k)
 
 
 def _reranked(found: DataFrame, nodes: DataFrame, rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:

@@ -502,6 +502,25 @@ def test_exact_search_finds_all(spark):
         assert np.allclose(group["score"], np.sort(away)[:10])
 
 
+@pytest.mark.parametrize("kind", ["tight", "ties", "one"])
+def test_search_misses_none_where_codes_tell_little(spark, kind):
+    """Groups whose vectors differ by far less than the groups do, many equal distances, and a vector far from all: codes hardly tell the nearest from others there."""
+    rng = np.random.default_rng(23)
+    if kind == "tight":
+        x = 100 * rng.standard_normal((3, 32))[rng.integers(0, 3, 9000)] + 0.001 * rng.standard_normal((9000, 32))
+    elif kind == "ties":
+        x = rng.integers(-1, 2, (9000, 9)) + 5.0
+    else:
+        x = np.concatenate([rng.standard_normal((2999, 8)), np.full((1, 8), 1e20)])
+    frame = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>").repartition(4)
+    found = vectors.search(frame).toPandas().sort_values(["query_id", "rank"])
+    assert len(found) == len(x) // 10
+    for q, group in found.groupby("query_id"):
+        away = np.sqrt(np.add.accumulate((x - x[q]) ** 2, axis=1)[:, -1])
+        away[q] = np.inf
+        assert group["vec_id"].tolist() == np.lexsort((np.arange(len(x)), away))[:10].tolist()
+
+
 def test_work_follows_the_sample(spark):
     """Vectors in clear groups need few cells, those of all directions most."""
     needed = {}
