@@ -7,6 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -220,86 +221,133 @@ def forward_backward(evidence: np.ndarray, start: np.ndarray, moves: np.ndarray)
     return marginals, pairs, float(np.log(scale).sum() + top.sum())
 
 
-#: A chain is cut into blocks of so many steps; a block is one group.
+#: A chain is cut into blocks of so many steps.
 CHAIN_BLOCK = 4096
 
 
-def _block_product(evidence: np.ndarray, moves: np.ndarray, opens: bool) -> tuple[np.ndarray, float]:
-    """The product of the steps of a block as one matrix of largest entry 1, and the log of its scale; the first step of a chain has no move before it."""
-    top = evidence.max(axis=1)
-    soft = np.exp(evidence - top[:, None])
-    product, scale = np.eye(len(moves)), float(top.sum())
-    for t, s in enumerate(soft):
-        product = product * s if opens and t == 0 else (product @ moves) * s
-        most = product.max()
-        product, scale = product / most, scale + math.log(most)
+#: Steps that a task smooths together, as blocks side by side.
+STEPS_AT_ONCE = 1 << 18
+
+
+def _side_by_side(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For rows in order, of which those of a sequence have the same ``key``: the starts of sequences and their lengths, longest first, and for each place in them how many are longer."""
+    starts = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(axis=1))) if len(key) else np.zeros(0, np.int64)
+    lengths = np.diff(np.append(starts, len(key)))
+    order = np.argsort(-lengths, kind="stable")
+    return starts[order], lengths[order], np.searchsorted(-lengths[order], -np.arange(lengths.max(initial=0)))
+
+
+def _block_products(soft: np.ndarray, starts: np.ndarray, longer: np.ndarray, moves: np.ndarray, opens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each block the product of its steps as a matrix of largest entry 1, and the log of its scale; the first step of a chain has no move before it."""
+    product, scale = np.tile(np.eye(len(moves)), (len(starts), 1, 1)), np.zeros(len(starts))
+    for t, m in enumerate(longer.tolist()):
+        now = product[:m] @ moves
+        if t == 0:
+            now[opens] = product[opens]
+        now = now * soft[starts[:m] + t][:, None, :]
+        most = now.max(axis=(1, 2))
+        product[:m] = now / most[:, None, None]
+        scale[:m] += np.log(most)
     return product, scale
 
 
-def _scan(products: list[np.ndarray], scales: list[float], start: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray], float]:
-    """For each block of a chain what comes before it and what follows, up to a factor, and the log evidence of the chain."""
-    ahead, before, log_evidence = start, [], sum(scales)
-    for m in products:
-        before.append(ahead)
-        ahead = ahead @ m
-        log_evidence += math.log(ahead.sum())
-        ahead = ahead / ahead.sum()
-    back, after = np.ones(len(start)), []
-    for m in reversed(products):
-        after.append(back)
-        back = m @ back
-        back = back / back.max()
-    return before, after[::-1], log_evidence
+def _scans(products: np.ndarray, starts: np.ndarray, longer: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each block what comes before it in its chain and what follows, up to a factor, and for each chain the log of what the factors are."""
+    before, after = np.empty(products.shape[:2]), np.empty(products.shape[:2])
+    ahead, back, evidence = np.tile(start, (len(starts), 1)), np.ones((len(starts), len(start))), np.zeros(len(starts))
+    for t, m in enumerate(longer.tolist()):
+        at = starts[:m] + t
+        before[at] = ahead[:m]
+        now = (ahead[:m, None, :] @ products[at])[:, 0]
+        total = now.sum(axis=1)
+        ahead[:m] = now / total[:, None]
+        evidence[:m] += np.log(total)
+    for t, m in reversed(list(enumerate(longer.tolist()))):
+        at = starts[:m] + t
+        after[at] = back[:m]
+        now = (products[at] @ back[:m, :, None])[:, :, 0]
+        back[:m] = now / now.max(axis=1)[:, None]
+    return before, after, evidence
+
+
+def _values(rows: pa.Table, name: str) -> np.ndarray:
+    """A column of lists of the same length, a row for each."""
+    return rows.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
+
+
+def _lists(values: np.ndarray) -> pa.Array:
+    values = values.reshape(len(values), -1)
+    return pa.ListArray.from_arrays(np.arange(len(values) + 1, dtype=np.int32) * values.shape[1], values.ravel())
 
 
 def smooth(sequences: DataFrame, start: list[float], moves: list[list[float]], block: int = CHAIN_BLOCK) -> DataFrame:
     """``seq, t, p, log_evidence`` for ``sequences(seq, t, logp array<double>)``: the marginals of each chain, however long it is.
 
     The steps of a block of ``block`` places are multiplied to one matrix, which is associative: so blocks run side by side, and a chain's recursion goes over its blocks' matrices, forward and
-    backward. Then each block is smoothed by itself from what comes before it and what follows. Of a chain only these matrices meet in a task. Steps are in order of ``t``; no step is left out where
-    ``t`` has gaps. A ``t`` that occurs twice in a chain is two steps in no fixed order.
+    backward. Then each block is smoothed by itself from what comes before it and what follows. Of a chain only these matrices meet in a task. A task takes a step of many blocks at once, so short
+    chains are no groups of their own. Steps are in order of ``t``; no step is left out where ``t`` has gaps. A ``t`` that occurs twice in a chain is two steps in no fixed order.
     """
     first, step = np.array(start, float), np.array(moves, float)
     kinds = dict(sequences.dtypes)
     seq, t = kinds["seq"], kinds["t"]
     # places within chains, by ranges
     rows = written(numbered(sequences.select("seq", "t", "logp"), "_at", "seq", "t"), "steps")
+    groups = rows.count() // STEPS_AT_ONCE + 1
     begins = rows.groupBy("seq").agg(F.min("_at").alias("_begin"))
     rows = rows.join(begins, "seq").withColumn("_block", F.expr(f"(_at - _begin) div {block}"))
-
-    def multiply(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("_at")
-        number = int(part["_block"].iloc[0])
-        product, scale = _block_product(np.stack(part["logp"].to_numpy()), step, number == 0)
-        return pd.DataFrame({"seq": part["seq"].iloc[:1], "_block": [number], "product": [product.ravel().tolist()], "scale": [scale]})
-
-    def scan(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("_block")
-        k = len(first)
-        before, after, evidence = _scan([np.array(m).reshape(k, k) for m in part["product"]], part["scale"].tolist(), first)
-        return pd.DataFrame({"seq": part["seq"], "_block": part["_block"], "before": [x.tolist() for x in before], "after": [x.tolist() for x in after], "log_evidence": evidence})
-
-    def within(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("_at")
-        p = _smoothed(np.stack(part["logp"].to_numpy()), np.array(part["before"].iloc[0]), np.array(part["after"].iloc[0]), step, part["_block"].iloc[0] == 0)
-        return pd.DataFrame({"seq": part["seq"], "t": part["t"], "p": list(p), "log_evidence": part["log_evidence"]})
-
-    products = rows.groupBy("seq", "_block").applyInPandas(multiply, f"seq {seq}, _block long, product array<double>, scale double")
-    ends = written(products.groupBy("seq").applyInPandas(scan, f"seq {seq}, _block long, before array<double>, after array<double>, log_evidence double"), "ends")
-    return rows.join(ends, ["seq", "_block"]).groupBy("seq", "_block").applyInPandas(within, f"seq {seq}, t {t}, p array<double>, log_evidence double")
-
-
-def _smoothed(evidence: np.ndarray, before: np.ndarray, after: np.ndarray, moves: np.ndarray, opens: bool) -> np.ndarray:
-    """The marginals of a block's steps."""
-    soft = np.exp(evidence - evidence.max(axis=1)[:, None])
-    ahead = np.empty(soft.shape)
-    for t, s in enumerate(soft):
-        now = (before if opens and t == 0 else before @ moves) * s
-        ahead[t] = before = now / now.sum()
-    out, back = np.empty(soft.shape), after
-    for t in range(len(soft) - 1, -1, -1):
-        both = ahead[t] * back
-        out[t] = both / both.sum()
-        back = moves @ (soft[t] * back)
-        back = back / back.max()
+    rows = rows.withColumn("_group", F.pmod(F.xxhash64("_begin", "_block"), F.lit(groups)))
+
+    def blocks(part: pa.Table) -> tuple:
+        part = part.sort_by("_at")
+        return part, *_side_by_side(np.stack([part.column(n).to_numpy() for n in ("_begin", "_block")], axis=1))
+
+    def multiply(part: pa.Table) -> pa.Table:
+        part, starts, _, longer = blocks(part)
+        evidence = _values(part, "logp")
+        top = evidence.max(axis=1)
+        number = part.column("_block").to_numpy()[starts]
+        product, scale = _block_products(np.exp(evidence - top[:, None]), starts, longer, step, np.flatnonzero(number == 0))
+        whole = np.append(0.0, np.cumsum(top))
+        ends = np.append(np.sort(starts), len(part))[np.searchsorted(np.sort(starts), starts) + 1]
+        return pa.table([pa.array(part.column("_begin").to_numpy()[starts]), pa.array(number), _lists(product), pa.array(scale + whole[ends] - whole[starts])], ["_begin", "_block", "product", "scale"])
+
+    def scan(part: pa.Table) -> pa.Table:
+        part = part.sort_by([("_begin", "ascending"), ("_block", "ascending")])
+        starts, lengths, longer = _side_by_side(part.column("_begin").to_numpy()[:, None])
+        before, after, evidence = _scans(_values(part, "product").reshape(-1, len(first), len(first)), starts, longer, first)
+        own = np.empty(len(part), np.int64)
+        own[np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths) + np.repeat(starts, lengths)] = np.repeat(np.arange(len(starts)), lengths)
+        evidence = evidence + np.bincount(own, part.column("scale").to_numpy(), len(starts))
+        return pa.table([part.column("_begin"), part.column("_block"), _lists(before), _lists(after), pa.array(evidence[own])], ["_begin", "_block", "before", "after", "log_evidence"])
+
+    def within(part: pa.Table) -> pa.Table:
+        part, starts, _, longer = blocks(part)
+        evidence = _values(part, "logp")
+        soft = np.exp(evidence - evidence.max(axis=1)[:, None])
+        p = _smoothed(soft, starts, longer, _values(part, "before")[starts], _values(part, "after")[starts], step, np.flatnonzero(part.column("_block").to_numpy()[starts] == 0))
+        return pa.table([part.column("seq"), part.column("t"), _lists(p), part.column("log_evidence")], ["seq", "t", "p", "log_evidence"])
+
+    products = rows.groupBy("_group").applyInArrow(multiply, "_begin long, _block long, product array<double>, scale double")
+    chains = F.pmod(F.xxhash64("_begin"), F.lit(groups))
+    ends = written(products.groupBy(chains.alias("_group")).applyInArrow(scan, "_begin long, _block long, before array<double>, after array<double>, log_evidence double"), "ends")
+    return rows.join(ends, ["_begin", "_block"]).groupBy("_group").applyInArrow(within, f"seq {seq}, t {t}, p array<double>, log_evidence double")
+
+
+def _smoothed(soft: np.ndarray, starts: np.ndarray, longer: np.ndarray, before: np.ndarray, after: np.ndarray, moves: np.ndarray, opens: np.ndarray) -> np.ndarray:
+    """The marginals of the steps of blocks."""
+    ahead, out = np.empty(soft.shape), np.empty(soft.shape)
+    for t, m in enumerate(longer.tolist()):
+        at = starts[:m] + t
+        now = before[:m] @ moves
+        if t == 0:
+            now[opens] = before[opens]
+        now = now * soft[at]
+        ahead[at] = before[:m] = now / now.sum(axis=1)[:, None]
+    back = after.copy()
+    for t, m in reversed(list(enumerate(longer.tolist()))):
+        at = starts[:m] + t
+        both = ahead[at] * back[:m]
+        out[at] = both / both.sum(axis=1)[:, None]
+        now = (soft[at] * back[:m]) @ moves.T
+        back[:m] = now / now.max(axis=1)[:, None]
     return out

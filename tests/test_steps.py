@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from mixfield.operators import mstep, near
+from mixfield.operators import mstep, near, temporal
 from mixfield.plans import fit, registry
 from mixfield.sources import views
 
@@ -50,3 +50,20 @@ def test_runs_of_components_are_one_model(spark, monkeypatch):
     names = [n for n in whole.components.columns if n != "c"]
     a, b = (m.components.orderBy("c").select(*names).toPandas().to_numpy() for m in (whole, parts))
     assert len(a) == whole.components.agg(F.countDistinct("c")).first()[0] > 20 and np.allclose(a, b, rtol=1e-9)
+
+
+def test_short_chains_are_no_groups_of_their_own(spark):
+    """Chains of several lengths, side by side in one task, against each by itself."""
+    rng = np.random.default_rng(2)
+    rows = [(s, t, rng.normal(0, 4, 2).tolist()) for s in range(40) for t in range(1 + s % 7)]
+    steps = spark.createDataFrame(rows, "seq long, t int, logp array<double>").repartition(5)
+    start, moves = np.array([0.5, 0.5]), np.array([[0.9, 0.1], [0.3, 0.7]])
+    for block in (2, 100):
+        smoothed = temporal.smooth(steps, start.tolist(), moves.tolist(), block)
+        assert "_group" in smoothed._jdf.queryExecution().toString()
+        found = smoothed.orderBy("seq", "t").collect()
+        assert len(found) == len(rows)
+        for s in range(40):
+            want, _, evidence = temporal.forward_backward(np.array([r[2] for r in rows if r[0] == s]), start, moves)
+            own = [r for r in found if r.seq == s]
+            assert np.allclose([r.p for r in own], want) and abs(own[0].log_evidence - evidence) < 1e-9
