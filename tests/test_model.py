@@ -274,6 +274,16 @@ def test_running_sums_over_runs(spark, monkeypatch):
     assert after == {c: sum(range(c + 1, 10)) for c in range(10)} and before == {c: sum(range(c)) for c in range(10)}
 
 
+def test_running_sums_of_a_long_run_add_up_once(spark):
+    rows = spark.range(5000).select(F.col("id").alias("c"), (F.col("id") % 7 * 1.0).alias("v"))
+    for after in (True, False):
+        found = mstep.running_sums(rows, "v", "s", after)
+        sums = {r.c: r.s for r in found.collect()}
+        assert [sums[c] for c in range(5000)] == [sum(k % 7 for k in (range(c + 1, 5000) if after else range(c))) for c in range(5000)]
+        # a frame that ends with the last row is added up anew for each row
+        assert "unboundedfollowing" not in found._jdf.queryExecution().toString().lower()
+
+
 def test_softmax_options(spark):
     rows = spark.createDataFrame([(1, 0, 0.0), (1, 1, -60.0), (1, 2, -1.0)], "id long, c long, logp double")
     plain = {r.c: r.r for r in estep.softmax(rows).collect()}
