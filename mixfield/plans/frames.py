@@ -180,6 +180,9 @@ def fit(model: FrameModel) -> FrameModel:
 
 def traces(model: FrameModel) -> DataFrame:
     """``c, frame``: the frames in which points belong to a component."""
+    there = model.sent()
+    if there is not None:
+        return near.frame_traces(model.by_frame, there, model.axes, BELONGING)
     return model.present().where((F.col("c") != NOISE) & (F.col("r") > BELONGING)).select("c", "frame").distinct()
 
 

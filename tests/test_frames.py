@@ -167,6 +167,15 @@ def test_fit_of_frames(spark):
     assert math.isfinite(frames.transition_bound(found)) and found.transitions.count() == len(temporal.transition_prior())
 
 
+def test_traces_leave_a_row_for_a_component_and_frame(spark, monkeypatch):
+    model = frames.step(framed(spark))
+    want = {(r.c, r.frame) for r in model.responsibilities().where("c <> -1 and r > 0.4").select("c", "frame").distinct().collect()}
+    monkeypatch.setattr(frames.FrameModel, "present", None)  # no row for a point and a component
+    found = [(r.c, r.frame) for r in frames.traces(model).collect()]
+    assert want and len(found) == len(set(found)) and set(found) == want
+    assert {(r.i, r.j): r.alpha for r in frames.with_transitions(model, 50).transitions.collect()}[0, 1] > 1
+
+
 def test_moves_of_frames_raise_the_bound(spark):
     model = frames.step(framed(spark))
     for move in (lambda m: frames.delete(m, 0), lambda m: frames.merge(m, 0, 1), lambda m: frames.birth(m, m.points.where("x > 30").select("id"))):
