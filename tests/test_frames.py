@@ -7,9 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from mixfield.operators import components as ops
-from mixfield.operators import elbo, temporal
+from mixfield.operators import elbo, near, temporal
 from mixfield.operators.storage import written
-from mixfield.plans import fit, frames
+from mixfield.plans import fit, frames, registry
 from mixfield.sources import generators, views
 from mixfield.streaming.assign import assign, frame_counts
 
@@ -176,6 +176,21 @@ def test_traces_leave_a_row_for_a_component_and_frame(spark, monkeypatch):
     assert {(r.i, r.j): r.alpha for r in frames.with_transitions(model, 50).transitions.collect()}[0, 1] > 1
 
 
+def test_pairs_of_frames_against_the_joined_step(spark, monkeypatch):
+    model = framed(spark)
+    rows = model.points.unionByName(spark.createDataFrame([(-100_001, None, 1.0, 1.0), (-100_002, 3, None, 1.0)], "id long, frame int, x double, y double").withColumns({"s2x": F.lit(30.0), "s2y": F.lit(30.0)}), True)
+    there = model.sent()
+    found = {(r.id, r.frame, r.c): (r.logp, r.r) for r in near.frame_pairs(rows.repartition(3), there).collect()}
+    want = {(r.id, r.frame, r.c): (r.logp, r.r) for r in model.responsibilities().collect()}
+    assert found.pop((-100_001, None, -1)) == (there.everywhere.logit, 1.0) and found.pop((-100_002, 3, -1)) == (there.everywhere.logit, 1.0)
+    assert all(found.pop(k) == (None, None) for k in list(found) if k[0] < -100_000)
+    assert found.keys() == want.keys() and np.allclose([found[k] for k in sorted(want)], [want[k] for k in sorted(want)])
+    assert near.rounded(np.array([-0.25, 0.25, 1.04]), 1).tolist() == [-0.3, 0.3, 1.0]
+    # as many components in a frame as there are: none is packed into a row
+    monkeypatch.setattr(temporal, "MAX_PACKED", 1)
+    assert registry.QUERIES["frame_estep"](spark, "/root/testdata/sf0.001").count() == 2745
+
+
 def test_moves_of_frames_raise_the_bound(spark):
     model = frames.step(framed(spark))
     for move in (lambda m: frames.delete(m, 0), lambda m: frames.merge(m, 0, 1), lambda m: frames.birth(m, m.points.where("x > 30").select("id"))):
