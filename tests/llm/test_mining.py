@@ -103,6 +103,36 @@ def test_windows_by_hand():
     assert phrases.chains(flat, np.array([0, 1]), 2).tolist() == [5, 6, 7, 0]
 
 
+def test_groups_that_share_a_number_are_told_apart():
+    rng = np.random.default_rng(5)
+    columns = [rng.integers(0, 6, 400).astype(np.uint64) for _ in range(2)]
+    n = rng.integers(1, 4, 400)
+    once, times = Counter(zip(*(c.tolist() for c in columns), strict=True)), Counter()
+    for *group, k in zip(*(c.tolist() for c in columns), n.tolist(), strict=True):
+        times[tuple(group)] += k
+    for h in (phrases._mixed(columns), np.zeros(400, np.uint64), columns[0] % np.uint64(2)):
+        for counts, want in ((None, once), (n, times)):
+            _, found, a = phrases._summed(h, columns, counts)
+            assert len(a) == len(want) and dict(zip(zip(*(c.tolist() for c in found), strict=True), a.tolist(), strict=True)) == want
+
+
+def test_groups_are_counted_in_buckets_and_few_words_are_remembered(spark, monkeypatch):
+    for name, value in (("BUCKET", 64), ("WINDOWS", 50), ("ROW", 8), ("KNOWN", 7)):
+        monkeypatch.setattr(phrases, name, value)
+    rng = random.Random(4)
+    rows = [[rng.randrange(1, 9) if rng.random() < 0.9 else 0 for _ in range(rng.randrange(1, 12))] + [0] for _ in range(120)]
+    relation = spark.createDataFrame([(r,) for r in rows], "words array<long>").repartition(3).cache()
+    assert phrases.buckets(relation) == 16
+    for size in (2, 3):
+        want = Counter(tuple(r[i : i + size]) for r in rows for i in range(len(r) - size + 1) if all(r[i : i + size]))
+        found = {tuple(r)[:-1]: r.a for r in phrases.group_counts(relation, size, 3).collect()}
+        assert found == {g: a for g, a in want.items() if a >= 3}
+    numbers = phrases._Numbers("en", 0)
+    assert [numbers[str(i).encode()] for i in range(500)] == [phrases._Numbers("en", 0).number(str(i).encode()) for i in range(500)] and len(numbers) <= 50
+    rows = [(lang, t) for lang in ("en", "de", "fr") for t in made(8, 40)]
+    assert mined(spark, rows, least=3) == brute_phrases(rows, 3)
+
+
 # Near-duplicates
 
 
