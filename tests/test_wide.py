@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from mixfield.operators import elbo, estep, metrics, order, spatial, temporal
+from mixfield.operators import elbo, estep, metrics, near, order, spatial, temporal
 from mixfield.plans import fit, frames
 from mixfield.sources import files, generators, views
 from mixfield.streaming.assign import assign
@@ -181,6 +181,42 @@ def test_gaps_of_all_deletions_are_those_of_each(spark, config):
         assert np.allclose([found[k][n] for n in ("noise", "stick", "entropy", "obs", "gap")], [want[n] for n in ("noise", "stick", "entropy", "obs", "gap")], atol=1e-6)
 
 
+@pytest.mark.parametrize("kind", ["even", "heavy", "tail"])
+def test_sums_for_shifts_are_those_of_all_pairs(kind):
+    rng = np.random.default_rng(4)
+    rk, change = rng.gamma(0.3, 300, 150), rng.uniform(-0.3, 0.2, 150)
+    if kind == "heavy":
+        rk[::31] *= 1000
+    if kind == "tail":
+        rk[75:], rk[0], rk[-1], change = 1e-9, 1e6, 5e4, np.zeros(150)
+    eta1, eta0 = 1 + rk, 9.7 + np.append(np.cumsum(rk[::-1])[::-1][1:], 0)
+    beta = lambda j, d: math.lgamma(eta1[j] + eta0[j] + d) - math.lgamma(eta1[j]) - math.lgamma(eta0[j] + d)
+    before = [math.fsum(beta(j, change[k] - rk[k]) for j in range(k)) for k in range(150)]
+    after = [math.fsum(beta(j, change[k]) for j in range(k + 1, 150)) for k in range(150)]
+    assert np.allclose(elbo.shifted_sums(eta1, eta0, change - rk, False), before, rtol=1e-11, atol=1e-6)
+    assert np.allclose(elbo.shifted_sums(eta1, eta0, change, True), after, rtol=1e-11, atol=1e-6)
+
+
+def test_gaps_of_more_deletions_than_fit_into_a_row(spark):
+    n = 20_500
+    rows = spark.range(n).select(F.col("id").alias("c"), *(F.lit(1.0).alias(x) for x in ("mux", "muy", "vx", "vy")), F.lit(2.0).alias("rk"))
+    model = fit.Model(None, fit._restick(rows.withColumns({x: F.lit(0.0) for x in ("eta1", "eta0", "elog_u", "elog_1mu", "log_weight")}), 3.0), elbo.Scalars(5.0, 6.0, 1.0 + n, 4.0), {"a": 1.0, "b": 10.0, "gamma1": 1.0, "gamma2": 0.01, "logp0": -3.0, "mu0x": 0.0, "mu0y": 0.0, "sigma02": 9.0})
+    resp = spark.createDataFrame([(0, 0.0, 0.0, 1.0, 1.0, -1, 0.5), (0, 0.0, 0.0, 1.0, 1.0, 7, 0.5)], "id long, x double, y double, s2x double, s2y double, c long, r double")
+    found = {r.c: r for r in elbo.gaps_delete(resp, model.components, model.scalars, model.prior).collect()}
+    assert sorted(found) == list(range(n))
+    for k in (0, 7, n - 1):
+        want = elbo.gap_delete(resp, model.components, model.scalars, model.prior, k).first()
+        assert np.allclose([found[k][x] for x in ("noise", "stick", "entropy", "obs")], [want[x] for x in ("noise", "stick", "entropy", "obs")], rtol=1e-9, atol=1e-5)
+
+
+def test_sums_of_deletions_in_tasks(spark):
+    points = generators.gaussian_grid(spark, 2, 20, pitch=60.0, s2=30.0, seed=3)
+    model = fit.step(fit.start(points, views.cell_centres(points, pitch=40.0), fit.Config(prune=False)))
+    want = {r.c: list(r)[1:] for r in elbo.deletion_sums(model.present()).collect()}
+    found = {r.c: list(r)[1:] for r in near.deletion_sums(model.points, model.centres()).collect()}
+    assert set(found) == set(want) and all(np.allclose(found[c], want[c]) for c in want)
+
+
 def test_deletions_in_rounds_raise_the_bound(spark):
     points = generators.gaussian_grid(spark, 2, 20, pitch=60.0, s2=30.0, seed=3)
     model = fit.step(fit.start(points, views.cell_centres(points, pitch=15.0), fit.Config(prune=False)))
