@@ -181,6 +181,20 @@ def test_gaps_of_all_deletions_are_those_of_each(spark, config):
         assert np.allclose([found[k][n] for n in ("noise", "stick", "entropy", "obs", "gap")], [want[n] for n in ("noise", "stick", "entropy", "obs", "gap")], atol=1e-6)
 
 
+def test_a_step_by_frames_in_arrays_is_that_of_joins_also_without_a_frame(spark):
+    rng = random.Random(6)
+    rows = [(i, rng.choice([0, 1, 2, 5, None]), rng.uniform(0, 300), rng.uniform(0, 200), 4.0, 6.0) for i in range(400)]
+    points = spark.createDataFrame(rows, "id long, frame int, x double, y double, s2x double, s2y double").repartition(3)
+    model = frames.start(points, views.cell_centres(points), fit.Config(prune=False))
+    arrays, joined = frames.step(model), frames.step(replace(model, by_frame=None))
+    want = {r.c: list(r)[1:] for r in joined.components.select("c", "mux", "muy", "vx", "vy", "rk", "alpha").collect()}
+    found = {r.c: list(r)[1:] for r in arrays.components.select("c", "mux", "muy", "vx", "vy", "rk", "alpha").collect()}
+    assert set(found) == set(want) and all(np.allclose(found[c], want[c]) for c in want)
+    assert abs(arrays.elbo - joined.elbo) < 1e-6 * abs(joined.elbo) and arrays.few == joined.few and np.isclose(arrays.scalars.a, joined.scalars.a)
+    # a task leaves a row for each component, not for each frame
+    assert near.frame_rows(model.by_frame).count() == 5 and arrays.rows is frames.step(arrays).rows
+
+
 @pytest.mark.parametrize("kind", ["even", "heavy", "tail"])
 def test_sums_for_shifts_are_those_of_all_pairs(kind):
     rng = np.random.default_rng(4)
